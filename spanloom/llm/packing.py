@@ -86,15 +86,14 @@ def pieces(docs: DataFrame, path: str, *, length: int = 4096, end_id: int = 1, s
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def plan_bins(counts: np.ndarray, length: int) -> Plan:
-    """Patterns of piece lengths with how many sequences have each. counts[n]: pieces of n tokens; ``counts`` isn't changed."""
-    have = counts.astype(np.int64).copy()
+def exact_complements(have: np.ndarray, length: int, parts: int) -> Plan:
+    """Sequences that are filled to the last token: one length, or one with up to ``parts`` others that are its exact complement. ``have`` is consumed."""
     plan: Plan = []
     if have[length]:
         plan.append(((length,), int(have[length])))
         have[length] = 0
 
-    def consume(*sizes: int) -> bool:
+    def consume(*sizes: int) -> None:
         need = defaultdict(int)
         for s in sizes:
             need[s] += 1
@@ -103,7 +102,6 @@ def plan_bins(counts: np.ndarray, length: int) -> Plan:
             for s, k in need.items():
                 have[s] -= n * k
             plan.append((sizes, n))
-        return n > 0
 
     def fill(fixed: tuple[int, ...], gap: int) -> None:
         """Exact pairs for the gap, larger part first, while all of ``fixed`` last."""
@@ -113,25 +111,28 @@ def plan_bins(counts: np.ndarray, length: int) -> Plan:
                 return
             consume(*fixed, x, gap - x)
 
-    for big in range(length - 1, 0, -1):  # one length is the complement
+    for big in range(length - 1, 0, -1) if parts >= 1 else ():
         if have[big] and have[length - big]:
             consume(big, length - big)
-    for big in range(length - 2, 0, -1):  # two lengths are
+    for big in range(length - 2, 0, -1) if parts >= 2 else ():
         if have[big]:
             fill((big,), length - big)
-    for big in range(length - 3, 0, -1):  # three are
+    for big in range(length - 3, 0, -1) if parts >= 3 else ():
         if have[big]:
             for second in np.flatnonzero(have[: length - big - 1])[::-1].tolist():
                 if not have[big]:
                     break
-                if second >= 1 and have[second]:
+                if have[second]:
                     fill((big, second), length - big - second)
-    # best fit, longest first, over sequences that have the same gap
+    return plan
+
+
+def best_fit(have: np.ndarray, length: int) -> Plan:
+    """Longest first, each into the smallest gap that takes it; sequences with equal gaps are handled together. ``have`` is consumed."""
     gaps: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     open_gaps = np.zeros(length + 1, np.int64)
     for size in range(length, 0, -1):
-        n = int(have[size])
-        while n:
+        while n := int(have[size]):
             at = np.flatnonzero(open_gaps[size:])
             if len(at):
                 gap = int(at[0]) + size
@@ -139,16 +140,28 @@ def plan_bins(counts: np.ndarray, length: int) -> Plan:
                 k = min(n, m)
                 if m > k:
                     gaps[gap].append((pattern, m - k))
+                open_gaps[gap] -= k
             else:
-                gap, pattern = length, ()
-                k = n if size > length // 2 else max(1, -(-n // (length // size)))
-            open_gaps[gap] -= k if gap < length or pattern else 0
-            n -= k
+                gap, pattern, k = length, (), -(-n // (length // size))
+            have[size] -= k
             gaps[gap - size].append(((*pattern, size), k))
             open_gaps[gap - size] += k
-    for stack in gaps.values():
-        plan += stack
-    return plan
+    return [x for stack in gaps.values() for x in stack]
+
+
+def plan_bins(counts: np.ndarray, length: int) -> Plan:
+    """Patterns of piece lengths with how many sequences have each. counts[n]: pieces of n tokens; ``counts`` isn't changed.
+
+    Complements of up to three lengths are consumed before best fit. Where that spends the short pieces too early, stopping
+    at fewer lengths leaves less; the plan with the fewest sequences is taken.
+    """
+    best: Plan | None = None
+    for parts in (3, 2, 1, 0):
+        have = counts.astype(np.int64).copy()
+        plan = exact_complements(have, length, parts) + best_fit(have, length)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+    return best
 
 
 def runs_of(plan: Plan) -> dict[str, np.ndarray]:
