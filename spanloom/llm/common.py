@@ -56,6 +56,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def small_batches(df: DataFrame, most: int = 500) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``most`` rows, so that a batch of long texts fits a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name, "10000")) > most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def literal_table(spark: SparkSession, rows: Iterable[dict], schema: str) -> DataFrame:
     """A small table from plain values, made inside the JVM (no Python rows on the executors)."""
     body = F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")
@@ -107,3 +115,66 @@ def collect_blocks(summed: DataFrame, size: int, length: int) -> np.ndarray:
         i = row["block"] * length
         out[i : i + length] = np.frombuffer(row["data"])
     return out
+
+
+def usable_vectors(column: Column) -> Column:
+    """Not null, no null and no non-finite component."""
+    return F.coalesce(F.forall(column, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))), F.lit(False))
+
+
+def matrix(lists: pa.ListArray, dtype: str = "float64", width: int | None = None) -> np.ndarray:
+    """Rows of numbers as a matrix; shorter rows end in zeros."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    n = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    width = int(n.max(initial=0)) if width is None else width
+    if len(n) and (n == width).all():
+        return flat.reshape(len(n), width)
+    out = np.zeros((len(n), width), dtype)
+    rows = np.repeat(np.arange(len(n)), n)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return out
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n nodes reaches over the pairs (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(before, root):
+            break
+        different = root[a] != root[b]
+        a, b = a[different], b[different]
+    return root
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, root: the smallest node reachable from each node of ``pairs`` (a long, b long).
+
+    Large-star and small-star in turn (Kiveris et al. 2014): every node hangs itself and its neighbours under the smallest
+    of them until only stars are left, in a logarithmic number of rounds in practice. Pairs never leave the executors.
+    """
+
+    def marks(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    at = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = marks(at)
+    while seen[0]:
+        both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        at = materialise(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct())
+        now = marks(at)
+        if now == seen:
+            break
+        seen = now
+    return at.select(F.col("a").alias("node"), F.col("b").alias("root")).union(at.select("b", "b").distinct())

@@ -14,16 +14,19 @@ pieces of their own; an empty table gives no rows. Any string is tokenised whole
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, filterfalse
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -32,34 +35,61 @@ class WordTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, the same as the library's own.
 
     The tokenizer splits at white space and between letters, digits and signs before it merges, so a word's ids do not
-    depend on its neighbours and are remembered (up to ``most`` words). That holds for plain Latin texts; any other text
-    goes to the library as a whole.
+    depend on its neighbours and are remembered (up to ``most`` words). Words not met before are given to the library in one
+    text and told apart by the mark at each word's end. That holds for Latin letters; any other text goes to the library as a whole.
     """
 
-    #: Anything but printable ASCII, tab, newline, return and Latin letters, or what may begin a special token.
-    OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]|<\\|")
+    #: Latin letters in lower case, as the tokenizer sees them.
+    LETTER = "a-zªµºß-öø-ɏ"
+    WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+")
+    #: Anything but printable ASCII, tab, newline, return, Latin letters and signs, or what may begin a special token.
+    OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
 
-    def __init__(self, path: str, most: int = 400_000):
-        import regex
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
         self.most, self.memo = most, {}
 
-    def encode(self, text: str) -> bytes:
-        if self.OTHER.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.words.findall(text.lower())
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words that aren't known yet."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        raw, at = ids.tobytes(), 0
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            self.memo.update((w, self.whole(w)) for w in words)
+            return
+        for w, stop in zip(words, stops, strict=True):
+            self.memo[w] = raw[at:stop]
+            at = stop
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.OTHER.search(t) else self.WORDS.findall(t.lower()) for t in texts]
+        known = [w for w in split if w is not None]
         memo = self.memo
-        missing = [w for w in dict.fromkeys(words) if w not in memo]
+        missing = set(filterfalse(memo.__contains__, chain.from_iterable(known)))
         if missing:
             if len(memo) + len(missing) > self.most:
                 memo.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+                missing = set(chain.from_iterable(known))
+            self.learn(list(missing))
+        get = memo.__getitem__
+        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker, with the words that it remembers."""
+    state = sys.modules.setdefault("_spanloom_worker", ModuleType("_spanloom_worker")).__dict__
+    if path not in state:
+        state[path] = WordTokenizer(path)
+    return state[path]
 
 
 def pieces(docs: DataFrame, path: str, *, length: int = 4096, end_id: int = 1, salts: int = 32, with_ids: bool = False) -> DataFrame:
@@ -68,22 +98,24 @@ def pieces(docs: DataFrame, path: str, *, length: int = 4096, end_id: int = 1, s
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * with_ids
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         end = np.array([end_id], "<u4").tobytes()
+        fields = pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], kinds, strict=True)))
         for batch in it:
             names = batch.schema.names
-            ids, texts = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text"))
-            rows: list[tuple] = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                data = tokenizer.encode(text.as_py() or "") + end
-                for k, i in enumerate(range(0, len(data), 4 * length)):
-                    part = data[i : i + 4 * length]
-                    crc = zlib.crc32(part)
-                    rows.append((doc_id, k, i // 4, len(part) // 4, crc, (crc ^ (doc_id or 0) * 40503 ^ k) % salts, *[part] * with_ids))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], kinds, strict=True))))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+            ids, texts = batch.column(names.index("doc_id")), batch.column(names.index("text"))
+            for first in range(0, batch.num_rows, 64):
+                some = [t or "" for t in texts.slice(first, 64).to_pylist()]
+                rows: list[tuple] = []
+                for doc_id, data in zip(ids.slice(first, 64).to_pylist(), tokenizer.encode(some), strict=True):
+                    data += end
+                    for k, i in enumerate(range(0, len(data), 4 * length)):
+                        part = data[i : i + 4 * length]
+                        crc = zlib.crc32(part)
+                        rows.append((doc_id, k, i // 4, len(part) // 4, crc, (crc ^ (doc_id or 0) * 40503 ^ k) % salts, *[part] * with_ids))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=fields)
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
 def exact_complements(have: np.ndarray, length: int, parts: int) -> Plan:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_blocks, blocks_of, collect_blocks, held_out, materialise
+from .common import add_blocks, blocks_of, collect_blocks, held_out, materialise, small_batches
 
 STATISTICS = (
     "log_bytes", "log_words", "log_lines", "word_length", "word_length_spread", "distinct_words", "top_word", "distinct_lines", "line_length",
@@ -109,7 +109,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int
         .orderBy("__h", "__id")
         .limit(max_train)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(known), "__id").select("text", "__y", F.pmod(F.col("__h"), F.lit(folds)).cast("int").alias("__fold"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(known), "__id").select("text", "__y", F.pmod(F.col("__h"), F.lit(folds)).cast("int").alias("__fold"))
     schema = f"fold int, y double, {', '.join(f'x{i} double' for i in range(d))}"
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

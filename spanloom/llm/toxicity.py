@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_blocks, blocks_of, collect_blocks, held_out, materialise
+from .common import add_blocks, blocks_of, collect_blocks, held_out, materialise, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRADES = 4
@@ -136,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: in
         .orderBy(F.xxhash64("__id", F.lit(seed)), "__id")
         .limit(max_train)
     )
-    sample = materialise(docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(known), "__id").select("text", "__y"))
+    sample = materialise(small_batches(docs).select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(known), "__id").select("text", "__y"))
     sizes = {r["__y"]: r["n"] for r in sample.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n_toxic or not n_clean:
