@@ -41,6 +41,12 @@ def op9_cap_filter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_boundary_chain_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ring_sharding import shard_documents
 
