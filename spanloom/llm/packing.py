@@ -149,13 +149,19 @@ def exact_complements(have: np.ndarray, length: int, parts: int) -> Plan:
     for big in range(length - 2, 0, -1) if parts >= 2 else ():
         if have[big]:
             fill((big,), length - big)
-    for big in range(length - 3, 0, -1) if parts >= 3 else ():
-        if have[big]:
-            for second in np.flatnonzero(have[: length - big - 1])[::-1].tolist():
-                if not have[big]:
-                    break
-                if have[second]:
-                    fill((big, second), length - big - second)
+    if parts >= 3:
+        # which sums two lengths have; lengths only run out, so the index never misses a pair
+        there = np.fft.rfft(have > 0, 2 * length + 2)
+        pair_sums = np.fft.irfft(there * there, 2 * length + 2) > 0.5
+        for big in range(length - 3, 0, -1):
+            gap = length - big
+            if have[big]:
+                second = np.arange(1, gap - 1)
+                for s in second[(have[second] > 0) & pair_sums[gap - second]][::-1].tolist():
+                    if not have[big]:
+                        break
+                    if have[s]:
+                        fill((big, s), gap - s)
     return plan
 
 
