@@ -19,8 +19,11 @@ link; rows without vec_id may link, but name no component unless all are without
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,34 +55,68 @@ class ProductCodes:
             b = np.einsum("npk,pwk->npw", x.reshape(n, self.parts, self.width), book)
             sums = [(b[:, i, :, None] + b[:, i + 1, None, :]).reshape(n, half) for i in (0, 2)]
             # a direction among the best ``most`` has both halves among the best ``most`` of theirs
-            top = [np.argsort(-s, axis=1, kind="stable")[:, :short] for s in sums]
+            top = [np.sort(np.argpartition(-s, short - 1, axis=1)[:, :short], axis=1) for s in sums]
             s = np.take_along_axis(sums[0], top[0], 1)[:, :, None] + np.take_along_axis(sums[1], top[1], 1)[:, None, :]
             ids = (top[0][:, :, None] * half + top[1][:, None, :]).reshape(n, -1)
-            exceed = np.argsort(-s.reshape(n, -1), axis=1, kind="stable")[:, :most]
+            exceed = np.argpartition(-s.reshape(n, -1), most - 1, axis=1)[:, :most]
             found.append(c * half * half + np.take_along_axis(ids, exceed, 1))
         return np.sort(np.hstack(found), axis=1)
 
 
-def smallest_common(held: np.ndarray, a: np.ndarray, b: np.ndarray, this: int) -> np.ndarray:
+def smallest_common(held: np.ndarray, a: np.ndarray, b: np.ndarray, this: np.ndarray) -> np.ndarray:
     """For pairs of rows (a, b) of sorted filter lists: is ``this`` the smallest filter that both hold?"""
     ok = np.ones(len(a), bool)
     for start in range(0, len(a), 20_000):
-        x, y = held[a[start : start + 20_000]], held[b[start : start + 20_000]]
-        low = np.full(len(x), np.iinfo(np.int64).max)
+        s = slice(start, start + 20_000)
+        x, y = held[a[s]], held[b[s]]
+        low = np.full(len(x), np.iinfo(held.dtype).max, held.dtype)
         for column in range(x.shape[1] - 1, -1, -1):
             f = x[:, column]
             low = np.where((y == f[:, None]).any(1), f, low)
-        ok[start : start + 20_000] = low == this
+        ok[s] = low == this[s]
     return ok
 
 
-def link(vectors: DataFrame, *, cosine: float = 0.93, words: int = 16, filters: int = 12, codes: int = 3, block: int = 1024, seed: int = 23) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector."""
+def near_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a < b) of one group with at least this cosine. Groups are stretches of rows of unit vectors."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    little = sizes <= small
+    start, size = starts[little], sizes[little]
+    rows = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    after = np.repeat(start + size, size) - rows - 1
+    for i in range(0, len(rows), 4096):
+        r, n = rows[i : i + 4096], after[i : i + 4096]
+        a = np.repeat(r, n)
+        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for j in range(0, len(a), 50_000):
+            p, q = a[j : j + 50_000], b[j : j + 50_000]
+            near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            found.append((p[near], q[near]))
+    for first, m in zip(starts[~little].tolist(), sizes[~little].tolist(), strict=True):
+        for i in range(first, first + m, 1024):
+            stop = min(i + 1024, first + m)
+            p, q = np.nonzero(x[i:stop] @ x[i : first + m].T >= cosine)
+            found.append((p[p < q] + i, q[p < q] + i))
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None, filters: int = 16, codes: int = 3, block: int = 4096, seed: int = 23) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector.
+
+    words: by default so many that there are about as many directions as ``16 * classes``; vectors that are not near
+    then seldom meet, at any size of the table.
+    """
     rows = small_batches(vectors, 10_000).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     usable = usable_vectors(F.col("v")) & F.col("label").isNotNull() & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = materialise(rows.select("vec_id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))).alias("v")).withColumn("cid", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     classes = materialise(classes)
+    words = words or max(16, math.ceil((16 * classes.count()) ** 0.25))
 
     def spread(it):
         made: dict[int, ProductCodes] = {}
@@ -89,13 +126,12 @@ def link(vectors: DataFrame, *, cosine: float = 0.93, words: int = 16, filters:
             held: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
-                x = matrix(lists.take(pa.array(at)))
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if d not in made:
                     made[d] = ProductCodes(d, words, filters, codes, seed)
-                for i, f in zip(at.tolist(), made[d].decode(x).tolist(), strict=True):
-                    held[i] = f
+                for k in range(0, len(at), 256):
+                    some = at[k : k + 256]
+                    for i, f in zip(some.tolist(), made[d].decode(unit(matrix(lists.take(pa.array(some))))).tolist(), strict=True):
+                        held[i] = f
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size.astype(np.int32)), pa.array(held, pa.list_(pa.int64()))], names=[*batch.schema.names, "d", "held"])
 
     spread_schema = "cid long, n long, label string, v array<double>, d int, held array<long>"
@@ -107,26 +143,55 @@ def link(vectors: DataFrame, *, cosine: float = 0.93, words: int = 16, filters:
     met = met.select("cid", "label", "d", "f", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     full = met.join(decoded.select("cid", "n", "v", "held"), "cid")
 
-    def check(t: pa.Table) -> pa.Table:
-        f = t["f"][0].as_py()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        order = np.argsort(t["cid"].to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        cid, n, own = t["cid"].to_numpy(), t["n"].to_numpy(), t["own"].to_numpy()
-        x, held = matrix(t["v"]), matrix(t["held"], "int64")
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-        if i != j:
-            across = own[a] != own[b]
-            a, b = a[across], b[across]
-        root = local_roots(len(cid), a, b)
-        once = smallest_common(held, a, b, f)
-        links = np.bincount(a[once], n[b[once]], len(cid)) + np.bincount(b[once], n[a[once]], len(cid))
-        at = np.flatnonzero((links > 0) | (root != np.arange(len(cid))))
-        return pa.table({"cid": pa.array(cid[at]), "root": pa.array(cid[root[at]]), "links": pa.array(links[at].astype(np.int64))})
-
-    found = materialise(full.groupBy("label", "d", "f", "i", "j").applyInArrow(check, "cid long, root long, links long"))
+    by = ["label", "d", "f", "i", "j"]
+
+    def check(it):
+        """Whole groups at a time: rows come sorted by group."""
+        kept: list[pa.RecordBatch] = []
+
+        def whole(t: pa.Table) -> pa.RecordBatch:
+            d = t["d"].to_numpy()
+            out = [settle(t.take(pa.array(np.flatnonzero(d == k)))) for k in np.unique(d)]
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(len(o) for o in out) else out[0]
+
+        def settle(t: pa.Table) -> pa.RecordBatch:
+            starts = starts_of(t)
+            sizes = np.diff(np.append(starts, t.num_rows))
+            cid, n, own, f = (t[c].to_numpy() for c in ("cid", "n", "own", "f"))
+            x, held = unit(matrix(t["v"])), matrix(t["held"], "int64")
+            a, b = near_pairs(x, starts, sizes, cosine)
+            # two blocks of one group meet to check what lies across; a block meets itself to check what lies inside
+            ok = (own[a] != own[b]) | (t["i"].to_numpy() == t["j"].to_numpy())[a]
+            a, b = a[ok], b[ok]
+            root = local_roots(len(cid), a, b)
+            once = smallest_common(held, a, b, f[a])
+            links = np.bincount(a[once], n[b[once]], len(cid)) + np.bincount(b[once], n[a[once]], len(cid))
+            at = np.flatnonzero((links > 0) | (root != np.arange(len(cid))))
+            return pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[root[at]]), pa.array(links[at].astype(np.int64))], names=["cid", "root", "links"])
+
+        def starts_of(t: pa.Table) -> np.ndarray:
+            new = np.zeros(t.num_rows, bool)
+            new[:1] = True
+            for c in by:
+                v = t[c].combine_chunks()
+                new[1:] |= pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False)
+            return np.flatnonzero(new)
+
+        rows = 0
+        for batch in it:
+            kept.append(batch)
+            rows += batch.num_rows
+            if rows >= 20_000:
+                t = pa.Table.from_batches(kept).combine_chunks()
+                last = int(starts_of(t)[-1])
+                if last:
+                    yield whole(t.slice(0, last))
+                    kept = t.slice(last).to_batches()
+                    rows = t.num_rows - last
+        if rows:
+            yield whole(pa.Table.from_batches(kept).combine_chunks())
+
+    found = materialise(full.repartition(*by).sortWithinPartitions(*by, "cid").mapInArrow(check, "cid long, root long, links long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct())
     known = classes.select("cid", "n", "low").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

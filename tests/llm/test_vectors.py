@@ -117,15 +117,15 @@ def test_links_odd(spark):
     assert link(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize("cosine", [0.93, 0.96])
-def test_recall_of_the_filters(cosine):
+@pytest.mark.parametrize(("cosine", "words"), [(0.93, 16), (0.93, 32), (0.96, 32)])
+def test_recall_of_the_filters(cosine, words):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(3000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     w = rng.normal(size=a.shape)
     w -= (w * a).sum(1, keepdims=True) * a
     w /= np.linalg.norm(w, axis=1, keepdims=True)
-    codes = ProductCodes(64, 16, 12, 3, 23)
+    codes = ProductCodes(64, words, 16, 3, 23)
     x, y = codes.decode(a), codes.decode(cosine * a + np.sqrt(1 - cosine**2) * w)
     share = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)])
     assert share >= 0.999
