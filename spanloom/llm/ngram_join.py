@@ -8,10 +8,14 @@ links; this one keeps passages that many documents share out of the prefixes.) E
 2. In each gram's run, by set size, a leader is paired with those that follow within the size bound. The partners of a
    leader are stored in a prefix tree; the leader walks it. Paths that partners share are counted once, and a subtree ends
    where what remains of the sets can't lift the overlap to the bound. Found links join classes into components.
-3. Pairs that meet in a run, pass the size and position bounds and are in different components by then are checked in
+3. Pairs that meet in runs and are in different components by then are counted. Linked sets of sizes a and b share at
+   least ``needed(a, b) - ceil(t max(a, b)) + 1`` grams of their prefixes; pairs that meet in as many runs are checked in
    the same way. So no pair inside a group of near copies is ever listed beyond its leaders, yet every link between
    components is found: the result is exact.
 
+Leaders are only tried for partners that they meet that often; only texts of classes in such pairs are read again. A bitmap
+of fixed size keeps the other texts out of the shuffle (a collision sends a text in vain, no more).
+
 A leader's partners are dealt into trees of at most ``tree`` sets. Hot texts never gather: a class has one row.
 
 Defined results: null and empty texts and texts without words have no grams (n_shingles 0) and link with nothing; texts of fewer
@@ -24,9 +28,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import add_blocks, blocks_of, collect_blocks, components, materialise, small_batches
@@ -35,10 +40,10 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words, the latest of them remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -50,9 +55,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def gram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
+def gram_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     """Ascending distinct hashes of the word n-grams; the whole text as one where it has fewer words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -66,11 +71,14 @@ def gram_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
 class GlobalOrder:
     """Levels by a sketch of counts: one count for each of ``len(sketch)`` hash values."""
 
-    def __init__(self, sketch: np.ndarray):
+    def __init__(self, levels: np.ndarray):
+        self.levels, self.mask = levels, np.uint64(len(levels) - 1)
+
+    @staticmethod
+    def levels_of(sketch: np.ndarray) -> np.ndarray:
         mean = sketch.mean()
         common = sketch > mean + 4 * np.sqrt(mean) + 2
-        self.levels = np.where(common, 1 + np.log2(np.maximum(sketch, 1)).astype(np.uint8), 0).astype(np.uint8)
-        self.mask = np.uint64(len(sketch) - 1)
+        return np.where(common, 1 + np.log2(np.maximum(sketch, 1)).astype(np.uint8), 0).astype(np.uint8)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         return grams[np.argsort(self.levels[grams & self.mask], kind="stable")]
@@ -131,8 +139,9 @@ def sketch_of(docs: DataFrame, n: int, size: int) -> np.ndarray:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(size)
         for batch in it:
-            for text in batch.column(0):
-                np.add.at(total, (gram_set(text.as_py(), n, hashes) & np.uint64(size - 1)).astype(np.int64), 1)
+            grams = [gram_set(text.as_py(), n, hashes) for text in batch.column(0)]
+            if grams:
+                total += np.bincount((np.concatenate(grams) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         yield from blocks_of(total, 4096)
 
     return collect_blocks(add_blocks(docs.select("text").mapInArrow(count, "block int, data binary")), size, 4096)
@@ -185,9 +194,18 @@ def leaders(size: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
-def across(run: dict[str, np.ndarray], percent: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a run (by ascending size) of different components that pass the size and position bounds."""
-    size, left, comp, cid = run["n"], run["n"] - run["pos"], run["comp"], run["cid"]
+def least_runs(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """In how many runs two linked sets of these sizes meet at least.
+
+    With o shared grams at least, prefixes that leave out o - r grams share r. A prefix leaves out ceil(percent * n / 100) - 1.
+    """
+    o = -(-percent * (a + b) // (100 + percent))
+    return o + 1 + np.maximum(percent * a, percent * b) // -100
+
+
+def across(run: dict[str, np.ndarray], percent: int, block: int = 1024) -> Iterator[dict[str, np.ndarray]]:
+    """Pairs of a run (by ascending size) of different components within the size bound."""
+    size, comp, cid = run["n"], run["comp"], run["cid"]
     ends = np.searchsorted(size, size * 100 // percent, "right")
     for lo in range(0, len(size), block):
         hi = min(lo + block, len(size))
@@ -196,28 +214,38 @@ def across(run: dict[str, np.ndarray], percent: int, block: int = 1024) -> Itera
         a, b = a + lo, b + lo
         ok = (a < b) & (b < ends[a])
         a, b = a[ok], b[ok]
-        ok = np.minimum(left[a], left[b]) * (100 + percent) >= percent * (size[a] + size[b])
-        yield cid[a[ok]], cid[b[ok]]
+        yield {"a": cid[a], "b": cid[b], "least": least_runs(size[a], size[b], percent)}
 
 
-def pairs_schema(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([p[0] for p in found] or [np.zeros(0, np.int64)])
-    b = np.concatenate([p[1] for p in found] or [np.zeros(0, np.int64)])
-    both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def led(run: dict[str, np.ndarray], percent: int) -> Iterator[dict[str, np.ndarray]]:
+    """Each row of a run with its leader."""
+    lead = leaders(run["n"], percent)
+    row = np.flatnonzero(lead != np.arange(len(lead)))
+    yield {"a": run["cid"][lead[row]], "b": run["cid"][row], "least": least_runs(run["n"][lead[row]], run["n"][row], percent)}
 
 
-def batched_pairs(groups: Iterator[list[tuple[np.ndarray, np.ndarray]]], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    for g in groups:
-        held += g
-        n += sum(len(p[0]) for p in g)
+def counted(found: Iterator[dict[str, np.ndarray]], most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """a, b, least, met: how often each pair came up, a bounded number of them at a time."""
+
+    def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        three = np.stack([np.concatenate([h[c] for h in held]) for c in ("a", "b", "least")], 1)
+        rows, met = np.unique(three, axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in rows.T], pa.array(met.astype(np.int64))], names=["a", "b", "least", "met"])
+
+    held, n = [], 0
+    for f in found:
+        held.append(f)
+        n += len(f["a"])
         if n >= most:
-            yield pairs_schema(held)
+            yield batch(held)
             held, n = [], 0
     if n:
-        yield pairs_schema(held)
+        yield batch(held)
+
+
+def often(pairs: DataFrame) -> DataFrame:
+    """The pairs that meet often enough to link."""
+    return pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("least").alias("least")).where("met >= least").select("a", "b")
 
 
 def check_pairs(pairs: DataFrame, paths: DataFrame, percent: int, tree: int) -> DataFrame:
@@ -240,15 +268,56 @@ def check_pairs(pairs: DataFrame, paths: DataFrame, percent: int, tree: int) ->
     return stored.unionByName(probes).groupBy("a", "t").applyInArrow(walk, "a long, b long")
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
+def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n: int, bits: int = 1 << 23) -> DataFrame:
+    """cid, path (the set in global order) of every class in ``pairs``."""
+    active = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = materialise(classes.join(active, "cid", "left_semi").select("key", "cid"))
+
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bits // 32)
+        for batch in it:
+            at = np.unique(batch.column(0).to_numpy() & (bits - 1))
+            words = np.zeros(bits // 32, np.uint32)
+            np.bitwise_or.at(words, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+            total = (total.astype(np.uint32) | words).astype(np.float64)
+        yield from blocks_of(total, 4096)
+
+    # one task: its input is ids alone, its result has a fixed size
+    bitmap = keyed.sparkSession.sparkContext.broadcast(collect_blocks(wanted.select("key").coalesce(1).mapInArrow(mark, "block int, data binary"), bits // 32, 4096).astype(np.uint32))
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        at = key.to_numpy() & (bits - 1)
+        return pd.Series((bitmap.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    def ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, by, done = WordHashes(), GlobalOrder(levels.value), set()
+        for batch in it:
+            ids, found = [], []
+            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if cid not in done:  # repeated rows
+                    done.add(cid)
+                    ids.append(cid)
+                    found.append(by(gram_set(text.as_py(), n, hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(found)], names=["cid", "path"])
+
+    texts = keyed.where(maybe("key")).join(wanted, "key").select("cid", "text")
+    return materialise(texts.mapInArrow(ordered, "cid long, path array<long>"))
+
+
 def join(docs: DataFrame, *, n: int = 3, percent: int = 90, sketch: int = 1 << 20, tree: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, with ``class_id`` (null without grams) and ``key`` (a hash of the row's id and text)."""
+    """doc_id, n_shingles, component_id of every document, with ``group_id`` (one for each component; null without grams) and ``key`` (:func:`row_key`)."""
     spark = docs.sparkSession
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    order = spark.sparkContext.broadcast(GlobalOrder(sketch_of(docs, n, sketch)))  # one byte for each place of the sketch
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    keyed = docs.withColumn("key", row_key())
+    levels = spark.sparkContext.broadcast(GlobalOrder.levels_of(sketch_of(docs, n, sketch)))  # one byte for each place of the sketch
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, by = WordHashes(), order.value
+        hashes, by = WordHashes(), GlobalOrder(levels.value)
         for batch in it:
             ids, sizes, prefixes = [], [], []
             for text in batch.column(1):
@@ -262,56 +331,57 @@ def join(docs: DataFrame, *, n: int = 3, percent: int = 90, sketch: int = 1 << 2
     # one row for each class; the row whose text will stand for it is the one with the smallest key
     classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("n_shingles").alias("n"))
     classes = materialise(classes)
-    posted = signed.join(classes.select("cid", "key", "n"), ["cid", "key"]).dropDuplicates(["cid"]).select("cid", "n", F.posexplode("prefix").alias("pos", "gram"))
-    posted = posted.select("gram", F.col("n").cast("long").alias("n"), "cid", F.col("pos").cast("long").alias("pos"))
+    posted = signed.join(classes.select("cid", "key", "n"), ["cid", "key"]).dropDuplicates(["cid"]).select(F.explode("prefix").alias("gram"), F.col("n").cast("long").alias("n"), "cid")
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        rows = 0
+        names = ["gram", "n", "cid"]
 
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[c] for r in held])) for c in ("gram", "n", "cid", "pos", "lead")], names=["gram", "n", "cid", "pos", "lead"])
+        def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[c] for r in held])) for c in names], names=names)
 
+        held, rows = [], 0
         for run in runs(it):
-            run["lead"] = run["cid"][leaders(run["n"], percent)]
             held.append(run)
             rows += len(run["gram"])
             if rows > 50_000:
-                yield batch()
+                yield batch(held)
                 held, rows = [], 0
         if held:
-            yield batch()
+            yield batch(held)
 
-    met = posted.repartition("gram").sortWithinPartitions("gram", "n", "cid")
-    met = materialise(met.mapInArrow(meet, "gram long, n long, cid long, pos long, lead long"))
-    # the text of every class that meets another, as a path
-    active = met.select("cid").distinct()
-    texts = keyed.join(classes.join(active, "cid", "left_semi").select("key", "cid"), "key")
+    def by_run(df: DataFrame) -> DataFrame:
+        return df.repartition("gram").sortWithinPartitions("gram", "n", "cid")
 
-    def ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, by, done = WordHashes(), order.value, set()
-        for batch in it:
-            ids, found = [], []
-            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if cid not in done:  # repeated rows
-                    done.add(cid)
-                    ids.append(cid)
-                    found.append(by(gram_set(text.as_py(), n, hashes)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(found)], names=["cid", "path"])
+    met = materialise(by_run(posted).mapInArrow(meet, "gram long, n long, cid long"))
 
-    paths = materialise(texts.select("cid", "text").mapInArrow(ordered, "cid long, path array<long>"))
-    led = materialise(met.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
-    links = materialise(check_pairs(led, paths, percent, tree))
-    near = components(links)
-    named = met.join(near.withColumnRenamed("node", "cid"), "cid", "left").select("gram", "n", "cid", "pos", F.coalesce("root", "cid").alias("comp"))
+    def with_leaders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from counted(x for run in runs(it) for x in led(run, percent))
 
     def rest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched_pairs(list(across(run, percent)) for run in runs(it) if (run["comp"] != run["comp"][0]).any())
+        yield from counted(x for run in runs(it) if (run["comp"] != run["comp"][0]).any() for x in across(run, percent))
 
-    open_pairs = named.repartition("gram").sortWithinPartitions("gram", "n", "cid").mapInArrow(rest, "a long, b long").distinct()
-    more = materialise(check_pairs(materialise(open_pairs.join(led, ["a", "b"], "left_anti")), paths, percent, tree))
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs)
+        return materialise(check_pairs(pairs, paths_of(keyed, classes, pairs, levels, n), percent, tree))
+
+    schema = "a long, b long, least long, met long"
+    links = linked(often(by_run(met).mapInArrow(with_leaders, schema)))
+    near = components(links)
+    named = met.join(near.withColumnRenamed("node", "cid"), "cid", "left").select("gram", "n", "cid", F.coalesce("root", "cid").alias("comp"))
+    more = linked(often(by_run(named).mapInArrow(rest, schema)))
     roots = components(links.union(more))
     of = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.join(lows, "root").select("cid", "component_id")
-    return signed.select("doc_id", "n_shingles", "cid", "key").join(of, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cid").alias("class_id"), "key")
+    of = of.join(lows, "root").select("cid", "component_id", F.col("root").alias("group_id"))
+    return signed.select("doc_id", "n_shingles", "cid", "key").join(of, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group_id", "key")
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """The document with the smallest doc_id of each component, with its own columns. Documents without words all stay."""
+    rows = materialise(join(docs, **params).select("doc_id", "group_id", "key"))
+    kept = rows.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low")).select("low.key")
+    kept = kept.select("key", F.lit(True).alias("__once")).union(rows.where("group_id IS NULL").select("key", F.lit(False)).distinct())
+    # rows that are alike in doc_id and text have one key; the first of them stays
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    found = docs.withColumn("__key", row_key()).join(kept.withColumnRenamed("key", "__key"), "__key").withColumn("__nth", nth)
+    return found.where("__nth = 1 OR NOT __once").select(*docs.columns)

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from spanloom.llm.ngram_join import GlobalOrder, PrefixTree, WordHashes, across, gram_set, join, leaders, needed
+from spanloom.llm.ngram_join import GlobalOrder, PrefixTree, WordHashes, across, gram_set, join, leaders, least_runs, needed
 
 
 def brute(rows, n, percent):
@@ -82,7 +82,7 @@ def test_odd(spark, odd, clashing, empty):
 
 def test_tree_finds_what_brute_force_finds():
     rng = np.random.default_rng(3)
-    order = GlobalOrder(np.bincount(rng.integers(0, 16, 40), minlength=16).astype(float))
+    order = GlobalOrder(GlobalOrder.levels_of(np.bincount(rng.integers(0, 16, 40), minlength=16).astype(float)))
     for percent in (50, 80, 90):
         base = rng.integers(0, 60, 40).astype(np.uint64)
         sets = [order(np.unique(np.where(rng.random(40) < 0.1, rng.integers(0, 200, 40).astype(np.uint64), base)[: rng.integers(5, 41)])) for _ in range(60)]
@@ -95,14 +95,32 @@ def test_tree_finds_what_brute_force_finds():
 def test_bounds():
     assert all(100 * needed(a, b, 90) >= 90 * (a + b - needed(a, b, 90)) > 100 * (needed(a, b, 90) - 1) - 90 for a in range(1, 60) for b in range(a, 60))
     assert leaders(np.array([10, 10, 11, 12, 13, 30]), 90).tolist() == [0, 0, 0, 3, 3, 5]
-    run = {"n": np.array([10, 10, 11]), "pos": np.array([0, 0, 0]), "comp": np.array([1, 1, 2]), "cid": np.array([1, 4, 2])}
-    assert [(a.tolist(), b.tolist()) for a, b in across(run, 90)] == [([1, 4], [2, 2])]
+    run = {"n": np.array([10, 10, 11]), "comp": np.array([1, 1, 2]), "cid": np.array([1, 4, 2])}
+    assert [(x["a"].tolist(), x["b"].tolist()) for x in across(run, 90)] == [([1, 4], [2, 2])]
+
+
+def test_linked_sets_meet_as_often_as_is_asked():
+    rng = np.random.default_rng(8)
+    for percent in (60, 80, 90):
+        checked = 0
+        for _ in range(4000):
+            universe = rng.permutation(400)
+            a = universe[: rng.integers(1, 120)]
+            b = np.concatenate([a[rng.random(len(a)) < 0.97], universe[300 : 300 + rng.integers(0, 8)]])
+            shared = len(np.intersect1d(a, b))
+            if len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
+                order = rng.permutation(400)
+                pre = [sorted(x.tolist(), key=lambda g: order[g])[: len(x) - -(-percent * len(x) // 100) + 1] for x in (a, b)]
+                least = int(least_runs(np.array([len(a)]), np.array([len(b)]), percent)[0])
+                assert 1 <= least <= len(set(pre[0]) & set(pre[1]))
+                checked += 1
+        assert checked > 500
 
 
 def test_grams():
     h = WordHashes()
-    assert len(gram_set("a b c A B C a b c", 3, h)) == 3
-    assert len(gram_set("a b", 3, h)) == len(gram_set("a", 3, h)) == 1
-    assert gram_set(" \t", 3, h).size == gram_set(None, 3, h).size == 0
-    assert gram_set("É b c", 3, h)[0] != gram_set("é b c", 3, h)[0]
-    assert gram_set("a b c d e f", 5, h).size == 2
+    assert len(gram_set(b"a b c A B C a b c", 3, h)) == 3
+    assert len(gram_set(b"a b", 3, h)) == len(gram_set(b"a", 3, h)) == 1
+    assert gram_set(b" \t", 3, h).size == gram_set(None, 3, h).size == 0
+    assert gram_set("É b c".encode(), 3, h)[0] != gram_set("é b c".encode(), 3, h)[0]
+    assert gram_set(b"a b c d e f", 5, h).size == 2
