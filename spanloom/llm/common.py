@@ -75,10 +75,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def add_blocks(parts: DataFrame) -> DataFrame:
-    """Sum int64 or float64 arrays: rows (block int, data binary) of many tasks become one row for each block.
+def add_blocks(parts: DataFrame, kind: str = "f8") -> DataFrame:
+    """Sum arrays: rows (block int, data binary) of many tasks become one row for each block.
 
-    ``data`` is the raw little-endian array, float64. Each block has a fixed size, so what meets in a task does not
+    ``data`` is the raw array of numbers of this kind. Each block has a fixed size, so what meets in a task does not
     depend on the input but for the number of tasks that sent it.
     """
 
@@ -87,7 +87,7 @@ def add_blocks(parts: DataFrame) -> DataFrame:
         at, total = None, None
         for batch in it:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data)
+                x = np.frombuffer(data, kind)
                 if block != at:
                     if total is not None:
                         yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
@@ -101,19 +101,19 @@ def add_blocks(parts: DataFrame) -> DataFrame:
 
 
 def blocks_of(total: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """The rows of :func:`add_blocks` for one task's flat float64 array; blocks of zeros are left out."""
+    """The rows of :func:`add_blocks` for one task's flat array; blocks of zeros are left out."""
     for i in range(0, len(total), length):
         part = total[i : i + length]
         if part.any():
             yield pa.RecordBatch.from_pydict({"block": pa.array([i // length], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
 
 
-def collect_blocks(summed: DataFrame, size: int, length: int) -> np.ndarray:
+def collect_blocks(summed: DataFrame, size: int, length: int, kind: str = "f8") -> np.ndarray:
     """The flat array of ``size`` numbers; its size is a parameter of the model, not of the data."""
-    out = np.zeros(size)
-    for row in summed.toLocalIterator():
+    out = np.zeros(size, kind)
+    for row in summed.coalesce(8).toLocalIterator():
         i = row["block"] * length
-        out[i : i + length] = np.frombuffer(row["data"])
+        out[i : i + length] = np.frombuffer(row["data"], kind)
     return out
 
 

@@ -53,6 +53,12 @@ def op5_ngram_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_mixing import score
+
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ring_sharding import shard_documents
 
