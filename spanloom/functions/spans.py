@@ -85,14 +85,17 @@ def occurrences(tokens: Column, part: Column) -> Column:
     return F.filter(starts, lambda i: F.slice(tokens, i + 1, k) == part)
 
 
+def _at(starts: Column, size: Column, kind: Column) -> Column:
+    return F.when(F.size(starts) > 0, F.transform(starts, lambda i: span(i, i + size, kind)))
+
+
 def align(tokens: Column, text: Column, kind: Column) -> Column:
     """All places of a predicted string: by white space, then without case, then by the tokenizer, then without case."""
     lowered = F.transform(tokens, F.lower)
     found = []
     for part in (F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), tokenize(F.trim(text))):
         for hay, needle in ((tokens, part), (lowered, F.transform(part, F.lower))):
-            hits = occurrences(hay, needle)
-            found.append(F.when(F.size(hits) > 0, F.transform(hits, lambda i, needle=needle: span(i, i + F.size(needle), kind))))
+            found.append(_at(occurrences(hay, needle), F.size(needle), kind))
     return F.coalesce(*found, F.array().cast(SPANS))
 
 

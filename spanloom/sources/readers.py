@@ -54,11 +54,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A path without files is an empty frame.
     """
     try:
-        rows = numbered(spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("_file", F.col("_metadata.file_path")), "_pos")
+        lines = numbered(spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")), "_pos").where(F.trim("value") != "")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select("_pos", "_file", parsed.alias("_r")).select("_pos", "_file", "_r.*")
     last = F.max("_pos").over(Window.partitionBy("_file"))
     bad = F.col("_corrupt").isNotNull()
     kept = rows.withColumn("_last", F.col("_pos") == last).where(~(bad & F.col("_last")))
