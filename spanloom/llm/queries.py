@@ -97,16 +97,16 @@ ORACLES: dict[str, str] = {
         n AS (SELECT t.doc_id, count(s) AS n FROM t LEFT JOIN g USING (doc_id) GROUP BY t.doc_id),
         o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
         l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
-        r(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.at = l.a)
-        SELECT doc_id, any_value(n) AS n_shingles, min(at) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
+        r(doc_id, there) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.there = l.a)
+        SELECT doc_id, any_value(n) AS n_shingles, min(there) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
     "op9_cap_filter_dedup": """
         WITH RECURSIVE u AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), l AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
-        ), r(vec_id, at) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.at = l.a)
-        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = r.vec_id) AS n_links, min(at) AS component_id, vec_id = min(at) AS kept FROM r GROUP BY vec_id""",
+        ), r(vec_id, there) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.there = l.a)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = r.vec_id) AS n_links, min(there) AS component_id, vec_id = min(there) AS kept FROM r GROUP BY vec_id""",
 }
 
 
