@@ -1,22 +1,29 @@
 """N-gram Jaccard self-join of documents by a prefix tree, and the components of its links.
 
-A document is the set of its distinct word n-grams, as 64-bit hashes. One global order holds for all sets: hashes whose count in
-a fixed-size sketch of the corpus stands out come last, by how much; within a level the hash decides. (Any order gives the same
-links; this one keeps passages that many documents share out of the prefixes.) Equal sets are one class from the start.
-
-1. Two sets that link share one of the first ``n - ceil(t n) + 1`` grams of their order. Classes meet under those grams.
-2. In each gram's run, by set size, a leader is paired with those that follow within the size bound. The partners of a
-   leader are stored in a prefix tree; the leader walks it. Paths that partners share are counted once, and a subtree ends
-   where what remains of the sets can't lift the overlap to the bound. Found links join classes into components.
-3. Pairs that meet in runs and are in different components by then are counted. Linked sets of sizes a and b share at
-   least ``needed(a, b) - ceil(t max(a, b)) + 1`` grams of their prefixes; pairs that meet in as many runs are checked in
-   the same way. So no pair inside a group of near copies is ever listed beyond its leaders, yet every link between
-   components is found: the result is exact.
-
-Leaders are only tried for partners that they meet that often; only texts of classes in such pairs are read again. A bitmap
-of fixed size keeps the other texts out of the shuffle (a collision sends a text in vain, no more).
-
-A leader's partners are dealt into trees of at most ``tree`` sets. Hot texts never gather: a class has one row.
+A document is the set of its distinct word n-grams, as 64-bit hashes. Equal sets are one class from the start; a class has one
+row, so hot texts never gather.
+
+1. One global order holds for all sets. Hashes below a fixed bound are counted exactly over the corpus: those of one set alone
+   come first, then the others, rare ones first; hashes above the bound come last, by value. A set's prefix is its first
+   ``n - ceil(t n) + 1`` grams. Linked sets share a gram of their prefixes, and a gram of one set alone is shared with none:
+   a set whose whole prefix is its own (most are) is done here, the others post the rest of their prefix.
+2. In each posted gram's run, by set size, a leader is paired with those that follow within the size bound. The partners
+   of a leader are stored in a prefix tree; the leader walks it. Paths that partners share are counted once, and a subtree
+   ends where what remains of the sets can't lift the overlap to the bound. Found links join classes into components.
+3. Twice, each class is paired with the class of another component that looks nearest by bitmap, so that components
+   grow as in Boruvka's algorithm.
+4. All pairs that meet in runs and are in different components by then are counted, unless their bitmaps rule a link out.
+   Linked sets of sizes a and b share at least ``needed(a, b) - ceil(t max(a, b)) + 1`` grams of their prefixes; pairs that
+   meet in as many runs are checked in the same way. So pairs inside a group of near copies are not listed, yet every
+   link between components is found: the result is exact.
+
+A class's bitmap holds the parities of its grams by hash value. Two bitmaps differ in no more bits than the sets differ in
+grams, so a pair whose bitmaps differ in more than linked sets may is no link.
+
+Only texts of classes in such pairs are read again. A bitmap of fixed size keeps the other texts out of the shuffle (a
+collision sends a text in vain, no more).
+
+A leader's partners are dealt into trees of at most ``tree`` sets.
 
 Defined results: null and empty texts and texts without words have no grams (n_shingles 0) and link with nothing; texts of fewer
 than ``n`` words have one gram; repeated rows are one class; rows without doc_id link, but name no component unless all are
@@ -34,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_blocks, blocks_of, collect_blocks, components, materialise, small_batches
+from .common import blocks_of, collect_blocks, components, materialise, small_batches
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # any odd numbers
 
@@ -68,29 +75,13 @@ def gram_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-class GlobalOrder:
-    """Levels by a sketch of counts: one count for each of ``len(sketch)`` hash values."""
-
-    def __init__(self, levels: np.ndarray):
-        self.levels, self.mask = levels, np.uint64(len(levels) - 1)
-
-    @staticmethod
-    def levels_of(sketch: np.ndarray) -> np.ndarray:
-        mean = sketch.mean()
-        common = sketch > mean + 4 * np.sqrt(mean) + 2
-        return np.where(common, 1 + np.log2(np.maximum(sketch, 1)).astype(np.uint8), 0).astype(np.uint8)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        return grams[np.argsort(self.levels[grams & self.mask], kind="stable")]
-
-
 def needed(a: int, b: int, percent: int) -> int:
     """The least overlap of two linked sets of sizes a and b: 100 * overlap >= percent * union."""
     return -(-percent * (a + b) // (100 + percent))
 
 
 class PrefixTree:
-    """Sets in global order as the paths of a prefix tree.
+    """Sets, each in one global order (by hash), as the paths of a prefix tree.
 
     Paths are kept sorted; what a path shares with the one before it is the depth of the node where it branches off, so
     the node's overlap with a probe is known when the next path is walked.
@@ -133,20 +124,6 @@ class PrefixTree:
         return found
 
 
-def sketch_of(docs: DataFrame, n: int, size: int) -> np.ndarray:
-    """How many documents hold a gram with each of ``size`` hash values."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(size)
-        for batch in it:
-            grams = [gram_set(text.as_py(), n, hashes) for text in batch.column(0)]
-            if grams:
-                total += np.bincount((np.concatenate(grams) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        yield from blocks_of(total, 4096)
-
-    return collect_blocks(add_blocks(docs.select("text").mapInArrow(count, "block int, data binary")), size, 4096)
-
-
 def as_long(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
@@ -194,6 +171,10 @@ def leaders(size: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
 def least_runs(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """In how many runs two linked sets of these sizes meet at least.
 
@@ -203,10 +184,21 @@ def least_runs(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return o + 1 + np.maximum(percent * a, percent * b) // -100
 
 
-def across(run: dict[str, np.ndarray], percent: int, block: int = 1024) -> Iterator[dict[str, np.ndarray]]:
-    """Pairs of a run (by ascending size) of different components within the size bound."""
+BITS = 256
+_WORDS = [f"b{i}" for i in range(BITS // 64)]
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """The parity of the number of grams at each hash value, as 64-bit words."""
+    odd = np.bincount((grams >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def across(run: dict[str, np.ndarray], percent: int, block: int = 256) -> Iterator[dict[str, np.ndarray]]:
+    """Pairs of a run (by ascending size) of different components that size and bitmaps allow, with how far the bitmaps differ."""
     size, comp, cid = run["n"], run["comp"], run["cid"]
     ends = np.searchsorted(size, size * 100 // percent, "right")
+    words = [run[w].view(np.uint64) for w in _WORDS]  # counts of bits are of absolute values where numbers have signs
     for lo in range(0, len(size), block):
         hi = min(lo + block, len(size))
         top = int(ends[hi - 1])
@@ -214,7 +206,35 @@ def across(run: dict[str, np.ndarray], percent: int, block: int = 1024) -> Itera
         a, b = a + lo, b + lo
         ok = (a < b) & (b < ends[a])
         a, b = a[ok], b[ok]
-        yield {"a": cid[a], "b": cid[b], "least": least_runs(size[a], size[b], percent)}
+        far = sum((np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words), np.zeros(len(a), np.int64))
+        total = size[a] + size[b]
+        ok = far <= total - 2 * -(-percent * total // (100 + percent))
+        a, b, far = a[ok], b[ok], far[ok]
+        if len(a):
+            yield {"a": cid[a], "b": cid[b], "least": least_runs(size[a], size[b], percent), "far": far}
+
+
+def nearest(found: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """x, y, far: for each class of the pairs its nearest partner so far, a bounded number of pairs at a time."""
+
+    def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        a, b, far = (np.concatenate([h[c] for h in held]) for c in ("a", "b", "far"))
+        x, y, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
+        order = np.lexsort((y, far, x))
+        x, y, far = x[order], y[order], far[order]
+        first = np.ones(len(x), bool)
+        first[1:] = x[1:] != x[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (x, y, far)], names=["x", "y", "far"])
+
+    held, n = [], 0
+    for f in found:
+        held.append(f)
+        n += len(f["a"])
+        if n >= 300_000:
+            yield batch(held)
+            held, n = [], 0
+    if n:
+        yield batch(held)
 
 
 def led(run: dict[str, np.ndarray], percent: int) -> Iterator[dict[str, np.ndarray]]:
@@ -249,7 +269,7 @@ def often(pairs: DataFrame) -> DataFrame:
 
 
 def check_pairs(pairs: DataFrame, paths: DataFrame, percent: int, tree: int) -> DataFrame:
-    """The pairs (a, b) that link. ``paths``: cid, path (the set in global order)."""
+    """The pairs (a, b) that link. ``paths``: cid, path (the set by ascending hash)."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / tree).cast("int").alias("trees"))
     dealt = pairs.join(many, "a").withColumn("t", F.pmod(F.xxhash64("b"), "trees").cast("int")).select("a", "t", "b")
     stored = dealt.join(paths.withColumnRenamed("cid", "b"), "b").select("a", "t", "b", "path")
@@ -272,8 +292,8 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
-def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n: int, bits: int = 1 << 23) -> DataFrame:
-    """cid, path (the set in global order) of every class in ``pairs``."""
+def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, bits: int = 1 << 23) -> DataFrame:
+    """cid, path (the set by ascending hash) of every class in ``pairs``."""
     active = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     wanted = materialise(classes.join(active, "cid", "left_semi").select("key", "cid"))
 
@@ -295,43 +315,81 @@ def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, levels, n:
         return pd.Series((bitmap.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
     def ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, by, done = WordHashes(), GlobalOrder(levels.value), set()
+        hashes, done = WordHashes(), set()
         for batch in it:
             ids, found = [], []
             for cid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if cid not in done:  # repeated rows
                     done.add(cid)
                     ids.append(cid)
-                    found.append(by(gram_set(text.as_py(), n, hashes)))
+                    found.append(gram_set(text.as_py(), n, hashes))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(found)], names=["cid", "path"])
 
     texts = keyed.where(maybe("key")).join(wanted, "key").select("cid", "text")
     return materialise(texts.mapInArrow(ordered, "cid long, path array<long>"))
 
 
-def join(docs: DataFrame, *, n: int = 3, percent: int = 90, sketch: int = 1 << 20, tree: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document, with ``group_id`` (one for each component; null without grams) and ``key`` (:func:`row_key`)."""
-    spark = docs.sparkSession
+def join(docs: DataFrame, *, n: int = 3, percent: int = 90, pool: float | None = None, tree: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, with ``group_id`` (one for each component; null without grams) and ``key`` (:func:`row_key`).
+
+    pool: the share of hashes that are counted; by default half as much again as a prefix takes.
+    """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     keyed = docs.withColumn("key", row_key())
-    levels = spark.sparkContext.broadcast(GlobalOrder.levels_of(sketch_of(docs, n, sketch)))  # one byte for each place of the sketch
+    bound = np.uint64(min(2**64 - 1, int((1.5 * (1 - percent / 100) if pool is None else pool) * 2.0**64)))
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, by = WordHashes(), GlobalOrder(levels.value)
+        hashes, seen = WordHashes(), set()
         for batch in it:
-            ids, sizes, prefixes = [], [], []
+            ids, sizes, low, tails, bits = [], [], [], [], []
             for text in batch.column(1):
                 grams = gram_set(text.as_py(), n, hashes)
+                cid = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+                at = int(np.searchsorted(grams, bound))
+                again = cid is None or cid in seen  # copies in one task count their grams once
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(cid)
+                ids.append(cid)
                 sizes.append(len(grams))
-                ids.append(xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None)
-                prefixes.append(by(grams)[: len(grams) - -(-percent * len(grams) // 100) + 1] if len(grams) else grams)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(prefixes)], names=["doc_id", "key", "n_shingles", "cid", "prefix"])
-
-    signed = materialise(keyed.mapInArrow(sign, "doc_id long, key long, n_shingles long, cid long, prefix array<long>"))
+                low.append(grams[:0] if again else grams[:at])
+                tails.append(grams[:0] if again else grams[at : at + prefix_size(len(grams), percent)])
+                bits.append(parities(grams))
+            words = np.array(bits, np.int64).reshape(-1, len(_WORDS)).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(low), lists(tails), *[pa.array(np.ascontiguousarray(w)) for w in words]], names=["doc_id", "key", "n_shingles", "cid", "low", "tail", *_WORDS])
+
+    words = ", ".join(f"{w} long" for w in _WORDS)
+    signed = materialise(keyed.mapInArrow(sign, f"doc_id long, key long, n_shingles long, cid long, low array<long>, tail array<long>, {words}"))
     # one row for each class; the row whose text will stand for it is the one with the smallest key
-    classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("n_shingles").alias("n"))
+    classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.max(F.size("low")).cast("long").alias("pooled"), *[F.first(w).alias(w) for w in _WORDS])
     classes = materialise(classes)
-    posted = signed.join(classes.select("cid", "key", "n"), ["cid", "key"]).dropDuplicates(["cid"]).select(F.explode("prefix").alias("gram"), F.col("n").cast("long").alias("n"), "cid")
+
+    def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Grams of two classes or more, with their number; a class that several tasks sent counts once."""
+        held, rows = [], 0
+        for run in runs(it):
+            cid = np.unique(run["cid"])
+            if len(cid) > 1:
+                held.append((np.full(len(cid), run["gram"][0]), cid, np.full(len(cid), len(cid))))
+                rows += len(cid)
+                if rows > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "cid", "df"])
+                    held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "cid", "df"])
+
+    counted_ = signed.select(F.explode("low").alias("gram"), "cid").repartition("gram").sortWithinPartitions("gram", "cid")
+    common = materialise(counted_.mapInArrow(shared, "gram long, cid long, df long"))
+    # how much of each prefix is left after the grams that no other class holds
+    left = common.groupBy("cid").agg(F.count("*").alias("common"))
+    p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    left = classes.join(left, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("common", F.lit(0)).alias("common"), (p - F.col("pooled") + F.coalesce("common", F.lit(0))).cast("long").alias("want")).where("want > 0")
+    left = materialise(left)
+    order = Window.partitionBy("cid").orderBy("df", "gram")
+    posted = common.join(left, "cid").withColumn("nth", F.row_number().over(order)).where("nth <= want").select("gram", "n", "cid")
+    short = left.where("want > common").select("cid", "n", (F.col("want") - F.col("common")).cast("int").alias("more"))
+    tails = signed.where("size(tail) > 0").select("cid", "tail").join(short, "cid").dropDuplicates(["cid"])
+    posted = posted.unionByName(tails.select(F.explode(F.slice("tail", F.lit(1), F.col("more"))).alias("gram"), "n", "cid"))
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "n", "cid"]
@@ -357,19 +415,31 @@ def join(docs: DataFrame, *, n: int = 3, percent: int = 90, sketch: int = 1 << 2
     def with_leaders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from counted(x for run in runs(it) for x in led(run, percent))
 
+    def open_runs(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for run in runs(it):
+            if (run["comp"] != run["comp"][0]).any():
+                yield from across(run, percent)
+
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from nearest(open_runs(it))
+
     def rest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(x for run in runs(it) if (run["comp"] != run["comp"][0]).any() for x in across(run, percent))
+        yield from counted(open_runs(it))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
-        return materialise(check_pairs(pairs, paths_of(keyed, classes, pairs, levels, n), percent, tree))
+        return materialise(check_pairs(pairs, paths_of(keyed, classes, pairs, n), percent, tree))
+
+    def named(links: DataFrame) -> DataFrame:
+        of = classes.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("comp"), *_WORDS)
+        return by_run(met.join(of, "cid").select("gram", "n", "cid", "comp", *_WORDS))
 
     schema = "a long, b long, least long, met long"
     links = linked(often(by_run(met).mapInArrow(with_leaders, schema)))
-    near = components(links)
-    named = met.join(near.withColumnRenamed("node", "cid"), "cid", "left").select("gram", "n", "cid", F.coalesce("root", "cid").alias("comp"))
-    more = linked(often(by_run(named).mapInArrow(rest, schema)))
-    roots = components(links.union(more))
+    for _ in range(2):
+        best = named(links).mapInArrow(near, "x long, y long, far long").groupBy("x").agg(F.min(F.struct("far", "y")).alias("m"))
+        links = links.union(linked(best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()))
+    roots = components(links.union(linked(often(named(links).mapInArrow(rest, schema)))))
     of = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = of.join(lows, "root").select("cid", "component_id", F.col("root").alias("group_id"))

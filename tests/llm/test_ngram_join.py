@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from spanloom.llm.ngram_join import GlobalOrder, PrefixTree, WordHashes, across, gram_set, join, leaders, least_runs, needed
+from spanloom.llm.ngram_join import PrefixTree, WordHashes, across, gram_set, join, leaders, least_runs, needed, parities
 
 
 def brute(rows, n, percent):
@@ -65,7 +65,8 @@ def test_against_brute_force(spark, n, percent):
     for seed in (1, 2):
         rows = near_copies(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        assert got(df, n=n, percent=percent, sketch=256, tree=4) == brute(rows, n, percent)
+        for pool in (None, 0.02, 1.0):
+            assert got(df, n=n, percent=percent, tree=4, pool=pool) == brute(rows, n, percent)
 
 
 def test_documents(spark, sf):
@@ -82,10 +83,9 @@ def test_odd(spark, odd, clashing, empty):
 
 def test_tree_finds_what_brute_force_finds():
     rng = np.random.default_rng(3)
-    order = GlobalOrder(GlobalOrder.levels_of(np.bincount(rng.integers(0, 16, 40), minlength=16).astype(float)))
     for percent in (50, 80, 90):
         base = rng.integers(0, 60, 40).astype(np.uint64)
-        sets = [order(np.unique(np.where(rng.random(40) < 0.1, rng.integers(0, 200, 40).astype(np.uint64), base)[: rng.integers(5, 41)])) for _ in range(60)]
+        sets = [np.unique(np.where(rng.random(40) < 0.1, rng.integers(0, 200, 40).astype(np.uint64), base)[: rng.integers(5, 41)]) for _ in range(60)]
         tree = PrefixTree(sets)
         for p in sets[:20]:
             want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(p, s)) >= percent * len(np.union1d(p, s))]
@@ -95,10 +95,18 @@ def test_tree_finds_what_brute_force_finds():
 def test_bounds():
     assert all(100 * needed(a, b, 90) >= 90 * (a + b - needed(a, b, 90)) > 100 * (needed(a, b, 90) - 1) - 90 for a in range(1, 60) for b in range(a, 60))
     assert leaders(np.array([10, 10, 11, 12, 13, 30]), 90).tolist() == [0, 0, 0, 3, 3, 5]
-    run = {"n": np.array([10, 10, 11]), "comp": np.array([1, 1, 2]), "cid": np.array([1, 4, 2])}
+    run = {"n": np.array([10, 10, 11]), "comp": np.array([1, 1, 2]), "cid": np.array([1, 4, 2]), **{f"b{i}": np.zeros(3, np.int64) for i in range(4)}}
     assert [(x["a"].tolist(), x["b"].tolist()) for x in across(run, 90)] == [([1, 4], [2, 2])]
 
 
+def test_bitmaps_differ_no_more_than_sets():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(1, 50)).astype(np.uint64)]))
+        assert np.bitwise_count((parities(a) ^ parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_linked_sets_meet_as_often_as_is_asked():
     rng = np.random.default_rng(8)
     for percent in (60, 80, 90):
