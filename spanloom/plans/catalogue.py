@@ -586,3 +586,127 @@ def revenue_by_nation(spark, sf):
     rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# ---- more of evaluation, statistics and reports
+
+
+@query(f"""{MATCHED}, l AS (SELECT DISTINCT type AS key FROM g WHERE type <> 'error'), h AS (SELECT g.sid, g.s, g.e, g.type, EXISTS (FROM p WHERE p.sid = g.sid AND p.s = g.s AND p.e = g.e AND p.type = g.type) AS hit FROM g)
+    SELECT CASE WHEN type IN (SELECT key FROM l) THEN 'seen' ELSE 'unseen' END AS grp, round(CAST(count_if(hit) AS DOUBLE) / count(*), 6) AS recall, count(*) AS gold FROM h GROUP BY grp""")
+def seen_unseen(spark, sf):
+    g, p = sides(spark, sf)
+    lexicon = g.where("type <> 'error'").select(F.col("type").alias("key")).distinct()
+    return six(ev.seen_unseen_recall(g.withColumn("key", F.col("type")), p, lexicon))
+
+
+@query(f"""{MATCHED}, h AS (SELECT g.type, EXISTS (FROM p WHERE p.sid = g.sid AND p.s = g.s AND p.e = g.e AND p.type = g.type) AS hit FROM g)
+    SELECT CASE type WHEN 'click' THEN 'both' WHEN 'view' THEN 'train' ELSE 'none' END AS grp, round(CAST(count_if(hit) AS DOUBLE) / count(*), 6) AS recall, count(*) AS gold FROM h GROUP BY grp""")
+def exposure(spark, sf):
+    g, p = sides(spark, sf)
+    keys = g.select(F.col("type").alias("key")).distinct()
+    return six(ev.exposure_recall(g.withColumn("key", F.col("type")), p, keys.where("key IN ('click', 'view')"), keys.where("key = 'click'")))
+
+
+@query(f"""{BOTH} SELECT (SELECT count(*) FROM g) AS first, (SELECT count(*) FROM p) AS second, count(*) AS found FROM (SELECT sid, s, e, type FROM g INTERSECT SELECT sid, s, e, type FROM p)""")
+def layer_agreement(spark, sf):
+    from ..operators.reports import agreement
+
+    return agreement(*sides(spark, sf))
+
+
+@query(f"WITH {spans_sql('g', GOLD)} SELECT type, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM g) AS DOUBLE), 6) AS share FROM g GROUP BY type")
+def type_distribution(spark, sf):
+    from ..operators.reports import type_distribution as distribution
+
+    return six(distribution(spans(spark, sf, GOLD)))
+
+
+@query(f"""WITH p AS (SELECT {KEY_SQL} AS key, p_brand AS type, p_partkey FROM part), s AS (SELECT * FROM p WHERE p_partkey % 5 = 0)
+    SELECT (SELECT count(*) FROM part) AS sentences, (SELECT count(DISTINCT {TOKENS_SQL.replace('text', 'p_name')}) FROM part) AS unique_sentences, (SELECT round(avg(len({TOKENS_SQL.replace('text', 'p_name')})), 6) FROM part) AS mean_tokens,
+    count(*) AS mentions, count(DISTINCT key) AS distinct_mentions, count(DISTINCT type) AS types, (SELECT count(*) FROM (SELECT DISTINCT key FROM s WHERE key NOT IN (SELECT key FROM p WHERE p_partkey % 7 = 1))) AS novel FROM s""")
+def corpus_description(spark, sf):
+    from ..operators.reports import corpus_description as describe
+
+    s = table(spark, sf, "part").select(ft.tokenize(F.col("p_name")).alias("tokens"))
+    m = mentions(spark, sf, "p_partkey % 5 = 0").withColumn("key", ft.normalize_mention(F.col("surface")))
+    t = mentions(spark, sf, "p_partkey % 7 = 1").withColumn("key", ft.normalize_mention(F.col("surface")))
+    return six(describe(m, s, t))
+
+
+@query(f"""WITH {SCORE_SQL}, r AS (SELECT lang, source, avg(overall) AS mean_score, min(overall) AS min_score, avg(CAST(overall >= 0.75 AS INTEGER)) AS share_passed, avg(completeness) AS mean_completeness FROM z GROUP BY ALL)
+    SELECT lang AS run, source AS sid, round(mean_score, 6) AS mean_score, round(min_score, 6) AS min_score, round(share_passed, 6) AS share_passed, round(mean_completeness, 6) AS mean_completeness FROM r""")
+def sentence_rollup(spark, sf):
+    from ..operators.reports import sentence_rollup as rollup
+
+    return six(rollup(reviewed(spark, sf).withColumn("run", F.col("lang")).withColumn("sid", F.col("source"))))
+
+
+@query()
+def sentence_correlations(spark, sf):
+    from ..operators.reports import sentence_correlations as correlations
+
+    rows = reviewed(spark, sf).withColumn("run", F.col("lang")).withColumn("sid", F.col("source"))
+    return six(correlations(rows, rows.groupBy("run", "sid").agg(F.avg("y").alias("f1"))))
+
+
+@query()
+def run_comparisons(spark, sf):
+    from ..operators.reports import comparisons
+
+    g, p = sides(spark, sf)
+    a, b = ev.sentence_counts(g, p), ev.sentence_counts(g, g)
+    return six(comparisons({"gold against tagging": ev.paired(a, b), "tagging against itself": ev.paired(a, a)}, 30))
+
+
+@query(f"""WITH {SCORE_SQL}, l AS (UNPIVOT (SELECT y, congruence, coverage, "constraint", completeness, consistency FROM z) ON congruence, coverage, "constraint", completeness, consistency INTO NAME criterion VALUE v), {auroc_sql('l', 'criterion', 'v', 'y')}
+    SELECT criterion, round(CASE WHEN sum(pos) >= 30 AND sum(neg) >= 30 THEN {AUROC} END, 6) AS auroc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM b GROUP BY criterion""")
+def discrimination(spark, sf):
+    return six(st.discrimination(reviewed(spark, sf), sc.CRITERIA))
+
+
+@query()
+def paired_auroc_difference(spark, sf):
+    return six(rs.paired_auroc_difference(scored(spark, sf), "source", "s", "t", reps=20))
+
+
+@query()
+def condition_contrast(spark, sf):
+    rows = scored(spark, sf)
+    return six(rs.contrast(rows, table(spark, sf, "documents").select("source"), "source", "lang", "s", "en", "fr", 50))
+
+
+@query()
+def learned_scorer(spark, sf):
+    from ..operators.learn import out_of_fold
+
+    rows = scored(spark, sf).select("doc_id", "source", "s", "t", "p", "y")
+    return six(out_of_fold(rows.withColumnRenamed("p", "q"), ["s", "t", "q"], "source", folds=2).select("doc_id", "p"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS key FROM events), d AS (SELECT DISTINCT user_id AS key FROM events WHERE event_type = 'purchase' AND value > 90), f AS (SELECT user_id AS key FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 12)
+    SELECT key FROM e WHERE key NOT IN (SELECT key FROM d) AND key NOT IN (SELECT key FROM f)""")
+def queue_pending(spark, sf):
+    from ..streaming.queue import pending
+
+    e = table(spark, sf, "events").withColumn("key", F.col("user_id"))
+    return pending(e.select("key").distinct(), e.where("event_type = 'purchase' AND value > 90"), e.where("event_type = 'error'"), 12)
+
+
+@query("SELECT DISTINCT sha256('m' || chr(0) || text) AS key FROM benchmark WHERE text NOT IN (SELECT text FROM benchmark WHERE item_id % 2 = 0)")
+def missing_embeddings(spark, sf):
+    texts = table(spark, sf, "benchmark")
+    cache = texts.where("item_id % 2 = 0").select(F.sha2(F.concat(F.lit("m\u0000"), "text"), 256).alias("key"))
+    return vc.missing_embeddings(texts, cache, "m").select("key")
+
+
+@query()
+def index_triples(spark, sf):
+    from ..sources.sinks import index_triples as triples
+
+    return triples(lx.surface_index(mentions(spark, sf, "p_partkey % 5 <> 0")))
+
+
+@query()
+def entity_validation(spark, sf):
+    rows = table(spark, sf, "part").select(F.concat(F.col("p_name"), F.substring("p_type", 1, 1)).alias("text"), F.lit("part").alias("kind")).distinct()
+    return six(si.validate_entities(rows, labels_of(spark, sf)).select("text", "status", "label", "similarity"))
