@@ -1,6 +1,7 @@
 """Rank statistics, calibration, decisions, corrections. Every statistic takes grouping columns, so slices are one plan.
 
-Ties are aggregated first: windows run over distinct scores of a group, not over its rows.
+Ties are aggregated first, and running sums over the distinct scores of a group are made in two levels: totals of at most
+``BUCKETS`` stretches of the score's range, then sums within a stretch. So no task orders all scores of a group.
 """
 
 from __future__ import annotations
@@ -12,11 +13,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 4096
+
+
 def _by(group: Sequence[str], *order) -> object:
     w = Window.partitionBy(*[F.col(g) for g in group]) if group else Window.partitionBy(F.lit(0))
     return w.orderBy(*order) if order else w
 
 
+def _meet(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join by keys where nulls are equal; without keys ``small`` is one row."""
+    if not keys:
+        return df.crossJoin(small)
+    small = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(small, on).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def running(cells: DataFrame, group: Sequence[str], score: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """Rows with one distinct finite or infinite score each, plus before_<c>: the sum of column c over the scores before (below, or above if descending)."""
+    s, inf = F.col(score), float("inf")
+    finite = F.when(F.abs(s) < inf, s)
+    ends = cells.groupBy(*group).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"))
+    place = F.coalesce(F.floor(F.try_divide(s - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BUCKETS), F.lit(0))
+    place = F.when(s == inf, BUCKETS + 1).when(s == -inf, -1).otherwise(place).cast("int")
+    rows = _meet(cells, ends, group).withColumn("__b", -place if descending else place).drop("__lo", "__hi")
+    totals = rows.groupBy(*group, "__b").agg(*[F.sum(c).alias(c) for c in sums])
+    ahead = _by(group, "__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "__b", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__t_{c}") for c in sums])
+    inside = Window.partitionBy(*group, "__b").orderBy(F.desc(score) if descending else F.asc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _meet(rows, totals, [*group, "__b"])
+    return rows.select(*cells.columns, *[(F.col(f"__t_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in sums])
+
+
 def score_counts(df: DataFrame, score: str, label: str, group: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """group, s, pos, neg: (weighted) rows of each class at each distinct score. NaN and null scores take no part."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
@@ -27,25 +56,24 @@ def score_counts(df: DataFrame, score: str, label: str, group: Sequence[str] = (
 
 def auroc(df: DataFrame, score: str = "score", label: str = "y", group: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """group, auroc, n_pos, n_neg: the share of pairs in order, ties half; null where a class is missing."""
-    counts = score_counts(df, score, label, group, weight)
-    below = F.coalesce(F.sum("neg").over(_by(group, "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    counts = running(score_counts(df, score, label, group, weight), group, "s", ["neg"])
+    won = counts.withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     out = won.groupBy(*group).agg(F.sum("won").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*group, F.try_divide("w", F.col("n_pos") * F.col("n_neg")).alias("auroc"), F.col("n_pos").cast("long"), F.col("n_neg").cast("long"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "y", group: Sequence[str] = ()) -> DataFrame:
     """group, pr_auc: precision at each distinct score from the top, weighted by the recall it adds."""
-    counts = score_counts(df, score, label, group)
-    w = _by(group, F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum(F.col("pos") + F.col("neg")).over(w))
+    counts = running(score_counts(df, score, label, group), group, "s", ["pos", "neg"], descending=True)
+    run = counts.withColumn("tp", F.col("before_pos") + F.col("pos")).withColumn("seen", F.col("tp") + F.col("before_neg") + F.col("neg"))
     return run.groupBy(*group).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("pr_auc"))
 
 
 def average_ranks(df: DataFrame, column: str, group: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Ranks from 1, ties at their mean."""
-    tied = Window.partitionBy(*group, column)
-    return df.withColumn(name, F.rank().over(_by(group, column)) + (F.count("*").over(tied) - 1) / 2)
+    cells = df.groupBy(*group, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    ranks = running(cells, group, "__v", ["__n"]).select(*group, F.col("__v").alias(column), (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name))
+    return _meet(df, ranks, [*group, column])
 
 
 def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:

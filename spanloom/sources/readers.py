@@ -200,10 +200,11 @@ def read_answers(spark: SparkSession, originals: str, repairs: str | None = None
 
 def read_markdown_items(spark: SparkSession, path: str) -> DataFrame:
     """file, heading, body of '### ' items of Markdown files."""
-    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    item = r"(?m)^### (.+)\n((?:(?!^### ).*\n?)*)"
-    both = F.arrays_zip(F.regexp_extract_all("value", F.lit(item), F.lit(1)).alias("h"), F.regexp_extract_all("value", F.lit(item), F.lit(2)).alias("b"))
-    return text.select("file", F.explode(both).alias("i")).select("file", F.col("i.h").alias("heading"), F.trim("i.b").alias("body"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    parts = F.split(F.concat(F.lit("\n"), F.col("value")), "\n### ")
+    items = text.select("file", F.posexplode(parts).alias("n", "item")).where("n > 0")
+    heading = F.substring_index("item", "\n", 1)
+    return items.select("file", F.trim(heading).alias("heading"), F.regexp_replace(F.substr("item", F.length(heading) + 2), r"^\s+|\s+$", "").alias("body"))
 
 
 def chat(requests: DataFrame, complete: Callable[[str], str], attempts: int = 3) -> DataFrame:
