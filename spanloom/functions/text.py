@@ -70,6 +70,13 @@ def normalize_mention(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), "‑–", "--"), r"(?U)\s+", " "))
 
 
+def normalize_tokens(tokens: Column) -> Column:
+    """normalize_mention of every token, by one pass over the joined tokens."""
+    joined = F.array_join(tokens, "\u0001", "")
+    joined = F.regexp_replace(F.translate(F.lower(joined), "‑–", "--"), r"(?U)\s+", " ")
+    return F.when(F.size(tokens) > 0, F.transform(F.split(joined, "\u0001"), F.trim)).otherwise(F.array().cast("array<string>"))
+
+
 def normalize_label(text: Column) -> Column:
     """Lower-case ASCII letters, digits and single spaces: the key of graph labels. Other letters vanish."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""), r"\s+", " "))

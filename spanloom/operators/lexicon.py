@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import greedy
-from ..functions.text import has_alphanumeric, normalize_mention, trigrams
+from ..functions.text import has_alphanumeric, normalize_mention, normalize_tokens, trigrams
 
 
 def windows(sentences: DataFrame, longest: int = 6, *keep: str, shortest: int = 1) -> DataFrame:
     """All token windows of ``shortest`` to ``longest`` tokens: sid, s, e, key. Windows without a letter or digit are left out."""
-    rows = sentences.select("sid", *keep, F.transform("tokens", normalize_mention).alias("t")).where(F.size("t") >= shortest)
+    rows = sentences.select("sid", *keep, normalize_tokens(F.col("tokens")).alias("t")).where(F.size("t") >= shortest)
     # the windows of a start are made inside the row, so an exploded row holds a key and never the sentence
     starts = F.sequence(F.lit(0), F.size("t") - shortest)
     made = F.flatten(
@@ -65,8 +65,20 @@ def gazetteer(index: DataFrame, least: int = 2, purity: float = 0.9, most_outsid
 
 
 def dictionary_join(sentences: DataFrame, entries: DataFrame, longest: int = 6, shortest: int = 1) -> DataFrame:
-    """Windows whose key is an entry's: sid, s, e, key and the entry's columns."""
-    return windows(sentences, longest, shortest=shortest).join(entries, "key")
+    """Windows whose key is an entry's: sid, s, e, key and the entry's columns.
+
+    Windows meet entries by a 64-bit hash of their tokens, so no text is built for the windows that meet nothing; an entry's
+    key is its normalised tokens joined by single spaces.
+    """
+    rows = sentences.select("sid", normalize_tokens(F.col("tokens")).alias("t")).where(F.size("t") >= shortest)
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("s"), (i + n).alias("e"), F.xxhash64(F.slice("t", i + 1, n)).alias("__h")))
+
+    made = F.concat(*[of(n) for n in range(shortest, longest + 1)]) if longest > shortest else of(longest)
+    held = entries.where(has_alphanumeric(F.col("key"))).withColumn("__h", F.xxhash64(F.split("key", " ")))
+    return rows.select("sid", F.inline(made)).join(held, "__h").drop("__h").select("sid", "s", "e", *entries.columns)
 
 
 def gazetteer_spans(sentences: DataFrame, entries: DataFrame, longest: int = 6) -> DataFrame:
