@@ -214,11 +214,15 @@ def across(run: dict[str, np.ndarray], percent: int, block: int = 256) -> Iterat
             yield {"a": cid[a], "b": cid[b], "least": least_runs(size[a], size[b], percent), "far": far}
 
 
-def nearest(found: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """x, y, far: for each class of the pairs its nearest partner so far, a bounded number of pairs at a time."""
+def nearest(found: Iterator[dict[str, np.ndarray]], rare: int = 40) -> Iterator[pa.RecordBatch]:
+    """x, y, far: for each class of the pairs its nearest partner so far, a bounded number of pairs at a time.
+
+    Pairs that would link only if they met in more than ``rare`` runs, but met once here, are no good guess.
+    """
 
     def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        a, b, far = (np.concatenate([h[c] for h in held]) for c in ("a", "b", "far"))
+        rows, met = np.unique(np.stack([np.concatenate([h[c] for h in held]) for c in ("a", "b", "far", "least")], 1), axis=0, return_counts=True)
+        a, b, far, _ = np.ascontiguousarray(rows[(met > 1) | (rows[:, 3] <= rare)].T)
         x, y, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
         order = np.lexsort((y, far, x))
         x, y, far = x[order], y[order], far[order]
@@ -332,11 +336,11 @@ def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, bit
 def join(docs: DataFrame, *, n: int = 3, percent: int = 90, pool: float | None = None, tree: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, with ``group_id`` (one for each component; null without grams) and ``key`` (:func:`row_key`).
 
-    pool: the share of hashes that are counted; by default half as much again as a prefix takes.
+    pool: the share of hashes that are counted; by default a quarter more than a prefix takes.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     keyed = docs.withColumn("key", row_key())
-    bound = np.uint64(min(2**64 - 1, int((1.5 * (1 - percent / 100) if pool is None else pool) * 2.0**64)))
+    bound = np.uint64(min(2**64 - 1, int((1.25 * (1 - percent / 100) if pool is None else pool) * 2.0**64)))
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -353,7 +357,7 @@ def join(docs: DataFrame, *, n: int = 3, percent: int = 90, pool: float | None =
                 ids.append(cid)
                 sizes.append(len(grams))
                 low.append(grams[:0] if again else grams[:at])
-                tails.append(grams[:0] if again else grams[at : at + prefix_size(len(grams), percent)])
+                tails.append(grams[:0] if again else grams[at : at + max(0, prefix_size(len(grams), percent) - at)])
                 bits.append(parities(grams))
             words = np.array(bits, np.int64).reshape(-1, len(_WORDS)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(low), lists(tails), *[pa.array(np.ascontiguousarray(w)) for w in words]], names=["doc_id", "key", "n_shingles", "cid", "low", "tail", *_WORDS])
@@ -387,9 +391,9 @@ def join(docs: DataFrame, *, n: int = 3, percent: int = 90, pool: float | None =
     left = materialise(left)
     order = Window.partitionBy("cid").orderBy("df", "gram")
     posted = common.join(left, "cid").withColumn("nth", F.row_number().over(order)).where("nth <= want").select("gram", "n", "cid")
-    short = left.where("want > common").select("cid", "n", (F.col("want") - F.col("common")).cast("int").alias("more"))
-    tails = signed.where("size(tail) > 0").select("cid", "tail").join(short, "cid").dropDuplicates(["cid"])
-    posted = posted.unionByName(tails.select(F.explode(F.slice("tail", F.lit(1), F.col("more"))).alias("gram"), "n", "cid"))
+    # a class with fewer grams below the bound than its prefix takes has the rest in ``tail``
+    tails = signed.where("size(tail) > 0").select("cid", F.col("n_shingles").alias("n"), F.explode("tail").alias("gram")).distinct()
+    posted = posted.unionByName(tails.select("gram", "n", "cid"))
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "n", "cid"]
