@@ -6,6 +6,7 @@ import atexit
 import json
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,10 +76,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def add_blocks(parts: DataFrame, kind: str = "f8") -> DataFrame:
+def add_blocks(parts: DataFrame, kind: str = "f8", packed: bool = False) -> DataFrame:
     """Sum arrays: rows (block int, data binary) of many tasks become one row for each block.
 
-    ``data`` is the raw array of numbers of this kind. Each block has a fixed size, so what meets in a task does not
+    ``data`` is the raw array of numbers of this kind, compressed on its way if ``packed``. Each block has a fixed size, so what meets in a task does not
     depend on the input but for the number of tasks that sent it.
     """
 
@@ -87,7 +88,7 @@ def add_blocks(parts: DataFrame, kind: str = "f8") -> DataFrame:
         at, total = None, None
         for batch in it:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, kind)
+                x = np.frombuffer(zlib.decompress(data) if packed else data, kind)
                 if block != at:
                     if total is not None:
                         yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
@@ -100,12 +101,12 @@ def add_blocks(parts: DataFrame, kind: str = "f8") -> DataFrame:
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary")
 
 
-def blocks_of(total: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def blocks_of(total: np.ndarray, length: int, packed: bool = False) -> Iterator[pa.RecordBatch]:
     """The rows of :func:`add_blocks` for one task's flat array; blocks of zeros are left out."""
     for i in range(0, len(total), length):
         part = total[i : i + length]
         if part.any():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i // length], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i // length], pa.int32()), "data": pa.array([zlib.compress(part, 1) if packed else part.tobytes()], pa.binary())})
 
 
 def collect_blocks(summed: DataFrame, size: int, length: int, kind: str = "f8") -> np.ndarray:

@@ -102,11 +102,12 @@ def spell(tokens: list[bytes], kinds: np.ndarray) -> Bits:
     k = np.arange(8, dtype=np.uint64)
     node = (np.uint64(1) << k) | (b[:, None] >> (np.uint64(8) - k))
     y = ((b[:, None] >> (np.uint64(7) - k)) & np.uint64(1)).astype(np.int8)
-    slots = np.empty((len(b) * 8, len(TABLES)), np.int64)
+    slots = np.empty((len(b) * 8, len(TABLES)), np.int32)
     for i, (c, size) in enumerate(zip(contexts, TABLES, strict=True)):
-        h = finish((c[:, None] + np.uint64(i)) * np.uint64(0xA0761D6478BD642F) + node * np.uint64(0x165667B19E3779F9))
-        slots[:, i] = (h & np.uint64((1 << size) - 1)).reshape(-1).astype(np.int64) + STARTS[i]
-    return Bits(y.reshape(-1), slots, np.repeat(np.minimum(at, PLACES - 1), 8), np.repeat(token, 8))
+        h = (finish((c + np.uint64(i)) * np.uint64(0xA0761D6478BD642F))[:, None] ^ node) * np.uint64(0x165667B19E3779F9)
+        slots[:, i] = (h >> np.uint64(64 - size)).reshape(-1)
+    slots += STARTS[:-1].astype(np.int32)
+    return Bits(y.reshape(-1), slots, np.repeat(np.minimum(at, PLACES - 1).astype(np.int32), 8), np.repeat(token, 8))
 
 
 def chunks(n: int, size: int) -> Iterator[slice]:
@@ -114,31 +115,47 @@ def chunks(n: int, size: int) -> Iterator[slice]:
         yield slice(i, min(n, i + size))
 
 
+def scale_of(largest: float) -> np.ndarray:
+    """The counts that 256 codes stand for: whole numbers up to 16, then equal steps of the logarithm (4 % apart up to 10^9)."""
+    step = max(1.08, (max(largest, 16.0) / 16) ** (1 / 239))
+    return np.concatenate([np.arange(17.0), 16 * step ** np.arange(1, 240)]).astype(np.float32)
+
+
+def coded(counts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.searchsorted((scale[1:] + scale[:-1]) / 2, counts).astype(np.uint8)
+
+
 @dataclass
 class MixingModel:
-    zeros: np.ndarray
-    ones: np.ndarray
+    pairs: np.ndarray  # for each slot the codes of its zeros (high byte) and ones (low byte)
+    scale: np.ndarray
     weights: np.ndarray  # (place, level of the gate, predictor, level), flat
     refine: np.ndarray  # level x step: log odds
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
+    def tables(self) -> tuple[np.ndarray, ...]:
         """What is broadcast: plain arrays need no class of ours on the executors."""
-        return self.zeros, self.ones, self.weights, self.refine
+        return self.pairs, self.scale
+
+    def __post_init__(self) -> None:
+        """What a pair of codes means: its log odds and level."""
+        zeros, ones = self.scale[:, None], self.scale[None, :]
+        self.odds = np.clip(np.log((ones + np.float32(0.3)) / (zeros + np.float32(0.3))), -12, 12).astype(np.float32).reshape(-1)
+        self.levels = (np.searchsorted(SEEN, zeros + ones) * 2 + (np.minimum(zeros, ones) == 0)).astype(np.int32).reshape(-1)
 
     def inputs(self, bits: Bits, without_own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds and levels of confidence, bits x predictors."""
-        zeros, ones = self.zeros[bits.slots], self.ones[bits.slots]
+        """Log odds and levels of confidence, bits x predictors.
+
+        without_own: a bit's own occurrence is taken out of the counts that are exact; in larger ones it doesn't show.
+        """
+        pair = self.pairs.take(bits.slots).astype(np.int32)
         if without_own:
             own = bits.y[:, None] == 1
-            ones = np.maximum(ones - own, 0)
-            zeros = np.maximum(zeros - ~own, 0)
-        stretch = np.clip(np.log((ones + np.float32(0.3)) / (zeros + np.float32(0.3))), -12, 12)
-        total = zeros + ones
-        level = np.searchsorted(SEEN, total) * 2 + (np.minimum(zeros, ones) == 0)
-        return stretch.astype(np.float32), level
+            code = np.where(own, pair & 255, pair >> 8)
+            pair -= ((code > 0) & (code <= 16)) * np.where(own, np.int32(1), np.int32(256))
+        return self.odds.take(pair), self.levels.take(pair)
 
     def mixed(self, at: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[at] * stretch).sum(1), -14, 14)
+        return np.clip(np.einsum("ij,ij->i", self.weights.take(at), stretch), -14, 14)
 
     def refined(self, m: np.ndarray, level: np.ndarray) -> np.ndarray:
         return 0.75 * m + 0.25 * self.refine[level[:, WORD], step_of(m)]
@@ -146,23 +163,24 @@ class MixingModel:
     def log10(self, tokens: list[bytes], kinds: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token after a token of its kind."""
         out = np.zeros(len(tokens))
-        for s in chunks(len(tokens), 2000):
+        for s in chunks(len(tokens), 400):  # arrays that stay in a core's cache
             bits = spell(tokens[s], kinds[s])
             stretch, level = self.inputs(bits, False)
             m = self.mixed(weights_of(bits, level), stretch)
             final = self.refined(m, level)
-            nats = -np.logaddexp(0, np.where(bits.y == 1, -final, final))
+            nats = -np.log1p(np.exp(np.where(bits.y == 1, -final, final)))  # |final| stays far from overflow
             out[s] = np.bincount(bits.token, nats, minlength=s.stop - s.start) / np.log(10)
         return out
 
 
+_OFFSETS = np.arange(len(TABLES), dtype=np.int32) * LEVELS
 N_WEIGHTS = PLACES * LEVELS * len(TABLES) * LEVELS
 
 
 def weights_of(bits: Bits, level: np.ndarray) -> np.ndarray:
     """Which weight each predictor has for each bit."""
-    gate = bits.place * LEVELS + level[:, GATE]
-    return (gate[:, None] * len(TABLES) + np.arange(len(TABLES))) * LEVELS + level
+    gate = (bits.place * LEVELS + level[:, GATE]) * (len(TABLES) * LEVELS)
+    return gate[:, None] + (_OFFSETS + level)
 
 
 def step_of(m: np.ndarray) -> np.ndarray:
@@ -185,7 +203,7 @@ def cut_blocks(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
         part, made = TaskContext.get().partitionId(), 0
 
         def start() -> dict:
-            return {"codes": Codes(), "kinds": [], "ids": [], "held": [], "n": [], "bytes": [], "uniq": [], "times": [], "train": [], "total": 0}
+            return {"codes": Codes(), "kinds": np.zeros(1 << 16, np.int64), "known": 0, "ids": [], "held": [], "n": [], "bytes": [], "uniq": [], "times": [], "train": [], "total": 0}
 
         def block(s: dict) -> pa.RecordBatch:
             counts = np.zeros(KINDS * len(s["codes"]), np.int64)
@@ -206,14 +224,15 @@ def cut_blocks(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 tokens = raw.lower().split()
                 tokens.append(END)
-                codes, kinds = s["codes"], s["kinds"]
+                codes, known = s["codes"], s["known"]
                 c = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
-                if len(kinds) < len(codes):
-                    known = len(kinds)
-                    kinds += [kind_of(t) for i, t in zip(range(len(codes) - known), list_from(codes, known), strict=False)]
+                if known < len(codes):
+                    if len(codes) > len(s["kinds"]):
+                        s["kinds"] = np.concatenate([s["kinds"], np.zeros(2 * len(codes), np.int64)])
+                    s["kinds"][known : len(codes)] = [kind_of(t) for t in list_from(codes, known)]
+                    s["known"] = len(codes)
                 k = np.zeros(len(c), np.int64)
-                if len(c) > 1:
-                    k[1:] = np.fromiter(map(kinds.__getitem__, c[:-1].tolist()), np.int64, len(c) - 1)
+                k[1:] = s["kinds"][c[:-1]]
                 u, t = np.unique(c * KINDS + k, return_counts=True)
                 for name, v in zip(("ids", "held", "n", "bytes", "uniq", "times", "train"), (doc_id, out, len(c), len(raw), u, t, not out), strict=True):
                     s[name].append(v)
@@ -270,8 +289,8 @@ def decode(codes: bytes, n: np.ndarray) -> np.ndarray:
     return c - np.repeat(c[first] - d[first], n)
 
 
-def learn(tokens: DataFrame, *, rate: float = 0.02) -> MixingModel:
-    """The model from rows (token, n0 .. n3) of the training corpus. ``tokens`` is read twice."""
+def learn(tokens: DataFrame, *, rate: float = 0.02) -> tuple:
+    """From rows (token, n0 .. n3) of the training corpus: the broadcast tables, the weights and the refining map. ``tokens`` is read twice."""
     spark = tokens.sparkSession
     size = int(STARTS[-1])
     tokens = tokens.select("token", *[f"n{k}" for k in range(KINDS)]).where("n0 + n1 + n2 + n3 > 0")
@@ -286,21 +305,20 @@ def learn(tokens: DataFrame, *, rate: float = 0.02) -> MixingModel:
                 for y in (0, 1):
                     own = bits.y == y
                     np.add.at(total[y], bits.slots[own].reshape(-1), np.repeat(w[own], len(TABLES)))
-        yield from blocks_of(total.reshape(-1), 8192)
+        yield from blocks_of(total.reshape(-1), 65_536, packed=True)
 
-    sums = collect_blocks(add_blocks(tokens.mapInArrow(count, "block int, data binary"), "f4"), 2 * size, 8192, "f4").reshape(2, size)
-    model = MixingModel(sums[0], sums[1], np.full(N_WEIGHTS, 0.3, np.float32), np.zeros((LEVELS, STEPS), np.float32))
-    shared = spark.sparkContext.broadcast(model.arrays())  # fixed size: 8 bytes for each slot
+    sums = collect_blocks(add_blocks(tokens.mapInArrow(count, "block int, data binary"), "f4", packed=True), 2 * size, 65_536, "f4").reshape(2, size)
+    scale = scale_of(float(sums.max()))
+    shared = spark.sparkContext.broadcast((coded(sums[0], scale).astype(np.uint16) * 256 + coded(sums[1], scale), scale))  # fixed size: two bytes for each slot
 
     def mix(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = MixingModel(*shared.value)
-        m.weights = m.weights.copy()
+        m = MixingModel(*shared.value, np.full(N_WEIGHTS, 0.3, np.float32), np.zeros((LEVELS, STEPS), np.float32))
         first, second, average = np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS)
         steps = np.zeros((2, LEVELS, STEPS))
         turn, kept = 0, 0.0
         for batch in it:
             words, kinds, n = pairs_of(batch)
-            for s in chunks(len(words), 1000):
+            for s in chunks(len(words), 500):
                 turn += 1
                 bits = spell(words[s], kinds[s])
                 w = n[s][bits.token]
@@ -315,36 +333,33 @@ def learn(tokens: DataFrame, *, rate: float = 0.02) -> MixingModel:
                 # later turns weigh more, since the weights start far from where they end
                 kept += turn
                 average += turn * m.weights
-                for y in (0, 1):
-                    own = bits.y == y
-                    np.add.at(steps[y], (level[own, WORD], step_of(mixed[own])), w[own] * turn)
+                cell = (bits.y * LEVELS + level[:, WORD]) * STEPS + step_of(mixed)
+                steps += np.bincount(cell, w * turn, minlength=steps.size).reshape(steps.shape)
         if kept:
             yield from blocks_of(np.concatenate([[kept], average, steps.reshape(-1)]), 4096)
 
     k = 1 + N_WEIGHTS + 2 * LEVELS * STEPS
     got = collect_blocks(add_blocks(tokens.mapInArrow(mix, "block int, data binary")), k, 4096)
-    shared.unpersist()
     centre = np.linspace(-12, 12, STEPS)
     steps = got[1 + N_WEIGHTS : k].reshape(2, LEVELS, STEPS)
     p = 1 / (1 + np.exp(-centre))
     refine = np.log((steps[1] + 4 * p) / (steps[0] + 4 * (1 - p))).astype(np.float32)
-    weights = (got[1 : 1 + N_WEIGHTS] / got[0]).astype(np.float32) if got[0] else model.weights
-    return MixingModel(model.zeros, model.ones, weights, refine)
+    weights = (got[1 : 1 + N_WEIGHTS] / got[0]).astype(np.float32) if got[0] else np.full(N_WEIGHTS, 0.3, np.float32)
+    return shared, weights, refine
 
 
-def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document."""
-    spark = docs.sparkSession
     blocks = materialise(cut_blocks(docs, folds, held, block))
     flat = block_tokens(blocks)
     tokens = materialise(flat.groupBy("h", "token").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS)], F.bit_or("seen").alias("seen")))
     c = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
     total = tokens.agg(F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0)).first()
     n, v = int(total[0]), int(total[1])
-    model = spark.sparkContext.broadcast(learn(tokens).arrays())
+    shared, weights, refine = learn(tokens)
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = MixingModel(*model.value)
+        m = MixingModel(*shared.value, weights, refine)
         for batch in it:
             seen = batch.column(batch.schema.get_field_index("seen")).to_numpy()
             row, kind = np.nonzero(seen[:, None] >> np.arange(KINDS) & 1)

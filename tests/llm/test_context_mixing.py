@@ -6,7 +6,7 @@ from math import log10
 import numpy as np
 import pytest
 
-from spanloom.llm.context_mixing import END, KINDS, LEVELS, N_WEIGHTS, STARTS, STEPS, MixingModel, score, spell, weights_of
+from spanloom.llm.context_mixing import END, KINDS, LEVELS, N_WEIGHTS, STARTS, STEPS, MixingModel, coded, scale_of, score, spell, weights_of
 
 
 def base(rows, folds=7, held=2):
@@ -35,15 +35,17 @@ def test_documents(spark, sf):
     mean = np.average([r.bits_per_byte for r in out], weights=[r.n_tokens for r in out])
     assert 0.5 < mean < 3.5
     again = score(docs.repartition(3), block=20000).collect()
+    # the mixing weights depend on how tokens were dealt, so little data give scores that are near but not equal
+    assert sum(r.score for r in again) == pytest.approx(sum(r.score for r in rows), rel=0.05)
     for a, b in zip(sorted(rows, key=lambda r: r.doc_id), sorted(again, key=lambda r: r.doc_id), strict=True):
-        assert a.score == pytest.approx(b.score, rel=0.05)
+        assert a.score == pytest.approx(b.score, rel=0.15)
 
 
 def test_probabilities_add_up_to_one():
     """Over the 256 bytes that may follow, for any table contents."""
     rng = np.random.default_rng(1)
     size = int(STARTS[-1])
-    m = MixingModel(rng.integers(0, 50, size).astype(np.float32), rng.integers(0, 50, size).astype(np.float32), rng.normal(0.3, 0.1, N_WEIGHTS).astype(np.float32), rng.normal(size=(LEVELS, STEPS)).astype(np.float32))
+    m = MixingModel((rng.integers(0, 40, size) * 256 + rng.integers(0, 40, size)).astype(np.uint16), scale_of(1e6), rng.normal(0.3, 0.1, N_WEIGHTS).astype(np.float32), rng.normal(size=(LEVELS, STEPS)).astype(np.float32))
     raw = [bytes([b]) for b in range(256)]
     bits = spell([b"th" + x for x in raw], np.zeros(256, int))
     stretch, level = m.inputs(bits, False)
@@ -52,6 +54,14 @@ def test_probabilities_add_up_to_one():
     assert np.exp(nats[:, 2].sum(1)).sum() == pytest.approx(1)
 
 
+def test_codes_of_counts():
+    for largest in (0, 1e6, 1e13):
+        scale = scale_of(largest)
+        n = np.concatenate([np.arange(17), [20, 1000, largest]])
+        back = scale[coded(n, scale)]
+        assert (back[:17] == np.arange(17)).all() and (np.abs(back[17:-1] - n[17:-1]) <= 0.08 * n[17:-1]).all()
+
+
 def test_spelling():
     bits = spell([b"ab", END, b"a"], np.array([0, 1, 0]))
     assert np.packbits(bits.y).tobytes() == b"ab \na "
