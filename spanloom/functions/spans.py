@@ -123,6 +123,11 @@ def entity_of(tokens: Column, x: Column, entities: Column) -> Column:
     return F.try_element_at(F.filter(entities, equal), F.lit(1))
 
 
+def source_of(text: Column, kind: Column, entities: Column) -> Column:
+    """The first entity that an unaligned prediction came from: equal text without outer blanks, and equal type."""
+    return F.try_element_at(F.filter(entities, lambda e: (F.trim(e["text"]) == F.trim(text)) & e["type"].eqNullSafe(kind)), F.lit(1))
+
+
 def chars_to_tokens(tokens: Column, start: Column, end: Column) -> Column:
     """The half-open token span that a half-open character span of the joined text touches, or null."""
     offsets = F.aggregate(

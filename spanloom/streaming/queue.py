@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
@@ -66,6 +68,48 @@ def drain(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet")
     stream.writeStream.format(kind).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
 
 
+def with_restarts(run: Callable[[], None], healthy: Callable[[], bool], restart: Callable[[], None], most: int = 3, wait: float = 5.0) -> int:
+    """Run a query until it ends; returns how often it was started again.
+
+    A failure with a healthy service is an error of the query and is raised. Otherwise the service is restarted, with twice the
+    pause each time, and the query goes on from its checkpoint: what is done stays done.
+    """
+    for turn in range(most + 1):
+        try:
+            run()
+            return turn
+        except Exception:
+            if healthy() or turn == most:
+                raise
+            time.sleep(wait * 2**turn)
+            restart()
+    return most
+
+
+class Progress(StreamingQueryListener):
+    """Rows so far, rate and remaining seconds of queries with a known number of items."""
+
+    def __init__(self, total: int):
+        self.total, self.rows, self.rate = total, 0, 0.0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.rate = event.progress.processedRowsPerSecond or self.rate
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def remaining(self) -> float | None:
+        return (self.total - self.rows) / self.rate if self.rate else None
+
+
 def event_windows(stream: DataFrame, at: str, length: str, delay: str, *keys: str) -> DataFrame:
     """Counts by window of event time; late rows beyond the delay are dropped."""
     return stream.withWatermark(at, delay).groupBy(F.window(at, length), *keys).agg(F.count("*").alias("n")).select("window.start", "window.end", *keys, "n")

@@ -180,6 +180,12 @@ def test_greedy_is_disjoint_and_maximal(spark):
         assert all(any(x[0] < g[1] and g[0] < x[1] for g in got) for x in c)
 
 
+def test_source_of_unaligned(spark):
+    entities = F.expr("array(named_struct('text',' x ','type','A'), named_struct('text','x','type','B'))")
+    assert one(spark, fs.source_of(F.lit("x"), F.lit("B"), entities)).type == "B"
+    assert one(spark, fs.source_of(F.lit("y"), F.lit("B"), entities)) is None
+
+
 def test_chars_to_tokens(spark):
     tokens = words("ab cde f")
     assert tuple(one(spark, fs.chars_to_tokens(tokens, F.lit(1), F.lit(4)))) == (0, 2)

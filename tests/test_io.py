@@ -173,3 +173,19 @@ def test_plumbing(spark):
     runs = spark.createDataFrame([("m", "r1"), ("m", "r2"), ("n", "r1")], "model string, runtime string")
     assert [r.model for r in ex.one_runtime(runs).collect()] == ["m"]
     assert ex.manifest({"a": 2}, 1, 3)["status"] == "complete_with_failures" and ex.same_labels(["a"], ["b"]) == ["a", "b"]
+
+
+def test_restarts():
+    seen = []
+
+    def run():
+        seen.append("run")
+        if len([x for x in seen if x == "run"]) < 3:
+            raise ConnectionError("gone")
+
+    assert qu.with_restarts(run, lambda: False, lambda: seen.append("restart"), wait=0) == 2
+    assert seen == ["run", "restart", "run", "restart", "run"]
+    with pytest.raises(ValueError):
+        qu.with_restarts(lambda: (_ for _ in ()).throw(ValueError("own")), lambda: True, lambda: None, wait=0)
+    p = qu.Progress(10)
+    assert p.remaining is None
