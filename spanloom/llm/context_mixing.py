@@ -1,9 +1,11 @@
 """Language-model scoring by online logistic context mixing.
 
 A token is spelled in bits: its bytes and a space, or one newline byte for the end of a document. Five predictors give each
-bit a probability from hashed contexts: the last two, three or four bytes of the word, all of the word so far, and all of it
-together with the kind of token before (start of text, sign at its end, short, other). A predictor is a table of counts of
-zeros and ones, summed over the whole training corpus. Their log odds are mixed by weights that are gated by the place in
+bit a probability from its context: the last two, three or four bytes of the word, all of the word so far, and all of it
+together with the kind of token before (start of text, sign at its end, short, other). The first three are hashed tables of counts
+of zeros and ones, summed over the whole training corpus, with slots in proportion to the root of the number of distinct tokens. The
+last two count exactly, however many words there are: tokens are sorted by their spelling into groups, so that a prefix is a run of
+neighbours, and the few prefixes that reach over a group's ends get what lies in other groups added. Their log odds are mixed by weights that are gated by the place in
 the word, by how sure the four bytes before are, and by how often the predictor has seen its context and whether always with
 the same bit. The weights are learned online, token after token, with a token's own occurrence taken out of the counts. An
 adaptive map over (how sure the word so far is, mixed log odds) refines the result. The bits' log
@@ -22,6 +24,7 @@ rows are counted and scored as often as they occur; without training documents c
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +39,10 @@ from .common import add_blocks, blocks_of, collect_blocks, held_out, materialise
 
 END = b"\n"
 KINDS = 4
-#: Bits of each predictor's table.
-TABLES = (18, 19, 19, 22, 22)
+#: Bits of each hashed predictor's table in a small corpus.
+TABLES = (18, 19, 19)
+#: The hashed predictors and the two exact ones: the word so far, alone and with the kind before.
+PREDICTORS = len(TABLES) + 2
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])]).astype(np.int64)
 PLACES, LEVELS, STEPS = 4, 16, 33
 #: Bounds of how often a context was seen; a level is that and whether all bits were equal.
@@ -67,16 +72,27 @@ def finish(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Bits:
-    """Every bit of some tokens, in order: its value, table slots (bits x predictors) and place, and the tokens' bounds."""
+    """Every bit of some tokens, in order: its value, table slots (bits x hashed predictors) and place, its token and its depth there.
+
+    own and other are the exact predictors' counts (bits x 2) of this bit and of its opposite after the same prefix.
+    """
 
     y: np.ndarray
     slots: np.ndarray
     place: np.ndarray
     token: np.ndarray
+    depth: np.ndarray
+    own: np.ndarray
+    other: np.ndarray
+
+
+def spelling(token: bytes) -> bytes:
+    return token if token == END else token + b" "
 
 
-def spell(tokens: list[bytes], kinds: np.ndarray) -> Bits:
-    raw = [t if t == END else t + b" " for t in tokens]
+def spell(tokens: list[bytes], kinds: np.ndarray, more: int = 0, weights: np.ndarray | None = None, rows: np.ndarray | None = None) -> Bits:
+    """``more``: bits beyond TABLES. ``weights``: of :meth:`Prefixes.weights`, in which the tokens are ``rows``; without it the exact predictors know nothing."""
+    raw = [spelling(t) for t in tokens]
     length = np.fromiter(map(len, raw), np.int64, len(raw))
     b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     first = np.cumsum(length) - length
@@ -90,24 +106,111 @@ def spell(tokens: list[bytes], kinds: np.ndarray) -> Bits:
         return out
 
     one, two, three, four = back(1), back(2), back(3), back(4)
-    # hash of all bytes before, as a sum of powers; sums wrap
-    powers = np.ones(int(length.max(initial=0)) + 1, np.uint64)
-    powers[1:] = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.multiply.accumulate(powers)
-    terms = (b + np.uint64(1)) * powers[at]
-    sums = np.cumsum(terms, dtype=np.uint64) - terms
-    so_far = finish(sums - sums[first][token] + at.astype(np.uint64))
     pair = one | two << np.uint64(8)
-    contexts = (pair, pair | three << np.uint64(16), pair | three << np.uint64(16) | four << np.uint64(24), so_far, so_far + (kinds[token].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    contexts = (pair, pair | three << np.uint64(16), pair | three << np.uint64(16) | four << np.uint64(24))
     k = np.arange(8, dtype=np.uint64)
     node = (np.uint64(1) << k) | (b[:, None] >> (np.uint64(8) - k))
     y = ((b[:, None] >> (np.uint64(7) - k)) & np.uint64(1)).astype(np.int8)
     slots = np.empty((len(b) * 8, len(TABLES)), np.int32)
     for i, (c, size) in enumerate(zip(contexts, TABLES, strict=True)):
         h = (finish((c + np.uint64(i)) * np.uint64(0xA0761D6478BD642F))[:, None] ^ node) * np.uint64(0x165667B19E3779F9)
-        slots[:, i] = (h >> np.uint64(64 - size)).reshape(-1)
-    slots += STARTS[:-1].astype(np.int32)
-    return Bits(y.reshape(-1), slots, np.repeat(np.minimum(at, PLACES - 1).astype(np.int32), 8), np.repeat(token, 8))
+        slots[:, i] = (h >> np.uint64(64 - size - more)).reshape(-1)
+    slots += (STARTS[:-1] << more).astype(np.int32)
+    token, depth = np.repeat(token, 8), (at[:, None] * 8 + np.arange(8)).reshape(-1)
+    own, other = np.zeros((len(depth), 2)), np.zeros((len(depth), 2))
+    if weights is not None:
+        row, kind, last = rows[token], kinds[token], len(weights) - 1
+        here, after = np.minimum(depth, last), np.minimum(depth + 1, last)
+        total = weights.sum(2)
+        own[:, 0], own[:, 1] = total[after, row], weights[after, row, kind]
+        other[:, 0], other[:, 1] = total[here, row], weights[here, row, kind]
+        other -= own
+    return Bits(y.reshape(-1), slots, np.repeat(np.minimum(at, PLACES - 1).astype(np.int32), 8), token, depth, own, other)
+
+
+def common_bits(a: bytes, b: bytes) -> int:
+    """How many first bits two spellings share."""
+    n = len(os.path.commonprefix([a, b]))
+    return 8 * n + (8 - (a[n] ^ b[n]).bit_length() if n < min(len(a), len(b)) else 0)
+
+
+class Prefixes:
+    """How often every bit prefix of a group of tokens occurs in training, by the kind before.
+
+    raw: spellings, sorted and distinct. n: occurrences (tokens x kinds). left, right: for 0, 1, .. bits, the occurrences in other groups of
+    tokens that share so many with the first and the last token here.
+    """
+
+    def __init__(self, raw: list[bytes], n: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None):
+        nothing = np.zeros((1, KINDS), np.int64)
+        self.n, self.left, self.right = n, nothing if left is None else left, nothing if right is None else right
+        self.upto = np.concatenate([nothing, np.cumsum(n, 0)])
+        # bits shared with the token before
+        self.shared = np.zeros(len(raw), np.int64)
+        head = np.array(raw, "S32").view(np.uint8).reshape(len(raw), 32)
+        x = head[1:] ^ head[:-1]
+        byte = (x != 0).argmax(1)
+        value = x[np.arange(len(x)), byte]
+        self.shared[1:] = 8 * byte + 8 - np.ceil(np.log2(value + 1.0)).astype(np.int64)
+        for i in np.flatnonzero(value == 0) + 1:  # longer than the head
+            self.shared[i] = common_bits(raw[i - 1], raw[i])
+
+    def around(self, a: int, b: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences before token a that share 0 .. depth bits with it, and behind token b - 1 with that."""
+        bits = np.arange(depth + 1)
+        left = np.searchsorted(-np.minimum.accumulate(self.shared[a:0:-1]), -bits, side="right")
+        right = np.searchsorted(-np.minimum.accumulate(self.shared[b:]), -bits, side="right")
+        before, behind = self.upto[a] - self.upto[a - left], self.upto[b + right] - self.upto[b]
+        for out, whole, beyond in ((before, left == a, self.left), (behind, right == len(self.n) - b, self.right)):
+            k = min(depth + 1, len(beyond))
+            out[:k] += np.where(whole[:k, None], beyond[:k], 0)
+        return before, behind
+
+    def weights(self, a: int, b: int) -> np.ndarray:
+        """Occurrences (depth x tokens x kinds) of the prefixes of tokens a .. b - 1; at the last depth all tokens are alone."""
+        inner = self.shared[a + 1 : b]
+        deepest = int(max(inner.max(initial=0), self.shared[a] if a else len(self.left) - 1, self.shared[b] if b < len(self.n) else len(self.right) - 1))
+        before, behind = self.around(a, b, deepest + 1)
+        if b - a == 1:
+            return (self.n[a] + before + behind)[:, None, :]
+        out = np.empty((deepest + 2, b - a, KINDS), np.int64)
+        apart = np.ones(b - a, bool)
+        for j in range(deepest + 2):
+            apart[1:] = inner < j
+            start = np.flatnonzero(apart)
+            sums = np.add.reduceat(self.n[a:b], start, axis=0)
+            sums[0] += before[j]
+            sums[-1] += behind[j]
+            out[j] = sums[np.cumsum(apart) - 1]
+        return out
+
+    def parts(self, size: int, deep: int = 2000) -> Iterator[slice]:
+        """Runs of tokens; those with very long common prefixes come one by one."""
+        for s in chunks(len(self.n), size):
+            yield from chunks_of(s, 1 if self.shared[s.start : s.stop + 1].max() > deep else size)
+
+
+def chunks_of(s: slice, size: int) -> Iterator[slice]:
+    for i in range(s.start, s.stop, size):
+        yield slice(i, min(s.stop, i + size))
+
+
+def outer_counts(ends: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """left and right of :class:`Prefixes` for each group, from (first and last spelling, occurrences by depth of these inside the group), in order."""
+
+    def carry(groups: list[tuple]) -> list[np.ndarray]:
+        out = [np.zeros((1, KINDS), np.int64)]
+        for (first, last, inside), (near, _, _) in zip(groups, groups[1:], strict=False):
+            depth = common_bits(last, near) + 1
+            here = inside[np.minimum(np.arange(depth), len(inside) - 1)].copy()
+            k = min(depth, len(out[-1]), common_bits(first, last) + 1)
+            here[:k] += out[-1][:k]
+            out.append(here)
+        return out
+
+    left = carry([(first, last, tail) for first, last, _, tail in ends])
+    right = carry([(last, first, head) for first, last, head, _ in reversed(ends)])
+    return list(zip(left, reversed(right), strict=True))
 
 
 def chunks(n: int, size: int) -> Iterator[slice]:
@@ -143,7 +246,7 @@ class MixingModel:
         self.levels = (np.searchsorted(SEEN, zeros + ones) * 2 + (np.minimum(zeros, ones) == 0)).astype(np.int32).reshape(-1)
 
     def inputs(self, bits: Bits, without_own: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds and levels of confidence, bits x predictors.
+        """Log odds and levels of confidence, bits x predictors (the hashed ones first).
 
         without_own: a bit's own occurrence is taken out of the counts that are exact; in larger ones it doesn't show.
         """
@@ -152,7 +255,10 @@ class MixingModel:
             own = bits.y[:, None] == 1
             code = np.where(own, pair & 255, pair >> 8)
             pair -= ((code > 0) & (code <= 16)) * np.where(own, np.int32(1), np.int32(256))
-        return self.odds.take(pair), self.levels.take(pair)
+        known = np.maximum(bits.own - 1, 0) if without_own else bits.own
+        exact = np.clip(np.log((known + 0.3) / (bits.other + 0.3)), -12, 12) * (2 * bits.y[:, None] - 1)
+        levels = np.searchsorted(SEEN, known + bits.other) * 2 + (np.minimum(known, bits.other) == 0)
+        return np.concatenate([self.odds.take(pair), exact.astype(np.float32)], 1), np.concatenate([self.levels.take(pair), levels.astype(np.int32)], 1)
 
     def mixed(self, at: np.ndarray, stretch: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", self.weights.take(at), stretch), -14, 14)
@@ -160,11 +266,11 @@ class MixingModel:
     def refined(self, m: np.ndarray, level: np.ndarray) -> np.ndarray:
         return 0.75 * m + 0.25 * self.refine[level[:, WORD], step_of(m)]
 
-    def log10(self, tokens: list[bytes], kinds: np.ndarray) -> np.ndarray:
+    def log10(self, tokens: list[bytes], kinds: np.ndarray, more: int = 0, weights: np.ndarray | None = None, rows: np.ndarray | None = None) -> np.ndarray:
         """log10 of the probability of each token after a token of its kind."""
         out = np.zeros(len(tokens))
         for s in chunks(len(tokens), 400):  # arrays that stay in a core's cache
-            bits = spell(tokens[s], kinds[s])
+            bits = spell(tokens[s], kinds[s], more, weights, None if rows is None else rows[s])
             stretch, level = self.inputs(bits, False)
             m = self.mixed(weights_of(bits, level), stretch)
             final = self.refined(m, level)
@@ -173,13 +279,13 @@ class MixingModel:
         return out
 
 
-_OFFSETS = np.arange(len(TABLES), dtype=np.int32) * LEVELS
-N_WEIGHTS = PLACES * LEVELS * len(TABLES) * LEVELS
+_OFFSETS = np.arange(PREDICTORS, dtype=np.int32) * LEVELS
+N_WEIGHTS = PLACES * LEVELS * PREDICTORS * LEVELS
 
 
 def weights_of(bits: Bits, level: np.ndarray) -> np.ndarray:
     """Which weight each predictor has for each bit."""
-    gate = (bits.place * LEVELS + level[:, GATE]) * (len(TABLES) * LEVELS)
+    gate = (bits.place * LEVELS + level[:, GATE]) * (PREDICTORS * LEVELS)
     return gate[:, None] + (_OFFSETS + level)
 
 
@@ -187,12 +293,34 @@ def step_of(m: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((m + 12) * (STEPS - 1) / 24), 0, STEPS - 1).astype(np.int64)
 
 
-def pairs_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Tokens, kinds and counts from rows (token, n0 .. n3), for the kinds that occur."""
-    counts = np.stack([batch.column(batch.schema.get_field_index(f"n{k}")).to_numpy() for k in range(KINDS)], 1)
-    row, kind = np.nonzero(counts)
-    tokens = batch.column(batch.schema.get_field_index("token")).to_pylist()
-    return [tokens[i] for i in row], kind, counts[row, kind].astype(np.float64)
+def in_order(tokens: DataFrame, groups: int) -> DataFrame:
+    """Rows (h, token, n0 .. n3, seen) as one row for each run of the tokens in the order of their spelling, with what its ends share inside it."""
+    schema = "g int, tokens array<binary>, h binary, counts binary, seen binary, head binary, tail binary"
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(it)
+        if not sum(b.num_rows for b in batches):
+            return
+        t = pa.Table.from_batches(batches)
+        words = t["token"].to_pylist()
+        raw = [spelling(w) for w in words]
+        order = sorted(range(len(raw)), key=raw.__getitem__)
+        n = np.stack([t[f"n{k}"].to_numpy() for k in range(KINDS)], 1)[order]
+        p = Prefixes([raw[i] for i in order], n)
+        values = [[words[i] for i in order], t["h"].to_numpy()[order].tobytes(), n.tobytes(), t["seen"].to_numpy()[order].astype(np.uint8).tobytes(), p.weights(0, 1).tobytes(), p.weights(len(n) - 1, len(n)).tobytes()]
+        types = [pa.list_(pa.binary()), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([v], kind) for v, kind in zip(values, types, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
+
+    key = F.when(F.col("token") == F.lit(END), F.col("token")).otherwise(F.concat("token", F.lit(b" ")))
+    return tokens.select("h", "token", *[f"n{k}" for k in range(KINDS)], "seen").repartitionByRange(groups, key).mapInArrow(pack, schema)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """g, tokens, their counts (tokens x kinds), h and kinds seen, of each row of :func:`in_order`."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+            yield row["g"].as_py(), row["tokens"].as_py(), np.frombuffer(row["counts"].as_py(), np.int64).reshape(-1, KINDS), np.frombuffer(row["h"].as_py(), np.int64), np.frombuffer(row["seen"].as_py(), np.uint8)
 
 
 def cut_blocks(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
@@ -289,39 +417,52 @@ def decode(codes: bytes, n: np.ndarray) -> np.ndarray:
     return c - np.repeat(c[first] - d[first], n)
 
 
-def learn(tokens: DataFrame, *, rate: float = 0.02) -> tuple:
-    """From rows (token, n0 .. n3) of the training corpus: the broadcast tables, the weights and the refining map. ``tokens`` is read twice."""
-    spark = tokens.sparkSession
-    size = int(STARTS[-1])
-    tokens = tokens.select("token", *[f"n{k}" for k in range(KINDS)]).where("n0 + n1 + n2 + n3 > 0")
+def learn(ordered: DataFrame, v: int, *, rate: float = 0.02) -> tuple:
+    """From rows of :func:`in_order` with v distinct training tokens: the broadcast tables and counts outside groups, the bits that tables have more,
+    the weights and the refining map. ``ordered`` is read three times."""
+    spark = ordered.sparkSession
+    more = max(0, round(np.log2(max(v, 1) / (1 << 19)) / 2))
+    size = int(STARTS[-1]) << more
+    ends = ordered.select("g", F.col("tokens")[0].alias("first"), F.element_at("tokens", -1).alias("last"), "head", "tail").orderBy("g").collect()
+    outside = outer_counts([(spelling(bytes(r["first"])), spelling(bytes(r["last"])), *[np.frombuffer(r[x], np.int64).reshape(-1, KINDS) for x in ("head", "tail")]) for r in ends])
+    outside = {r["g"]: x for r, x in zip(ends, outside, strict=True)} if ends else {}
+    packed = ordered.select("g", "tokens", "h", "counts", "seen")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.float32)
-        for batch in it:
-            words, kinds, n = pairs_of(batch)
-            for s in chunks(len(words), 2000):
-                bits = spell(words[s], kinds[s])
-                w = n[s][bits.token].astype(np.float32)
+        for _, words, n, _, _ in groups_of(it):
+            n = n.sum(1)
+            learned = np.flatnonzero(n)
+            for s in chunks(len(learned), 2000):
+                bits = spell([words[i] for i in learned[s]], np.zeros(s.stop - s.start, np.int64), more)
+                w = n[learned[s]][bits.token].astype(np.float32)
                 for y in (0, 1):
                     own = bits.y == y
                     np.add.at(total[y], bits.slots[own].reshape(-1), np.repeat(w[own], len(TABLES)))
         yield from blocks_of(total.reshape(-1), 65_536, packed=True)
 
-    sums = collect_blocks(add_blocks(tokens.mapInArrow(count, "block int, data binary"), "f4", packed=True), 2 * size, 65_536, "f4").reshape(2, size)
+    sums = collect_blocks(add_blocks(packed.mapInArrow(count, "block int, data binary"), "f4", packed=True), 2 * size, 65_536, "f4").reshape(2, size)
     scale = scale_of(float(sums.max()))
-    shared = spark.sparkContext.broadcast((coded(sums[0], scale).astype(np.uint16) * 256 + coded(sums[1], scale), scale))  # fixed size: two bytes for each slot
+    # two bytes for each slot, and for each group what its two ends share with others
+    shared = spark.sparkContext.broadcast((coded(sums[0], scale).astype(np.uint16) * 256 + coded(sums[1], scale), scale, outside))
 
     def mix(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = MixingModel(*shared.value, np.full(N_WEIGHTS, 0.3, np.float32), np.zeros((LEVELS, STEPS), np.float32))
-        first, second, average = np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS)
-        steps = np.zeros((2, LEVELS, STEPS))
-        turn, kept = 0, 0.0
-        for batch in it:
-            words, kinds, n = pairs_of(batch)
-            for s in chunks(len(words), 500):
+        pairs, scale, outside = shared.value
+        for g, words, counts, _, _ in groups_of(it):
+            m = MixingModel(pairs, scale, np.full(N_WEIGHTS, 0.3, np.float32), np.zeros((LEVELS, STEPS), np.float32))
+            first, second, average = np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS), np.zeros(N_WEIGHTS)
+            steps = np.zeros((2, LEVELS, STEPS))
+            turn, kept = 0, 0.0
+            p = Prefixes([spelling(t) for t in words], counts, *outside[g])
+            runs = list(p.parts(500))
+            for i in np.random.default_rng(g).permutation(len(runs)):
+                s = runs[i]
+                row, kinds = np.nonzero(counts[s])
+                if not len(row):
+                    continue
                 turn += 1
-                bits = spell(words[s], kinds[s])
-                w = n[s][bits.token]
+                bits = spell([words[s.start + i] for i in row], kinds, more, p.weights(s.start, s.stop), row)
+                w = counts[s][row, kinds][bits.token].astype(np.float64)
                 stretch, level = m.inputs(bits, True)
                 at = weights_of(bits, level)
                 mixed = m.mixed(at, stretch)
@@ -335,20 +476,20 @@ def learn(tokens: DataFrame, *, rate: float = 0.02) -> tuple:
                 average += turn * m.weights
                 cell = (bits.y * LEVELS + level[:, WORD]) * STEPS + step_of(mixed)
                 steps += np.bincount(cell, w * turn, minlength=steps.size).reshape(steps.shape)
-        if kept:
-            yield from blocks_of(np.concatenate([[kept], average, steps.reshape(-1)]), 4096)
+            if kept:
+                yield from blocks_of(np.concatenate([[kept], average, steps.reshape(-1)]), 4096)
 
     k = 1 + N_WEIGHTS + 2 * LEVELS * STEPS
-    got = collect_blocks(add_blocks(tokens.mapInArrow(mix, "block int, data binary")), k, 4096)
+    got = collect_blocks(add_blocks(packed.mapInArrow(mix, "block int, data binary")), k, 4096)
     centre = np.linspace(-12, 12, STEPS)
     steps = got[1 + N_WEIGHTS : k].reshape(2, LEVELS, STEPS)
     p = 1 / (1 + np.exp(-centre))
     refine = np.log((steps[1] + 4 * p) / (steps[0] + 4 * (1 - p))).astype(np.float32)
     weights = (got[1 : 1 + N_WEIGHTS] / got[0]).astype(np.float32) if got[0] else np.full(N_WEIGHTS, 0.3, np.float32)
-    return shared, weights, refine
+    return shared, more, weights, refine
 
 
-def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_000, group: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document."""
     blocks = materialise(cut_blocks(docs, folds, held, block))
     flat = block_tokens(blocks)
@@ -356,20 +497,21 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_
     c = F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
     total = tokens.agg(F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0)).first()
     n, v = int(total[0]), int(total[1])
-    shared, weights, refine = learn(tokens)
+    ordered = materialise(in_order(tokens, -(-tokens.count() // group) or 1))
+    shared, more, weights, refine = learn(ordered, v)
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = MixingModel(*shared.value, weights, refine)
-        for batch in it:
-            seen = batch.column(batch.schema.get_field_index("seen")).to_numpy()
-            row, kind = np.nonzero(seen[:, None] >> np.arange(KINDS) & 1)
-            words = batch.column(batch.schema.get_field_index("token")).to_pylist()
-            lp = np.zeros((len(seen), KINDS), np.float32)
-            lp[row, kind] = m.log10([words[i] for i in row], kind)
-            counts = sum(batch.column(batch.schema.get_field_index(f"n{k}")).to_numpy() for k in range(KINDS))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("h")), pa.array(counts), *[pa.array(lp[:, k]) for k in range(KINDS)]], names=["h", "c", *[f"p{k}" for k in range(KINDS)]])
-
-    rated = tokens.mapInArrow(rate, "h long, c long, p0 float, p1 float, p2 float, p3 float")
+        pairs, scale, outside = shared.value
+        m = MixingModel(pairs, scale, weights, refine)
+        for g, words, counts, h, seen in groups_of(it):
+            p = Prefixes([spelling(t) for t in words], counts, *outside[g])
+            for s in p.parts(2000):
+                row, kind = np.nonzero(seen[s, None] >> np.arange(KINDS) & 1)
+                lp = np.zeros((s.stop - s.start, KINDS), np.float32)
+                lp[row, kind] = m.log10([words[s.start + i] for i in row], kind, more, p.weights(s.start, s.stop), row)
+                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(counts[s].sum(1)), *[pa.array(lp[:, k]) for k in range(KINDS)]], names=["h", "c", *[f"p{k}" for k in range(KINDS)]])
+
+    rated = ordered.select("g", "tokens", "h", "counts", "seen").mapInArrow(rate, "h long, c long, p0 float, p1 float, p2 float, p3 float")
     back = flat.select("block", "code", "h").join(rated, "h").drop("h")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
