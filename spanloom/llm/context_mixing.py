@@ -11,20 +11,27 @@ the same bit. The weights are learned online, token after token, with a token's
 adaptive map over (how sure the word so far is, mixed log odds) refines the result. The bits' log
 probabilities add up to the token's, the tokens' to the text's; ``bits_per_byte`` is that per byte of text.
 
+The spelling sees one word; the word before it is mixed in afterwards, along each text. Where that word w occurred c times in training, c2 times
+with this token behind it, the token's probability is (c2 + s p) / (c + s), with p its spelled probability and s = a c^b. The text's start
+stands before its first token. These are probabilities again: they add up to what p adds up to. a and b are the ones of CHOICES under
+which training texts are likeliest when each pair's own occurrence is taken out.
+
 The model is learned from documents that are not held out and then fixed, so scores do not depend on the order of rows.
-A token's probability depends only on its spelling and the kind of the token before it. It is therefore computed once for each
-distinct token of the corpus, not for each occurrence: tasks cut their documents into blocks of some million tokens and count each block's
-distinct tokens; counts meet by token; counts and probabilities return to the blocks, where the documents are summed. A
-hot token has one row for each block. Model tables have a fixed size and are summed block by block.
+A token's spelled probability depends only on its letters and the kind of the token before it. It is therefore computed once for each
+distinct token of the corpus: tasks cut their documents into blocks of some million tokens and count each block's
+distinct tokens; counts meet by token; counts and probabilities return to the blocks. Pairs of tokens are counted exactly and alike: each
+block sends its distinct pairs as sorted hashes to buckets of the range of hashes, and gets the corpus's counts back in the same order. A
+hot token or pair has one row or number for each block.
 
 Defined results: a null text is empty, and an empty text is its end alone (bits_per_byte null); null ids are never held out; repeated
 rows are counted and scored as often as they occur; without training documents c, N and V are 0 and every bit has probability
-1/2; an empty table gives no rows. Tokens meet by a 64-bit hash of their bytes.
+1/2; an empty table gives no rows. Tokens and pairs meet by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +56,8 @@ PLACES, LEVELS, STEPS = 4, 16, 33
 SEEN = np.array([0.5, 1.5, 2.5, 5.5, 15.5, 100.5, 2000.5], np.float32)
 #: The predictors of four bytes, which gates, and of the word so far, which refines.
 GATE, WORD = 2, 3
+#: (a, b) of the weight a c^b that the spelled probability has after a token seen c times.
+CHOICES = tuple((a, b) for b in (0.5, 0.75, 1.0) for a in (0.25, 1.0, 4.0, 16.0))
 _PUNCTUATION = frozenset(b".!?,;:")
 
 
@@ -324,25 +333,26 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def cut_blocks(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
-    """Documents as counts of their tokens' codes, in blocks of about ``most`` tokens with the blocks' own token lists."""
-    schema = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>, n_codes array<int>, codes binary, times binary, tokens array<binary>, counts binary"
+    """Documents as their tokens' codes, in blocks of about ``most`` tokens with the blocks' own token lists."""
+    schema = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>, codes binary, kinds binary, seen binary, tokens array<binary>, counts binary"
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
 
         def start() -> dict:
-            return {"codes": Codes(), "kinds": np.zeros(1 << 16, np.int64), "known": 0, "ids": [], "held": [], "n": [], "bytes": [], "uniq": [], "times": [], "train": [], "total": 0}
+            return {"numbers": Codes(), "ids": [], "held": [], "n": [], "bytes": [], "codes": [], "total": 0}
 
         def block(s: dict) -> pa.RecordBatch:
-            counts = np.zeros(KINDS * len(s["codes"]), np.int64)
-            for u, t, train in zip(s["uniq"], s["times"], s["train"], strict=True):
-                if train:
-                    counts[u] += t
-            deltas = [np.diff(u, prepend=0).astype(np.int32) for u in s["uniq"]]
+            codes, tokens = np.concatenate(s["codes"]), list(s["numbers"])
+            # what a token is to the next one; behind an end a text starts
+            kinds = np.fromiter((0 if t == END else kind_of(t) for t in tokens), np.uint8, len(tokens))
+            slot = codes.astype(np.int64) * KINDS + kinds[before(codes)]
+            train = np.repeat(~np.array(s["held"], bool), s["n"])
+            counts = np.bincount(slot[train], minlength=KINDS * len(tokens))
+            seen = ((np.bincount(slot, minlength=KINDS * len(tokens)) > 0).reshape(-1, KINDS) << np.arange(KINDS)).sum(1).astype(np.uint8)
             values = [
                 pa.array([(part << 24) + made], pa.int64()), pa.array([s["ids"]], pa.list_(pa.int64())), pa.array([s["held"]], pa.list_(pa.bool_())), pa.array([s["n"]], pa.list_(pa.int64())), pa.array([s["bytes"]], pa.list_(pa.int64())),
-                pa.array([[len(u) for u in s["uniq"]]], pa.list_(pa.int32())), pa.array([np.concatenate(deltas).tobytes()], pa.binary()), pa.array([np.concatenate(s["times"]).astype(np.int32).tobytes()], pa.binary()),
-                pa.array([list(s["codes"])], pa.list_(pa.binary())), pa.array([counts.tobytes()], pa.binary()),
+                pa.array([planes(codes)], pa.binary()), pa.array([kinds.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([tokens], pa.list_(pa.binary())), pa.array([counts.tobytes()], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in schema.split(", ")])
 
@@ -352,17 +362,8 @@ def cut_blocks(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 tokens = raw.lower().split()
                 tokens.append(END)
-                codes, known = s["codes"], s["known"]
-                c = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
-                if known < len(codes):
-                    if len(codes) > len(s["kinds"]):
-                        s["kinds"] = np.concatenate([s["kinds"], np.zeros(2 * len(codes), np.int64)])
-                    s["kinds"][known : len(codes)] = [kind_of(t) for t in list_from(codes, known)]
-                    s["known"] = len(codes)
-                k = np.zeros(len(c), np.int64)
-                k[1:] = s["kinds"][c[:-1]]
-                u, t = np.unique(c * KINDS + k, return_counts=True)
-                for name, v in zip(("ids", "held", "n", "bytes", "uniq", "times", "train"), (doc_id, out, len(c), len(raw), u, t, not out), strict=True):
+                c = np.fromiter(map(s["numbers"].__getitem__, tokens), np.int32, len(tokens))
+                for name, v in zip(("ids", "held", "n", "bytes", "codes"), (doc_id, out, len(c), len(raw), c), strict=True):
                     s[name].append(v)
                 s["total"] += len(c)
                 if s["total"] >= most:
@@ -375,14 +376,96 @@ def cut_blocks(docs: DataFrame, folds: int, held: int, most: int) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
-def list_from(codes: Codes, known: int) -> list[bytes]:
-    """The tokens from number ``known`` on: dictionaries keep the order of insertion."""
-    out = []
-    for t in reversed(codes):
-        if len(out) == len(codes) - known:
-            break
-        out.append(t)
-    return out[::-1]
+def before(codes: np.ndarray) -> np.ndarray:
+    """The code before each in a block: every text ends in END, which so stands before its successor, and the last one before the first."""
+    return np.roll(codes, 1)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which packs better."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
+def hashes(tokens: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens.to_pylist()), np.uint64, len(tokens))
+
+
+def pairs_in(codes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct pairs (code before, code), in the order of their hashes; these; and the pair at each place. h: of the tokens."""
+    key, at = np.unique(before(codes) * np.int64(len(h)) + codes, return_inverse=True)
+    a, b = key // len(h), key % len(h)
+    hashed = finish(finish(h[a]) * np.uint64(0x9E3779B97F4A7C15) + h[b])
+    order = np.argsort(hashed, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return a[order], b[order], hashed[order], place[at.reshape(-1)]
+
+
+def pair_counts(blocks: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, times: how often each pair of a block occurs in training, in the order of :func:`pairs_in`, cut by buckets."""
+
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
+                _, _, hashed, at = pairs_in(from_planes(row["codes"].as_py(), np.int32), hashes(row["tokens"].values))
+                train = np.repeat(~np.array(row["held_out"].as_py(), bool), row["n_tokens"].as_py())
+                times = np.bincount(at[train], minlength=len(hashed))
+                bucket = (hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(hashed)]
+                rows = [(int(bucket[x]), planes(np.diff(hashed[x:y], prepend=np.uint64(0))), zlib.compress(planes(times[x:y]), 1)) for x, y in zip(cut, cut[1:], strict=False)]
+                for s in chunks(len(rows), 200):
+                    b, p, t = zip(*rows[s], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), row["block"].as_py())), pa.array(b, pa.int32()), pa.array(p, pa.binary()), pa.array(t, pa.binary())], names=["block", "bucket", "pairs", "times"])
+
+    def add(t: pa.Table) -> pa.Table:
+        pairs = [np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in t["pairs"].to_pylist()]
+        times = np.concatenate([from_planes(zlib.decompress(x), np.int64) for x in t["times"].to_pylist()])
+        cut = np.cumsum([len(x) for x in pairs])[:-1]
+        _, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        total = np.bincount(at.reshape(-1), times).astype(np.int64)[at.reshape(-1)]
+        return pa.table({"block": t["block"], "bucket": t["bucket"], "times": pa.array([zlib.compress(planes(x), 1) for x in np.split(total, cut)], pa.binary())})
+
+    rows = blocks.select("block", "held_out", "n_tokens", "codes", "tokens").mapInArrow(send, "block long, bucket int, pairs binary, times binary")
+    return rows.groupBy("bucket").applyInArrow(add, "block long, bucket int, times binary")
+
+
+def packed_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, code, h, c, p0 .. p3) as one row for each block, for every half million of them."""
+
+    def flush(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches)
+        block, h = t["block"].to_numpy(), t["h"].to_numpy().view(np.uint64)
+        order = np.lexsort((h, block))
+        block, h, code, c = block[order], h[order], t["code"].to_numpy()[order], t["c"].to_numpy()[order]
+        p = np.stack([t[f"p{k}"].to_numpy()[order] for k in range(KINDS)])
+        cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        spans = list(zip(cut, cut[1:], strict=False))
+        columns = [[planes(code[x:y]) for x, y in spans], [planes(np.diff(h[x:y], prepend=np.uint64(0))) for x, y in spans], [planes(c[x:y]) for x, y in spans], [planes(np.ascontiguousarray(p[:, x:y])) for x, y in spans]]
+        return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), *[pa.array(x, pa.binary()) for x in columns]], names=["block", "code", "h", "c", "p"])
+
+    batches, rows = [], 0
+    for batch in it:
+        batches.append(batch)
+        rows += batch.num_rows
+        if rows >= 500_000:
+            yield flush(batches)
+            batches, rows = [], 0
+    if rows:
+        yield flush(batches)
+
+
+def after_word(nats: np.ndarray, pair: np.ndarray, first: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Log probability of tokens of this spelled one, after a token that was seen ``first`` times, ``pair`` of them before the same token."""
+    weight = a * np.maximum(first, 1.0) ** b
+    out = np.log(weight) + nats
+    met = pair > 0
+    out[met] = np.logaddexp(np.log(pair[met]), out[met])
+    return out - np.log(first + weight)
 
 
 def block_tokens(blocks: DataFrame) -> DataFrame:
@@ -395,26 +478,16 @@ def block_tokens(blocks: DataFrame) -> DataFrame:
                 row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
                 tokens = row["tokens"].values
                 counts = np.frombuffer(row["counts"].as_py(), np.int64).reshape(-1, KINDS)
-                present = np.zeros(KINDS * len(tokens), np.int32)
-                present[decode(row["codes"].as_py(), np.array(row["n_codes"].as_py(), np.int64))] = 1
-                seen = (present.reshape(-1, KINDS) << np.arange(KINDS, dtype=np.int32)).sum(1).astype(np.int32)
+                seen = np.frombuffer(row["seen"].as_py(), np.uint8).astype(np.int32)
                 for s in chunks(len(tokens), 20_000):
                     some = tokens.slice(s.start, s.stop - s.start)
-                    h = np.fromiter((xxhash.xxh64_intdigest(t) for t in some.to_pylist()), np.uint64, len(some)).view(np.int64)
+                    h = hashes(some).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(some), row["block"].as_py())), pa.array(np.arange(s.start, s.stop, dtype=np.int32)), pa.array(h), some, *[pa.array(counts[s, k]) for k in range(KINDS)], pa.array(seen[s])],
                         names=[x.split()[0] for x in schema.split(", ")],
                     )
 
-    return blocks.select("block", "codes", "n_codes", "tokens", "counts").mapInArrow(flat, schema)
-
-
-def decode(codes: bytes, n: np.ndarray) -> np.ndarray:
-    """Codes of all documents of a block from their differences, which start anew with each document."""
-    d = np.frombuffer(codes, np.int32).astype(np.int64)
-    c = np.cumsum(d)
-    first = np.cumsum(n) - n
-    return c - np.repeat(c[first] - d[first], n)
+    return blocks.select("block", "seen", "tokens", "counts").mapInArrow(flat, schema)
 
 
 def learn(ordered: DataFrame, v: int, *, rate: float = 0.02) -> tuple:
@@ -489,7 +562,7 @@ def learn(ordered: DataFrame, v: int, *, rate: float = 0.02) -> tuple:
     return shared, more, weights, refine
 
 
-def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_000, group: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_000, group: int = 100_000, bucket: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document."""
     blocks = materialise(cut_blocks(docs, folds, held, block))
     flat = block_tokens(blocks)
@@ -505,40 +578,58 @@ def score(docs: DataFrame, *, folds: int = 7, held: int = 2, block: int = 3_000_
         m = MixingModel(pairs, scale, weights, refine)
         for g, words, counts, h, seen in groups_of(it):
             p = Prefixes([spelling(t) for t in words], counts, *outside[g])
-            for s in p.parts(2000):
+            for s in p.parts(400):
                 row, kind = np.nonzero(seen[s, None] >> np.arange(KINDS) & 1)
                 lp = np.zeros((s.stop - s.start, KINDS), np.float32)
                 lp[row, kind] = m.log10([words[s.start + i] for i in row], kind, more, p.weights(s.start, s.stop), row)
                 yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(counts[s].sum(1)), *[pa.array(lp[:, k]) for k in range(KINDS)]], names=["h", "c", *[f"p{k}" for k in range(KINDS)]])
 
     rated = ordered.select("g", "tokens", "h", "counts", "seen").mapInArrow(rate, "h long, c long, p0 float, p1 float, p2 float, p3 float")
-    back = flat.select("block", "code", "h").join(rated, "h").drop("h")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    words = flat.select("block", "code", "h").join(rated, "h").mapInArrow(packed_words, "block long, code binary, h binary, c binary, p binary")
+    placed = blocks.agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
+    back = words.unionByName(pair_counts(blocks, -(-placed // bucket) or 1), allowMissingColumns=True)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, train_tokens long, base_score double, scores array<double>, without_own array<double>"
 
     def add(documents: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        counts = np.zeros(known.num_rows, np.int64)
-        lp = np.zeros((known.num_rows, KINDS))
-        code = known["code"].to_numpy()
-        counts[code] = known["c"].to_numpy()
-        for k in range(KINDS):
-            lp[code, k] = known[f"p{k}"].to_numpy()
+        met = known.filter(known["code"].is_null()).sort_by("bucket")
+        known = known.filter(known["code"].is_valid())
+        code = np.concatenate([np.zeros(0, np.int32), *[from_planes(x, np.int32) for x in known["code"].to_pylist()]])
+        counts, h, lp = np.zeros(len(code), np.int64), np.zeros(len(code), np.uint64), np.zeros((len(code), KINDS), np.float32)
+        done = 0
+        for row in known.select(["h", "c", "p"]).to_pylist():
+            c = from_planes(row["c"], np.int64)
+            at = code[done : done + len(c)]
+            counts[at], h[at], lp[at] = c, np.cumsum(from_planes(row["h"], np.uint64), dtype=np.uint64), from_planes(row["p"], np.float32).reshape(KINDS, -1).T
+            done += len(c)
         base = np.log10((counts + 1) / (n + 1 * (v + 1)))
         for i in range(documents.num_rows):
             row = {name: documents[name][i].as_py() for name in documents.column_names}
-            sizes = np.array(row["n_codes"], np.int64)
-            codes, times = decode(row["codes"], sizes), np.frombuffer(row["times"], np.int32)
+            sizes = np.array(row["n_tokens"], np.int64)
             first = np.cumsum(sizes) - sizes
-            word = codes // KINDS
-            score = np.add.reduceat(times * lp.reshape(-1)[codes], first)
-            n_bytes = np.array(row["n_bytes"], np.float64)
-            per_byte = -score * np.log2(10) / np.maximum(n_bytes, 1)
+            codes = from_planes(row["codes"], np.int32)
+            a, b, _, at = pairs_in(codes, h)
+            times = np.concatenate([from_planes(zlib.decompress(x), np.int64) for x in met["times"].to_pylist()])
+            nats = lp[b, np.frombuffer(row["kinds"], np.uint8)[a]] * np.log(10)
+            # pairs of training texts without their own occurrence; tokens that occur once have no other to be learned from
+            train = np.bincount(at[np.repeat(~np.array(row["held_out"], bool), sizes)], minlength=len(a))
+            ask = np.flatnonzero((train > 0) & (counts[b] > 1))
+            alone = nats[ask] + np.log1p(-1 / counts[b[ask]])
+            scores, gains = np.empty((len(sizes), len(CHOICES))), []
+            for j, choice in enumerate(CHOICES):
+                scores[:, j] = np.add.reduceat(after_word(nats, times, counts[a], *choice)[at], first) / np.log(10)
+                gains.append(float((train[ask] * after_word(alone, times[ask] - 1, counts[a[ask]] - 1, *choice)).sum()))
             columns = [
-                pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(row["n_tokens"], pa.int64()), pa.array(np.add.reduceat(times * (counts[word] > 0), first).astype(np.int64)), pa.array(np.full(len(sizes), n)),
-                pa.array(np.add.reduceat(times * base[word], first)), pa.array(score), pa.array(per_byte, pa.float64(), mask=n_bytes == 0),
+                pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(sizes), pa.array(row["n_bytes"], pa.int64()), pa.array(np.add.reduceat((counts > 0)[codes].astype(np.int64), first)), pa.array(np.full(len(sizes), n)),
+                pa.array(np.add.reduceat(base[codes], first)), pa.array(list(scores), pa.list_(pa.float64())), pa.array([gains] + [None] * (len(sizes) - 1), pa.list_(pa.float64())),
             ]
             out.append(pa.Table.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")]))
-        return pa.concat_tables(out) if out else pa.schema([(x.split()[0], t) for x, t in zip(schema.split(", "), [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3], strict=True)]).empty_table()
-
-    documents = blocks.select("block", "doc_id", "held_out", "n_tokens", "n_bytes", "n_codes", "codes", "times")
-    return documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(add, schema)
+        return pa.concat_tables(out) if out else pa.schema([(x.split()[0], t) for x, t in zip(schema.split(", "), [pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.float64(), *[pa.list_(pa.float64())] * 2], strict=True)]).empty_table()
+
+    documents = blocks.select("block", "doc_id", "held_out", "n_tokens", "n_bytes", "codes", "kinds")
+    scored = materialise(documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(add, schema))
+    gains = scored.where("without_own IS NOT NULL").agg(*[F.sum(F.col("without_own")[j]) for j in range(len(CHOICES))]).first()
+    best = int(np.argmax([g or 0.0 for g in gains]))
+    out = scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("scores")[best].alias("score"), "n_bytes")
+    per_byte = F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes"))
+    return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")

@@ -1,8 +1,10 @@
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from spanloom.llm.context_mixing import END, KINDS, Prefixes, chunks, outer_counts, spelling
+from spanloom.llm.context_mixing import CHOICES, END, KINDS, Prefixes, after_word, chunks, cut_blocks, from_planes, hashes, outer_counts, pair_counts, pairs_in, score, spelling
 
 
 def test_prefixes_are_counted_exactly():
@@ -28,3 +30,50 @@ def test_prefixes_are_counted_exactly():
                 for i in range(s.start, s.stop):
                     text = "".join(f"{b:08b}" for b in r[i])
                     assert all(w[min(j, len(w) - 1), i - s.start, k] == counts[text[:j], k] for j in range(len(text) + 1) for k in range(KINDS))
+
+
+def test_word_before_counts(spark):
+    """Held-out texts of known words in an order that training knows are likelier than the same words shuffled."""
+    rng = np.random.default_rng(2)
+    follow = {i: rng.permutation(200)[:3] for i in range(200)}
+
+    def text(n):
+        at, out = int(rng.integers(200)), []
+        for _ in range(n):
+            out.append(f"w{at * 7919 % 1000:03d}x")
+            at = int(rng.choice(follow[at]))
+        return out
+
+    rows = [(i, text(60)) for i in range(600)]
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    shuffled = [(i + 1000 * k, rng.permutation(t).tolist()) for i, t in held for k in range(1, 30) if zlib.crc32(str(i + 1000 * k).encode()) % 7 == 2]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows + shuffled], "doc_id long, text string")
+    got = {r.doc_id: r for r in score(docs, block=7000, bucket=900).collect()}
+    own, other = ([got[i].score for i, _ in x] for x in (held, shuffled))
+    assert np.mean(own) > 0.6 * np.mean(other) and np.mean(own) > 0.6 * np.mean([got[i].base_score for i, _ in held])
+    again = {r.doc_id: r.score for r in score(docs.repartition(3), block=100_000).collect()}
+    assert all(abs(again[i] - r.score) < 1e-6 * abs(r.score) for i, r in got.items())
+
+
+def test_pairs_are_counted_over_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd"], int(rng.integers(0, 9))).tolist())) for i in range(80)]
+    blocks = cut_blocks(spark.createDataFrame(rows, "doc_id long, text string"), 7, 2, 50).cache()
+    want = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words = ["\n", *t.split(), "\n"]
+            want.update(zip(words, words[1:], strict=False))
+    times = {}
+    for r in pair_counts(blocks, 5).orderBy("bucket").collect():
+        times.setdefault(r.block, []).append(from_planes(zlib.decompress(r.times), np.int64))
+    for r in blocks.collect():
+        tokens = [bytes(t) for t in r.tokens]
+        a, b, _, _ = pairs_in(from_planes(r.codes, np.int32), hashes(pa.array(tokens, pa.binary())))
+        assert [want[tokens[x].decode(), tokens[y].decode()] for x, y in zip(a, b, strict=True)] == np.concatenate(times[r.block]).tolist()
+
+
+def test_probabilities_after_a_word_add_up_to_one():
+    for a, b in CHOICES:
+        p = after_word(np.log([0.5, 0.3, 0.2]), np.array([3, 0, 1]), np.array([4, 4, 4]), a, b)
+        assert abs(np.exp(p).sum() - 1) < 1e-12
