@@ -64,27 +64,51 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     return took
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most_exact: int = 1 << 16) -> np.ndarray:
-    """Choose ``0 <= x <= counts`` with ``sum(x * lengths)`` as near to ``budget`` as can be.
+def settle(lengths: np.ndarray, counts: np.ndarray, x: np.ndarray, left: int, most_exact: int) -> int:
+    """Add to ``x`` (at most ``counts``) documents of ``left`` words, and return what is still left (below 0: too many).
 
-    Counts are scaled down to the budget; long documents then fill until at most ``most_exact`` words are left, for which
-    the dynamic program is exact.
+    Long documents fill until at most ``most_exact`` words are left, for which the dynamic program is exact. More than that are left only
+    where no unused document is short enough.
     """
-    total = int((lengths * counts).sum())
-    if total <= budget:
-        return counts.copy()
-    x = np.array([int(c) * budget // total for c in counts], np.int64)
-    left = budget - int((x * lengths).sum())
     if left > most_exact:
         for i in np.argsort(-lengths, kind="stable"):
             take = int(min(counts[i] - x[i], max(0, left - most_exact // 2) // max(1, lengths[i])))
             x[i] += take
             left -= take * int(lengths[i])
-    usable = np.flatnonzero((counts > x) & (lengths <= 2 * left))
-    usable = usable[np.argsort(-lengths[usable], kind="stable")]
     if left <= 4 * most_exact:
-        x[usable] += np.array(knapsack([int(v) for v in lengths[usable]], [int(v) for v in (counts - x)[usable]], left), np.int64)
-    return x
+        usable = np.flatnonzero((counts > x) & (lengths <= 2 * left))
+        usable = usable[np.argsort(-lengths[usable], kind="stable")]
+        took = np.array(knapsack([int(v) for v in lengths[usable]], [int(v) for v in (counts - x)[usable]], left), np.int64)
+        x[usable] += took
+        left -= int((took * lengths[usable]).sum())
+    return left
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most_exact: int = 1 << 16) -> np.ndarray:
+    """Choose ``0 <= x <= counts`` with ``sum(x * lengths)`` near to ``budget``.
+
+    Counts are scaled down to the budget and the rest is settled. Where unused documents are too long for that, two of them never come nearer
+    than one: the longest that fits and the shortest that exceeds, for which documents taken before make room, are compared with none.
+    """
+    total = int((lengths * counts).sum())
+    if total <= budget:
+        return counts.copy()
+    x = np.array([int(c) * budget // total for c in counts], np.int64)
+    left = settle(lengths, counts, x, budget - int((x * lengths).sum()), most_exact)
+    if left <= 4 * most_exact:
+        return x
+    best = (left, x)
+    unused = np.flatnonzero(counts > x)
+    short, long = unused[lengths[unused] <= left], unused[lengths[unused] > left]
+    for i in (*short[np.argsort(lengths[short])][-1:], *long[np.argsort(lengths[long])][:1]):
+        y, out = x.copy(), np.zeros_like(x)
+        over = int(lengths[i]) - left
+        if over > 0:
+            over = settle(lengths, x, out, over, most_exact)
+        y += -out
+        y[i] += 1
+        best = min(best, (abs(over), y), key=lambda z: z[0])
+    return best[1]
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
