@@ -97,15 +97,23 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 def search_entities(queries: DataFrame, labels: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
     """Free-text search over all classes: labels that hold the query first, then similar ones. No cap on how many are scanned."""
     q = queries.select(normalize_label(F.col("text")).alias("q"), F.lit(None).cast("string").alias("kind")).distinct()
-    holds = labels.join(F.broadcast(q.where("q <> ''")), F.contains("label", F.col("q"))) if _few(q) else candidates(q, labels, least).where(F.contains("label", F.col("q")))
+    holds = holding(q.where("q <> ''"), labels)
     holds = holds.select("q", F.col("kind"), "label", "uri", (1 + containment(F.col("q"), F.col("label"))).alias("similarity"))
     near = find_matches(q, labels, k, least).select("q", "kind", "label", "uri", "similarity")
     return top_per_uri(holds.union(near), k).withColumn("similarity", F.when(F.col("similarity") > 1, F.col("similarity") - 1).otherwise(F.col("similarity")))
 
 
-def _few(q: DataFrame, most: int = 10_000) -> bool:
-    """Whether the queries are few enough to be sent to every task."""
-    return q.limit(most + 1).count() <= most
+def holding(queries: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
+    """Pairs (q, kind, label, uri) of which the label holds the query, at any length: they meet by the query's first n characters."""
+
+    def grams(c: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
+
+    held = labels.select("label", "uri").distinct()
+    index = held.where(F.length("label") >= n).select("label", "uri", F.explode(grams(F.col("label"))).alias("gram"))
+    long = queries.where(F.length("q") >= n).withColumn("gram", F.substring("q", 1, n)).join(index, "gram").where(F.contains("label", F.col("q")))
+    short = queries.where(F.length("q") < n).join(held, F.contains(F.col("label"), F.col("q")))
+    return long.select("q", "kind", "label", "uri").union(short.select("q", "kind", "label", "uri"))
 
 
 def find_relations(relations: DataFrame, labels: DataFrame, triples: DataFrame, least: float = 0.95) -> DataFrame:
