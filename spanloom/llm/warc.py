@@ -16,11 +16,13 @@ payloads below ``least`` bytes are always responses; an empty table gives no row
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _written, materialise, shared_dir
+from .common import _written, materialise, shared_dir, small_batches
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -89,14 +91,14 @@ def payload_of(block: Column, text: Column) -> Column:
 
 
 def with_offsets(cut: DataFrame) -> DataFrame:
-    """The offset of each piece's magic in its (uncompressed) file, and of its successor."""
+    """The offset of each piece's magic in its (uncompressed) file, and of its successor; ``nth`` becomes its number inside its part of the file."""
     step = F.col("bytes") + len(MAGIC)
     parts = cut.groupBy("file", "part").agg(F.sum(step).alias("total"))
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("file", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file", "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     # the first piece of a file is what comes before its first magic
-    cut = cut.withColumn("ahead", F.coalesce(F.sum(step).over(inside), F.lit(0))).join(parts, ["file", "part"])
+    cut = cut.withColumn("ahead", F.coalesce(F.sum(step).over(inside), F.lit(0))).withColumn("nth", F.count("*").over(inside)).join(parts, ["file", "part"])
     cut = cut.withColumn("offset", F.col("base") + F.col("ahead") - len(MAGIC)).where(F.col("offset") >= 0).drop("base", "ahead")
     return cut.withColumn("next", F.col("offset") + len(MAGIC) + F.col("at") + F.col("declared") + len(END))
 
@@ -134,16 +136,35 @@ def page_number(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}: *<urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """``texts`` (value, file, part) with the number of each piece inside its part of the file, however parts are dealt to tasks."""
+
+    def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for batch in it:
+            nth = []
+            for place in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at, n = place, n + 1 if place == at else 0
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64())], names=["value", "file", "part", "nth"])
+
+    return small_batches(texts).mapInArrow(number, "value binary, file string, part long, nth long")
+
+
 def put_together(spark: SparkSession, path: str, pieces: DataFrame, broken: DataFrame, fields: list) -> DataFrame:
     """The records whose payloads hold the magic: their pieces, in order, with the magic between them."""
     marks = broken.select("file", "offset", F.col("offset").alias("own"), F.col("next").alias("until"))
     order = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    spans = pieces.select("file", "offset", "part", "nth").join(marks, ["file", "offset"], "left")
+    spans = pieces.select("file", "offset", "part", "nth", "bytes").join(marks, ["file", "offset"], "left")
     spans = spans.withColumn("own", F.last("own", ignorenulls=True).over(order)).withColumn("until", F.last("until", ignorenulls=True).over(order))
-    spans = materialise(spans.where("offset < until").select("file", "part", "nth", "offset", "own"))
+    spans = materialise(spans.where("offset < until").select("file", "part", "nth", "bytes", "offset", "own"))
     texts = spark.read.option("lineSep", MAGIC).text(path)
-    texts = texts.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part")).withColumn("nth", F.monotonically_increasing_id())
+    texts = numbered(texts.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part")))
     joined = texts.join(spans, ["file", "part", "nth"]).groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("all"))
+    # parts of uncompressed files may be cut differently in this read: then no record is lost silently
+    expected = spans.groupBy("file", "own").agg(F.count("*").alias("pieces"), F.sum("bytes").alias("bytes"))
+    found = F.coalesce((F.size("all") == F.col("pieces")) & (F.aggregate("all", F.lit(0).cast("long"), lambda x, y: x + F.octet_length(y["value"])) == F.col("bytes")), F.lit(False))
+    joined = expected.join(joined, ["file", "own"], "left").withColumn("all", F.when(found, F.col("all")).otherwise(F.raise_error(F.concat(F.lit("pieces of a record were not found again in "), "file", F.lit(" at "), F.col("own").cast("string")))))
     magic = F.lit(MAGIC).cast("binary")
     whole = F.aggregate("all", F.lit(b""), lambda x, y: F.when(F.octet_length(x) == 0, y["value"]).otherwise(F.concat(x, magic, y["value"])))
     joined = joined.select("file", F.col("own").alias("offset"), whole.alias("value")).join(broken.select("file", "offset", "head", "at", "declared"), ["file", "offset"])
