@@ -1,13 +1,14 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads. DataFrame operations only.
 
-The ring has ``ring`` places. Every shard owns ``vnodes`` of them, at hashed places; a place belongs to the first virtual
+The ring has ``ring`` places. Every shard owns ``vnodes`` of them, at places hashed from its own number alone, so a shard
+that is added takes places from others and no other place changes its owner. A place belongs to the first virtual
 node at or clockwise of it. A document's place is the hash of its text, so equal texts (a group) meet in one shard as long
 as it has room. Each shard has room for its exact part of the rows (counts of any two shards differ by one at most); rows
 that find their shard full continue clockwise to the next shard with room.
 
 Only the counts of the arcs between virtual nodes (``n_shards * vnodes`` numbers) reach the driver, where the overflow is
 settled. A row learns its arc's rank from counts by (place, salt), so that a group which holds a third of all rows is
-ranked by ``salts`` tasks and not by one.
+ranked by ``salts`` tasks and not by one. Rows that are alike are counted before they are shuffled.
 
 Defined results: a null text counts as empty (size 1, crc32 0); null or repeated doc_ids are rows like any other, since
 the place comes from the text; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -24,8 +25,9 @@ from .common import literal_table, materialise
 def settle(counts: dict[int, int], owners: list[int], n_shards: int) -> list[dict]:
     """Split the arcs' rows over the shards.
 
-    counts: rows by arc; owners: the shard of each arc's virtual node, in ring order. In turn k each arc, in ring order,
-    puts what is left of it into the k-th distinct shard clockwise of it, as far as that has room.
+    counts: rows by arc; owners: the shard of each arc's virtual node, in ring order. An arc of more rows than a shard has room for
+    comes first and fills one shard clockwise after the other. Then, in turn k, each other arc, the largest first, puts what is
+    left of it into the k-th distinct shard clockwise of it, as far as that has room: what has room at home stays there.
     Returns segments: ranks lo to hi (exclusive) of ``arc`` go to ``shard``, where they take slots from ``first`` on.
     """
     n = sum(counts.values())
@@ -36,17 +38,25 @@ def settle(counts: dict[int, int], owners: list[int], n_shards: int) -> list[dic
     ahead: dict[int, list[int]] = {}
     for arc in counts:
         ahead[arc] = list(dict.fromkeys(owners[arc:] + owners[:arc]))
+
+    def put(arc: int, turn: int) -> None:
+        shard = ahead[arc][turn]
+        take = min(left[arc], room[shard] - used[shard])
+        if take > 0:
+            out.append({"arc": arc, "lo": done[arc], "hi": done[arc] + take, "shard": shard, "first": used[shard]})
+            used[shard] += take
+            done[arc] += take
+            left[arc] -= take
+
+    by_size = sorted(counts, key=lambda arc: (-counts[arc], arc))
+    for arc in by_size:
+        if counts[arc] > max(room):
+            for turn in range(len(ahead[arc])):
+                put(arc, turn)
     for turn in range(n_shards):
-        for arc in sorted(counts):
-            if not left[arc] or turn >= len(ahead[arc]):
-                continue
-            shard = ahead[arc][turn]
-            take = min(left[arc], room[shard] - used[shard])
-            if take > 0:
-                out.append({"arc": arc, "lo": done[arc], "hi": done[arc] + take, "shard": shard, "first": used[shard]})
-                used[shard] += take
-                done[arc] += take
-                left[arc] -= take
+        for arc in by_size:
+            if turn < len(ahead[arc]):
+                put(arc, turn)
     return out
 
 
@@ -60,12 +70,16 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 8, vnodes: int = 128, ri
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.pmod(F.xxhash64(F.lit(seed), text), F.lit(ring)).cast("int").alias("place"),
-        ).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(salts)).cast("int"))
+        )
+        .groupBy("doc_id", "size", "text_crc32", "place")
+        .agg(F.count("*").alias("alike"))
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(salts)).cast("int"))
     )
     nodes = (
         spark.range(n_shards * vnodes)
-        .select((F.col("id") % n_shards).cast("int").alias("owner"), F.pmod(F.xxhash64(F.lit(seed), F.lit("node"), "id"), F.lit(ring)).cast("int").alias("at"), "id")
-        .orderBy("at", "id")
+        .select(F.expr(f"id div {vnodes}").cast("int").alias("owner"), (F.col("id") % vnodes).alias("nth"))
+        .select("owner", F.pmod(F.xxhash64(F.lit(seed), F.lit("node"), "owner", "nth"), F.lit(ring)).cast("int").alias("at"), "nth")
+        .orderBy("at", "owner", "nth")
         .collect()
     )  # n_shards * vnodes rows
     owners = [r["owner"] for r in nodes]
@@ -77,14 +91,15 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 8, vnodes: int = 128, ri
         "place", F.coalesce(F.last("arc", ignorenulls=True).over(Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("arc")
     )
     around = materialise(around)  # one row for each place of the ring
-    counts = rows.groupBy("place", "salt").agg(F.count("*").alias("n")).join(F.broadcast(around), "place")
+    counts = rows.groupBy("place", "salt").agg(F.sum("alike").alias("n")).join(F.broadcast(around), "place")
     before = Window.partitionBy("arc").orderBy("place", "salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
     by_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     segments = literal_table(spark, settle(by_arc, owners, n_shards), "arc int, lo long, hi long, shard int, first long")
     homes = literal_table(spark, [{"arc": i, "home_shard": s} for i, s in enumerate(owners)], "arc int, home_shard int")
-    within = Window.partitionBy("place", "salt").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.join(counts.select("place", "salt", "arc", "base"), ["place", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
+    within = Window.partitionBy("place", "salt").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.join(counts.select("place", "salt", "arc", "base"), ["place", "salt"]).withColumn("low", F.col("base") + F.coalesce(F.sum("alike").over(within), F.lit(0)))
+    ranked = ranked.select("doc_id", "size", "text_crc32", "arc", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("alike") - 1)).alias("rank"))
     s, r = segments.alias("s"), ranked.alias("r")
     return (
         r.join(F.broadcast(s), F.expr("r.arc = s.arc AND r.rank >= s.lo AND r.rank < s.hi"))

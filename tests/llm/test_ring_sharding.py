@@ -56,3 +56,24 @@ def test_odd(odd, clashing, empty):
     held(rows, 8, texts)
     assert sorted(map(str, shard_documents(clashing).collect())) == sorted(map(str, rows))
     assert shard_documents(empty).collect() == []
+
+
+def test_a_new_shard_takes_places_and_no_other_place_moves(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    eight, nine = ({r.doc_id: (r.home_shard, r.shard) for r in shard_documents(docs, n_shards=n).collect()} for n in (8, 9))
+    assert {nine[d][0] for d in eight if eight[d][0] != nine[d][0]} == {8}
+    assert sum(eight[d][0] != nine[d][0] for d in eight) <= 4000 * 2 // 9
+    assert sum(eight[d][1] != nine[d][1] for d in eight) <= 4000 * 2 // 9  # with the overflow
+
+
+def test_placement_by_hand():
+    # ring: arcs 0 to 3 of shards 0, 1, 2, 0; 12 rows, room for 4 each
+    out = settle({0: 6, 1: 3, 2: 2, 3: 1}, [0, 1, 2, 0], 3)
+    got = {(s["arc"], s["shard"]): (s["lo"], s["hi"], s["first"]) for s in out}
+    # arc 0 is larger than a shard: it fills 0, then half of 1; arcs 1 and 2 take their homes; arc 3 finds 0 and 1 full and goes on to 2
+    assert got == {(0, 0): (0, 4, 0), (0, 1): (4, 6, 0), (1, 1): (0, 2, 2), (2, 2): (0, 2, 0), (1, 2): (2, 3, 2), (3, 2): (0, 1, 3)}
+
+
+def test_many_rows_that_are_alike(spark):
+    texts = [(1, "copy")] * 300 + [(i, f"text {i}") for i in range(100)]
+    held(shard_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), n_shards=4).collect(), 4, texts)
