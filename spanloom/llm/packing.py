@@ -14,11 +14,12 @@ pieces of their own; an empty table gives no rows. Any string is tokenised whole
 from __future__ import annotations
 
 import re
+import struct
 import sys
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 from types import ModuleType
 
 import numpy as np
@@ -31,57 +32,64 @@ from .common import materialise, small_batches
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+def _letters() -> tuple[str, str]:
+    """Latin letters below U+0250 that lower-case to letters below U+0250, as the insides of character classes: as they are in lower case, and all of them."""
+    found = [c for c in map(chr, range(0xA1, 0x250)) if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 and c.lower() < "\u0250"]
+    return "a-z" + "".join(sorted({c.lower() for c in found})), "".join(found)
+
+
 class WordTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, the same as the library's own.
 
     The tokenizer splits at white space and between letters, digits and signs before it merges, so a word's ids do not
-    depend on its neighbours and are remembered (up to ``most`` words). Words not met before are given to the library in one
-    text and told apart by the mark at each word's end. That holds for Latin letters; any other text goes to the library as a whole.
+    depend on its neighbours and are remembered. A memory of ``most`` words is full; then a new one starts, into which
+    words move from the last one as they are met again. That holds for Latin letters; any other text goes to the library as a whole.
     """
 
-    #: Latin letters in lower case, as the tokenizer sees them.
-    LETTER = "a-zªµºß-öø-ɏ"
+    LETTER, _LATIN = _letters()
     WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+")
     #: Anything but printable ASCII, tab, newline, return, Latin letters and signs, or what may begin a special token.
-    OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\\|")
+    OTHER = re.compile(f"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf\xd7\xf7{_LATIN}]|<\\|")
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
-        self.most, self.memo = most, {}
+        self.memo = WordIds(self.tokenizer.model.tokenize, most)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of words that aren't known yet."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        raw, at = ids.tobytes(), 0
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) != len(words):
-            self.memo.update((w, self.whole(w)) for w in words)
-            return
-        for w, stop in zip(words, stops, strict=True):
-            self.memo[w] = raw[at:stop]
-            at = stop
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.OTHER.search(t) else self.WORDS.findall(t.lower()) for t in texts]
-        known = [w for w in split if w is not None]
-        memo = self.memo
-        missing = set(filterfalse(memo.__contains__, chain.from_iterable(known)))
-        if missing:
-            if len(memo) + len(missing) > self.most:
-                memo.clear()
-                missing = set(chain.from_iterable(known))
-            self.learn(list(missing))
-        get = memo.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        get = self.memo.__getitem__
+        return [self.whole(t) if self.OTHER.search(t) else b"".join(map(get, self.WORDS.findall(t.lower()))) for t in texts]
+
+
+class WordIds(dict):
+    """The ids of words, as bytes: the latest ``most`` that were met, and those before."""
+
+    def __init__(self, merge, most: int):
+        super().__init__()
+        # the letters that stand for bytes beyond ASCII
+        self.merge, self.most, self.last, self.letters = merge, most, {}, {i: x for i, x in bytes_to_letters().items() if i > 127}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.last = dict(self)
+            self.clear()
+        known = self.last.get(word)
+        if known is None:
+            ids = [t.id for t in self.merge(word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters))]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = known
+        return known
+
+
+def bytes_to_letters() -> dict[int, str]:
+    """Which letter stands for each byte in byte-level vocabularies: printable Latin-1 signs for themselves, the others from U+0100 on in order."""
+    itself = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [i for i in range(256) if i not in itself]
+    return {i: chr(i) for i in itself} | {i: chr(256 + k) for k, i in enumerate(others)}
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
@@ -101,6 +109,7 @@ def pieces(docs: DataFrame, path: str, *, length: int = 4096, end_id: int = 1, s
         tokenizer = tokenizer_of(path)
         end = np.array([end_id], "<u4").tobytes()
         fields = pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], kinds, strict=True)))
+        made = 0
         for batch in it:
             names = batch.schema.names
             ids, texts = batch.column(names.index("doc_id")), batch.column(names.index("text"))
@@ -111,8 +120,9 @@ def pieces(docs: DataFrame, path: str, *, length: int = 4096, end_id: int = 1, s
                     data += end
                     for k, i in enumerate(range(0, len(data), 4 * length)):
                         part = data[i : i + 4 * length]
-                        crc = zlib.crc32(part)
-                        rows.append((doc_id, k, i // 4, len(part) // 4, crc, (crc ^ (doc_id or 0) * 40503 ^ k) % salts, *[part] * with_ids))
+                        # salts in turn, so that repeated rows don't share one
+                        rows.append((doc_id, k, i // 4, len(part) // 4, zlib.crc32(part), made % salts, *[part] * with_ids))
+                        made += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=fields)
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)

@@ -49,6 +49,19 @@ def test_word_memory_equals_the_library(library):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_equal_the_library_on_any_letters_below_u0250(library):
+    rng = np.random.default_rng(3)
+    pools = ["".join(map(chr, range(0x250))), "".join(map(chr, range(0xC0, 0x250))), "ȺȾɁƁabV ' sdtl'0 1", "abc étîüß's't .,;!"]
+    mine = WordTokenizer(tokenizer_path(), most=2000)
+    fast = 0
+    for _ in range(300):
+        texts = ["".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 12))) for pool in pools for _ in range(10)]
+        fast += sum(mine.OTHER.search(t) is None for t in texts)
+        for t, ids in zip(texts, mine.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert fast > 3000
+
+
 def test_plan_uses_what_is_there_and_fills():
     rng = np.random.default_rng(5)
     for length in (8, 64, 512):
