@@ -76,29 +76,40 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def add_blocks(parts: DataFrame, kind: str = "f8", packed: bool = False) -> DataFrame:
+def add_blocks(parts: DataFrame, kind: str = "f8", packed: bool = False, add: np.ufunc = np.add, fan: int = 64) -> DataFrame:
     """Sum arrays: rows (block int, data binary) of many tasks become one row for each block.
 
-    ``data`` is the raw array of numbers of this kind, compressed on its way if ``packed``. Each block has a fixed size, so what meets in a task does not
-    depend on the input but for the number of tasks that sent it.
+    ``data`` is the raw array of numbers of this kind, compressed on its way if ``packed``. Each block has a fixed size. Blocks are summed in two steps,
+    first what ``fan`` groups of tasks sent, so that what meets in a task grows by a fan-th of the number of tasks.
     """
 
-    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(it: Iterator[pa.RecordBatch], packed_out: bool) -> Iterator[pa.RecordBatch]:
+        def row(block: int, x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([zlib.compress(x, 1) if packed_out else x.tobytes()], pa.binary())})
+
         # rows come sorted by block
-        at, total = None, None
+        at, x = None, None
         for batch in it:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(data) if packed else data, kind)
+                y = np.frombuffer(zlib.decompress(data) if packed else data, kind)
                 if block != at:
-                    if total is not None:
-                        yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-                    at, total = block, x.copy()
+                    if at is not None:
+                        yield row(at, x)
+                    at, x = block, y.copy()
                 else:
-                    total += x
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+                    add(x, y, out=x)
+        if at is not None:
+            yield row(at, x)
+
+    def some(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from total(it, packed)
+
+    def all_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from total(it, False)
 
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary")
+    schema = "block int, data binary"
+    first = parts.withColumn("__part", F.spark_partition_id() % fan).repartition("block", "__part").sortWithinPartitions("block", "__part").select("block", "data").mapInArrow(some, schema)
+    return first.repartition("block").sortWithinPartitions("block").mapInArrow(all_, schema)
 
 
 def blocks_of(total: np.ndarray, length: int, packed: bool = False) -> Iterator[pa.RecordBatch]:

@@ -84,21 +84,41 @@ def settle(lengths: np.ndarray, counts: np.ndarray, x: np.ndarray, left: int, mo
     return left
 
 
+def roughly(lengths: np.ndarray, counts: np.ndarray, left: int, most_exact: int) -> np.ndarray:
+    """Documents of about ``left`` words: the dynamic program in units of which ``left`` has ``most_exact`` at most."""
+    unit = -(-left // most_exact)
+    out = np.zeros(len(lengths), np.int64)
+    usable = np.flatnonzero((counts > 0) & (lengths <= 2 * left))
+    usable = usable[np.argsort(-lengths[usable], kind="stable")]
+    scaled = np.maximum(1, (lengths[usable] + unit // 2) // unit)
+    out[usable] = knapsack(scaled.tolist(), counts[usable].tolist(), left // unit)
+    return out
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most_exact: int = 1 << 16) -> np.ndarray:
     """Choose ``0 <= x <= counts`` with ``sum(x * lengths)`` near to ``budget``.
 
-    Counts are scaled down to the budget and the rest is settled. Where unused documents are too long for that, two of them never come nearer
-    than one: the longest that fits and the shortest that exceeds, for which documents taken before make room, are compared with none.
+    Counts are scaled down to the budget and the rest is settled. Where long documents keep that from coming near, the nearest of these is taken:
+    this choice; the same with one more document, the longest that fits or the shortest that exceeds, for which documents taken before make room; and what the dynamic
+    program in coarser units finds for the whole rest, settled in its turn.
     """
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
     x = np.array([int(c) * budget // total for c in counts], np.int64)
-    left = settle(lengths, counts, x, budget - int((x * lengths).sum()), most_exact)
-    if left <= 4 * most_exact:
+    rest = budget - int((x * lengths).sum())
+    rough = x.copy()
+    left = settle(lengths, counts, x, rest, most_exact)
+    if not left:
         return x
-    best = (left, x)
-    unused = np.flatnonzero(counts > x)
+    best = (abs(left), x)
+    if rest > most_exact:
+        rough += roughly(lengths, counts - rough, rest, most_exact)
+        over = budget - int((rough * lengths).sum())
+        if over > 0:
+            over = settle(lengths, counts, rough, over, most_exact)
+        best = min(best, (abs(over), rough), key=lambda z: z[0])
+    unused = np.flatnonzero(counts > x) if left > 0 else np.zeros(0, np.int64)
     short, long = unused[lengths[unused] <= left], unused[lengths[unused] > left]
     for i in (*short[np.argsort(lengths[short])][-1:], *long[np.argsort(lengths[long])][:1]):
         y, out = x.copy(), np.zeros_like(x)

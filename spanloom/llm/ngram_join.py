@@ -7,21 +7,22 @@ row, so hot texts never gather.
    come first, then the others, rare ones first; hashes above the bound come last, by value. A set's prefix is its first
    ``n - ceil(t n) + 1`` grams. Linked sets share a gram of their prefixes, and a gram of one set alone is shared with none:
    a set whose whole prefix is its own (most are) is done here, the others post the rest of their prefix.
-2. In each posted gram's run, by set size, a leader is paired with those that follow within the size bound. The partners
+2. In each posted gram's run, by set size, a leader is paired with those that follow within the size bound. Linked sets of sizes a and b
+   share at least ``needed(a, b) - ceil(t max(a, b)) + 1`` grams of their prefixes; pairs that meet in as many runs are checked. The partners
    of a leader are stored in a prefix tree; the leader walks it. Paths that partners share are counted once, and a subtree
    ends where what remains of the sets can't lift the overlap to the bound. Found links join classes into components.
 3. Twice, each class is paired with the class of another component that looks nearest by bitmap, so that components
    grow as in Boruvka's algorithm.
-4. All pairs that meet in runs and are in different components by then are counted, unless their bitmaps rule a link out.
-   Linked sets of sizes a and b share at least ``needed(a, b) - ceil(t max(a, b)) + 1`` grams of their prefixes; pairs that
-   meet in as many runs are checked in the same way. So pairs inside a group of near copies are not listed, yet every
-   link between components is found: the result is exact.
+4. All pairs that are in different components by then are checked in the same way, unless places or bitmaps rule a link out. So pairs
+   inside a group of near copies are not listed, yet every link between components is found: the result is exact.
 
-A class's bitmap holds the parities of its grams by hash value. Two bitmaps differ in no more bits than the sets differ in
-grams, so a pair whose bitmaps differ in more than linked sets may is no link.
+The first gram that two linked sets share is among the first ``n - needed(a, b) + 1`` of each, so a pair counts only in runs of such places.
+A class's bitmap holds the parities of its grams by hash value, in about as many bits as it has grams (256 to 4,096). Two bitmaps
+differ in no more bits than the sets differ in grams, so a pair whose bitmaps differ in more than linked sets may is no link. Bitmaps are
+sent only for rows that have a partner of another component left.
 
-Only texts of classes in such pairs are read again. A bitmap of fixed size keeps the other texts out of the shuffle (a
-collision sends a text in vain, no more).
+Only texts of classes in such pairs are read again. A bitmap of their keys, of 8 bits a key and at most 2^27, keeps the other texts out of
+the shuffle (a collision sends a text in vain, no more).
 
 A leader's partners are dealt into trees of at most ``tree`` sets.
 
@@ -32,7 +33,7 @@ without, then null; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, collect_blocks, components, materialise, small_batches
+from .common import add_blocks, blocks_of, collect_blocks, components, materialise, small_batches
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # any odd numbers
 
@@ -134,40 +135,50 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), as_long(flat))
 
 
-def runs(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole runs of equal ``gram`` from batches sorted by it; runs of one row are left out."""
-    kept: dict[str, list[np.ndarray]] = {}
-    last = None
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        columns = {n: batch.column(i).to_numpy() for i, n in enumerate(batch.schema.names)}
+def runs(it: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Whole runs of equal ``gram``, many at a time, from batches sorted by it: the columns, and where runs start. Runs of one row are left out."""
+
+    def many(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+        columns = {n: t.column(n).to_numpy() for n in t.column_names}
         gram = columns["gram"]
-        starts = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1 if last is None else last) != 0)
-        bounds = [0, *starts.tolist(), len(gram)] if not len(starts) or starts[0] else [*starts.tolist(), len(gram)]
-        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            goes_on = i == 0 and last is not None and gram[lo] == last
-            if not goes_on and kept:
-                if sum(map(len, kept["gram"])) > 1:
-                    yield {n: np.concatenate(v) for n, v in kept.items()}
-                kept = {}
-            if not goes_on and hi < len(gram) and hi - lo == 1:
-                continue
-            for n, c in columns.items():
-                kept.setdefault(n, []).append(c[lo:hi])
-        last = gram[-1]
-    if kept and sum(map(len, kept["gram"])) > 1:
-        yield {n: np.concatenate(v) for n, v in kept.items()}
-
-
-def leaders(size: np.ndarray, percent: int) -> np.ndarray:
-    """For ascending set sizes: the index of the first of the stretch within the size bound that each row belongs to."""
-    out = np.empty(len(size), np.int64)
-    lead = 0
-    while lead < len(size):
-        end = int(np.searchsorted(size, size[lead] * 100 // percent, "right"))
-        out[lead:end] = lead
-        lead = max(end, lead + 1)
+        same = gram[1:] == gram[:-1]
+        inside = np.append(False, same) | np.append(same, False)
+        columns = {n: c[inside] for n, c in columns.items()}
+        gram = columns["gram"]
+        return (columns, np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))) if len(gram) else None
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in it:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            gram = t.column("gram").to_numpy()
+            change = np.flatnonzero(gram[1:] != gram[:-1])
+            if len(change):
+                last = int(change[-1]) + 1
+                if found := many(t.slice(0, last)):
+                    yield found
+                held, n = t.slice(last).to_batches(), n - last
+    if n and (found := many(pa.Table.from_batches(held))):
+        yield found
+
+
+def ends_of(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.append(starts[1:], n)
+
+
+def leaders(size: np.ndarray, percent: int, starts: np.ndarray) -> np.ndarray:
+    """For set sizes, ascending inside runs: the index of the first of the stretch within the size bound that each row belongs to."""
+    ends = ends_of(starts, len(size))
+    out = np.repeat(starts, ends - starts)
+    for first, end in zip(starts[(wide := size[ends - 1] > size[starts] * 100 // percent)].tolist(), ends[wide].tolist(), strict=True):
+        lead = first
+        while lead < end:
+            stop = lead + int(np.searchsorted(size[lead:end], size[lead] * 100 // percent, "right"))
+            out[lead:stop] = lead
+            lead = max(stop, lead + 1)
     return out
 
 
@@ -184,68 +195,152 @@ def least_runs(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return o + 1 + np.maximum(percent * a, percent * b) // -100
 
 
-BITS = 256
-_WORDS = [f"b{i}" for i in range(BITS // 64)]
-
-
-def parities(grams: np.ndarray) -> np.ndarray:
-    """The parity of the number of grams at each hash value, as 64-bit words."""
-    odd = np.bincount((grams >> np.uint64(40) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def across(run: dict[str, np.ndarray], percent: int, block: int = 256) -> Iterator[dict[str, np.ndarray]]:
-    """Pairs of a run (by ascending size) of different components that size and bitmaps allow, with how far the bitmaps differ."""
-    size, comp, cid = run["n"], run["comp"], run["cid"]
-    ends = np.searchsorted(size, size * 100 // percent, "right")
-    words = [run[w].view(np.uint64) for w in _WORDS]  # counts of bits are of absolute values where numbers have signs
-    for lo in range(0, len(size), block):
-        hi = min(lo + block, len(size))
-        top = int(ends[hi - 1])
-        a, b = np.nonzero(comp[lo:hi, None] != comp[None, lo:top])
-        a, b = a + lo, b + lo
-        ok = (a < b) & (b < ends[a])
+COARSE, FINE = 256, 4096
+
+
+def parities(grams: np.ndarray) -> bytes:
+    """The parity of the number of grams at each hash value, in a power of two of bits that is no less than the number of grams (COARSE to FINE)."""
+    bits = min(FINE, max(COARSE, 1 << max(0, len(grams) - 1).bit_length()))
+    odd = np.bincount((grams >> np.uint64(40) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of some rows, by ascending set size."""
+
+    def __init__(self, rows: np.ndarray):
+        width = np.fromiter((len(r) // 8 for r in rows), np.int64, len(rows))
+        self.width, self.at = width, np.zeros(len(rows), np.int64)  # in 64-bit words, and where a row is among those of its width
+        self.coarse, self.fine = np.empty((len(rows), COARSE // 64), np.uint64), {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            self.at[own] = np.arange(len(own))
+            self.fine[w] = np.frombuffer(b"".join(rows[own].tolist()), np.uint64).reshape(len(own), w)
+            self.coarse[own] = np.bitwise_xor.reduce(self.fine[w].reshape(len(own), -1, COARSE // 64), 1)
+
+    def folded(self, rows: np.ndarray, w: int) -> np.ndarray:
+        """The rows' bitmaps at ``w`` words, which is theirs or less."""
+        out = np.empty((len(rows), w), np.uint64)
+        for own in np.unique(self.width[rows]).tolist():
+            some = self.width[rows] == own
+            out[some] = np.bitwise_xor.reduce(self.fine[own][self.at[rows[some]]].reshape(-1, own // w, w), 1)
+        return out
+
+    def far(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """In how many bits rows a and b (no smaller sets) differ, as far as that is no more than ``most``."""
+        far = np.bitwise_count(self.coarse[a] ^ self.coarse[b]).sum(1, dtype=np.int64)
+        for w in np.unique(self.width[a]).tolist():
+            some = np.flatnonzero((self.width[a] == w) & (far <= most)) if w > COARSE // 64 else ()
+            for i in range(0, len(some), 16_384):
+                part = some[i : i + 16_384]
+                far[part] = np.bitwise_count(self.folded(a[part], w) ^ self.folded(b[part], w)).sum(1, dtype=np.int64)
+        return far
+
+
+def apart(run: dict[str, np.ndarray], starts: np.ndarray, percent: int, small: int = 48, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a, b) of one run (each by ascending size) of different components that sizes and places allow."""
+    size, comp, place = run["n"], run["comp"], run["place"]
+
+    def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        least = -(-percent * (size[a] + size[b]) // (100 + percent))
+        return (size[b] * percent <= size[a] * 100) & (place[a] <= size[a] - least + 1) & (place[b] <= size[b] - least + 1)
+
+    ends = ends_of(starts, len(size))
+    # runs of one component have nothing to find
+    differ = np.append(False, comp[1:] != comp[:-1])
+    differ[starts] = False
+    mixed = np.add.reduceat(differ, starts) > 0 if len(starts) else differ
+    little = mixed & (ends - starts <= small)
+    rows = np.repeat(starts[little], (ends - starts)[little]) + ranges((ends - starts)[little])
+    after = np.repeat(ends[little], (ends - starts)[little]) - rows - 1
+    for i in range(0, len(rows), 16_384):
+        n = after[i : i + 16_384]
+        a = np.repeat(rows[i : i + 16_384], n)
+        b = a + 1 + ranges(n)
+        ok = np.flatnonzero(comp[a] != comp[b])
         a, b = a[ok], b[ok]
-        far = sum((np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words), np.zeros(len(a), np.int64))
-        total = size[a] + size[b]
-        ok = far <= total - 2 * -(-percent * total // (100 + percent))
-        a, b, far = a[ok], b[ok], far[ok]
-        if len(a):
-            yield {"a": cid[a], "b": cid[b], "least": least_runs(size[a], size[b], percent), "far": far}
-
+        ok = allowed(a, b)
+        if ok.any():
+            yield a[ok], b[ok]
+    for start, end in zip(starts[mixed & ~little].tolist(), ends[mixed & ~little].tolist(), strict=True):
+        # of two rows one at least is not in the run's largest component: only such rows look for partners
+        own, sizes = comp[start:end], size[start:end]
+        _, number, counts = np.unique(own, return_inverse=True, return_counts=True)
+        few = number.reshape(-1) != counts.argmax()
+        # the sizes that b may have for a, and the other way round
+        low, high = np.searchsorted(sizes, -(-sizes * percent // 100), "left"), np.searchsorted(sizes, sizes * 100 // percent, "right")
+        look = np.flatnonzero(few)
+        step = max(1, most // len(sizes))
+        for i in range(0, len(look), step):
+            some = look[i : i + step]
+            first, last = int(low[some].min()), int(high[some].max())
+            x, y = np.nonzero(own[some, None] != own[None, first:last])
+            x, y = some[x], y + first
+            ok = ~few[y] | (x < y)  # two such rows meet once
+            x, y = x[ok], y[ok]
+            a, b = start + np.minimum(x, y), start + np.maximum(x, y)
+            ok = allowed(a, b)
+            if ok.any():
+                yield a[ok], b[ok]
+
+
+def ranges(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each of these numbers."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def across(run: dict[str, np.ndarray], starts: np.ndarray, percent: int, most: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
+    """The pairs of :func:`apart` that bitmaps allow, with how far these differ."""
+    size, cid = run["n"], run["cid"]
+    bits = None
+    for x, y in apart(run, starts, percent):
+        bits = Bitmaps(run["bits"]) if bits is None else bits
+        for i in range(0, len(x), most):
+            a, b = x[i : i + most], y[i : i + most]
+            total = size[a] + size[b]
+            allowed = total - 2 * -(-percent * total // (100 + percent))
+            far = bits.far(a, b, allowed)
+            ok = far <= allowed
+            if ok.any():
+                yield {"a": cid[a[ok]], "b": cid[b[ok]], "far": far[ok]}
+
+
+def together(found: Iterator[dict[str, np.ndarray]], names: list[str], batch, most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` of the distinct rows of what was found, a bounded number of rows at a time."""
+    held, n = [], 0
+    for f in found:
+        held.append(np.stack([f[c] for c in names], 1))
+        n += len(held[-1])
+        if n >= most:
+            distinct = np.unique(np.concatenate(held), axis=0)
+            held, n = [distinct], len(distinct)
+            if n >= most // 2:
+                yield batch(distinct)
+                held, n = [], 0
+    if n:
+        yield batch(np.unique(np.concatenate(held), axis=0))
 
-def nearest(found: Iterator[dict[str, np.ndarray]], rare: int = 40) -> Iterator[pa.RecordBatch]:
-    """x, y, far: for each class of the pairs its nearest partner so far, a bounded number of pairs at a time.
 
-    Pairs that would link only if they met in more than ``rare`` runs, but met once here, are no good guess.
-    """
+def nearest(rows: np.ndarray) -> pa.RecordBatch:
+    """x, y, far: for each class of the pairs (a, b, far) its nearest partner."""
+    a, b, far = rows.T
+    x, y, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
+    order = np.lexsort((y, far, x))
+    x, y, far = x[order], y[order], far[order]
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (x, y, far)], names=["x", "y", "far"])
 
-    def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        rows, met = np.unique(np.stack([np.concatenate([h[c] for h in held]) for c in ("a", "b", "far", "least")], 1), axis=0, return_counts=True)
-        a, b, far, _ = np.ascontiguousarray(rows[(met > 1) | (rows[:, 3] <= rare)].T)
-        x, y, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
-        order = np.lexsort((y, far, x))
-        x, y, far = x[order], y[order], far[order]
-        first = np.ones(len(x), bool)
-        first[1:] = x[1:] != x[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (x, y, far)], names=["x", "y", "far"])
 
-    held, n = [], 0
-    for f in found:
-        held.append(f)
-        n += len(f["a"])
-        if n >= 300_000:
-            yield batch(held)
-            held, n = [], 0
-    if n:
-        yield batch(held)
+def listed(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["a", "b"])
 
 
-def led(run: dict[str, np.ndarray], percent: int) -> Iterator[dict[str, np.ndarray]]:
-    """Each row of a run with its leader."""
-    lead = leaders(run["n"], percent)
+def led(run: dict[str, np.ndarray], starts: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """Each row of some runs with its leader."""
+    lead = leaders(run["n"], percent, starts)
     row = np.flatnonzero(lead != np.arange(len(lead)))
-    yield {"a": run["cid"][lead[row]], "b": run["cid"][row], "least": least_runs(run["n"][lead[row]], run["n"][row], percent)}
+    return {"a": run["cid"][lead[row]], "b": run["cid"][row], "least": least_runs(run["n"][lead[row]], run["n"][row], percent)}
 
 
 def counted(found: Iterator[dict[str, np.ndarray]], most: int = 300_000) -> Iterator[pa.RecordBatch]:
@@ -296,27 +391,36 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
-def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, bits: int = 1 << 23) -> DataFrame:
-    """cid, path (the set by ascending hash) of every class in ``pairs``."""
-    active = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = materialise(classes.join(active, "cid", "left_semi").select("key", "cid"))
+def key_filter(keys: DataFrame, most: int = 1 << 27) -> Callable[[str], Column]:
+    """A test of a column of 64-bit keys: true for all of ``keys`` (one column), and for others now and then.
+
+    The bitmap that is broadcast has 8 bits a key, at most ``most`` (16 MB).
+    """
+    bits = min(most, max(1 << 16, 1 << (8 * keys.count()).bit_length()))
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(bits // 32)
+        marked = np.zeros(bits // 8, np.uint8)
         for batch in it:
-            at = np.unique(batch.column(0).to_numpy() & (bits - 1))
-            words = np.zeros(bits // 32, np.uint32)
-            np.bitwise_or.at(words, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-            total = (total.astype(np.uint32) | words).astype(np.float64)
-        yield from blocks_of(total, 4096)
+            at = batch.column(0).to_numpy() & (bits - 1)
+            np.bitwise_or.at(marked, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield from blocks_of(marked, 65_536, packed=True)
 
-    # one task: its input is ids alone, its result has a fixed size
-    bitmap = keyed.sparkSession.sparkContext.broadcast(collect_blocks(wanted.select("key").coalesce(1).mapInArrow(mark, "block int, data binary"), bits // 32, 4096).astype(np.uint32))
+    union = add_blocks(keys.mapInArrow(mark, "block int, data binary"), "u1", packed=True, add=np.bitwise_or)
+    bitmap = keys.sparkSession.sparkContext.broadcast(collect_blocks(union, bits // 8, 65_536, "u1"))
 
     @F.pandas_udf("boolean")
     def maybe(key: pd.Series) -> pd.Series:
         at = key.to_numpy() & (bits - 1)
-        return pd.Series((bitmap.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+        return pd.Series((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return maybe
+
+
+def paths_of(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """cid, path (the set by ascending hash) of every class in ``pairs``."""
+    active = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = materialise(classes.join(active, "cid", "left_semi").select("key", "cid"))
+    maybe = key_filter(wanted.select("key"))
 
     def ordered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = WordHashes(), set()
@@ -358,92 +462,86 @@ def join(docs: DataFrame, *, n: int = 3, percent: int = 90, pool: float | None =
                 sizes.append(len(grams))
                 low.append(grams[:0] if again else grams[:at])
                 tails.append(grams[:0] if again else grams[at : at + max(0, prefix_size(len(grams), percent) - at)])
-                bits.append(parities(grams))
-            words = np.array(bits, np.int64).reshape(-1, len(_WORDS)).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(low), lists(tails), *[pa.array(np.ascontiguousarray(w)) for w in words]], names=["doc_id", "key", "n_shingles", "cid", "low", "tail", *_WORDS])
+                bits.append(None if again else parities(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), lists(low), lists(tails), pa.array(bits, pa.binary())], names=["doc_id", "key", "n_shingles", "cid", "low", "tail", "bits"])
 
-    words = ", ".join(f"{w} long" for w in _WORDS)
-    signed = materialise(keyed.mapInArrow(sign, f"doc_id long, key long, n_shingles long, cid long, low array<long>, tail array<long>, {words}"))
+    signed = materialise(keyed.mapInArrow(sign, "doc_id long, key long, n_shingles long, cid long, low array<long>, tail array<long>, bits binary"))
     # one row for each class; the row whose text will stand for it is the one with the smallest key
-    classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.max(F.size("low")).cast("long").alias("pooled"), *[F.first(w).alias(w) for w in _WORDS])
+    classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.max(F.size("low")).cast("long").alias("pooled"), F.max("bits").alias("bits"))
     classes = materialise(classes)
 
     def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Grams of two classes or more, with their number; a class that several tasks sent counts once."""
-        held, rows = [], 0
-        for run in runs(it):
-            cid = np.unique(run["cid"])
-            if len(cid) > 1:
-                held.append((np.full(len(cid), run["gram"][0]), cid, np.full(len(cid), len(cid))))
-                rows += len(cid)
-                if rows > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "cid", "df"])
-                    held, rows = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["gram", "cid", "df"])
+        for run, _ in runs(it):
+            gram, cid = run["gram"], run["cid"]
+            once = np.append(True, (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1]))
+            gram, cid = gram[once], cid[once]
+            starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            n = ends_of(starts, len(gram)) - starts
+            df = np.repeat(n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c[df > 1]) for c in (gram, cid, df)], names=["gram", "cid", "df"])
 
     counted_ = signed.select(F.explode("low").alias("gram"), "cid").repartition("gram").sortWithinPartitions("gram", "cid")
     common = materialise(counted_.mapInArrow(shared, "gram long, cid long, df long"))
     # how much of each prefix is left after the grams that no other class holds
     left = common.groupBy("cid").agg(F.count("*").alias("common"))
     p = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    left = classes.join(left, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("common", F.lit(0)).alias("common"), (p - F.col("pooled") + F.coalesce("common", F.lit(0))).cast("long").alias("want")).where("want > 0")
+    left = classes.join(left, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("common", F.lit(0)).alias("common"), (p - F.col("pooled") + F.coalesce("common", F.lit(0))).cast("long").alias("want"), (F.col("pooled") - F.coalesce("common", F.lit(0))).alias("own")).where("want > 0")
     left = materialise(left)
     order = Window.partitionBy("cid").orderBy("df", "gram")
-    posted = common.join(left, "cid").withColumn("nth", F.row_number().over(order)).where("nth <= want").select("gram", "n", "cid")
+    posted = common.join(left, "cid").withColumn("nth", F.row_number().over(order)).where("nth <= want").select("gram", "n", "cid", (F.col("own") + F.col("nth")).alias("place"))
     # a class with fewer grams below the bound than its prefix takes has the rest in ``tail``
-    tails = signed.where("size(tail) > 0").select("cid", F.col("n_shingles").alias("n"), F.explode("tail").alias("gram")).distinct()
-    posted = posted.unionByName(tails.select("gram", "n", "cid"))
+    tails = signed.where("size(tail) > 0").select("cid", F.col("n_shingles").alias("n"), F.size("low").alias("pooled"), F.posexplode("tail").alias("at", "gram")).distinct()
+    posted = posted.unionByName(tails.select("gram", "n", "cid", (F.col("pooled") + F.col("at") + 1).cast("long").alias("place")))
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "n", "cid"]
-
-        def batch(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[c] for r in held])) for c in names], names=names)
-
-        held, rows = [], 0
-        for run in runs(it):
-            held.append(run)
-            rows += len(run["gram"])
-            if rows > 50_000:
-                yield batch(held)
-                held, rows = [], 0
-        if held:
-            yield batch(held)
+        for run, _ in runs(it):
+            yield pa.RecordBatch.from_arrays([pa.array(run[c]) for c in ("gram", "n", "cid", "place")], names=["gram", "n", "cid", "place"])
 
     def by_run(df: DataFrame) -> DataFrame:
         return df.repartition("gram").sortWithinPartitions("gram", "n", "cid")
 
-    met = materialise(by_run(posted).mapInArrow(meet, "gram long, n long, cid long"))
+    met = materialise(by_run(posted).mapInArrow(meet, "gram long, n long, cid long, place long"))
 
     def with_leaders(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(x for run in runs(it) for x in led(run, percent))
+        yield from counted(led(*run, percent) for run in runs(it))
 
-    def open_runs(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for run in runs(it):
-            if (run["comp"] != run["comp"][0]).any():
-                yield from across(run, percent)
+    def open_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that may have a partner yet."""
+        for run, starts in runs(it):
+            open_ = np.zeros(len(run["gram"]), bool)
+            for a, b in apart(run, starts, percent):
+                open_[a] = True
+                open_[b] = True
+            yield pa.RecordBatch.from_arrays([pa.array(run[c][open_]) for c in ("gram", "n", "cid", "place", "comp")], names=["gram", "n", "cid", "place", "comp"])
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from nearest(open_runs(it))
+        yield from together((x for run in runs(it) for x in across(*run, percent)), ["a", "b", "far"], nearest)
 
     def rest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from counted(open_runs(it))
+        yield from together((x for run in runs(it) for x in across(*run, percent)), ["a", "b"], listed)
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
         return materialise(check_pairs(pairs, paths_of(keyed, classes, pairs, n), percent, tree))
 
-    def named(links: DataFrame) -> DataFrame:
-        of = classes.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("comp"), *_WORDS)
-        return by_run(met.join(of, "cid").select("gram", "n", "cid", "comp", *_WORDS))
+    def still_open(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows that may hold further links, with their components."""
+        of = classes.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("comp"))
+        return materialise(by_run(rows.drop("comp").join(of, "cid").select("gram", "n", "cid", "place", "comp")).mapInArrow(open_runs, "gram long, n long, cid long, place long, comp long"))
+
+    def mapped(rows: DataFrame) -> DataFrame:
+        return by_run(rows.join(classes.select("cid", "bits"), "cid").select("gram", "n", "cid", "place", "comp", "bits"))
 
-    schema = "a long, b long, least long, met long"
-    links = linked(often(by_run(met).mapInArrow(with_leaders, schema)))
+    links = linked(often(by_run(met.select("gram", "n", "cid")).mapInArrow(with_leaders, "a long, b long, least long, met long")))
+    left_open = met
     for _ in range(2):
-        best = named(links).mapInArrow(near, "x long, y long, far long").groupBy("x").agg(F.min(F.struct("far", "y")).alias("m"))
+        left_open = still_open(left_open, links)
+        best = mapped(left_open).mapInArrow(near, "x long, y long, far long").groupBy("x").agg(F.min(F.struct("far", "y")).alias("m"))
         links = links.union(linked(best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()))
-    roots = components(links.union(linked(often(named(links).mapInArrow(rest, schema)))))
+    left_open = still_open(left_open, links)
+    links = links.union(linked(mapped(left_open).mapInArrow(rest, "a long, b long").distinct()))
+    roots = components(links)
     of = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", F.coalesce("root", "cid").alias("root"))
     lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = of.join(lows, "root").select("cid", "component_id", F.col("root").alias("group_id"))
@@ -451,11 +549,22 @@ def join(docs: DataFrame, *, n: int = 3, percent: int = 90, pool: float | None =
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its own columns. Documents without words all stay."""
+    """The document with the smallest doc_id of each component, with its own columns. Documents without words all stay.
+
+    Only rows that go, or that are alike in doc_id and text, meet their keys in a shuffle; all others pass. Of rows that are alike one stays.
+    """
     rows = materialise(join(docs, **params).select("doc_id", "group_id", "key"))
-    kept = rows.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low")).select("low.key")
-    kept = kept.select("key", F.lit(True).alias("__once")).union(rows.where("group_id IS NULL").select("key", F.lit(False)).distinct())
-    # rows that are alike in doc_id and text have one key; the first of them stays
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    found = docs.withColumn("__key", row_key()).join(kept.withColumnRenamed("key", "__key"), "__key").withColumn("__nth", nth)
-    return found.where("__nth = 1 OR NOT __once").select(*docs.columns)
+    worded = rows.where("group_id IS NOT NULL").groupBy("group_id", "doc_id", "key").agg(F.count("*").alias("n"))
+    lowest = worded.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("low"), F.sum("n").alias("n")).where("n > 1").select("group_id", F.col("low.key").alias("low"))
+    # the keys of components of more than one row, and whether their rows stay
+    judged = materialise(worded.join(lowest, "group_id").select("key", "n", (F.col("key") == F.col("low")).alias("stays")))
+    gone, alike = judged.where("NOT stays").select(F.col("key").alias("__key")), judged.where("stays AND n > 1").select(F.col("key").alias("__key"))
+    kept = docs.withColumn("__key", row_key())
+    maybe = key_filter(gone)
+    kept = kept.where(~maybe("__key")).unionByName(kept.where(maybe("__key")).join(gone, "__key", "left_anti"))
+    if alike.limit(1).count():
+        maybe = key_filter(alike)
+        met = kept.where(maybe("__key"))
+        once = met.join(alike, "__key", "left_semi").groupBy("__key").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+        return kept.where(~maybe("__key")).select(*docs.columns).unionByName(met.join(alike, "__key", "left_anti").select(*docs.columns)).unionByName(once)
+    return kept.select(*docs.columns)

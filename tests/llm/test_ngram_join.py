@@ -3,9 +3,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from spanloom.llm.ngram_join import PrefixTree, WordHashes, across, gram_set, join, leaders, least_runs, needed, parities
+from spanloom.llm.ngram_join import Bitmaps, PrefixTree, WordHashes, across, gram_set, join, keep_one, key_filter, leaders, least_runs, needed, parities, runs
 
 
 def brute(rows, n, percent):
@@ -94,17 +95,94 @@ def test_tree_finds_what_brute_force_finds():
 
 def test_bounds():
     assert all(100 * needed(a, b, 90) >= 90 * (a + b - needed(a, b, 90)) > 100 * (needed(a, b, 90) - 1) - 90 for a in range(1, 60) for b in range(a, 60))
-    assert leaders(np.array([10, 10, 11, 12, 13, 30]), 90).tolist() == [0, 0, 0, 3, 3, 5]
-    run = {"n": np.array([10, 10, 11]), "comp": np.array([1, 1, 2]), "cid": np.array([1, 4, 2]), **{f"b{i}": np.zeros(3, np.int64) for i in range(4)}}
-    assert [(x["a"].tolist(), x["b"].tolist()) for x in across(run, 90)] == [([1, 4], [2, 2])]
+    assert leaders(np.array([10, 10, 11, 12, 13, 30]), 90, np.array([0])).tolist() == [0, 0, 0, 3, 3, 5]
+    assert leaders(np.array([10, 10, 11, 12, 13, 30]), 90, np.array([0, 3, 5])).tolist() == [0, 0, 0, 3, 3, 5]
+    assert leaders(np.array([10, 12, 13, 20, 21]), 90, np.array([0, 3])).tolist() == [0, 1, 1, 3, 3]
+    run = {"n": np.array([10, 10, 11]), "comp": np.array([1, 1, 2]), "cid": np.array([1, 4, 2]), "place": np.ones(3, np.int64), "bits": np.array([parities(np.arange(k).astype(np.uint64)) for k in (10, 10, 11)], object)}
+    assert [(x["a"].tolist(), x["b"].tolist()) for x in across(run, np.array([0]), 90)] == [([1, 4], [2, 2])]
+    # 10 and 11 grams share 10 at least: they meet first at their first, or the longer one's second
+    assert [(x["a"].tolist(), x["b"].tolist()) for x in across({**run, "place": np.array([1, 2, 2])}, np.array([0]), 90)] == [([1], [2])]
 
 
 def test_bitmaps_differ_no_more_than_sets():
     rng = np.random.default_rng(9)
-    for _ in range(300):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(1, 50)).astype(np.uint64)]))
-        assert np.bitwise_count((parities(a) ^ parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+    sets = []
+    for size in (1, 60, 200, 250, 300, 500, 520, 3000, 4090, 4100, 9000):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        sets += [a, *[np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 2**63, rng.integers(1, 50)).astype(np.uint64)])) for share in (0.5, 0.8, 0.97)]]
+    sets.sort(key=len)
+    bitmaps = Bitmaps(np.array([parities(x) for x in sets] + [None], object)[:-1])
+    a, b = np.triu_indices(len(sets), 1)
+    true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (bitmaps.far(a, b, np.full(len(a), 1 << 30)) <= true).all()
+    # sets of one size that share half of their grams are told from near ones
+    for size in (300, 1000, 4000):
+        x = rng.integers(0, 2**63, size).astype(np.uint64)
+        y = np.where(rng.random(size) < 0.75, x, rng.integers(0, 2**63, size).astype(np.uint64))
+        far = Bitmaps(np.array([parities(x), parities(y), None], object)[:-1]).far(np.array([0]), np.array([1]), np.array([1 << 30]))[0]
+        assert far > 2 * size - 2 * needed(size, size, 80)
+
+
+def brute_pairs(run, starts, percent):
+    n, place = run["n"], run["place"]
+    out = set()
+    for i in range(len(n)):
+        for j in range(i + 1, min([len(n), *[x for x in starts if x > i]])):
+            least = needed(int(n[i]), int(n[j]), percent)
+            if run["comp"][i] != run["comp"][j] and min(n[i], n[j]) >= least and place[i] <= n[i] - least + 1 and place[j] <= n[j] - least + 1:
+                out.add((run["cid"][i], run["cid"][j]))
+    return out
+
+
+def test_pairs_of_a_run():
+    rng = np.random.default_rng(4)
+    for percent in (80, 90):
+        for most in (3, 60):
+            for _ in range(30):
+                sizes = rng.integers(2, most, 6)
+                starts, m = np.cumsum(sizes) - sizes, int(sizes.sum())
+                n = np.concatenate([np.sort(rng.integers(5, 30, k)) for k in sizes])
+                comp = np.where(rng.random(m) < 0.5, 0, rng.integers(0, 4, m))
+                run = {"n": n, "comp": comp, "cid": np.arange(m), "place": rng.integers(1, 5, m), "bits": np.array([parities(np.zeros(0, np.uint64))] * m + [None], object)[:-1]}
+                pairs = [p for x in across(run, starts, percent, most=7) for p in zip(x["a"].tolist(), x["b"].tolist(), strict=True)]
+                assert len(pairs) == len(set(pairs)) and set(pairs) == brute_pairs(run, starts, percent)
+
+
+def test_whole_runs_of_batches():
+    rng = np.random.default_rng(7)
+    gram = np.sort(rng.integers(0, 400, 2000))
+    gram[500:1300] = gram[500]
+    batches = pa.table({"gram": gram, "x": np.arange(2000)}).to_batches(max_chunksize=90)
+    got = [(int(g), int(x), k) for k, (run, starts) in enumerate(runs(iter(batches), rows=200)) for g, x in zip(run["gram"], run["x"], strict=True)]
+    often = {g for g, n in zip(*np.unique(gram, return_counts=True), strict=True) if n > 1}
+    assert [x for _, x, _ in got] == [i for i, g in enumerate(gram) if g in often]
+    assert len({(g, k) for g, _, k in got}) == len(often)
+
+
+def test_linked_sets_share_their_first_gram_early():
+    rng = np.random.default_rng(12)
+    for percent in (60, 80, 90):
+        checked = 0
+        for _ in range(4000):
+            universe = rng.permutation(400)
+            a = universe[: rng.integers(1, 120)]
+            b = np.concatenate([a[rng.random(len(a)) < 0.97], universe[300 : 300 + rng.integers(0, 8)]])
+            shared = len(np.intersect1d(a, b))
+            if len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
+                order = rng.permutation(400)
+                x, y = (sorted(z.tolist(), key=lambda g: order[g]) for z in (a, b))
+                first = next(g for g in x if g in set(y))
+                least = needed(len(x), len(y), percent)
+                assert x.index(first) + 1 <= len(x) - least + 1 and y.index(first) + 1 <= len(y) - least + 1
+                checked += 1
+        assert checked > 500
+
+
+def test_filter_of_keys_loses_none(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS key")
+    maybe = key_filter(keys)
+    assert keys.where(maybe("key")).count() == 5000
+    assert spark.range(5000, 15000).selectExpr("xxhash64(id) AS key").where(maybe("key")).count() < 3000
 
 
 def test_linked_sets_meet_as_often_as_is_asked():

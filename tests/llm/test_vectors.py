@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm.cap_filters import ProductCodes, link
 from spanloom.llm.common import components, local_roots
@@ -9,16 +10,11 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute_top(rows, k=5, every=50):
-    v = {}
-    for i, e, _ in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            w = [int(np.floor(256 * float(np.float32(x)))) for x in e]
-            v[i] = min(v.get(i, w), w)
+    v = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e, _ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for q in v:
-        if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(v[q], v[c], strict=False)), c) for c in v if c != q)[:k]
-            out += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    for q in {i for i, _ in v if i % every == 0}:
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c) for i, a in v if i == q for c, b in v if c != q)[:k]
+        out += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -83,7 +79,7 @@ def test_search(spark, sf):
     rows = [tuple(r) for r in vectors.select("vec_id", "embedding", "label").collect()]
     want = brute_top(rows)
     assert sorted(map(tuple, search(vectors).collect())) == want
-    assert sorted(map(tuple, search(vectors, block=60, query_block=3).collect())) == want
+    assert sorted(map(tuple, search(vectors, block=60).collect())) == want
 
 
 def test_search_stops_early():
@@ -100,8 +96,14 @@ def test_search_stops_early():
 def test_search_odd(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     assert sorted(map(tuple, search(df).collect())) == brute_top(ODD)
+    clashing = df.select("*", *[F.lit("x").alias(c) for c in ("c", "asks", "v", "q", "rank", "score", "query_id", "n")])
+    assert sorted(map(tuple, search(clashing, block=2).collect())) == brute_top(ODD)
     assert search(spark.createDataFrame([], SCHEMA)).collect() == []
     assert search(spark.createDataFrame([(0, [1.0], 1)], SCHEMA)).collect() == []
+    repeated = [(0, [1.0, 2.0], 1), (0, [0.5, -1.0], 1), (7, [3.0, 0.5], 1), (7, [0.0, -2.0], 1), (50, [-1.0, 0.0], 1), (3, [0.25, 0.25], 1)]
+    assert sorted(map(tuple, search(spark.createDataFrame(repeated, SCHEMA)).collect())) == brute_top(repeated)
+    with pytest.raises(Exception, match="64-bit"):
+        search(spark.createDataFrame([(0, [1e9, 1e9], 1), (1, [1e9, 1e9], 1)], SCHEMA)).collect()
 
 
 def test_links(spark, sf):
@@ -114,13 +116,15 @@ def test_links(spark, sf):
 
 def test_links_odd(spark):
     assert sorted(map(tuple, link(spark.createDataFrame(ODD, SCHEMA)).collect()), key=str) == brute_links(ODD)
+    clashing = spark.createDataFrame(ODD, SCHEMA).select("*", *[F.lit("x").alias(c) for c in ("cid", "v", "n", "low", "d", "f", "held", "own", "root", "links", "n_links", "kept")])
+    assert sorted(map(tuple, link(clashing).collect()), key=str) == brute_links(ODD)
     assert link(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-@pytest.mark.parametrize(("cosine", "words"), [(0.93, 16), (0.93, 32), (0.96, 32)])
+@pytest.mark.parametrize(("cosine", "words"), [(0.93, 16), (0.93, 32), (0.93, 64), (0.93, 256), (0.96, 32)])
 def test_recall_of_the_filters(cosine, words):
     rng = np.random.default_rng(4)
-    a = rng.normal(size=(3000, 64))
+    a = rng.normal(size=(3000 if words < 256 else 300, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     w = rng.normal(size=a.shape)
     w -= (w * a).sum(1, keepdims=True) * a
@@ -128,7 +132,16 @@ def test_recall_of_the_filters(cosine, words):
     codes = ProductCodes(64, words, 16, 3, 23)
     x, y = codes.decode(a), codes.decode(cosine * a + np.sqrt(1 - cosine**2) * w)
     share = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)])
-    assert share >= 0.999
+    assert share >= 0.995
+    # all directions above the threshold, by trying them all
+    if words == 16:
+        for c in range(3):
+            first, second = codes.halves(a, c)
+            for row in range(20):
+                sums = (first[row][:, None] + second[row]).reshape(-1)
+                level = min(codes.threshold, np.sort(sums)[-codes.least])
+                own = x[row][(x[row] > c * words**4) & (x[row] <= (c + 1) * words**4)]
+                assert own.tolist() == (1 + c * words**4 + np.flatnonzero(sums >= level)).tolist() and len(own) >= 16
 
 
 def test_components(spark):
