@@ -125,11 +125,11 @@ def consistency(confidence: Column, agreed: Column, p: Column, settings: Mapping
 
 
 def overall(weights: Mapping[str, float] = WEIGHTS, drop: Sequence[str] = (), digits: int = 3) -> Column:
-    """Weighted mean of the criteria (columns) that were assessed, with weights scaled anew."""
+    """Weighted mean of the criteria (columns) that were assessed, with weights scaled anew. Half up counts from nine digits, since sums of weights miss ties by their last bits."""
     kept = [c for c in CRITERIA if c not in drop]
     total = sum(F.when(F.col(c).isNotNull(), F.lit(float(weights[c]))).otherwise(0.0) for c in kept)
     value = sum(F.coalesce(F.col(c) * float(weights[c]), F.lit(0.0)) for c in kept)
-    return F.round(_unit(F.when(total > 0, value / total).otherwise(0.0)), digits)
+    return F.round(F.round(_unit(F.when(total > 0, value / total).otherwise(0.0)), 9), digits)
 
 
 def review(score: Column, constraint_score: Column, type_valid: Column, agreed: Column, congruence_score: Column, thresholds: Mapping = THRESHOLDS) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans as fs
@@ -91,9 +91,9 @@ SCORED = {
     "lang": "lang",
     "source": "source",
     "y": "quality",
-    "s": "CAST(least(n_chars, 5000) AS DOUBLE) / 5000",
+    "s": "CAST(n_chars AS DOUBLE) / (n_chars + 1000)",
     "t": "CAST((doc_id * 7919) % 1009 AS DOUBLE) / 1009",
-    "text": "substr(text, 1, 24)",
+    "text": "text",
     "kind": "CASE lang WHEN 'en' THEN 'disease' WHEN 'fr' THEN 'finding' WHEN 'de' THEN 'substance' END",
     "kg_matches": "CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 5 AS INTEGER) END",
     "kg_best": "CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 101 AS DOUBLE) / 100 END",
@@ -134,7 +134,12 @@ def normalizers(spark, sf):
     return table(spark, sf, "part").select("p_type", ft.normalize_mention(c).alias("mention"), ft.normalize_label(c).alias("label"), ft.snake_case(c).alias("snake")).distinct()
 
 
-@query()
+def texts_sql(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"""WITH t AS (SELECT item_id, {TOKENS_SQL} AS w FROM benchmark) SELECT item_id, CASE WHEN len(w) > 0 THEN list_reduce(w, lambda a, b:
+    CASE WHEN list_contains({texts_sql(ft.TIGHT_BEFORE)}, b) OR list_contains({texts_sql(ft.TIGHT_AFTER)}, right(a, 1)) THEN a || b ELSE a || ' ' || b END) ELSE '' END AS text FROM t""")
 def detokenize(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", ft.detokenize(ft.tokenize(F.col("text"))).alias("text"))
 
@@ -228,14 +233,21 @@ def evaluation(spark, sf):
     return six(ev.evaluation(*sides(spark, sf)))
 
 
-@query()
+def greedy_sql(rows: str, order: str) -> str:
+    """Rows (sid, s, e, type) that a greedy choice in this order takes."""
+    taken = "list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda y: y.s < b[1].e AND b[1].s < y.e)) > 0 THEN a ELSE list_concat(a, b) END)"
+    return f"SELECT sid, x.s AS s, x.e AS e, x.type AS type FROM (SELECT sid, unnest({taken}) AS x FROM (SELECT sid, list(struct_pack(s := s, e := e, type := type) ORDER BY {order}) AS l FROM {rows} GROUP BY sid))"
+
+
+@query(f"{BOTH}, u AS (SELECT sid, s, e, type FROM g UNION SELECT sid, s, e, type FROM p) {greedy_sql('u', 's - e, s, type')}")
 def greedy_nonoverlap(spark, sf):
     g, p = sides(spark, sf)
     both = sp.collect_spans(g.union(p))
     return both.select("sid", F.inline(fs.non_overlapping(F.col("spans"))))
 
 
-@query()
+@query(f"""{BOTH}, u AS (SELECT sid, 0 AS layer, s AS k, s, e, type FROM g SEMI JOIN p USING (sid) UNION ALL SELECT sid, 1, s - e, s, e, type FROM (SELECT DISTINCT sid, s, e, type FROM p) SEMI JOIN g USING (sid))
+    {greedy_sql('u', 'layer, k, s, e, type')}""")
 def silver_merge(spark, sf):
     g, p = (sp.collect_spans(x) for x in sides(spark, sf))
     rows = g.withColumnRenamed("spans", "a").join(p.withColumnRenamed("spans", "b"), "sid")
@@ -252,34 +264,46 @@ def spans_to_tags(spark, sf):
 # ---- lexicon
 
 
-def mentions(spark, sf, rest: str) -> DataFrame:
+def mentions(spark, sf) -> DataFrame:
     """Part names as surfaces, brands as their types."""
-    rows = table(spark, sf, "part").where(rest)
+    rows = table(spark, sf, "part")
     return rows.select(F.col("p_partkey").alias("sid"), F.lit(0).alias("s"), F.lit(1).alias("e"), F.col("p_brand").alias("type"), F.col("p_name").alias("surface"), F.col("p_partkey").alias("pos"))
 
 
 KEY_SQL = "trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH k AS (SELECT {KEY_SQL} AS key, p_brand AS type, count(*) AS n, min(p_partkey) AS pos FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL)
+NAMED_SQL = "trim(regexp_replace(lower(concat_ws(' ', source, CAST(n_chars // 100 AS VARCHAR))), '\\s+', ' ', 'g')) AS key, coalesce(lang, 'none') AS type"
+LABELLED = "documents SEMI JOIN labels USING (doc_id)"
+
+
+def named(spark, sf, labelled: bool = False) -> DataFrame:
+    """Sources with lengths in hundreds as the surfaces of documents, languages as their types; only of labelled documents if asked."""
+    rows = table(spark, sf, "documents")
+    if labelled:
+        rows = rows.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    surface = F.concat_ws(" ", "source", F.expr("n_chars div 100").cast("string"))
+    return rows.select(F.col("doc_id").alias("sid"), F.lit(0).alias("s"), F.lit(1).alias("e"), F.coalesce("lang", F.lit("none")).alias("type"), surface.alias("surface"), F.col("doc_id").alias("pos"))
+
+
+@query(f"""WITH k AS (SELECT {KEY_SQL} AS key, p_brand AS type, count(*) AS n, min(p_partkey) AS pos FROM part GROUP BY ALL)
     SELECT k.key, (SELECT p_name FROM part WHERE p_partkey = min(k.pos)) AS label, CAST(sum(n) AS BIGINT) AS total, CAST(count(*) AS INTEGER) AS n_types, arg_min(type, (-n, pos)) AS best FROM k GROUP BY k.key""")
 def surface_index(spark, sf):
-    index = lx.surface_index(mentions(spark, sf, "p_partkey % 5 <> 0"))
+    index = lx.surface_index(mentions(spark, sf))
     return index.select("key", "label", "total", F.size("types").alias("n_types"), lx.best_type(F.col("types"), F.col("first"))["t"].alias("best"))
 
 
-@query(f"""WITH k AS (SELECT DISTINCT {KEY_SQL} AS key, p_brand AS type FROM part WHERE p_partkey % 5 <> 0), t AS (SELECT {KEY_SQL} AS key, p_brand AS type FROM part WHERE p_partkey % 5 = 0)
+@query(f"""WITH k AS (SELECT DISTINCT {NAMED_SQL} FROM {LABELLED}), t AS (SELECT {NAMED_SQL} FROM documents)
     SELECT CASE WHEN NOT EXISTS (FROM k WHERE k.key = t.key) THEN 'C_unseen' WHEN EXISTS (FROM k WHERE k.key = t.key AND k.type = t.type) THEN 'A_seen_same_type' ELSE 'B_seen_other_type' END AS stratum, count(*) AS n FROM t GROUP BY stratum""")
 def strata(spark, sf):
-    return lx.strata(mentions(spark, sf, "p_partkey % 5 = 0"), lx.surface_index(mentions(spark, sf, "p_partkey % 5 <> 0"))).groupBy("stratum").agg(F.count("*").alias("n"))
+    return lx.strata(named(spark, sf), lx.surface_index(named(spark, sf, labelled=True))).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH k AS (SELECT {KEY_SQL} AS key, p_brand AS type, count(*) AS n, min(p_partkey) AS pos FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL),
-    i AS (SELECT key, sum(n) AS total, arg_min(type, (-n, pos)) AS best, max(n) AS most FROM k GROUP BY key), t AS (SELECT {KEY_SQL} AS key, p_brand AS type FROM part WHERE p_partkey % 5 = 0)
-    SELECT CASE WHEN best <> type AND total >= 3 AND most >= 0.2 * total THEN 'retype' ELSE 'keep' END AS action, count(*) AS n FROM t LEFT JOIN i USING (key) GROUP BY action""")
+@query(f"""WITH k AS (SELECT {NAMED_SQL}, count(*) AS n, min(doc_id) AS pos FROM {LABELLED} GROUP BY ALL),
+    i AS (SELECT key, sum(n) AS total, arg_min(type, (-n, pos)) AS best, max(n) AS most FROM k GROUP BY key), t AS (SELECT {NAMED_SQL} FROM documents)
+    SELECT CASE WHEN best <> type AND total >= 3 AND 10 * most >= 9 * total THEN 'retype' ELSE 'keep' END AS action, count(*) AS n FROM t LEFT JOIN i USING (key) GROUP BY action""")
 def validator(spark, sf):
-    index = lx.surface_index(mentions(spark, sf, "p_partkey % 5 <> 0"))
-    return lx.validate_spans(mentions(spark, sf, "p_partkey % 5 = 0"), index, retype_purity=0.2).groupBy("action").agg(F.count("*").alias("n"))
+    return lx.validate_spans(named(spark, sf), lx.surface_index(named(spark, sf, labelled=True))).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def sentences(spark, sf, name: str, id_: str) -> DataFrame:
@@ -299,10 +323,9 @@ def dedup_copies(spark, sf):
     return lx.dedup_with_counts(table(spark, sf, "documents").select("doc_id", "text"), order="doc_id").select("doc_id", "copies")
 
 
-@query("""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM documents) SELECT doc_id FROM n WHERE doc_id % 4 <> 0 AND k NOT IN (SELECT k FROM n WHERE doc_id % 4 = 0)""")
+@query("""WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM benchmark), d AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM documents) SELECT item_id FROM n ANTI JOIN d USING (k)""")
 def decontaminated_pool(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lx.decontaminate(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0")).select("doc_id")
+    return lx.decontaminate(table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("text")).select("item_id")
 
 
 TRI = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
@@ -318,8 +341,8 @@ def trigram_fuzzy(spark, sf):
 
 @query()
 def retrieved_facts(spark, sf):
-    index = lx.surface_index(mentions(spark, sf, "p_partkey % 5 <> 0"))
-    rows = table(spark, sf, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("sid"), ft.tokenize(F.concat_ws(" ", "p_type", "p_name")).alias("tokens"))
+    index = lx.surface_index(mentions(spark, sf))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("sid"), ft.tokenize(F.concat_ws(" ", "p_type", "p_name")).alias("tokens"))
     return lx.retrieve_facts(rows, index, 3).select("sid", F.inline("facts"))
 
 
@@ -343,12 +366,15 @@ def containment(spark, sf):
     return six(si.contained(q, labels_of(spark, sf), 0.4))
 
 
-KNN = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT q.vec_id AS qid, x.vec_id AS pid, x.label % 2 AS side, list_inner_product(q.v, x.v) AS similarity FROM e q JOIN e x ON q.vec_id % 50 = 0 AND x.vec_id % 50 <> 0)"""
+KNN = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT q.vec_id AS qid, x.vec_id AS pid, x.label % 2 AS side, list_inner_product(q.v, x.v) AS similarity FROM e q JOIN e x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id)"""
 
 
 def neighbours(spark, sf, k: int, rest: str = "true") -> DataFrame:
+    """The k nearest of all vectors but the query's own: one more is drawn, since its own may be among them."""
     e = table(spark, sf, "embeddings")
-    return vc.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.where("vec_id % 50 <> 0").where(rest).select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v")), k)
+    found = vc.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.where(rest).select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v")), k + 1)
+    w = Window.partitionBy("qid").orderBy("rank")
+    return found.where("qid <> pid").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @query(f"WITH {KNN} SELECT qid, pid, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, pid) AS INTEGER) AS rank FROM n QUALIFY rank <= 5")
@@ -433,13 +459,13 @@ SCORE_SQL = f"""{SCORED_SQL}, w AS (SELECT *, {WORDS_SQL} AS words FROM d),
     k AS (SELECT *, CASE WHEN kg_matches IS NULL THEN NULL WHEN kg_best >= 0.7 THEN CASE WHEN kg_best >= 0.95 THEN least(1.0, kg_best + 0.2) ELSE kg_best END ELSE 0.5 END AS congruence,
       CASE WHEN kg_matches IS NULL THEN NULL WHEN kg_matches = 0 THEN 0.8 WHEN kg_matches < 3 AND coalesce(kg_best, 0) < 0.8 THEN 0.71 WHEN kg_matches < 3 THEN 0.5 ELSE greatest(0.3, 0.6 - 0.3 * coalesce(kg_best, 0)) END AS coverage,
       greatest(0.0, least(1.0, CAST(1 AS DOUBLE) - CASE WHEN kind IS NULL THEN 0.3 ELSE 0 END - CASE WHEN length(trim(text)) < 2 THEN 0.2 + 0.6 * (1 - length(trim(text)) / 2) ELSE 0 END
-        - CASE WHEN length(trim(text)) <= 2 AND NOT regexp_matches(trim(text), '^[\\p{{L}}\\p{{N}}]+$') THEN 0.5 ELSE 0 END - CASE WHEN regexp_matches(text, '{BAD}') THEN 0.25 ELSE 0 END - CASE WHEN regexp_matches(trim(text), '^[\\d\\s.,-]+$') THEN 0.2 ELSE 0 END
+        - CASE WHEN length(trim(text)) > 200 THEN 0.1 ELSE 0 END - CASE WHEN length(trim(text)) <= 2 AND NOT regexp_matches(trim(text), '^[\\p{{L}}\\p{{N}}]+$') THEN 0.5 ELSE 0 END - CASE WHEN regexp_matches(text, '{BAD}') THEN 0.25 ELSE 0 END - CASE WHEN regexp_matches(trim(text), '^[\\d\\s.,-]+$') THEN 0.2 ELSE 0 END
         - 0.25 * (CASE WHEN kind IS NOT NULL AND (people >= 2 OR (len(words) > 5 AND people >= 1)) THEN 1 ELSE 0 END + CASE WHEN kind IS NOT NULL AND len(words) > 8 THEN 1 ELSE 0 END
           + CASE WHEN kind = 'finding' AND len(words) > 4 AND NOT regexp_matches(lower(trim(text)), '{'|'.join(sc.FINDING)}') AND contains(lower(trim(text)), 'with') THEN 1 ELSE 0 END
           + CASE WHEN kind = 'substance' AND lower(trim(text)) IN ('the', 'a', 'an', 'this', 'that') THEN 1 ELSE 0 END + CASE WHEN kind = 'disease' AND regexp_matches(lower(trim(text)), 'patient|subject') THEN 1 ELSE 0 END))) AS "constraint",
       CAST(0.85 AS DOUBLE) * (CASE WHEN kind IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN length(trim(text)) >= 2 THEN 1 ELSE 0 END) / 2 + CAST(0.15 AS DOUBLE) * (CASE WHEN coalesce(context, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(normalized_form, '') <> '' THEN 1 ELSE 0 END + CASE WHEN confidence IS NOT NULL THEN 1 ELSE 0 END) / 3 AS completeness,
       greatest(0.0, least(1.0, CASE WHEN agreed THEN least(1.0, coalesce(confidence, 0.5) + 0.3 * p) WHEN NOT agreed THEN greatest(0.0, least(0.8, coalesce(confidence, 0.5)) - 0.225 * p) ELSE least(0.8, coalesce(confidence, 0.5)) END)) AS consistency FROM v),
-    o AS (SELECT *, round(greatest(0.0, least(1.0, (coalesce(0.25 * congruence, 0) + coalesce(0.15 * coverage, 0) + 0.25 * "constraint" + 0.15 * completeness + 0.2 * consistency) / (CASE WHEN kg_matches IS NULL THEN CAST(0.6 AS DOUBLE) ELSE 1.0 END))), 3) AS overall FROM k),
+    o AS (SELECT *, CAST(round(CAST(greatest(0.0, least(1.0, (coalesce(0.25 * congruence, 0) + coalesce(0.15 * coverage, 0) + 0.25 * "constraint" + 0.15 * completeness + 0.2 * consistency) / (CASE WHEN kg_matches IS NULL THEN CAST(0.6 AS DOUBLE) ELSE 1.0 END))) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS overall FROM k),
     z AS (SELECT *, CASE WHEN "constraint" < 0.4 OR kind IS NULL THEN 'failed' WHEN overall >= 0.75 THEN 'passed' WHEN overall >= 0.5 THEN 'needs_review' WHEN overall < 0.25 THEN 'failed' ELSE 'needs_review' END AS status,
       CASE WHEN "constraint" < 0.4 OR kind IS NULL THEN 'reject' WHEN overall >= 0.75 THEN 'approve' WHEN overall >= 0.5 AND NOT agreed THEN 'verify_type' WHEN overall >= 0.5 AND congruence > 0.95 THEN 'check_duplicate' WHEN overall >= 0.5 THEN 'manual_review' WHEN overall < 0.25 THEN 'reject' ELSE 'manual_review' END AS recommendation,
       CASE WHEN "constraint" < 0.4 OR kind IS NULL THEN 'failed' WHEN overall >= 0.75 THEN 'passed' WHEN overall >= 0.5 THEN 'needs_review' ELSE 'failed' END AS decision FROM o)"""
@@ -477,12 +503,25 @@ def criterion_by_label(spark, sf):
     return six(st.criterion_by_label(reviewed(spark, sf), sc.CRITERIA, "y"))
 
 
-@query()
+def overall_sql(drop: str) -> str:
+    kept = [(f'"{c}"', f"CAST({sc.WEIGHTS[c]} AS DOUBLE)") for c in sc.CRITERIA if c != drop]
+    total = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END" for c, w in kept)
+    return f"CAST(round(CAST(greatest(0.0, least(1.0, ({' + '.join(f'coalesce({c} * {w}, 0)' for c, w in kept)}) / nullif({total}, 0))) AS DECIMAL(18, 9)), 3) AS DOUBLE)"
+
+
+NO_ZERO = AUROC.replace("/ (", "/ nullif(").replace("sum(neg))", "sum(neg), 0)")
+
+
+@query(f"""WITH {SCORE_SQL}, x AS ({' UNION ALL '.join(f"SELECT '{c}' AS dropped, {overall_sql(c)} AS s, y FROM z" for c in ('none', *sc.CRITERIA))}), {auroc_sql('x', 'dropped', 's', 'y')}
+    SELECT dropped, round({NO_ZERO}, 6) AS auroc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM b GROUP BY dropped""")
 def ablation(spark, sf):
     return six(sc.ablation(reviewed(spark, sf)))
 
 
-@query()
+@query(f"""WITH {SCORE_SQL}, l AS (SELECT lang, y, 'overall' AS scorer, overall AS v FROM z UNION ALL SELECT lang, y, 'b0', coalesce(confidence, 0.5) FROM z UNION ALL SELECT lang, y, 'b1', CASE WHEN agreed THEN coalesce(p, 0) WHEN NOT agreed THEN -coalesce(p, 0) ELSE 0 END FROM z
+      UNION ALL SELECT lang, y, 'b2', CAST(doc_id % 2 = 0 AS INTEGER) FROM z), {auroc_sql('l', 'lang, scorer', 'v', 'y')}, a AS (SELECT lang, scorer, {NO_ZERO} AS auroc, sum(pos) AS n_pos, sum(neg) AS n_neg FROM b GROUP BY ALL),
+    n AS (SELECT lang, scorer, pos, sum(pos) OVER o AS tp, sum(pos + neg) OVER o AS seen FROM c WINDOW o AS (PARTITION BY lang, scorer ORDER BY s DESC ROWS UNBOUNDED PRECEDING)), r AS (SELECT lang, scorer, sum(pos * tp / seen) / nullif(sum(pos), 0) AS pr_auc FROM n GROUP BY ALL)
+    SELECT lang, scorer, round(auroc, 6) AS auroc, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(pr_auc, 6) AS pr_auc FROM a JOIN r USING (lang, scorer)""")
 def scorers(spark, sf):
     rows = reviewed(spark, sf).withColumn("stratum", F.when(F.col("doc_id") % 2 == 0, "A_seen_same_type").otherwise("C_unseen"))
     rows = rows.select("lang", "y", "overall", *sc.baselines(F.col("confidence"), F.col("agreed"), F.col("p"), F.col("stratum")))
@@ -621,15 +660,14 @@ def type_distribution(spark, sf):
     return six(distribution(spans(spark, sf, GOLD)))
 
 
-@query(f"""WITH p AS (SELECT {KEY_SQL} AS key, p_brand AS type, p_partkey FROM part), s AS (SELECT * FROM p WHERE p_partkey % 5 = 0)
+@query(f"""WITH s AS (SELECT {NAMED_SQL} FROM documents), l AS (SELECT {NAMED_SQL} FROM {LABELLED})
     SELECT (SELECT count(*) FROM part) AS sentences, (SELECT count(DISTINCT {TOKENS_SQL.replace('text', 'p_name')}) FROM part) AS unique_sentences, (SELECT round(avg(len({TOKENS_SQL.replace('text', 'p_name')})), 6) FROM part) AS mean_tokens,
-    count(*) AS mentions, count(DISTINCT key) AS distinct_mentions, count(DISTINCT type) AS types, (SELECT count(*) FROM (SELECT DISTINCT key FROM s WHERE key NOT IN (SELECT key FROM p WHERE p_partkey % 7 = 1))) AS novel FROM s""")
+    count(*) AS mentions, count(DISTINCT key) AS distinct_mentions, count(DISTINCT type) AS types, (SELECT count(*) FROM (SELECT DISTINCT key FROM s WHERE key NOT IN (SELECT key FROM l))) AS novel FROM s""")
 def corpus_description(spark, sf):
     from ..operators.reports import corpus_description as describe
 
     s = table(spark, sf, "part").select(ft.tokenize(F.col("p_name")).alias("tokens"))
-    m = mentions(spark, sf, "p_partkey % 5 = 0").withColumn("key", ft.normalize_mention(F.col("surface")))
-    t = mentions(spark, sf, "p_partkey % 7 = 1").withColumn("key", ft.normalize_mention(F.col("surface")))
+    m, t = (named(spark, sf, labelled).withColumn("key", ft.normalize_mention(F.col("surface"))) for labelled in (False, True))
     return six(describe(m, s, t))
 
 
@@ -664,12 +702,17 @@ def discrimination(spark, sf):
     return six(st.discrimination(reviewed(spark, sf), sc.CRITERIA))
 
 
-@query()
+TWO_SIDED = "round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(d) AS replicates, round(least(1.0, 2 * least(avg(CAST(d <= 0 AS INTEGER)), avg(CAST(d >= 0 AS INTEGER)))), 6) AS p"
+
+
+@query(f"""WITH {SCORED_SQL}, {weights_sql('d', 'source', 20)}, l AS (SELECT rep, 's' AS k, s AS v, y, w FROM d JOIN ww USING (source) UNION ALL SELECT rep, 't', t, y, w FROM d JOIN ww USING (source)), {auroc_sql('l', 'rep, k', 'v', 'y', 'w')},
+    r AS (SELECT rep, k, {NO_ZERO} AS a FROM b GROUP BY ALL), f AS (SELECT max(a) FILTER (k = 't') - max(a) FILTER (k = 's') AS d FROM r GROUP BY rep) SELECT {TWO_SIDED} FROM f""")
 def paired_auroc_difference(spark, sf):
     return six(rs.paired_auroc_difference(scored(spark, sf), "source", "s", "t", reps=20))
 
 
-@query()
+@query(f"""WITH {SCORED_SQL}, {weights_sql('documents', 'source', 50)}, m AS (SELECT source, lang, sum(s) AS v, count(s) AS n FROM d GROUP BY ALL),
+    f AS (SELECT sum(w * v) FILTER (lang = 'fr') / nullif(sum(w * n) FILTER (lang = 'fr'), 0) - sum(w * v) FILTER (lang = 'en') / nullif(sum(w * n) FILTER (lang = 'en'), 0) AS d FROM ww LEFT JOIN m USING (source) GROUP BY rep) SELECT {TWO_SIDED} FROM f""")
 def condition_contrast(spark, sf):
     rows = scored(spark, sf)
     return six(rs.contrast(rows, table(spark, sf, "documents").select("source"), "source", "lang", "s", "en", "fr", 50))
@@ -692,18 +735,23 @@ def queue_pending(spark, sf):
     return pending(e.select("key").distinct(), e.where("event_type = 'purchase' AND value > 90"), e.where("event_type = 'error'"), 12)
 
 
-@query("SELECT DISTINCT sha256('m' || chr(0) || text) AS key FROM benchmark WHERE text NOT IN (SELECT text FROM benchmark WHERE item_id % 2 = 0)")
+@query("SELECT DISTINCT sha256('m' || chr(0) || d.text) AS key FROM documents d ANTI JOIN benchmark b ON d.text = b.text")
 def missing_embeddings(spark, sf):
-    texts = table(spark, sf, "benchmark")
-    cache = texts.where("item_id % 2 = 0").select(F.sha2(F.concat(F.lit("m\u0000"), "text"), 256).alias("key"))
-    return vc.missing_embeddings(texts, cache, "m").select("key")
+    cache = table(spark, sf, "benchmark").select(F.sha2(F.concat(F.lit("m\u0000"), "text"), 256).alias("key"))
+    return vc.missing_embeddings(table(spark, sf, "documents").select("text"), cache, "m").select("key")
 
 
-@query()
+INTEGER_SQL = "'http://www.w3.org/2001/XMLSchema#integer'"
+
+
+@query(f"""WITH k AS (SELECT {KEY_SQL} AS key, p_brand AS type, count(*) AS n, min(p_partkey) AS pos FROM part GROUP BY ALL), f AS (SELECT key, min(pos) AS pos FROM k GROUP BY key),
+    i AS (SELECT key, p_name AS label, 'urn:lexicon:entry/' || row_number() OVER (ORDER BY key) AS node FROM f JOIN part ON p_partkey = pos), t AS (SELECT node, node || '/type/' || (row_number() OVER (PARTITION BY key ORDER BY type) - 1) AS link, type, n FROM k JOIN i USING (key))
+    SELECT node AS s, 'urn:lexicon:label' AS p, label AS o, NULL AS datatype FROM i UNION ALL SELECT node, 'urn:lexicon:outside', '0', {INTEGER_SQL} FROM i UNION ALL SELECT node, 'urn:lexicon:annotatedAs', link, 'uri' FROM t
+    UNION ALL SELECT link, 'urn:lexicon:type', 'urn:lexicon:class/' || type, 'uri' FROM t UNION ALL SELECT link, 'urn:lexicon:frequency', CAST(n AS VARCHAR), {INTEGER_SQL} FROM t""")
 def index_triples(spark, sf):
     from ..sources.sinks import index_triples as triples
 
-    return triples(lx.surface_index(mentions(spark, sf, "p_partkey % 5 <> 0")))
+    return triples(lx.surface_index(mentions(spark, sf)))
 
 
 @query()

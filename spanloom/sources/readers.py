@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import bio_to_spans
@@ -88,6 +88,23 @@ def read_index(spark: SparkSession, path: str, synthetic: str | None = None) ->
 TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
 
 
+# What stands for a sign behind a backslash in N-Triples; other signs stand for themselves.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def unescape(text: Column) -> Column:
+    """The text of an N-Triples literal, read from left to right: a backslash with its sign, or with u or U and a code point, is one sign."""
+    named = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+
+    def one(part: Column) -> Column:
+        sign = F.substring(part, 2, 1)
+        code = F.when(F.length(part) == 6, F.decode(F.unhex(F.substring(part, 3, 4)), "UTF-16BE")).when(F.length(part) == 10, F.decode(F.unhex(F.substring(part, 3, 8)), "UTF-32"))
+        return F.when(~F.startswith(part, F.lit("\\")), part).otherwise(F.coalesce(code, F.try_element_at(named, sign), sign))
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """s, p, o, literal, datatype of an N-Triples file, split by lines over all tasks; comments and blank lines are skipped."""
     rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
@@ -95,10 +112,8 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     def part(i: int):
         return F.nullif(F.regexp_extract("value", TRIPLE, i), F.lit(""))
 
-    text = part(5)
-    for a, b in ((r"\\n", "\n"), (r"\\t", "\t"), (r'\\"', '"'), (r"\\\\", r"\\")):
-        text = F.regexp_replace(text, a, b)
-    known = F.when(~F.col("value").rlike(TRIPLE), F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))).otherwise(F.regexp_replace(part(1), "^<|>$", ""))
+    text = unescape(part(5))
+    known =F.when(~F.col("value").rlike(TRIPLE), F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))).otherwise(F.regexp_replace(part(1), "^<|>$", ""))
     empty = F.col("value").rlike(r'"\s*(\^\^<[^>]*>|@\S+)?\s*\.\s*$')
     return rows.select(known.alias("s"), part(2).alias("p"), F.coalesce(part(3), part(4), text, F.when(empty, "")).alias("o"), empty.alias("literal"), part(6).alias("datatype"))
 

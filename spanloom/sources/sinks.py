@@ -56,7 +56,7 @@ def index_triples(index: DataFrame, base: str = "urn:lexicon:") -> DataFrame:
 def write_ntriples(triples: DataFrame, path: str) -> None:
     """datatype 'uri' marks objects that are nodes."""
     text = F.col("o")
-    for a, b in ((r"\\", r"\\\\"), ('"', r'\\"'), ("\n", r"\\n"), ("\t", r"\\t")):
+    for a, b in ((r"\\", r"\\\\"), ('"', r'\\"'), ("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
         text = F.regexp_replace(text, a, b)
     literal = F.concat(F.lit('"'), text, F.lit('"'), F.coalesce(F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">")), F.lit("")))
     obj = F.when(F.col("datatype") == "uri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(literal)
@@ -90,26 +90,35 @@ def write_scored(df: DataFrame, path: str, run: str) -> None:
     df.withColumn("run", F.lit(run)).write.partitionBy("run").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def report_rows(df: DataFrame, most: int = 10_000) -> list:
+    """All rows of a report table; more than ``most`` are no report and raise ValueError, so none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table holds {most} rows at most")
+    return rows
+
+
 def write_table(df: DataFrame, path: str, columns: Sequence[str], caption: str) -> str:
-    """A report table as CSV (four decimals, null empty); returns it as LaTeX (three decimals, null --). Reports have few rows."""
+    """A report table as CSV (four decimals, null empty); returns it as LaTeX (three decimals, null --). See :func:`report_rows`."""
     kinds = dict(df.dtypes)
 
     def cell(c: str, digits: int, null: str):
         text = F.format_string(f"%.{digits}f", c) if kinds[c] in ("double", "float") else F.col(c).cast("string")
         return F.coalesce(text, F.lit(null)).alias(c)
 
+    rows = report_rows(df.select(*[cell(c, 3, "--") for c in columns]))
     df.select(*[cell(c, 4, "") for c in columns]).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     escape = str.maketrans({"_": r"\_", "%": r"\%"})
-    lines = [" & ".join(str(v).translate(escape) for v in r) + r" \\" for r in df.select(*[cell(c, 3, "--") for c in columns]).limit(10_000).collect()]
+    lines = [" & ".join(str(v).translate(escape) for v in r) + r" \\" for r in rows]
     head = " & ".join(c.translate(escape) for c in columns) + r" \\"
     return "\n".join([rf"\begin{{table}}\caption{{{caption.translate(escape)}}}", rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", head, r"\midrule", *lines, r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 
 
 def write_markdown(sections: Mapping[str, DataFrame], path: str, title: str) -> None:
-    """A report of small tables as Markdown."""
+    """A report of small tables as Markdown. See :func:`report_rows`."""
     out = [f"# {title}"]
     for name, df in sections.items():
-        rows = df.limit(10_000).collect()
+        rows = report_rows(df)
         out += [f"\n## {name}\n", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
     Path(path).write_text("\n".join(out) + "\n")

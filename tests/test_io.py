@@ -73,6 +73,22 @@ def test_graphs(spark, tmp_path):
     assert sorted(r.error is None for r in got) == [False, True]
 
 
+def test_triples_keep_every_sign(spark, tmp_path):
+    texts = ["C:\\new\\table", "\\\\n", "\n\t\r\b\f", '"quoted\\"', "end\\", "\\u0041", "é €", "𝄞", *[f"a{chr(i)}b" for i in range(32)]]
+    rows = spark.createDataFrame([(f"u:{i}", "u:p", t, None) for i, t in enumerate(texts)], "s string, p string, o string, datatype string")
+    sk.write_ntriples(rows, str(tmp_path / "all"))
+    assert {r.s: r.o for r in rd.read_ntriples(spark, str(tmp_path / "all")).collect()} == {f"u:{i}": t for i, t in enumerate(texts)}
+    coded = write(tmp_path / "c.nt", '<u:1> <u:p> "\\u00E9 \\U0001D11E \\\\u0041 \\\'" .\n')
+    assert rd.read_ntriples(spark, coded).first().o == "é 𝄞 \\u0041 '"
+
+
+def test_reports_drop_no_rows(spark, tmp_path):
+    with pytest.raises(ValueError, match="rows at most"):
+        sk.write_table(spark.range(10_001), str(tmp_path / "t"), ["id"], "long")
+    with pytest.raises(ValueError, match="rows at most"):
+        sk.write_markdown({"one": spark.range(10_001)}, str(tmp_path / "r.md"), "long")
+
+
 def test_iob_models_subsets_answers(spark, tmp_path):
     p = write(tmp_path / "x.iob", "Lung NN B-Disease\ncancer NN I-disease\n\nAspirin B-Drug\n")
     rows = sorted(rd.read_iob(spark, p).collect(), key=lambda r: r.pos)
