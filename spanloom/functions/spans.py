@@ -89,14 +89,27 @@ def _at(starts: Column, size: Column, kind: Column) -> Column:
     return F.when(F.size(starts) > 0, F.transform(starts, lambda i: span(i, i + size, kind)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression that lambdas mention is otherwise computed anew for every element."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def align(tokens: Column, text: Column, kind: Column) -> Column:
     """All places of a predicted string: by white space, then without case, then by the tokenizer, then without case."""
-    lowered = F.transform(tokens, F.lower)
-    found = []
-    for part in (F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), tokenize(F.trim(text))):
-        for hay, needle in ((tokens, part), (lowered, F.transform(part, F.lower))):
-            found.append(_at(occurrences(hay, needle), F.size(needle), kind))
-    return F.coalesce(*found, F.array().cast(SPANS))
+
+    def places(x: Column) -> Column:
+        found = []
+        for part in ("by_space", "by_token"):
+            for hay, needle in (("tokens", part), ("lowered", f"{part}_lowered")):
+                found.append(_at(occurrences(x[hay], x[needle]), F.size(x[needle]), kind))
+        return F.coalesce(*found, F.array().cast(SPANS))
+
+    by_space = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+    by_token = tokenize(F.trim(text))
+    sides = {"tokens": tokens, "lowered": F.transform(tokens, F.lower)}
+    for name, part in (("by_space", by_space), ("by_token", by_token)):
+        sides |= {name: part, f"{name}_lowered": F.transform(part, F.lower)}
+    return let(F.struct(*[v.alias(k) for k, v in sides.items()]), places)
 
 
 def lenient_matches(gold: Column, pred: Column) -> Column:

@@ -91,7 +91,7 @@ def validate_entities(entities: DataFrame, labels: DataFrame, matched: float = 0
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:
-    return validated.groupBy("kind").pivot("status", ["matched", "partial", "novel"]).agg(F.count("*")).na.fill(0)
+    return validated.groupBy("kind").pivot("status", ["matched", "partial", "novel"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def search_entities(queries: DataFrame, labels: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -129,3 +131,32 @@ def prompt_batches(prompts: DataFrame, order: str, size: int, path: str) -> None
     from ..operators.sampling import batches
 
     batches(prompts, order, size).write.partitionBy("batch").mode("overwrite").json(path)
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``), deleted when the process ends.
+
+    A machine-local folder is taken in local mode alone; a cluster without the setting raises ValueError.
+    """
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that executors share")
+        at = tempfile.mkdtemp(prefix="spanloom-")
+    path = f"{at.rstrip('/')}/exchange-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended  # noqa: BLE001
+            continue

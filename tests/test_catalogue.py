@@ -1,6 +1,9 @@
 import pytest
 
-from spanloom.plans import catalogue
+from spanloom.plans import (
+    catalogue,
+    exchange,  # noqa: F401  registers its queries with the catalogue's
+)
 
 from .oracle import compare, connect
 
