@@ -415,3 +415,59 @@ def resumed_work(spark, sf):
     stream = spark.readStream.schema("key string, payload string, time int").parquet(path)
     queue.drain(queue.work(stream, process, attempts=3), out, state)
     return spark.read.parquet(out).select("key", "attempt", "result", "abandoned")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_size % 5 > 0 THEN upper(p_name) END AS content, CASE WHEN p_size % 5 = 0 THEN 'TimeoutError: busy' END AS error, CAST(CASE WHEN p_size % 5 = 0 THEN 3 ELSE 1 END AS INTEGER) AS tries FROM part")
+def chat_answers(spark, sf):
+    """Requests to a service that never answers a fifth of them."""
+
+    def complete(messages: str) -> str:
+        name, size = messages.split("|")
+        if int(size) % 5 == 0:
+            raise TimeoutError("busy")
+        return name.upper()
+
+    requests = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat_ws("|", "p_name", F.col("p_size").cast("string")).alias("messages"))
+    return readers.chat(requests, complete)
+
+
+@query("""SELECT sha256('m' || chr(0) || t) AS key, round(a, 6) AS first, round(sqrt(1 - a * a), 6) AS second FROM (SELECT t, CASE WHEN kind = 'p' THEN 0.6 ELSE length(t) / sqrt(length(t) * length(t) + 1) END AS a FROM (SELECT DISTINCT 'q: ' || p_name AS t, 'p' AS kind FROM part UNION SELECT DISTINCT 'q: ' || p_brand, 'b' FROM part))""")
+def cached_embeddings(spark, sf):
+    """Vectors of names from a cache, those of brands computed."""
+    rows = table(spark, sf, "part")
+    key = F.sha2(F.concat(F.lit("m\u0000q: "), "p_name"), 256)
+    cache = rows.select(key.alias("key"), F.array(F.lit(0.6), F.lit(0.8)).alias("v")).distinct()
+
+    def compute(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), 1.0] for t in texts]
+
+    found = readers.embed(rows.select(F.col("p_name").alias("text")).union(rows.select("p_brand")), cache, "m", compute, "q: ")
+    return six(found.select("key", F.col("v")[0].alias("first"), F.col("v")[1].alias("second")))
+
+
+@query("""SELECT p_partkey AS sid, 0 AS "from", length(p_name) AS "to", 'name' AS type, p_name AS text, CAST(0.7 AS DOUBLE) AS confidence FROM part WHERE p_size % 2 = 0
+    UNION ALL SELECT p_partkey, length(split_part(p_name, ' ', 1)) + 1, length(p_name), 'noun', split_part(p_name, ' ', 2), 0.6 FROM part WHERE p_size % 2 = 1""")
+def classified_pieces(spark, sf):
+    """Spans of a token classifier that marks both words of a name as one, or the second alone."""
+
+    def predict(texts: list[str]) -> list[list[tuple]]:
+        out = []
+        for text in texts:
+            name, size = text.split("|")
+            a, b = name.split(" ")
+            kinds = ("B-name", "I-name") if int(size) % 2 == 0 else ("O", "B-noun")
+            out.append([(0, len(a), a, kinds[0], 0.8), (len(a) + 1, len(name), b, kinds[1], 0.6)])
+        return out
+
+    texts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("sid"), F.concat_ws("|", "p_name", F.col("p_size").cast("string")).alias("text"))
+    found = sp.pieces_to_spans(readers.classify(texts, predict))
+    return six(found.select(F.col("sid").cast("long").alias("sid"), F.col("start").alias("from"), F.col("end").alias("to"), "type", "text", "confidence"))
+
+
+@query(f"""WITH {spans_sql('g', GOLD)}, n AS (SELECT user_id AS sid, count(*) AS n FROM events GROUP BY user_id) SELECT sid, n FROM n WHERE sid IN (SELECT sid FROM g) AND n BETWEEN 8 AND 75 AND sid NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 180)""")
+def demonstration_pool(spark, sf):
+    e = table(spark, sf, "events")
+    words = e.groupBy(F.col("user_id").alias("sid")).agg(F.collect_list("event_type").alias("tokens"))
+    rows = words.join(sp.collect_spans(spans(spark, sf, GOLD)), "sid")
+    excluded = e.where("event_type = 'purchase' AND value > 180").select(F.col("user_id").alias("sid"))
+    return vc.demonstration_pool(rows, excluded, 8, 75).select("sid", F.size("tokens").cast("long").alias("n"))
