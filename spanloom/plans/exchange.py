@@ -25,7 +25,7 @@ from ..operators import stats as st
 from ..operators import vectors as vc
 from ..sources import readers, sinks
 from ..streaming import queue
-from .catalogue import BOTH, GOLD, KEY_SQL, MATCHED, PRED, SCORED_SQL, TOKENS_SQL, TWO_SIDED, mentions, query, scored, sides, six, spans, spans_sql, table, two_runs, weights_sql
+from .catalogue import BOTH, GOLD, KEY_SQL, MATCHED, NO_ZERO, PRED, SCORED_SQL, TOKENS_SQL, TWO_SIDED, auroc_sql, mentions, query, scored, sides, six, spans, spans_sql, table, two_runs, weights_sql
 
 # ---- files written and read back
 
@@ -385,6 +385,11 @@ def difference_of_differences(spark, sf):
     return six(rs.difference_of_differences(four.select("*", *worse, *[F.col(f"{c}_a").alias(f"{c}_d") for c in ("tp", "fp", "fn")]), 50))
 
 
+@query(f"""WITH {SCORED_SQL}, {weights_sql('d', 'source', 20)}, x AS (SELECT rep, s, y, w FROM d JOIN ww USING (source)), {auroc_sql('x', 'rep', 's', 'y', 'w')}, f AS (SELECT {NO_ZERO} - 0.5 AS d FROM b GROUP BY rep) SELECT {TWO_SIDED} FROM f""")
+def auroc_p(spark, sf):
+    return six(rs.auroc_p(scored(spark, sf), "source", "s", reps=20))
+
+
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
     SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, CAST(1.0 AS DOUBLE) AS own, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM v""")
 def unit_vectors(spark, sf):
