@@ -7,6 +7,12 @@ and gives each vector all directions that exceed it. The threshold of a length i
 some vectors far fewer directions than others; a vector's own threshold is lower where it takes that to be exceeded so often.
 ``codes`` independent codes make misses independent. Vectors with one label and one filter meet in a task, where all cosines are checked in double precision.
 
+Vectors of at most ``parts`` components are the exception: their blocks are single numbers, of which unit code words are only +1 and -1, so that
+everyone exceeds the few directions that differ. They take one filter and are compared in blocks; a fixed share of them is near anyway.
+
+In other short vectors so many directions lie so densely that near vectors would share none of their nearest; :func:`codes_for` halves
+the code words until sampled pairs at the bound do.
+
 Equal vectors of a label are one class with a count, so copies never meet each other. A (label, filter) with more than
 ``block`` classes is dealt over the pairs of its blocks. A pair that meets under several filters is counted under the smallest
 filter that both hold. Tasks return one row for each class that they saw linked: how many vectors it links with, and the
@@ -40,6 +46,9 @@ class ProductCodes:
         self.size, self.words, self.parts = size, words, parts
         self.width = -(-size // parts)
         self.codes = []
+        self.single = size <= parts or words < 2
+        if self.single:
+            return
         for _ in range(codes):
             rotation = np.linalg.qr(rng.normal(size=(size, size)))[0]
             book = rng.normal(size=(parts, words, self.width))
@@ -67,6 +76,8 @@ class ProductCodes:
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """The ids, ascending, of each row of ``unit``."""
+        if self.single:
+            return [np.ones(1, np.int64)] * len(unit)
         half = self.words**2
         found: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
         for c in range(len(self.codes)):
@@ -85,6 +96,24 @@ class ProductCodes:
         return [np.sort(np.concatenate(f)) for f in found]
 
 
+def codes_for(size: int, cosine: float, words: int, filters: int, codes: int, seed: int, pairs: int = 400) -> ProductCodes:
+    """Codes with at most ``words`` code words, of which at least 99.5 % of ``pairs`` random pairs at this cosine share a filter."""
+    made = ProductCodes(size, words, filters, codes, seed)
+    while not made.single:
+        rng = np.random.default_rng([seed, size, words])
+        a = rng.normal(size=(pairs, size))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=a.shape)
+        b -= (b * a).sum(1, keepdims=True) * a
+        b = cosine * a + math.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        missed = sum(not len(np.intersect1d(x, y)) for x, y in zip(made.decode(a), made.decode(b), strict=True))
+        if missed <= pairs * 0.005:
+            break
+        words //= 2
+        made = ProductCodes(size, words, filters, codes, seed)
+    return made
+
+
 def smallest_common(held: np.ndarray, a: np.ndarray, b: np.ndarray, this: np.ndarray) -> np.ndarray:
     """For pairs of rows (a, b) of sorted filter lists, which end in zeros: is ``this`` the smallest filter that both hold?"""
     ok = np.ones(len(a), bool)
@@ -149,7 +178,7 @@ def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None,
             for d in np.unique(size).tolist():
                 at = np.flatnonzero(size == d)
                 if d not in made:
-                    made[d] = ProductCodes(d, words, filters, codes, seed)
+                    made[d] = codes_for(d, cosine, words, filters, codes, seed)
                 for k in range(0, len(at), 256):
                     some = at[k : k + 256]
                     for i, f in zip(some.tolist(), made[d].decode(unit(matrix(lists.take(pa.array(some))))), strict=True):

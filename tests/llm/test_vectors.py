@@ -121,6 +121,23 @@ def test_links_odd(spark):
     assert link(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_links_of_short_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=2)], int(rng.integers(0, 2))) for i in range(10_000)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    for k in (0, 1):
+        at = np.flatnonzero(label == k)
+        links = (x[at] @ x[at].T >= 0.93).sum(1) - 1
+        assert [got[i][0] for i in at.tolist()] == links.tolist()
+        assert {got[i][1] for i in at.tolist()} == {int(at[0])}  # so many leave no gap on the circle
+    for d in (5, 7, 9):
+        some = [(i, [float(np.float32(y)) for y in rng.normal(size=d)], 1) for i in range(400)]
+        assert sum(r.n_links for r in link(spark.createDataFrame(some, SCHEMA)).collect()) >= 0.98 * sum(r[1] for r in brute_links(some))
+
+
 @pytest.mark.parametrize(("cosine", "words"), [(0.93, 16), (0.93, 32), (0.93, 64), (0.93, 256), (0.96, 32)])
 def test_recall_of_the_filters(cosine, words):
     rng = np.random.default_rng(4)
