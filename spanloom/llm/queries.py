@@ -77,11 +77,41 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_code_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .code_books import compress
+
+    return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def _rounds(n: int) -> str:
+    """CTEs a0..an (each part's nearest entry and squared distance) and b1..bn (the codebooks after a round), from p (parts) and b0."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT row, part, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'entry': entry}}) AS best FROM p JOIN b{r} USING (part) GROUP BY ALL),
+        """)
+        if r < n:
+            out.append(f"""s{r} AS (SELECT part, entry, list(v ORDER BY i) AS c FROM (SELECT a.part, a.best.entry AS entry, i, floor(sum(x[i]) / count(*)) AS v FROM a{r} a JOIN p USING (row, part), unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL) GROUP BY ALL),
+        b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s.c, b.c) AS c FROM b{r} b LEFT JOIN s{r} s USING (part, entry)),
+        """)
+    return "".join(out)
+
+
 ORACLES: dict[str, str] = {
+    # integers below 2^53 are exact in doubles
+    "op11_code_books": f"""
+        WITH k AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS MATERIALIZED (SELECT row, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS x FROM k, unnest(range(4)) t(part)),
+        b0 AS MATERIALIZED (SELECT part, row AS entry, x AS c FROM p WHERE row < 256),
+        {_rounds(4)}
+        e AS (SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY row),
+        h AS (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b4, unnest(range(1, len(c) + 1)) t(i))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (row), h""",
     "op3_threshold_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
