@@ -83,6 +83,12 @@ def op11_code_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .outliers import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

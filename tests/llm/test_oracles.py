@@ -16,4 +16,4 @@ def test_same_as_sql(spark, sf, connection, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
