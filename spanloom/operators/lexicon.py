@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import greedy
 from ..functions.text import has_alphanumeric, normalize_mention, normalize_tokens, trigrams
+from .trie import matcher, token_hashes
 
 
 def windows(sentences: DataFrame, longest: int = 6, *keep: str, shortest: int = 1) -> DataFrame:
@@ -27,7 +28,7 @@ def surface_index(spans: DataFrame, sentences: DataFrame | None = None, longest:
     """key, label (first seen), types map<string,bigint>, first (type -> first position), total, o (occurrences outside spans).
 
     spans: sid, s, e, type, surface, pos (order of first appearance). Two aggregations on (key, type) and key; occurrences
-    come from a dictionary join of all windows less those that are spans.
+    come from a dictionary join of the texts less those that are spans.
     """
     kept = spans.where(F.col("e") - F.col("s") <= most_tokens).withColumn("key", normalize_mention(F.col("surface")))
     per = kept.groupBy("key", "type").agg(F.count("*").alias("n"), F.min(F.struct("pos", "surface")).alias("at"))
@@ -39,7 +40,8 @@ def surface_index(spans: DataFrame, sentences: DataFrame | None = None, longest:
     )
     if sentences is None:
         return index.withColumn("o", F.lit(0).cast("long"))
-    outside = windows(sentences, longest).join(spans.select("sid", "s", "e").distinct(), ["sid", "s", "e"], "left_anti").groupBy("key").agg(F.count("*").alias("o"))
+    found = dictionary_join(sentences, index.select("key"), longest)
+    outside = found.join(spans.select("sid", "s", "e").distinct(), ["sid", "s", "e"], "left_anti").groupBy("key").agg(F.count("*").alias("o"))
     return index.join(outside, "key", "left").withColumn("o", F.coalesce("o", F.lit(0)))
 
 
@@ -64,21 +66,29 @@ def gazetteer(index: DataFrame, least: int = 2, purity: float = 0.9, most_outsid
     return index.where((F.col("total") >= least) & (best["c"] >= purity * F.col("total")) & (F.col("o") < most_outside * (F.col("o") + F.col("total")))).select("key", best["t"].alias("type"))
 
 
-def dictionary_join(sentences: DataFrame, entries: DataFrame, longest: int = 6, shortest: int = 1) -> DataFrame:
+def dictionary_join(sentences: DataFrame, entries: DataFrame, longest: int = 6, shortest: int = 1, *, most_tokens: int = 1 << 22) -> DataFrame:
     """Windows whose key is an entry's: sid, s, e, key and the entry's columns.
 
-    Windows meet entries by a 64-bit hash of their tokens, so no text is built for the windows that meet nothing; an entry's
-    key is its normalised tokens joined by single spaces.
+    An entry's key is its normalised tokens joined by single spaces. Dictionaries of up to ``most_tokens`` tokens are broadcast as a trie, which
+    finds the windows inside each row; larger ones meet all windows by a shuffled join on hashes. In both ways the windows' texts are
+    compared with the keys, so a collision of hashes is no hit.
     """
-    rows = sentences.select("sid", normalize_tokens(F.col("tokens")).alias("t")).where(F.size("t") >= shortest)
+    rows = sentences.select("sid", normalize_tokens(F.col("tokens")).alias("t"))
+    held = entries.where(has_alphanumeric(F.col("key"))).withColumn("__t", F.split("key", " ")).where(F.size("__t").between(shortest, longest))
+    keys = held.select("key", token_hashes(F.col("__t")).alias("__t")).distinct()
+    if (keys.agg(F.sum(F.size("__t"))).first()[0] or 0) <= most_tokens:
+        found = rows.withColumn("w", matcher(keys, "__t")(token_hashes(F.col("t"))))
+        key = F.array_join(F.slice("t", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")), " ")
+        hits = found.select("sid", "t", F.explode("w").alias("w")).select("sid", "w.s", "w.e", key.alias("key"))
+        return hits.join(held.drop("__t"), "key").select("sid", "s", "e", *entries.columns)
 
     def of(n: int) -> Column:
         starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("s"), (i + n).alias("e"), F.xxhash64(F.slice("t", i + 1, n)).alias("__h")))
+        return F.transform(starts, lambda i: F.struct(i.alias("s"), (i + n).alias("e"), F.xxhash64(F.slice("t", i + 1, n)).alias("__h"), F.array_join(F.slice("t", i + 1, n), " ").alias("__k")))
 
     made = F.concat(*[of(n) for n in range(shortest, longest + 1)]) if longest > shortest else of(longest)
-    held = entries.where(has_alphanumeric(F.col("key"))).withColumn("__h", F.xxhash64(F.split("key", " ")))
-    return rows.select("sid", F.inline(made)).join(held, "__h").drop("__h").select("sid", "s", "e", *entries.columns)
+    held = held.withColumn("__h", F.xxhash64("__t")).drop("__t")
+    return rows.select("sid", F.inline(made)).join(held, "__h").where("__k = key").select("sid", "s", "e", *entries.columns)
 
 
 def gazetteer_spans(sentences: DataFrame, entries: DataFrame, longest: int = 6) -> DataFrame:
@@ -108,11 +118,10 @@ def retrieve_facts(sentences: DataFrame, index: DataFrame, most: int = 10, longe
 
     Keys without an exact entry are tried by trigrams if they have up to three tokens and six characters.
     """
-    keyed = windows(sentences, longest)
     entries = index.select("key", "types", "total", "o")
-    hits = keyed.join(entries, "key").select("sid", "s", "e", F.col("key").alias("entry"), "types", "total", "o", F.lit(1.0).alias("similarity"))
+    hits = dictionary_join(sentences, entries, longest).select("sid", "s", "e", F.col("key").alias("entry"), "types", "total", "o", F.lit(1.0).alias("similarity"))
     if fuzzy is not None:
-        rest = keyed.where((F.col("e") - F.col("s") <= 3) & (F.length("key") >= 6)).join(entries.select("key"), "key", "left_anti")
+        rest = windows(sentences, longest).where((F.col("e") - F.col("s") <= 3) & (F.length("key") >= 6)).join(entries.select("key"), "key", "left_anti")
         near = trigram_join(rest.select(F.col("key").alias("q")), entries, fuzzy).withColumnRenamed("key", "entry")
         hits = hits.union(rest.withColumnRenamed("key", "q").join(near, "q").join(entries.withColumnRenamed("key", "entry"), "entry").select("sid", "s", "e", "entry", "types", "total", "o", "similarity"))
     purity = F.array_max(F.map_values("types")) / F.col("total")

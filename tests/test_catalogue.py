@@ -2,7 +2,8 @@ import pytest
 
 from spanloom.plans import (
     catalogue,
-    exchange,  # noqa: F401  registers its queries with the catalogue's
+    dictionaries,  # noqa: F401  registers its queries with the catalogue's
+    exchange,  # noqa: F401
 )
 
 from .oracle import compare, connect
