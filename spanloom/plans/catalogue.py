@@ -582,9 +582,25 @@ def weight_grid(spark, sf):
 # ---- samples, queues, relations
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS k, md5('7|' || doc_id) AS h FROM documents), z AS (SELECT k, count(*) AS size, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM d GROUP BY k),
+    b AS (SELECT *, greatest(1, 100 * size // total) AS q, 100 * size % total AS rest FROM z), m AS (SELECT 100 - sum(q) AS missing, max(q) AS most FROM b),
+    r AS (SELECT *, row_number() OVER (ORDER BY q < size DESC, rest DESC, k) AS rank FROM b), l AS (SELECT max(level) AS level FROM m, unnest(range(most + 1)) t(level) WHERE (SELECT sum(greatest(0, q - level)) FROM b) >= -missing AND missing < 0),
+    c AS (SELECT r.*, missing, level, row_number() OVER (PARTITION BY q > level ORDER BY k DESC) AS late, (SELECT sum(greatest(0, q - level)) FROM b) + missing AS back FROM r, m, l),
+    a AS (SELECT k, CASE WHEN total <= 100 THEN size WHEN missing >= 0 THEN q + CAST(q < size AND rank <= missing AS INTEGER) WHEN q > level THEN level + CAST(late <= back AS INTEGER) ELSE q END AS quota FROM c)
+    SELECT d.doc_id, d.k AS stratum FROM d JOIN a USING (k) QUALIFY row_number() OVER (PARTITION BY d.k ORDER BY h, doc_id) <= any_value(quota) OVER (PARTITION BY d.k)""")
 def stratified_sample(spark, sf):
-    return sm.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 100)
+    return sm.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 100).select("doc_id", F.coalesce("lang", F.lit("none")).alias("stratum"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(lang, 'none') || '/' || coalesce(source, 'none') AS k, md5('7|' || doc_id) AS h FROM documents), z AS (SELECT k, count(*) AS size, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM d GROUP BY k),
+    b AS (SELECT *, greatest(1, 90 * size // total) AS q, 90 * size % total AS rest FROM z), m AS (SELECT 90 - sum(q) AS missing, max(q) AS most FROM b),
+    r AS (SELECT *, row_number() OVER (ORDER BY q < size DESC, rest DESC, k) AS rank FROM b), l AS (SELECT max(level) AS level FROM m, unnest(range(most + 1)) t(level) WHERE (SELECT sum(greatest(0, q - level)) FROM b) >= -missing AND missing < 0),
+    c AS (SELECT r.*, missing, level, row_number() OVER (PARTITION BY q > level ORDER BY k DESC) AS late, (SELECT sum(greatest(0, q - level)) FROM b) + missing AS back FROM r, m, l)
+    SELECT k AS stratum, size, CAST(CASE WHEN total <= 90 THEN size WHEN missing >= 0 THEN q + CAST(q < size AND rank <= missing AS INTEGER) WHEN q > level THEN level + CAST(late <= back AS INTEGER) ELSE q END AS BIGINT) AS quota FROM c""")
+def stratum_quotas(spark, sf):
+    """More strata than the sample can hold in proportion: the quotas of the largest are levelled."""
+    key = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")))
+    return sm.allocate(table(spark, sf, "documents").groupBy(key.alias("stratum")).agg(F.count("*").alias("size")), 90)
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 50")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import bio_to_spans
 from ..functions.text import normalize_domain, normalize_iob_label, tokenize
+from ..operators.numbering import with_number
 
 SPANS = "array<struct<s:int,e:int,type:string>>"
 BIO = "words string, sentence_id string, labels string"
@@ -44,8 +45,7 @@ def read_synthetic(spark: SparkSession, path: str, dataset: str, domains: Mappin
     names = F.create_map(*[F.lit(x) for k, v in domains.items() for x in (k.strip().lower().replace(" ", ""), v)])
     kind = F.element_at(names, normalize_domain(F.col("domain")))
     kind = F.when(kind.isNull(), F.raise_error(F.concat(F.lit("unknown domain "), F.coalesce("domain", F.lit("(none)"))))).otherwise(kind)
-    nth = F.row_number().over(Window.orderBy("pos")) - 1
-    return rows.select(F.concat_ws(":", F.lit(dataset), F.lit("s_full"), nth.cast("string")).alias("sid"), tokenize(F.col("sentence")).alias("tokens"), "value", "temperature", kind.alias("type"))
+    return with_number(rows, "pos", name="nth").select(F.concat_ws(":", F.lit(dataset), F.lit("s_full"), F.col("nth").cast("string")).alias("sid"), tokenize(F.col("sentence")).alias("tokens"), "value", "temperature", kind.alias("type"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,7 +38,9 @@ def journal(path: str, event: str, at: str, **fields) -> None:
 
 def index_triples(index: DataFrame, base: str = "urn:lexicon:") -> DataFrame:
     """s, p, o, datatype of a surface index: a node for each key, and one node for each (key, type) that holds the count."""
-    rows = index.withColumn("n", F.row_number().over(Window.orderBy("key")))
+    from ..operators.numbering import with_number
+
+    rows = with_number(index, "key", name="n").withColumn("n", F.col("n") + 1)
     node = F.concat(F.lit(base + "entry/"), F.col("n").cast("string"))
     integer = F.lit("http://www.w3.org/2001/XMLSchema#integer")
     rows = rows.select("*", node.alias("node"), F.posexplode_outer(F.array_sort(F.map_entries("types"))).alias("i", "t"))

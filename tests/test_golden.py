@@ -1,7 +1,9 @@
 """Hand cases with known results."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,10 +227,59 @@ def test_validation(spark):
     assert {r.q: r.uri for r in si.search_entities(e, labels).where("rank = 1").collect()}["aspirins"] == "u2"
 
 
-def test_quotas():
-    q = sm.quotas({"a": 50, "b": 30, "c": 1}, 10)
+def test_quotas(spark):
+    def quotas(sizes, n):
+        return {r.stratum: r.quota for r in sm.allocate(spark.createDataFrame(list(sizes.items()), "stratum string, size long"), n).collect()}
+
+    q = quotas({"a": 50, "b": 30, "c": 1}, 10)
     assert sum(q.values()) == 10 and q["c"] == 1 and q["a"] >= q["b"]
-    assert sm.quotas({"a": 2}, 5) == {"a": 2}
+    assert quotas({"a": 2}, 5) == {"a": 2}
+    assert quotas({"a": 34, "b": 33, "c": 33}, 10) == {"a": 4, "b": 3, "c": 3}
+    assert quotas({"a": 33, "b": 33, "c": 33}, 10) == {"a": 4, "b": 3, "c": 3}
+    # one row for each small stratum; the two largest pay for it
+    assert quotas({"a": 500, "b": 400, **{f"s{i}": 1 for i in range(6)}}, 10) == {"a": 2, "b": 2, **{f"s{i}": 1 for i in range(6)}}
+    assert quotas({"a": 500, "b": 400, **{f"s{i}": 1 for i in range(5)}}, 10) == {"a": 2, "b": 3, **{f"s{i}": 1 for i in range(5)}}
+    assert sum(quotas({f"s{i}": 1 for i in range(9)}, 4).values()) == 4
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        sizes = {f"s{i:02d}": int(v) for i, v in enumerate(rng.integers(1, rng.choice([3, 50, 2000]), rng.integers(1, 25)))}
+        total = sum(sizes.values())
+        n = int(rng.integers(1, total + 2))
+        q = quotas(sizes, n)
+        assert sum(q.values()) == min(n, total) and all(0 <= q[k] <= sizes[k] for k in sizes)
+        wanted = {k: max(1, n * v // total) for k, v in sizes.items()}
+        if n < total and sum(wanted.values()) <= n:
+            more = [k for k in sizes if q[k] > wanted[k]]
+            rest = {k: (-(n * v % total), k) for k, v in sizes.items() if wanted[k] < v}
+            assert all(q[k] - wanted[k] in (0, 1) for k in sizes) and set(more) == set(sorted(rest, key=rest.get)[: len(more)])
+        elif n < total:
+            cut = [q[k] for k in sizes if q[k] < wanted[k]]
+            assert all(q[k] <= wanted[k] for k in sizes) and max(cut) - min(cut) <= 1 and max(q.values()) <= min(cut) + 1
+
+
+def test_numbers_in_order(spark):
+    from spanloom.operators.numbering import with_number
+
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3).alias("n"))
+    assert [(r.v, r.at) for r in with_number(df, "v", name="at").orderBy("v").collect()] == [(i, i) for i in range(5000)]
+    rows = with_number(df, F.desc("n"), "v", name="at").orderBy("at").collect()
+    assert [r.at for r in rows] == list(range(5000)) and rows == sorted(rows, key=lambda r: (-r.n, r.v))
+    assert with_number(df.limit(0), "v").collect() == []
+
+
+def test_stratified(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 < 7, "x").when(F.col("id") % 10 < 9, "y").alias("k"))
+    rows = sm.stratified(df, "k", "id", 200).collect()
+    kept = {}
+    for r in rows:
+        kept.setdefault(r.k, []).append(r.id)
+    assert {k: len(v) for k, v in kept.items()} == {"x": 140, "y": 40, None: 20}
+    every = {}
+    for i in range(3000):
+        every.setdefault("x" if i % 10 < 7 else "y" if i % 10 < 9 else None, []).append(i)
+    for k, ids in kept.items():
+        assert sorted(ids) == sorted(sorted(every[k], key=lambda i: (hashlib.md5(f"7|{i}".encode()).hexdigest(), i))[: len(ids)])
+    assert sm.stratified(df.limit(0), "k", "id", 5).collect() == []
 
 
 def test_vectors(spark):
