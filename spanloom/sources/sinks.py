@@ -138,8 +138,8 @@ def prompt_batches(prompts: DataFrame, order: str, size: int, path: str) -> None
 _scratch: list[tuple[SparkSession, str]] = []
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``), deleted when the process ends.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     A machine-local folder is taken in local mode alone; a cluster without the setting raises ValueError.
     """
@@ -148,7 +148,12 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names the folder that executors share")
         at = tempfile.mkdtemp(prefix="spanloom-")
-    path = f"{at.rstrip('/')}/exchange-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, deleted when the process ends."""
+    path = f"{shared_folder(spark)}/exchange-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path
 

@@ -4,6 +4,7 @@ from spanloom.plans import (
     catalogue,
     dictionaries,  # noqa: F401  registers its queries with the catalogue's
     exchange,  # noqa: F401
+    job_queries,  # noqa: F401
 )
 
 from .oracle import compare, connect
