@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.text import normalize_label
-
-
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of (query, label). It isn't symmetric, so the order matters."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+from .blocks import ratio, shared_at_most, signature
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -24,39 +15,56 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((longer > 0) & (F.contains(a, b) | F.contains(b, a)), shorter / longer).otherwise(0.0)
 
 
-def band(length: Column, width: int = 4) -> Column:
-    return F.floor(length / width).cast("int")
+def occurrences(text: Column) -> Column:
+    """Each character with its number among the equal ones before it: two texts share as many of these as they can have matching characters."""
+    chars = F.split(text, "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
 
 
-def candidates(queries: DataFrame, labels: DataFrame, least: float, width: int = 4) -> DataFrame:
-    """Pairs (q, kind, label, uri) of one class whose lengths allow a similarity of at least ``least``.
+def prefixes(texts: DataFrame, column: str, frequency: DataFrame, least: float) -> DataFrame:
+    """column, n, sig, prefix: of the text's characters with numbers the rarest, so many that a text with a similarity of ``least`` shares one of them.
 
-    Lengths a and b allow at most 2 min / (a + b), so b lies between a t / (2 - t) and a (2 - t) / t. Both sides meet by equality on
-    (class, length band): a query is sent to the bands that it can reach. A query without class meets all classes.
+    A similarity of t needs at least n t / (2 - t) shared characters, whatever the other's length, so the other has one of any n - that + 1.
     """
-    n = F.length("q")
-    lo, hi = n * (least / (2 - least)), n * ((2 - least) / least)
-    # containment is shorter / longer, which the bound 2 min / (a + b) never falls below
-    asked = queries.select("q", "kind").distinct().where(n > 0).withColumn("band", F.explode(F.sequence(band(F.floor(lo), width), band(F.ceil(hi), width))))
-    held = labels.select("label", "uri", F.explode("kinds").alias("class"), band(F.length("label"), width).alias("band")).distinct()
-    typed = asked.where("kind IS NOT NULL").join(held, [asked.kind == held["class"], asked.band == held.band]).select("q", "kind", "label", "uri")
-    untyped = asked.where("kind IS NULL").join(held.drop("class").distinct(), "band").select("q", "kind", "label", "uri")
-    m = F.length("label")
-    return typed.union(untyped).where((m >= lo - 1e-9) & (m <= hi + 1e-9))
+    rows = texts.select(column).distinct().where(F.length(column) > 0)
+    parts = rows.select(column, F.explode(occurrences(F.col(column))).alias("token")).join(frequency, "token", "left")
+    order = F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token")
+    sorted_ = parts.groupBy(column).agg(F.sort_array(F.collect_list(order)).alias("o"))
+    n = F.size("o")
+    keep = n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1
+    return sorted_.select(column, n.alias("n"), signature(F.col(column)).alias("sig"), F.transform(F.slice("o", F.lit(1), F.least(n, keep)), lambda x: x["token"]).alias("prefix"))
+
+
+def candidates(queries: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Pairs (q, label) of texts that may have a similarity of at least ``least``, each once, whatever their classes; equal texts among them.
+
+    An exact prefix filter: both sides meet by equality on one of the rarest of their characters (numbered, rare ones first), are kept at the first that
+    both prefixes hold, and only where lengths and shared characters allow the bound. Nothing is broadcast or capped.
+    """
+    held = labels.select("label").distinct()
+    frequency = held.select(F.explode(occurrences(F.col("label"))).alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    asked = prefixes(queries, "q", frequency, least).select("q", F.col("n").alias("qn"), F.col("sig").alias("qs"), F.col("prefix").alias("qp"), F.explode("prefix").alias("token"))
+    there = prefixes(held, "label", frequency, least).select("label", "n", "sig", "prefix", F.explode("prefix").alias("token"))
+    met = asked.join(there, "token").where((2 * F.least("n", "qn") >= least * (F.col("n") + F.col("qn")) - 1e-9) & (2 * shared_at_most(F.col("sig"), F.col("qs")) >= least * (F.col("n") + F.col("qn")) - 1e-9))
+    return met.where(F.array_intersect("qp", "prefix")[0] == F.col("token")).select("q", "label")
+
+
+def of_class(pairs: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(q, kind, label, uri) of pairs (q, label, ...), where the node has the query's class; a query without class meets all."""
+    extra = [c for c in pairs.columns if c not in ("q", "label")]
+    rows = pairs.join(queries.select("q", "kind").distinct(), "q").join(labels.select("label", "uri", "kinds"), "label")
+    return rows.where(F.col("kind").isNull() | F.array_contains("kinds", F.col("kind"))).select("q", "kind", "label", "uri", *extra).distinct()
 
 
 def find_matches(queries: DataFrame, labels: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
     """q, kind, uri, label, similarity, rank: the k best graph nodes for each query, one label (the best) for each.
 
-    queries: q (normalised), kind (class or null). labels: label (normalised), uri, kinds (array). Equal texts take their own
-    branch by an equi-join; only distinct remaining pairs reach the Python ratio.
+    queries: q (normalised), kind (class or null). labels: label (normalised), uri, kinds (array). Each pair of different texts
+    is compared once, however many nodes and classes share them; containment never exceeds the ratio but for long texts, and is taken where it does.
     """
     pairs = candidates(queries, labels, least)
-    equal = pairs.where("q = label").withColumn("similarity", F.lit(1.0))
-    rest = pairs.where("q <> label")
-    scored = rest.select("q", "label").distinct().withColumn("similarity", F.greatest(ratio("q", "label"), containment(F.col("q"), F.col("label")))).where(F.col("similarity") >= least)
-    rest = rest.join(scored, ["q", "label"]).select("q", "kind", "label", "uri", "similarity")
-    return top_per_uri(equal.select("q", "kind", "label", "uri", "similarity").union(rest), k)
+    scored = pairs.withColumn("similarity", F.when(F.col("q") == F.col("label"), 1.0).otherwise(F.greatest(ratio("q", "label"), containment(F.col("q"), F.col("label"))))).where(F.col("similarity") >= least)
+    return top_per_uri(of_class(scored, queries, labels).select("q", "kind", "label", "uri", "similarity"), k)
 
 
 def top_per_uri(found: DataFrame, k: int) -> DataFrame:
@@ -73,7 +81,7 @@ def merge_matches(local: DataFrame, external: DataFrame, k: int = 10) -> DataFra
 
 def contained(queries: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """q, label, similarity of pairs of which one holds the other, with similarity of at least ``least``."""
-    pairs = candidates(queries, labels, least)
+    pairs = of_class(candidates(queries, labels, least), queries, labels)
     return pairs.select("q", "label").distinct().withColumn("similarity", containment(F.col("q"), F.col("label"))).where(F.col("similarity") >= least)
 
 
@@ -103,17 +111,24 @@ def search_entities(queries: DataFrame, labels: DataFrame, k: int = 10, least: f
     return top_per_uri(holds.union(near), k).withColumn("similarity", F.when(F.col("similarity") > 1, F.col("similarity") - 1).otherwise(F.col("similarity")))
 
 
-def holding(queries: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
-    """Pairs (q, kind, label, uri) of which the label holds the query, at any length: they meet by the query's first n characters."""
+def holding(queries: DataFrame, labels: DataFrame, most: int = 3) -> DataFrame:
+    """Pairs (q, kind, label, uri) of which the label holds the query, at any length.
 
-    def grams(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
+    They meet by the rarest of the query's stretches of ``most`` characters, or by the whole of a shorter query: labels are indexed by their stretches of one to ``most``.
+    """
 
-    held = labels.select("label", "uri").distinct()
-    index = held.where(F.length("label") >= n).select("label", "uri", F.explode(grams(F.col("label"))).alias("gram"))
-    long = queries.where(F.length("q") >= n).withColumn("gram", F.substring("q", 1, n)).join(index, "gram").where(F.contains("label", F.col("q")))
-    short = queries.where(F.length("q") < n).join(held, F.contains(F.col("label"), F.col("q")))
-    return long.select("q", "kind", "label", "uri").union(short.select("q", "kind", "label", "uri"))
+    def stretches(c: Column, n: Column) -> Column:
+        return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
+    asked = queries.select("q").where("q <> ''").distinct()
+    grams = asked.select("q", F.explode(stretches(F.col("q"), F.least(F.length("q"), F.lit(most)))).alias("gram"))
+    held = labels.select("label").distinct()
+    index = held.select("label", F.explode(F.concat(*[stretches(F.col("label"), F.lit(n)) for n in range(1, most + 1)])).alias("gram"))
+    counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # a stretch that no label has is the rarest, and the query meets nothing
+    rarest = grams.join(counts, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("q", "g.gram")
+    found = rarest.join(index, "gram").where(F.contains("label", F.col("q"))).select("q", "label")
+    return found.join(queries.select("q", "kind").distinct(), "q").join(labels.select("label", "uri").distinct(), "label").select("q", "kind", "label", "uri")
 
 
 def find_relations(relations: DataFrame, labels: DataFrame, triples: DataFrame, least: float = 0.95) -> DataFrame:

@@ -353,12 +353,6 @@ def labels_of(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select(ft.normalize_label(F.col("p_name")).alias("label"), F.concat(F.lit("urn:"), F.md5("p_name")).alias("uri"), F.array(F.lit("part")).alias("kinds")).distinct()
 
 
-@query()
-def similarity_topk(spark, sf):
-    q = table(spark, sf, "part").select(ft.normalize_label(F.concat_ws(" ", F.element_at(F.split("p_name", " "), 1), F.substring("p_type", 1, 5))).alias("q"), F.lit("part").alias("kind"))
-    return six(si.find_matches(q.distinct(), labels_of(spark, sf), 3, 0.5))
-
-
 @query("""WITH q AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS q FROM part), l AS (SELECT DISTINCT lower(p_name) AS label FROM part)
     SELECT q, label, round(CAST(least(length(q), length(label)) AS DOUBLE) / greatest(length(q), length(label)), 6) AS similarity FROM q JOIN l ON contains(label, q) OR contains(q, label) WHERE CAST(least(length(q), length(label)) AS DOUBLE) / greatest(length(q), length(label)) >= 0.4""")
 def containment(spark, sf):
@@ -770,7 +764,3 @@ def index_triples(spark, sf):
     return triples(lx.surface_index(mentions(spark, sf)))
 
 
-@query()
-def entity_validation(spark, sf):
-    rows = table(spark, sf, "part").select(F.concat(F.col("p_name"), F.substring("p_type", 1, 1)).alias("text"), F.lit("part").alias("kind")).distinct()
-    return six(si.validate_entities(rows, labels_of(spark, sf)).select("text", "status", "label", "similarity"))
