@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import greedy
 from ..functions.text import has_alphanumeric, normalize_mention, normalize_tokens, trigrams
+from .prefix import frequencies, meet_once, prefix, rare_first
 from .trie import matcher, token_hashes
 
 
@@ -102,13 +103,19 @@ def gazetteer_spans(sentences: DataFrame, entries: DataFrame, longest: int = 6)
 def trigram_join(queries: DataFrame, keys: DataFrame, least: float = 0.5, shortest: int = 5) -> DataFrame:
     """q, key, similarity: for each query text the key with the largest trigram Jaccard similarity of at least ``least``; ties by key.
 
-    Trigrams are exploded on both sides and met by equality; sizes prune pairs whose best case is below the bound.
+    Texts meet by one of their rarest trigrams, and each pair once. Sizes and the place of the first shared trigram bound what can be shared
+    before the whole sets are compared, so a common trigram's texts never meet in full.
     """
-    q = queries.select("q").distinct().withColumn("t", trigrams(F.col("q"))).withColumn("nq", F.size("t"))
-    k = keys.select("key").distinct().where(F.length("key") >= shortest).withColumn("t", trigrams(F.col("key"))).withColumn("nk", F.size("t"))
-    met = q.select("q", "nq", F.explode("t").alias("g")).join(k.select("key", "nk", F.explode("t").alias("g")), "g")
-    met = met.where((F.col("nk") >= least * F.col("nq")) & (F.col("nq") >= least * F.col("nk")))
-    pairs = met.groupBy("q", "key").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nk").alias("nk"))
+    k = keys.select("key").distinct().where(F.length("key") >= shortest)
+    frequency = frequencies(k, trigrams(F.col("key")))
+    q = rare_first(queries.select("q").distinct(), "q", trigrams(F.col("q")), frequency).withColumnRenamed("tokens", "tq")
+    k = rare_first(k, "key", trigrams(F.col("key")), frequency).withColumnRenamed("tokens", "tk")
+    q = q.select("q", "tq", F.size("tq").alias("nq"), prefix(F.col("tq"), F.size("tq") * least).alias("pq"))
+    k = k.select("key", "tk", F.size("tk").alias("nk"), prefix(F.col("tk"), F.size("tk") * least).alias("pk"))
+    met = meet_once(q, "pq", k, "pk").where((F.col("nk") >= least * F.col("nq")) & (F.col("nq") >= least * F.col("nk")))
+    behind = F.least(F.col("nq") - F.array_position("pq", F.col("token")), F.col("nk") - F.array_position("pk", F.col("token")))
+    needed = (F.col("nq") + F.col("nk")) * (least / (1 + least))
+    pairs = met.where(1 + behind >= needed - 1e-9).withColumn("n", F.size(F.array_intersect("tq", "tk")))
     pairs = pairs.withColumn("similarity", F.col("n").cast("double") / (F.col("nq") + F.col("nk") - F.col("n"))).where(F.col("similarity") >= least)
     return pairs.groupBy("q").agg(F.min(F.struct(-F.col("similarity"), "key", "similarity")).alias("best")).select("q", "best.key", "best.similarity")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label
 from .blocks import ratio, shared_at_most, signature
+from .prefix import frequencies, meet_once, prefix, rare_first
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -22,17 +23,14 @@ def occurrences(text: Column) -> Column:
 
 
 def prefixes(texts: DataFrame, column: str, frequency: DataFrame, least: float) -> DataFrame:
-    """column, n, sig, prefix: of the text's characters with numbers the rarest, so many that a text with a similarity of ``least`` shares one of them.
+    """column, n, sig, prefix: the rarest of the text's numbered characters.
 
-    A similarity of t needs at least n t / (2 - t) shared characters, whatever the other's length, so the other has one of any n - that + 1.
+    A similarity of t needs at least n t / (2 - t) shared characters, whatever the other's length.
     """
     rows = texts.select(column).distinct().where(F.length(column) > 0)
-    parts = rows.select(column, F.explode(occurrences(F.col(column))).alias("token")).join(frequency, "token", "left")
-    order = F.struct(F.coalesce("f", F.lit(0)).alias("f"), "token")
-    sorted_ = parts.groupBy(column).agg(F.sort_array(F.collect_list(order)).alias("o"))
-    n = F.size("o")
-    keep = n - F.ceil(n * (least / (2 - least)) - 1e-9).cast("int") + 1
-    return sorted_.select(column, n.alias("n"), signature(F.col(column)).alias("sig"), F.transform(F.slice("o", F.lit(1), F.least(n, keep)), lambda x: x["token"]).alias("prefix"))
+    sorted_ = rare_first(rows, column, occurrences(F.col(column)), frequency)
+    n = F.size("tokens")
+    return sorted_.select(column, n.alias("n"), signature(F.col(column)).alias("sig"), prefix(F.col("tokens"), n * (least / (2 - least))).alias("prefix"))
 
 
 def candidates(queries: DataFrame, labels: DataFrame, least: float) -> DataFrame:
@@ -42,11 +40,12 @@ def candidates(queries: DataFrame, labels: DataFrame, least: float) -> DataFrame
     both prefixes hold, and only where lengths and shared characters allow the bound. Nothing is broadcast or capped.
     """
     held = labels.select("label").distinct()
-    frequency = held.select(F.explode(occurrences(F.col("label"))).alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    asked = prefixes(queries, "q", frequency, least).select("q", F.col("n").alias("qn"), F.col("sig").alias("qs"), F.col("prefix").alias("qp"), F.explode("prefix").alias("token"))
-    there = prefixes(held, "label", frequency, least).select("label", "n", "sig", "prefix", F.explode("prefix").alias("token"))
-    met = asked.join(there, "token").where((2 * F.least("n", "qn") >= least * (F.col("n") + F.col("qn")) - 1e-9) & (2 * shared_at_most(F.col("sig"), F.col("qs")) >= least * (F.col("n") + F.col("qn")) - 1e-9))
-    return met.where(F.array_intersect("qp", "prefix")[0] == F.col("token")).select("q", "label")
+    frequency = frequencies(held, occurrences(F.col("label")))
+    asked = prefixes(queries, "q", frequency, least).select("q", F.col("n").alias("qn"), F.col("sig").alias("qs"), F.col("prefix").alias("qp"))
+    there = prefixes(held, "label", frequency, least)
+    n = F.col("n") + F.col("qn")
+    possible = (2 * F.least("n", "qn") >= least * n - 1e-9) & (2 * shared_at_most(F.col("sig"), F.col("qs")) >= least * n - 1e-9)
+    return meet_once(asked, "qp", there, "prefix").where(possible).select("q", "label")
 
 
 def of_class(pairs: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
+from ..operators import lexicon as lx
 from ..operators import similarity as si
-from .catalogue import labels_of, query, six, table
+from .catalogue import TRI, labels_of, query, six, table
 
 
 def ratio_sql(name: str, pairs: str) -> str:
@@ -60,3 +61,12 @@ def texts_that_hold(spark, sf):
     q = table(spark, sf, "benchmark").select(ft.normalize_label(F.col("text")).alias("q"), F.lit(None).cast("string").alias("kind")).distinct()
     labels = table(spark, sf, "documents").select(ft.normalize_label(F.col("text")).alias("label"), F.col("doc_id").alias("uri"))
     return si.holding(q, labels).select(F.md5("q").alias("passage"), F.col("uri").alias("doc_id"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT lower(text) AS q FROM benchmark WHERE text <> ''), k AS (SELECT DISTINCT lower(text) AS key FROM documents WHERE length(text) >= 5), a AS MATERIALIZED (SELECT q, {TRI.format('q')} AS g FROM q), b AS MATERIALIZED (SELECT key, {TRI.format('key')} AS g FROM k),
+    n AS (SELECT q, key, count(*) AS n FROM (SELECT q, unnest(g) AS g FROM a) JOIN (SELECT key, unnest(g) AS g FROM b) USING (g) GROUP BY ALL), j AS (SELECT q, key, CAST(n AS DOUBLE) / (len(a.g) + len(b.g) - n) AS similarity FROM n JOIN a USING (q) JOIN b USING (key))
+    SELECT md5(q) AS passage, md5(key) AS text, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY j.similarity DESC, key) = 1""")
+def trigram_fuzzy_texts(spark, sf):
+    """The document whose set of trigrams is nearest to each passage's: whole texts on both sides."""
+    q, k = (table(spark, sf, t).where("text <> ''").select(F.lower("text").alias(c)) for t, c in (("benchmark", "q"), ("documents", "key")))
+    return six(lx.trigram_join(q, k, 0.3).select(F.md5("q").alias("passage"), F.md5("key").alias("text"), "similarity"))

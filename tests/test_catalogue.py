@@ -5,6 +5,7 @@ from spanloom.plans import (
     dictionaries,  # noqa: F401  registers its queries with the catalogue's
     exchange,  # noqa: F401
     job_queries,  # noqa: F401
+    joint,  # noqa: F401
     similar,  # noqa: F401
 )
 

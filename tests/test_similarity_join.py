@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import blocks, similarity
+from spanloom.operators import blocks, lexicon, similarity
 
 
 def words(rng, n, letters="abcdé🙂 ", most=14):
@@ -59,3 +59,21 @@ def test_labels_that_hold_a_query(spark):
     got = similarity.holding(spark.createDataFrame([(x, None) for x in asked], "q string, kind string"), labels)
     assert sorted((r.q, r.uri) for r in got.collect()) == sorted((x, f"u{i}") for x in asked for i, y in enumerate(held) if x in y)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_trigram_join_by_trying_every_pair(spark, least):
+    rng = np.random.default_rng(8)
+    asked, held = sorted(set(words(rng, 80, "abc", 9))), sorted(set(words(rng, 150, "abc", 9)))
+
+    def grams(x):
+        return {("  " + x + " ")[i : i + 3] for i in range(len(x) + 1)}
+
+    want = {}
+    for x in asked:
+        near = [(-len(grams(x) & grams(y)) / len(grams(x) | grams(y)), y) for y in held if len(y) >= 5]
+        best = min(near)
+        if -best[0] >= least:
+            want[x] = (best[1], -best[0])
+    got = lexicon.trigram_join(spark.createDataFrame([(x,) for x in asked], "q string"), spark.createDataFrame([(x,) for x in held], "key string"), least)
+    assert {r.q: (r.key, r.similarity) for r in got.collect()} == want
