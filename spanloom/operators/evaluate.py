@@ -141,6 +141,27 @@ def evaluation(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return micro.crossJoin(macro_f1(by_type)).crossJoin(lenient).crossJoin(token)  # one row each
 
 
+def run_totals(records: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row about a run: sentences, those given up, unaligned entities, mean latency, tokens, validator actions, failed attempts.
+
+    records: a row for each sentence, with arrays ``unaligned`` and ``validator_actions``. What was given up counts as a sentence and nowhere else; a latency of
+    0 is unknown, as is a null.
+    """
+    done = ~F.coalesce("abandoned", F.lit(False))
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(done, c)), F.lit(0)).cast("long")
+
+    def entries(name: str) -> Column:
+        return F.coalesce(F.array_size(name), F.lit(0))
+
+    out = records.agg(
+        F.count("*").alias("n_sentences"), F.count_if(~done).alias("n_abandoned"), total(entries("unaligned")).alias("unaligned"), F.avg(F.when(done & (F.col("latency_s") != 0), F.col("latency_s"))).alias("mean_latency_s"),
+        total(F.col("prompt_tokens")).alias("prompt_tokens"), total(F.col("completion_tokens")).alias("completion_tokens"), total(entries("validator_actions")).alias("validator_actions"),
+    )
+    return out.crossJoin(failures.agg(F.count("*").alias("failed_attempts")))  # one row each
+
+
 def with_absent(subset: DataFrame, records: DataFrame) -> DataFrame:
     """Every id of the subset in its order; no record means no predictions and ``abandoned``."""
     none = F.array().cast("array<struct<s:int,e:int,type:string>>")

@@ -223,16 +223,41 @@ def sentence_counts(spark, sf):
     return ev.sentence_counts(*sides(spark, sf))
 
 
-@query()
+LENIENT = """g1 AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY s, e, type) AS i FROM g), p1 AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY s, e, type) AS i FROM p),
+    met AS (SELECT p1.sid, p1.i, list(g1.i ORDER BY g1.i) AS c FROM p1 JOIN g1 ON p1.sid = g1.sid AND p1.type = g1.type AND g1.s < p1.e AND p1.s < g1.e GROUP BY ALL),
+    taken AS (SELECT sid, len(list_reduce(list_concat([CAST([] AS BIGINT[])], list(c ORDER BY i)), lambda a, c: list_concat(a, list_slice(list_filter(c, lambda x: NOT list_contains(a, x)), 1, 1)))) AS n FROM met GROUP BY sid),
+    lenient AS (SELECT CAST(coalesce((SELECT sum(n) FROM taken), 0) AS BIGINT) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng)"""
+
+
+@query(f"{BOTH}, {LENIENT} SELECT tp, np - tp AS fp, ng - tp AS fn FROM lenient")
 def overlap_counts(spark, sf):
     return ev.overlap_counts(*sides(spark, sf))
 
 
-@query()
+@query(f"""{MATCHED}, {LENIENT}, c AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM m),
+    t AS (SELECT 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f1 FROM m GROUP BY type HAVING sum(tp) + sum(fn) > 0), a AS (SELECT avg(f1) AS macro_f1, count(*) AS macro_types FROM t),
+    x AS (SELECT DISTINCT sid, unnest(range(s, e)) AS i, type FROM g), y AS (SELECT DISTINCT sid, unnest(range(s, e)) AS i, type FROM p), k AS (SELECT (SELECT count(*) FROM x JOIN y USING (sid, i, type)) AS tp, (SELECT count(*) FROM x) + (SELECT count(*) FROM y) AS n)
+    SELECT c.tp, c.fp, c.fn, c.tp + c.fn AS support, round(coalesce(c.tp / nullif(c.tp + c.fp, 0), 0), 6) AS "precision", round(coalesce(c.tp / nullif(c.tp + c.fn, 0), 0), 6) AS recall, round(coalesce(2 * c.tp / nullif(2 * c.tp + c.fp + c.fn, 0), 0), 6) AS f1,
+    round(macro_f1, 6) AS macro_f1, macro_types, round(coalesce(2 * lenient.tp / nullif(np + ng, 0), 0), 6) AS overlap_f1, round(coalesce(2 * k.tp / nullif(k.n, 0), 0), 6) AS token_f1 FROM c, a, lenient, k""")
 def evaluation(spark, sf):
     return six(ev.evaluation(*sides(spark, sf)))
 
 
+@query("""WITH r AS (SELECT *, event_type = 'error' AND event_id % 4 = 0 AS abandoned FROM events)
+    SELECT count(*) AS n_sentences, count_if(abandoned) AS n_abandoned, CAST(sum(CASE WHEN NOT abandoned THEN event_id % 3 ELSE 0 END) AS BIGINT) AS unaligned, round(avg(CASE WHEN NOT abandoned THEN nullif(value, 0) END), 6) AS mean_latency_s,
+    CAST(sum(CASE WHEN NOT abandoned AND event_id % 6 > 0 THEN length(props) ELSE 0 END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN NOT abandoned THEN event_id % 50 ELSE 0 END) AS BIGINT) AS completion_tokens,
+    CAST(sum(CASE WHEN NOT abandoned THEN event_id % 2 ELSE 0 END) AS BIGINT) AS validator_actions, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_attempts FROM r""")
+def run_totals(spark, sf):
+    e, c = table(spark, sf, "events"), F.col
+    n = c("event_id")
+    usage = F.when(n % 6 > 0, F.length("props"))
+    records = e.select(
+        n.alias("sid"), F.when((c("event_type") == "error") & (n % 4 == 0), True).alias("abandoned"), c("value").alias("latency_s"), usage.alias("prompt_tokens"), (n % 50).alias("completion_tokens"),
+        F.when(n % 3 > 0, F.array_repeat(F.lit("x"), (n % 3).cast("int"))).alias("unaligned"), F.array_repeat(F.lit("drop"), (n % 2).cast("int")).alias("validator_actions"),
+    )
+    return six(ev.run_totals(records, e.where("event_type = 'error'")))
+
+
 def greedy_sql(rows: str, order: str) -> str:
     """Rows (sid, s, e, type) that a greedy choice in this order takes."""
     taken = "list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN len(list_filter(a, lambda y: y.s < b[1].e AND b[1].s < y.e)) > 0 THEN a ELSE list_concat(a, b) END)"
@@ -339,7 +364,12 @@ def trigram_fuzzy(spark, sf):
     return six(lx.trigram_join(part.select(F.lower("p_type").alias("q")), part.select(F.concat_ws(" ", F.lower("p_type"), F.lower("p_brand")).alias("key"))))
 
 
-@query()
+@query(f"""WITH i AS (SELECT key, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM (SELECT {KEY_SQL} AS key, p_brand, count(*) AS n FROM part GROUP BY ALL) GROUP BY key),
+    t AS (SELECT p_partkey AS sid, list_transform(regexp_extract_all(p_type || ' ' || p_name, '{ft.TOKEN.replace(chr(39), chr(39) * 2)}'), lambda x: translate(lower(x), '‑–', '--')) AS w FROM part),
+    v AS (SELECT sid, s, s + n AS e, array_to_string(w[s + 1:s + n], ' ') AS key FROM (SELECT sid, w, unnest(range(len(w))) AS s FROM t), unnest(range(1, 7)) k(n) WHERE s + n <= len(w)),
+    l AS (SELECT sid, list(struct_pack(s := s, e := e, entry := key, total := total) ORDER BY s - e, -total, -(most / total), s, e) AS l FROM v JOIN i USING (key) WHERE regexp_matches(key, '[\\p{{L}}\\p{{N}}]') GROUP BY sid),
+    g AS (SELECT sid, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN len(a) >= 3 OR len(list_filter(a, lambda y: y.s < b[1].e AND b[1].s < y.e)) > 0 THEN a ELSE list_concat(a, b) END)) AS x FROM l)
+    SELECT sid, CAST(x.s AS INTEGER) AS s, CAST(x.e AS INTEGER) AS e, x.entry AS entry, CAST(1 AS DOUBLE) AS similarity, x.total AS total, CAST(0 AS BIGINT) AS o FROM g""")
 def retrieved_facts(spark, sf):
     index = lx.surface_index(mentions(spark, sf))
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("sid"), ft.tokenize(F.concat_ws(" ", "p_type", "p_name")).alias("tokens"))
@@ -697,7 +727,13 @@ def sentence_correlations(spark, sf):
     return six(correlations(rows, rows.groupBy("run", "sid").agg(F.avg("y").alias("f1"))))
 
 
-@query()
+@query(f"""{MATCHED}, k AS (SELECT sid, sum(tp) AS ta, sum(fp) AS fa, sum(fn) AS na, sum(tp + fn) AS tb FROM m GROUP BY sid), {weights_sql('k', 'sid', 30)},
+    o AS (SELECT 2 * sum(tb) / greatest(2 * sum(tb), 1) - 2 * sum(ta) / greatest(2 * sum(ta) + sum(fa) + sum(na), 1) AS delta FROM k), z AS (SELECT rep, k.*, {draws_sql(7, '2', 'rep', 'sid')} = 1 AS swap FROM range(30) r(rep), k),
+    f AS (SELECT rep, 2 * sum(if(swap, ta, tb)) / greatest(2 * sum(if(swap, ta, tb)) + sum(if(swap, fa + na, 0)), 1) - 2 * sum(if(swap, tb, ta)) / greatest(2 * sum(if(swap, tb, ta)) + sum(if(swap, 0, fa + na)), 1) AS d FROM z GROUP BY rep),
+    b AS (SELECT rep, 2 * sum(w * tb) / greatest(2 * sum(w * tb), 1) - 2 * sum(w * ta) / greatest(2 * sum(w * ta) + sum(w * fa) + sum(w * na), 1) AS d FROM ww JOIN k USING (sid) GROUP BY rep),
+    c AS (SELECT 'gold against tagging' AS name, delta, (SELECT quantile_cont(d, 0.025) FROM b) AS low, (SELECT quantile_cont(d, 0.975) FROM b) AS high, (SELECT count_if(abs(d) >= abs(delta) - 1e-12) + 1 FROM f) / 31.0 AS p FROM o UNION ALL SELECT 'tagging against itself', 0, 0, 0, 1),
+    h AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i FROM c)
+    SELECT name, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(least(1, max((3 - i) * p) OVER (ORDER BY i)), 6) AS p_holm FROM h""")
 def run_comparisons(spark, sf):
     from ..operators.reports import comparisons
 
