@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,30 @@ def predict(model: Model, df: DataFrame, name: str = "p") -> DataFrame:
     return out.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """rows and a sum of row hashes: the same for the same rows in any order and partitioning, whatever their number."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")).first()
+    return {"rows": str(row["n"]), "hash": str(row["h"] or 0)}
+
+
+def save_model(model: PipelineModel, path: str, *, features: Sequence[str], trained_on: Mapping[str, str], **more: str) -> None:
+    """A fitted pipeline below ``path``, with what it was trained on beside it. Both are written by Spark, so the path may be remote.
+
+    The description is written last, so a model without one is unfinished and isn't loaded.
+    """
+    model.write().overwrite().save(f"{path}/model")
+    body = json.dumps({"features": list(features), "trained_on": dict(trained_on), **more}, sort_keys=True)
+    SparkSession.active().createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str, trained_on: Mapping[str, str] | None = None) -> tuple[PipelineModel, dict]:
+    """A stored model and its description. Raises ValueError if it was trained on other rows than ``trained_on`` describes."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    if trained_on is not None and about["trained_on"] != dict(trained_on):
+        raise ValueError(f"the model was trained on {about['trained_on']}, not {dict(trained_on)}")
+    return PipelineModel.load(f"{path}/model"), about
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], group: str, fit: Callable[[DataFrame, Sequence[str]], Model] = fit_logistic, folds: int = 5) -> DataFrame:
     """Each row scored by a model of the other folds; a group's rows share a fold."""
     rows = df.withColumn("__f", F.pmod(F.xxhash64(group), F.lit(folds)))

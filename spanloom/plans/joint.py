@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import learn
 from ..operators import resampling as rs
+from ..sources.sinks import scratch
 from .catalogue import AUROC, SCORED_SQL, auroc_sql, query, scored, six, weights_sql
 
 #: Five criteria of labelled documents, valid in both languages.
@@ -40,3 +42,32 @@ def joint_differences(spark, sf):
 def weight_grid_fine(spark, sf):
     rows = scored(spark, sf).select(*[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in CRITERIA.items()], "y")
     return six(rs.best_weights(rows, list(CRITERIA), step=0.05).drop("ord"))
+
+
+@query(f"""WITH {SCORED_SQL}, k AS (SELECT s, sum(y) AS y, count(*) AS n, row_number() OVER (ORDER BY s) AS i FROM d GROUP BY s), c AS (SELECT *, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM k),
+    a AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM c a JOIN c b ON b.i >= a.i), m AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM a)
+    SELECT s, round(max(least), 6) AS calibrated FROM m JOIN k USING (i) GROUP BY s""")
+def isotonic_map(spark, sf):
+    """Calibrated scores at each distinct score; in SQL as the largest of the smallest means of stretches around it."""
+    rows = scored(spark, sf).select("s", "y")
+    return six(learn.apply_isotonic(learn.fit_isotonic(rows, "s"), rows.select("s").distinct(), "s"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT count(*) AS rows, true AS equal, min(doc_id) AS first_id, max(doc_id) AS last_id FROM d")
+def stored_model(spark, sf):
+    """Fit, save, load by the fingerprint of the training rows, predict again: as the predictions that were stored at first."""
+    rows, at, features = scored(spark, sf).select("doc_id", "s", "t", F.col("p").alias("q"), "y"), scratch(spark), ["s", "t", "q"]
+    marks = learn.fingerprint(rows, ["doc_id", *features, "y"])
+    model = learn.fit_logistic(rows, features)
+    learn.predict(model, rows).select("doc_id", "p").write.parquet(f"{at}/predictions")
+    learn.save_model(model, f"{at}/scorer", features=features, trained_on=marks)
+    again, about = learn.load_model(spark, f"{at}/scorer", learn.fingerprint(rows.repartition(3, "doc_id"), ["doc_id", *features, "y"]))
+    found = learn.same_predictions(spark.read.parquet(f"{at}/predictions"), learn.predict(again, rows.select("doc_id", *about["features"])), "doc_id")
+    return found.crossJoin(rows.agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")))  # one row each
+
+
+@query()
+def transfer_matrix(spark, sf):
+    """AUROC of a model of each language's documents on each language's: tests/test_joint.py fits them one by one."""
+    rows = scored(spark, sf).select(F.coalesce("lang", F.lit("none")).alias("lang"), "s", "t", F.col("p").alias("q"), "y")
+    return six(learn.transfer(rows, ["s", "t", "q"], "lang", ["de", "en", "es", "fr"]))

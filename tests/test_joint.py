@@ -50,3 +50,31 @@ def test_joint_bootstrap_draws_once(spark):
         assert r.replicates == 25 and (r.low, r.high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
         assert r.p == pytest.approx(min(1, 2 * min(np.mean(np.array(values) <= 0), np.mean(np.array(values) >= 0))))
     assert got["mean"].value == pytest.approx(sum(r[3] for r in rows) / len(rows))
+
+
+def test_models_are_loaded_by_what_they_were_trained_on(spark, tmp_path):
+    from spanloom.operators import learn
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal()), int(rng.integers(0, 2)), "ab"[i % 2]) for i in range(120)], "id long, a double, b double, y int, k string")
+    model, marks = learn.fit_logistic(df, ["a", "b"]), learn.fingerprint(df, ["id", "a", "b", "y"])
+    assert marks == learn.fingerprint(df.repartition(7), ["id", "a", "b", "y"]) != learn.fingerprint(df.where("id > 0"), ["id", "a", "b", "y"])
+    learn.save_model(model, str(tmp_path / "m"), features=["a", "b"], trained_on=marks, name="x")
+    again, about = learn.load_model(spark, str(tmp_path / "m"), marks)
+    assert about == {"features": ["a", "b"], "trained_on": marks, "name": "x"}
+    assert learn.same_predictions(learn.predict(model, df), learn.predict(again, df), "id").first().asDict() == {"rows": 120, "equal": True}
+    with pytest.raises(ValueError, match="trained on"):
+        learn.load_model(spark, str(tmp_path / "m"), learn.fingerprint(df.where("id > 0"), ["id", "a", "b", "y"]))
+    # a transfer cell is the AUROC of one source's model on another's rows
+    cells = {(r.train, r.test): r.auroc for r in learn.transfer(df, ["a", "b"], "k", ["a", "b"]).collect()}
+    scores = learn.predict(learn.fit_logistic(df.where("k = 'a'"), ["a", "b"]), df.where("k = 'b'")).collect()
+    pairs = [(p.p, q.p) for p, q in itertools.product(scores, scores) if p.y == 1 and q.y == 0]
+    assert cells["a", "b"] == pytest.approx(sum((p > q) + (p == q) / 2 for p, q in pairs) / len(pairs)) and len(cells) == 4
+
+
+def test_isotonic_map_of_hand_cases(spark):
+    from spanloom.operators import learn
+
+    df = spark.createDataFrame([(1.0, 1), (2.0, 0), (2.0, 1), (3.0, 1), (4.0, 0), (5.0, 1)], "s double, y int")
+    got = {r.s: r.calibrated for r in learn.apply_isotonic(learn.fit_isotonic(df, "s"), df.select("s").distinct(), "s").collect()}
+    assert got == pytest.approx({1.0: 0.6, 2.0: 0.6, 3.0: 0.6, 4.0: 0.6, 5.0: 1.0})
