@@ -32,7 +32,7 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -166,6 +166,15 @@ def add_moments() -> list[Column]:
     return [F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(SIZE)]).alias("s"), F.array(*[F.sum(F.col("q")[i]) for i in range(len(PAIRS))]).alias("q")]
 
 
+#: A group's vectors are dealt over so many parts where they meet its estimates, so that no join brings a hot group into one task.
+PARTS = 16
+
+
+def meet(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """Vectors (with ``part``) and what is known of their group."""
+    return vectors.join(groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["key", "part"])
+
+
 FITTED = "key string, start int, centre array<double>, precision array<double>, logdet double"
 
 
@@ -213,14 +222,14 @@ def as_array(df: DataFrame, name: str) -> DataFrame:
 
 def starts(vectors: DataFrame, floors: Sequence[float]) -> DataFrame:
     """Three first estimates of each key, from all of its vectors."""
-    long = vectors.select("key", "n", F.posexplode(F.array(*X)).alias("i", "v"))
-    about = as_array(middle(long), "about")
-    away = long.join(about, "key").select("key", "i", "n", F.abs(F.col("v") - F.expr("about[i]")).cast("long").alias("v"))
+    long = vectors.select("key", "part", "n", F.posexplode(F.array(*X)).alias("i", "v"))
+    about = materialise(as_array(middle(long), "about"))
+    away = meet(long, about).select("key", "i", "n", F.abs(F.col("v") - F.expr("about[i]")).cast("long").alias("v"))
     unit = as_array(middle(away), "mads").select("key", F.array(*[F.greatest(F.lit(float(f)), F.col("mads")[i] * 1.4826) for i, f in enumerate(floors)]).alias("unit"))
     guides = materialise(about.join(unit, "key"))
     z = [(F.col(c) - F.col("about")[i]) / F.col("unit")[i] for i, c in enumerate(X)]
     norm = F.sqrt(sum((c * c for c in z[1:]), z[0] * z[0]))
-    scored = vectors.join(guides, "key").withColumn("z", F.array(*z)).withColumn("norm", norm)
+    scored = meet(vectors, guides).withColumn("z", F.array(*z)).withColumn("norm", norm)
     flat = [F.when(F.col("norm") > 0, F.col("z")[i] / F.col("norm")).otherwise(0.0) for i in range(SIZE)]
     ways = (("tanh", [F.tanh(F.col("z")[i]) for i in range(SIZE)]), ("sign", flat))
     sums = scored.groupBy("key").agg(*[m.alias(f"{name}_{col}") for name, x in ways for col, m in zip("nsq", moments(F.col("n"), x), strict=True)])
@@ -235,7 +244,7 @@ def starts(vectors: DataFrame, floors: Sequence[float]) -> DataFrame:
 def nearest_moments(vectors: DataFrame, at: DataFrame, share: float, fine: int = 64) -> DataFrame:
     """Moments of the nearest ``share`` of each key's vectors under each estimate of ``at``, by bins of ln(1 + squared distance)."""
     x = [F.col(c) for c in X]
-    binned = vectors.join(at.select("key", "start", "centre", "precision"), "key").withColumn("bin", F.floor(F.log1p(distance(x, F.col("centre"), F.col("precision"))) * fine))
+    binned = meet(vectors, at.select("key", "start", "centre", "precision")).withColumn("bin", F.floor(F.log1p(distance(x, F.col("centre"), F.col("precision"))) * fine))
     summed = binned.groupBy("key", "start", "bin").agg(*moments(F.col("n"), x))
     by = Window.partitionBy("key", "start")
     ranked = summed.withColumn("before", F.sum("n").over(by.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(by))
@@ -243,21 +252,22 @@ def nearest_moments(vectors: DataFrame, at: DataFrame, share: float, fine: int =
 
 
 def estimate(vectors: DataFrame, *, share: float = 0.75, floors: Sequence[float] = FLOORS, steps: int = 30) -> DataFrame:
-    """key, centre, precision of rows (key, x0 to x5, n): the reweighted minimum covariance determinant of each key."""
+    """key, centre, precision of rows (key, part, x0 to x5, n): the reweighted minimum covariance determinant of each key."""
     at = materialise(starts(vectors, floors).withColumn("falls", F.lit(True)))
     for _ in range(steps):
         active = at.where("falls")
         new = fitted(nearest_moments(vectors, active, share), 1.0, floors)
         old = active.select("key", "start", F.col("logdet").alias("was"))
         # the first step leaves a guess for a subset's scatter, so it may rise
-        moved = new.join(old, ["key", "start"]).withColumn("falls", F.abs(F.col("logdet") - F.col("was")) > 1e-9).drop("was")
-        at = materialise(moved.unionByName(at.where("not falls")))
-        if not at.where("falls").limit(1).count():
+        moved = new.join(old, ["key", "start"]).withColumn("falls", F.abs(F.col("logdet") - F.col("was")) > 1e-6).drop("was")
+        left = Observation()
+        at = materialise(moved.unionByName(at.where("not falls")).observe(left, F.count_if("falls").alias("n")))
+        if not left.get["n"]:
             break
     best = at.groupBy("key").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("b")).select("key", "b.*")
     raw = materialise(fitted(nearest_moments(vectors, best, share), consistency(share), floors))
     x = [F.col(c) for c in X]
-    near = vectors.join(raw, "key").where(distance(x, F.col("centre"), F.col("precision")) <= chi_quantile(0.975, SIZE))
+    near = meet(vectors, raw).where(distance(x, F.col("centre"), F.col("precision")) <= chi_quantile(0.975, SIZE))
     return fitted(near.groupBy("key", "start").agg(*moments(F.col("n"), x)), consistency(0.975), floors).select("key", "centre", "precision")
 
 
@@ -271,15 +281,15 @@ def with_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("keys", F.array(F.concat(F.lit("2:"), F.length(lang), F.lit(":"), lang, source), F.concat(F.lit("1:"), lang), F.lit("0:")))
 
 
-def judge(docs: DataFrame, *, share: float = 0.75, reject: float = 1e-6, least: int = 100, floors: Sequence[float] = FLOORS) -> DataFrame:
+def judge(docs: DataFrame, *, share: float = 0.75, reject: float = 1e-6, least: int = 100, floors: Sequence[float] = FLOORS, steps: int = 30) -> DataFrame:
     """doc_id, the five counts, base_failed, kept; then distance (squared, null where there is no estimate) and judged_by (2: language and source, 1: language, 0: everything)."""
     rows = materialise(statistics(docs).withColumn("base_failed", base_failed()))
     passed = with_keys(rows.where("not base_failed"))
     vectors = materialise(passed.groupBy("keys", *X).agg(F.count("*").alias("n")))
     supported = vectors.groupBy("keys").agg(F.sum("n").alias("n")).select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     supported = materialise(supported.where((F.col("n") >= least) | (F.col("key") == "0:")).select("key"))
-    vectors = materialise(vectors.select(F.explode("keys").alias("key"), *X, "n").groupBy("key", *X).agg(F.sum("n").alias("n")).join(supported, "key", "left_semi"))
-    estimates = materialise(estimate(vectors, share=share, floors=floors))
+    vectors = materialise(vectors.select(F.explode("keys").alias("key"), *X, "n").groupBy("key", *X).agg(F.sum("n").alias("n")).join(supported, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64(*X), F.lit(PARTS)).cast("int")))
+    estimates = materialise(estimate(vectors, share=share, floors=floors, steps=steps))
     # the estimate of each language and source, the most special one there is
     groups = with_keys(rows.select("lang", "source").distinct())
     chosen = groups.select("keys", F.posexplode("keys").alias("i", "key")).join(estimates, "key").groupBy("keys").agg(F.min_by(F.struct(F.lit(2) - F.col("i"), "centre", "precision"), "i").alias("e"))

@@ -32,7 +32,7 @@ def lower_median(v):
     return np.sort(v)[(len(v) + 1) // 2 - 1]
 
 
-def brute_estimate(x, share=0.75, floors=FLOORS):
+def brute_estimate(x, share=0.75, floors=FLOORS, steps=5):
     """The minimum covariance determinant of rows, one row at a time rather than by counts and bins' sums."""
     floor = np.diag(np.square(np.array(floors, float)))
     about = np.array([lower_median(c) for c in x.T], float)
@@ -48,10 +48,10 @@ def brute_estimate(x, share=0.75, floors=FLOORS):
             c = c / root / root[:, None]
         scatter, centre = c * unit * unit[:, None] + floor, about
         was = np.linalg.slogdet(scatter)[1]
-        for _ in range(30):
+        for _ in range(steps):
             centre, scatter = subset(x, centre, scatter, share, floor, 1.0)
             now = np.linalg.slogdet(scatter)[1]
-            if abs(now - was) <= 1e-9:
+            if abs(now - was) <= 1e-6:
                 break
             was = now
         if best is None or (now, k) < best[0]:
@@ -111,7 +111,7 @@ def test_brute_force(spark):
         if len(inside) >= least or not key:
             made[key] = brute_estimate(np.array(inside))
     assert {len(k) for k in made} == {0, 1, 2} and len([k for k in made if len(k) == 2]) > 2
-    got = judge(df, least=least).collect()
+    got = judge(df, least=least, steps=5).collect()
     assert sorted(r.doc_id for r in got) == sorted(found)
     rejected = 0
     for r in got:
@@ -135,22 +135,22 @@ def test_rejects_what_labels_call_bad(spark):
 
 
 def test_odd_rows(spark, odd, clashing, empty):
-    got = judge(odd).drop("distance").collect()
+    got = judge(odd, steps=1).drop("distance").collect()
     assert len(got) == odd.count()
     assert all(r.kept <= (not r.base_failed) for r in got)
-    assert sorted(map(tuple, judge(clashing).drop("distance").collect()), key=str) == sorted(map(tuple, got), key=str)
-    assert judge(empty).collect() == []
+    assert sorted(map(tuple, judge(clashing, steps=1).drop("distance").collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert judge(empty, steps=1).collect() == []
     few = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, None, None)], SCHEMA)
-    assert [(r.base_failed, r.kept, r.distance) for r in judge(few).collect()] == [(True, False, None)] * 2
+    assert [(r.base_failed, r.kept, r.distance) for r in judge(few, steps=1).collect()] == [(True, False, None)] * 2
     # a group of equal documents agrees exactly; all of it is kept
     same = spark.createDataFrame([(i, " ".join(f"word{k}" for k in range(40)), "en", "s", 1) for i in range(150)], SCHEMA)
-    assert all(r.kept for r in judge(same).collect())
+    assert all(r.kept for r in judge(same, steps=2).collect())
 
 
 def test_keep_ordinary(spark):
     df = spark.createDataFrame(made_documents(), SCHEMA)
-    kept = keep_ordinary(df.withColumn("distance", F.lit("x")))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judge(df).where("kept").collect())
+    kept = keep_ordinary(df.withColumn("distance", F.lit("x")), steps=2)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in judge(df, steps=2).where("kept").collect())
     assert kept.columns == [*df.columns, "distance"]
 
 
