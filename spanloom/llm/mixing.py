@@ -64,71 +64,88 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     return took
 
 
+def near_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int, cells: int) -> list[int]:
+    """The same for a budget of any size, in ``cells`` cells of equal width, each of which keeps the first sum that falls into it, exactly.
+
+    Each item can cost one cell's width, so the result is off by at most their number over ``cells`` of the budget; in practice by far less.
+    """
+    took = [0] * len(lengths)
+    if budget <= 0:
+        return took
+    most = budget + min(budget, max(lengths, default=0))
+    unit = most // cells + 1
+    goal = budget // unit
+    value = np.full(most // unit + 1, -1, np.int64)
+    value[0] = 0
+    item, came = np.full(len(value), -1, np.int32), np.full(len(value), -1, np.int64)
+    items: list[tuple[int, int]] = []
+    for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
+        part, left = 1, min(int(count), most // length if length else 0)
+        while left > 0 and value[goal] != budget:
+            k = min(part, left)
+            left -= k
+            part *= 2
+            at = np.flatnonzero(value >= 0)  # sums grow with their cells
+            sums = value[at] + k * length
+            at, sums = at[sums <= most], sums[sums <= most]
+            exact = np.flatnonzero((sums == budget) & (at != goal))
+            if len(exact):  # nothing is built on it any more, so it may take its cell from another sum
+                value[goal], item[goal], came[goal] = budget, len(items), at[exact[0]]
+            else:
+                cell = sums // unit
+                first = np.flatnonzero((value[cell] < 0) & np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+                value[cell[first]], item[cell[first]], came[cell[first]] = sums[first], len(items), at[first]
+            items.append((i, k))
+    reached = np.flatnonzero(value >= 0)
+    at = int(reached[np.argmin(np.abs(value[reached] - budget))])
+    while at:
+        i, k = items[item[at]]
+        took[i] += k
+        at = int(came[at])
+    return took
+
+
 def settle(lengths: np.ndarray, counts: np.ndarray, x: np.ndarray, left: int, most_exact: int) -> int:
     """Add to ``x`` (at most ``counts``) documents of ``left`` words, and return what is still left (below 0: too many).
 
-    Long documents fill until at most ``most_exact`` words are left, for which the dynamic program is exact. More than that are left only
-    where no unused document is short enough.
+    Long documents fill until at most ``most_exact`` words are left, for which the dynamic program is exact. More are left only
+    where no unused document is short enough; its cells are wider then.
     """
     if left > most_exact:
         for i in np.argsort(-lengths, kind="stable"):
             take = int(min(counts[i] - x[i], max(0, left - most_exact // 2) // max(1, lengths[i])))
             x[i] += take
             left -= take * int(lengths[i])
-    if left <= 4 * most_exact:
-        usable = np.flatnonzero((counts > x) & (lengths <= 2 * left))
-        usable = usable[np.argsort(-lengths[usable], kind="stable")]
-        took = np.array(knapsack([int(v) for v in lengths[usable]], [int(v) for v in (counts - x)[usable]], left), np.int64)
+    usable = np.flatnonzero((counts > x) & (lengths <= 2 * left))
+    usable = usable[np.argsort(-lengths[usable], kind="stable")]
+    if len(usable):
+        some, open_ = [int(v) for v in lengths[usable]], [int(v) for v in (counts - x)[usable]]
+        took = np.array(knapsack(some, open_, left) if left <= 4 * most_exact else near_knapsack(some, open_, left, 4 * most_exact), np.int64)
         x[usable] += took
         left -= int((took * lengths[usable]).sum())
     return left
 
 
-def roughly(lengths: np.ndarray, counts: np.ndarray, left: int, most_exact: int) -> np.ndarray:
-    """Documents of about ``left`` words: the dynamic program in units of which ``left`` has ``most_exact`` at most."""
-    unit = -(-left // most_exact)
-    out = np.zeros(len(lengths), np.int64)
-    usable = np.flatnonzero((counts > 0) & (lengths <= 2 * left))
-    usable = usable[np.argsort(-lengths[usable], kind="stable")]
-    scaled = np.maximum(1, (lengths[usable] + unit // 2) // unit)
-    out[usable] = knapsack(scaled.tolist(), counts[usable].tolist(), left // unit)
-    return out
-
-
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most_exact: int = 1 << 16) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most_exact: int = 1 << 16, near: int = 1000) -> np.ndarray:
     """Choose ``0 <= x <= counts`` with ``sum(x * lengths)`` near to ``budget``.
 
-    Counts are scaled down to the budget and the rest is settled. Where long documents keep that from coming near, the nearest of these is taken:
-    this choice; the same with one more document, the longest that fits or the shortest that exceeds, for which documents taken before make room; and what the dynamic
-    program in coarser units finds for the whole rest, settled in its turn.
+    Counts are scaled down to the budget and the rest is settled. Where that is off by more than a ``near``-th of the budget, as long documents can make it, the
+    dynamic program runs over the whole budget, in cells, what it leaves is settled in its turn, and the nearer choice is taken; of equal ones the scaled.
     """
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
     x = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((x * lengths).sum())
-    rough = x.copy()
-    left = settle(lengths, counts, x, rest, most_exact)
-    if not left:
+    left = settle(lengths, counts, x, budget - int((x * lengths).sum()), most_exact)
+    if abs(left) * near <= budget:
         return x
-    best = (abs(left), x)
-    if rest > most_exact:
-        rough += roughly(lengths, counts - rough, rest, most_exact)
-        over = budget - int((rough * lengths).sum())
-        if over > 0:
-            over = settle(lengths, counts, rough, over, most_exact)
-        best = min(best, (abs(over), rough), key=lambda z: z[0])
-    unused = np.flatnonzero(counts > x) if left > 0 else np.zeros(0, np.int64)
-    short, long = unused[lengths[unused] <= left], unused[lengths[unused] > left]
-    for i in (*short[np.argsort(lengths[short])][-1:], *long[np.argsort(lengths[long])][:1]):
-        y, out = x.copy(), np.zeros_like(x)
-        over = int(lengths[i]) - left
-        if over > 0:
-            over = settle(lengths, x, out, over, most_exact)
-        y += -out
-        y[i] += 1
-        best = min(best, (abs(over), y), key=lambda z: z[0])
-    return best[1]
+    order = np.argsort(-lengths, kind="stable")
+    y = np.zeros(len(lengths), np.int64)
+    y[order] = near_knapsack([int(v) for v in lengths[order]], [int(c) for c in counts[order]], budget, 4 * most_exact)
+    over = budget - int((y * lengths).sum())
+    if over > 0:
+        over = settle(lengths, counts, y, over, most_exact)
+    return y if abs(over) < abs(left) else x
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
