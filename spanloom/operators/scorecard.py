@@ -154,6 +154,13 @@ def decide(score: Column, constraint_score: Column, type_valid: Column, threshol
     return F.when((constraint_score < 0.4) | ~type_valid, "failed").when(score >= thresholds["pass"], "passed").when(score >= thresholds["review"], "needs_review").otherwise("failed")
 
 
+def mean_scorecard(rows: DataFrame, group: Sequence[str] = (), weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """group, n, the mean of each criterion where it was assessed, ``overall`` (weighted mean of these means) and the share of each decision (column ``decision``)."""
+    shares = [F.avg((F.col("decision") == d).cast("double")).alias(d) for d in ("passed", "needs_review", "failed")]
+    means = rows.groupBy(*group).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in CRITERIA], *shares)
+    return means.withColumn("overall", overall(weights, digits=6))
+
+
 def explain(score: Column, weights: Mapping[str, float] = WEIGHTS) -> Column:
     """One line for each criterion and the overall score."""
     lines = [F.concat(F.lit(f"{c} (weight {weights[c]:.2f}): "), F.coalesce(F.format_number(c, 3), F.lit("not assessed"))) for c in CRITERIA]

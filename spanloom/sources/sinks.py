@@ -7,7 +7,7 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +94,24 @@ def write_scored(df: DataFrame, path: str, run: str) -> None:
     df.withColumn("run", F.lit(run)).write.partitionBy("run").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def derive_run(spark: SparkSession, path: str, source: str, run: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """A run made from a stored one: its records with ``change``, its failures as they are. Each replaces the partition of ``run`` as a whole.
+
+    ``path`` holds ``records`` and ``failures``, both parted by run. Failures are written last, so a run that has them is complete.
+    """
+    for name, made in (("records", change), ("failures", lambda df: df)):
+        rows = spark.read.parquet(f"{path}/{name}").where(F.col("run") == source).drop("run")
+        write_scored(made(rows), f"{path}/{name}", run)
+
+
+def write_subset(ids: DataFrame, path: str, order: str, most: int = 100_000) -> None:
+    """An evaluation subset as a manifest: one JSON row with the ids (column ``sid``) in order. More than ``most`` ids are no subset and raise ValueError."""
+    if ids.limit(most + 1).count() > most:
+        raise ValueError(f"a subset holds {most} ids at most")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, F.col("sid").cast("string").alias("sid")))), lambda x: x["sid"])
+    ids.agg(F.count("*").alias("n"), listed.alias("sentence_ids")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def report_rows(df: DataFrame, most: int = 10_000) -> list:
     """All rows of a report table; more than ``most`` are no report and raise ValueError, so none is left out."""
     rows = df.limit(most + 1).collect()

@@ -6,6 +6,7 @@ from spanloom.plans import (
     exchange,  # noqa: F401
     job_queries,  # noqa: F401
     joint,  # noqa: F401
+    reporting,  # noqa: F401
     similar,  # noqa: F401
 )
 
