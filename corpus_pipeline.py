@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: judge quality, drop toxic texts and near copies, mix sources, pack sequences."""
+"""A training corpus from raw documents: judge quality, drop toxic texts and near copies, mix sources, pack sequences.
+
+Defined results: each stage works on all that the one before kept and returns the columns of its input, extra ones among them, but for the last. A null
+text counts as empty in every stage; null ids, languages and sources are kept as they are. Repeated rows are rows of their own for
+the classifiers and one group for ``near_duplicates``, which keeps one of them. An empty table, or one of which a stage keeps nothing, gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ from spanloom.llm.toxicity import keep_clean
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated quality is at least 0.7."""
+    """Documents whose calibrated quality is at least 0.7; equal texts are kept or dropped together."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8 or more."""
+    """One document of each group of near copies: five words, similarity 0.8 or more. Texts without words are near to nothing and stay."""
     return keep_one(docs, n=5, percent=80)
 
 
