@@ -21,10 +21,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. One is set only where none is, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where none is set, as in tests, local mode gets one of its own; on a cluster that raises ValueError, since executors don't see the driver's folders.
+    """
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names the folder that executors share")
         at = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
