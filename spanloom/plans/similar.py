@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..operators import lexicon as lx
 from ..operators import similarity as si
-from .catalogue import TRI, labels_of, query, six, table
+from ..operators.cells import nearest_in_cells
+from .catalogue import KNN, TRI, labels_of, query, six, table
 
 
 def ratio_sql(name: str, pairs: str) -> str:
@@ -70,3 +72,12 @@ def trigram_fuzzy_texts(spark, sf):
     """The document whose set of trigrams is nearest to each passage's: whole texts on both sides."""
     q, k = (table(spark, sf, t).where("text <> ''").select(F.lower("text").alias(c)) for t, c in (("benchmark", "q"), ("documents", "key")))
     return six(lx.trigram_join(q, k, 0.3).select(F.md5("q").alias("passage"), F.md5("key").alias("text"), "similarity"))
+
+
+@query(f"WITH {KNN} SELECT qid, pid, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, pid) AS INTEGER) AS rank FROM n QUALIFY rank <= 5")
+def knn_in_cells(spark, sf):
+    """The neighbours of every fiftieth vector among all others, through cells with an exact bound."""
+    e = table(spark, sf, "embeddings")
+    found = nearest_in_cells(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("pos"), F.col("embedding").alias("v")), 6)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    return six(found.where("qid <> pid").withColumn("rank", rank).where("rank <= 5"))
