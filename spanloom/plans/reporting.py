@@ -10,6 +10,7 @@ from ..operators.reports import build_index
 from ..sources import readers, sinks
 from .catalogue import SCORE_SQL, SCORED_SQL, query, reviewed, scored, six, table
 from .dictionaries import INDEX_SQL, marked, texts
+from .exchange import IOB, IOB_READ, tokens_in_order
 
 
 @query("SELECT coalesce(lang, 'none') AS lang, CAST(count(*) AS VARCHAR) AS texts, printf('%.4f', sum(n_chars) / 1000.0) AS thousands, CASE WHEN count(quality) > 0 THEN CAST(sum(quality) AS VARCHAR) ELSE '' END AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
@@ -62,3 +63,23 @@ _TOTAL = " + ".join(f'CASE WHEN "{c}" IS NULL THEN 0 ELSE {_W[c]} END' for c in
     SELECT lang, n, {', '.join(f'round("{c}", 6) AS "{c}"' for c in sc.CRITERIA)}, round(passed, 6) AS passed, round(needs_review, 6) AS needs_review, round(failed, 6) AS failed, round(({_VALUE}) / ({_TOTAL}), 6) AS overall FROM m""")
 def mean_scorecards(spark, sf):
     return six(sc.mean_scorecard(reviewed(spark, sf), ["lang"]))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS sid, CAST(event_id AS VARCHAR) AS token, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS i, {IOB_READ} AS label FROM events")
+def labelled_csv(spark, sf):
+    """Labels from a CSV that is told from IOB lines by its head."""
+    at = sinks.scratch(spark)
+    label = F.nullif(F.expr(IOB.format("b-Click", "B-ImagingProcedure", "I-adverseevent", "O")), F.lit("O"))
+    rows = tokens_in_order(spark, sf).select(F.col("event_id").alias("words"), F.col("user_id").alias("sentence_id"), label.alias("labels"))
+    rows.write.option("header", True).csv(at)
+    cells = readers.read_labelled(spark, at).select("sid", F.posexplode(F.arrays_zip("tokens", "labels")).alias("i", "c"))
+    return cells.select("sid", F.col("c.tokens").alias("token"), "i", F.col("c.labels").alias("label"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT doc_id, round(s, 6) AS s, CASE WHEN doc_id % 2 = 0 THEN kind END AS kind FROM d WHERE kg_best IS NOT NULL")
+def scored_lines(spark, sf):
+    """Scored rows as JSON lines of two runs; fields without a value are left out of their lines."""
+    at, rows = sinks.scratch(spark), scored(spark, sf).withColumn("span", F.when(F.col("kg_best").isNotNull(), F.array(F.lit(0), F.lit(1))))
+    for k in (0, 1):
+        sinks.append_records(rows.where(F.col("doc_id") % 2 == k).select("doc_id", "s", "span", *(["kind"] if k == 0 else [])), f"{at}/{k}")
+    return six(readers.read_scored(spark, [f"{at}/0", f"{at}/1"], lines="doc_id long, s double, span array<int>, kind string").drop("span"))

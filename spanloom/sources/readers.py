@@ -178,6 +178,23 @@ def read_iob(spark: SparkSession, path: str) -> DataFrame:
     return lists.select(F.concat_ws(":", F.element_at(F.split("f", "/"), -1), F.col("n").cast("string")).alias("sid"), "pos", F.transform("r", lambda x: x["t"]).alias("tokens"), F.transform("r", lambda x: x["l"]).alias("labels"))
 
 
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """sid, pos, tokens, labels of either form: CSV with the columns words, sentence_id and labels, or IOB lines (see :func:`read_iob`).
+
+    The first line that isn't blank tells which: CSV begins with ``words,`` or names ``sentence_id`` between commas. Sentences of a CSV keep the numbers that it gives them;
+    a missing label is O.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    head = first[0].strip().lower() if first else ""
+    if not (head.startswith("words,") or ",sentence_id," in head):
+        return read_iob(spark, path)
+    rows = numbered(spark.read.option("header", True).csv(path))
+    label = normalize_iob_label(F.coalesce(F.nullif(F.trim("labels"), F.lit("")), F.lit("O")))
+    cell = F.struct("pos", F.trim(F.coalesce("words", F.lit(""))).alias("t"), label.alias("l"))
+    lists = rows.groupBy(F.coalesce(F.col("sentence_id").cast("long"), F.lit(0)).alias("n")).agg(F.array_sort(F.collect_list(cell)).alias("r"))
+    return lists.select(F.col("n").cast("string").alias("sid"), F.col("n").alias("pos"), F.transform("r", lambda x: x["t"]).alias("tokens"), F.transform("r", lambda x: x["l"]).alias("labels"))
+
+
 def read_models(root: str, kind: str | None = None) -> list[dict]:
     """Registered models: every folder with a config.json, its labels and type. A driver-side listing."""
     out = []
@@ -194,9 +211,12 @@ def label_types(labels: Iterable[str]) -> list[str]:
     return sorted({x[2:] for x in labels if x[:2] in ("B-", "I-")})
 
 
-def read_scored(spark: SparkSession, paths: list[str], with_unaligned: bool = False) -> DataFrame:
-    """Scored rows of several runs; rows that were not aligned to the text (no span) only if asked for."""
-    rows = spark.read.option("mergeSchema", True).parquet(*paths)
+def read_scored(spark: SparkSession, paths: list[str], with_unaligned: bool = False, lines: str | None = None) -> DataFrame:
+    """Scored rows of several runs; rows that were not aligned to the text (no span) only if asked for.
+
+    They are Parquet, or JSON lines with the schema ``lines``, of which rows may leave fields out.
+    """
+    rows = spark.read.schema(lines).json(paths) if lines else spark.read.option("mergeSchema", True).parquet(*paths)
     return rows if with_unaligned else rows.where("span IS NOT NULL")
 
 
