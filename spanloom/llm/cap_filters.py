@@ -28,6 +28,7 @@ link; rows without vec_id may link, but name no component unless all are without
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,22 +116,28 @@ def codes_for(size: int, cosine: float, words: int, filters: int, codes: int, se
 
 
 def smallest_common(held: np.ndarray, a: np.ndarray, b: np.ndarray, this: np.ndarray) -> np.ndarray:
-    """For pairs of rows (a, b) of sorted filter lists, which end in zeros: is ``this`` the smallest filter that both hold?"""
-    ok = np.ones(len(a), bool)
+    """For pairs of rows (a, b) of ascending filter lists, which end in zeros: is ``this`` the smallest filter that both hold?
+
+    The first filter of one list that the other holds is the smallest common one, so near pairs are settled by a glance at the first few.
+    """
+    ok = np.zeros(len(a), bool)
     for start in range(0, len(a), 20_000):
-        s = slice(start, start + 20_000)
-        x, y = held[a[s]], held[b[s]]
-        low = np.full(len(x), np.iinfo(held.dtype).max, held.dtype)
-        for column in range(x.shape[1] - 1, -1, -1):
-            f = x[:, column]
-            low = np.where((f > 0) & (y == f[:, None]).any(1), f, low)
-        ok[s] = low == this[s]
+        open_ = np.arange(start, min(start + 20_000, len(a)))
+        for column in range(held.shape[1]):
+            f = held[a[open_], column]
+            common = (held[b[open_]] == f[:, None]).any(1)
+            ok[open_[common]] = f[common] == this[open_[common]]
+            open_ = open_[~common]
+            if not len(open_):
+                break
     return ok
 
 
-def near_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (a < b) of one group with at least this cosine. Groups are stretches of rows of unit vectors."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def near_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float, lowest: np.ndarray, this: np.ndarray, small: int = 64, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group with at least this cosine, in portions of at most ``most`` (a row's own at least). Groups are stretches of rows of unit vectors.
+
+    In large groups, rows with one ``lowest`` filter below ``this`` one meet under that filter too, which counts them, and are not compared with each other here.
+    """
     little = sizes <= small
     start, size = starts[little], sizes[little]
     rows = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -142,13 +149,22 @@ def near_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: flo
         for j in range(0, len(a), 50_000):
             p, q = a[j : j + 50_000], b[j : j + 50_000]
             near = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-            found.append((p[near], q[near]))
+            yield p[near], q[near]
     for first, m in zip(starts[~little].tolist(), sizes[~little].tolist(), strict=True):
-        for i in range(first, first + m, 1024):
-            stop = min(i + 1024, first + m)
-            p, q = np.nonzero(x[i:stop] @ x[i : first + m].T >= cosine)
-            found.append((p[p < q] + i, q[p < q] + i))
-    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        left = np.arange(first, first + m)
+        values, counts = np.unique(lowest[left], return_counts=True)
+        for value in values[(counts > small) & (values < this[first])].tolist():
+            same = lowest[left] == value
+            mine, left = left[same], left[~same]
+            step = max(1, min(1024, most // max(1, len(left))))
+            for i in range(0, len(mine), step):
+                p, q = np.nonzero(x[mine[i : i + step]] @ x[left].T >= cosine)
+                yield mine[i + p], left[q]
+        step = max(1, min(1024, most // max(1, len(left))))
+        for i in range(0, len(left), step):
+            p, q = np.nonzero(x[left[i : i + step]] @ x[left].T >= cosine)
+            later = p + i < q
+            yield left[i + p[later]], left[q[later]]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -156,13 +172,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None, filters: int = 16, codes: int = 3, block: int = 4096, seed: int = 23) -> DataFrame:
+def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None, filters: int = 16, codes: int = 3, block: int = 2048, seed: int = 23) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     words: by default so many that there are about as many directions as ``16 * classes``; vectors that are not near
     then seldom meet, at any size of the table.
     """
-    rows = small_batches(vectors, 10_000).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    rows = small_batches(vectors, 2_000).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     usable = usable_vectors(F.col("v")) & F.col("label").isNotNull() & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = materialise(rows.select("vec_id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform("v", lambda x: x + F.lit(0.0))).alias("v")).withColumn("cid", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
@@ -209,14 +225,21 @@ def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None,
             starts = starts_of(t)
             sizes = np.diff(np.append(starts, t.num_rows))
             cid, n, own, f = (t[c].to_numpy() for c in ("cid", "n", "own", "f"))
-            x, held = unit(matrix(t["v"])), matrix(t["held"], "int64")
-            a, b = near_pairs(x, starts, sizes, cosine)
-            # two blocks of one group meet to check what lies across; a block meets itself to check what lies inside
-            ok = (own[a] != own[b]) | (t["i"].to_numpy() == t["j"].to_numpy())[a]
-            a, b = a[ok], b[ok]
-            root = local_roots(len(cid), a, b)
-            once = smallest_common(held, a, b, f[a])
-            links = np.bincount(a[once], n[b[once]], len(cid)) + np.bincount(b[once], n[a[once]], len(cid))
+            x, held, inside = unit(matrix(t["v"])), matrix(t["held"], "int64"), t["i"].to_numpy() == t["j"].to_numpy()
+            links, forest = np.zeros(len(cid)), [(np.zeros(0, np.int64),) * 2]
+            for a, b in near_pairs(x, starts, sizes, cosine, held[:, 0], f):
+                # two blocks of one group meet to check what lies across; a block meets itself to check what lies inside
+                ok = (own[a] != own[b]) | inside[a]
+                a, b = a[ok], b[ok]
+                # a pair is counted under the smallest filter that both hold, which this one is where it is the lowest of either
+                once = (held[a, 0] == f[a]) | (held[b, 0] == f[a])
+                open_ = np.flatnonzero(~once)
+                once[open_] = smallest_common(held, a[open_], b[open_], f[a[open_]])
+                links += np.bincount(a[once], n[b[once]], len(cid)) + np.bincount(b[once], n[a[once]], len(cid))
+                met = np.unique(np.concatenate([a, b]))
+                to = local_roots(len(met), np.searchsorted(met, a), np.searchsorted(met, b))
+                forest.append((met, met[to]))
+            root = local_roots(len(cid), *(np.concatenate([t[k] for t in forest]) for k in (0, 1)))
             at = np.flatnonzero((links > 0) | (root != np.arange(len(cid))))
             return pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[root[at]]), pa.array(links[at].astype(np.int64))], names=["cid", "root", "links"])
 
@@ -232,7 +255,7 @@ def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None,
         for batch in it:
             kept.append(batch)
             rows += batch.num_rows
-            if rows >= 20_000:
+            if rows >= 4_000:
                 t = pa.Table.from_batches(kept).combine_chunks()
                 last = int(starts_of(t)[-1])
                 if last:

@@ -121,6 +121,15 @@ def test_links_odd(spark):
     assert link(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_links_of_large_groups_of_near_copies(spark):
+    rows = near_copies(clusters=4, size=140)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute_links(rows)
+    assert max(r[1] for r in want) > 100
+    for block in (2048, 50):
+        assert sorted(map(tuple, link(df, block=block).collect()), key=str) == want
+
+
 def test_links_of_short_vectors(spark):
     rng = np.random.default_rng(12)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=2)], int(rng.integers(0, 2))) for i in range(10_000)]
