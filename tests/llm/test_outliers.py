@@ -39,23 +39,23 @@ def brute_estimate(x, share=0.75, floors=FLOORS, steps=5):
     unit = np.maximum(np.array(floors, float), 1.4826 * np.array([lower_median(np.abs(c - m)) for c, m in zip(x.T, about, strict=True)]))
     z = (x - about) / unit
     norm = np.linalg.norm(z, axis=1, keepdims=True)
-    best = None
+    starts = []
     for k, scores in enumerate((None, np.tanh(z), np.divide(z, norm, out=np.zeros_like(z), where=norm > 0))):
         c = np.eye(SIZE)
         if scores is not None:
             c = scores.T @ scores / len(x)
             root = np.sqrt(np.maximum(np.diag(c), 1e-12))
             c = c / root / root[:, None]
-        scatter, centre = c * unit * unit[:, None] + floor, about
-        was = np.linalg.slogdet(scatter)[1]
-        for _ in range(steps):
-            centre, scatter = subset(x, centre, scatter, share, floor, 1.0)
-            now = np.linalg.slogdet(scatter)[1]
-            if abs(now - was) <= 1e-6:
-                break
-            was = now
-        if best is None or (now, k) < best[0]:
-            best = (now, k), centre, scatter
+        starts.append([k, about, c * unit * unit[:, None] + floor, True])
+    for step in range(steps):
+        if step == 2:
+            starts = [min(starts, key=lambda s: (np.linalg.slogdet(s[2])[1], s[0]))]
+        for s in starts:
+            if s[3]:
+                was = np.linalg.slogdet(s[2])[1]
+                s[1], s[2] = subset(x, s[1], s[2], share, floor, 1.0)
+                s[3] = abs(np.linalg.slogdet(s[2])[1] - was) > 1e-4
+    best = min(starts, key=lambda s: (np.linalg.slogdet(s[2])[1], s[0]))
     centre, scatter = subset(x, best[1], best[2], share, floor, consistency(share))
     near = x[quadratic(x, centre, np.linalg.inv(scatter)) <= chi_quantile(0.975, SIZE)]
     return near.mean(0), np.linalg.inv(np.cov(near.T, bias=True) * consistency(0.975) + floor)
