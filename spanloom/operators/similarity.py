@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_label
 from .blocks import ratio, shared_at_most, signature
+from .inside import finder
 from .prefix import frequencies, meet_once, prefix, rare_first
 
 
@@ -110,24 +111,32 @@ def search_entities(queries: DataFrame, labels: DataFrame, k: int = 10, least: f
     return top_per_uri(holds.union(near), k).withColumn("similarity", F.when(F.col("similarity") > 1, F.col("similarity") - 1).otherwise(F.col("similarity")))
 
 
-def holding(queries: DataFrame, labels: DataFrame, most: int = 3) -> DataFrame:
+def holding(queries: DataFrame, labels: DataFrame, most: int = 3, *, most_queries: int = 1 << 20) -> DataFrame:
     """Pairs (q, kind, label, uri) of which the label holds the query, at any length.
 
-    They meet by the rarest of the query's stretches of ``most`` characters, or by the whole of a shorter query: labels are indexed by their stretches of one to ``most``.
+    Up to ``most_queries`` queries are broadcast, each as its length and the hashes of the bytes at its two ends, and found at all places of a label inside its row.
+    More of them meet the labels by the rarest of the query's stretches of ``most`` characters, or by the whole of a shorter query; rows of that join hold
+    digests and never a text. In both ways the texts are compared afterwards.
     """
+    asked = queries.select("q").where("q <> ''").distinct()
+    if asked.count() <= most_queries:
+        near = labels.where("label <> ''").select("label", "uri", F.explode(finder(asked, "q")(F.col("label"))).alias("id"))
+        found = near.join(queries.where("q <> ''").select(F.xxhash64("q").alias("id"), "q", "kind").distinct(), "id").where(F.contains("label", F.col("q")))
+        return found.select("q", "kind", "label", "uri").distinct()
 
     def stretches(c: Column, n: Column) -> Column:
-        return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+        chars = F.split(c, "")
+        return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), "")))).otherwise(F.array().cast("array<string>"))
 
-    asked = queries.select("q").where("q <> ''").distinct()
-    grams = asked.select("q", F.explode(stretches(F.col("q"), F.least(F.length("q"), F.lit(most)))).alias("gram"))
+    grams = asked.select(F.md5("q").alias("__q"), F.explode(stretches(F.col("q"), F.least(F.length("q"), F.lit(most)))).alias("gram"))
     held = labels.select("label").distinct()
-    index = held.select("label", F.explode(F.concat(*[stretches(F.col("label"), F.lit(n)) for n in range(1, most + 1)])).alias("gram"))
+    index = held.select(F.md5("label").alias("__l"), F.explode(F.concat(*[stretches(F.col("label"), F.lit(n)) for n in range(1, most + 1)])).alias("gram"))
     counts = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # a stretch that no label has is the rarest, and the query meets nothing
-    rarest = grams.join(counts, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("q", "g.gram")
-    found = rarest.join(index, "gram").where(F.contains("label", F.col("q"))).select("q", "label")
-    return found.join(queries.select("q", "kind").distinct(), "q").join(labels.select("label", "uri").distinct(), "label").select("q", "kind", "label", "uri")
+    rarest = grams.join(counts, "gram", "left").groupBy("__q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("__q", "g.gram")
+    pairs = rarest.join(index, "gram").select("__q", "__l")
+    pairs = pairs.join(queries.select(F.md5("q").alias("__q"), "q", "kind").distinct(), "__q").join(labels.select(F.md5("label").alias("__l"), "label", "uri").distinct(), "__l")
+    return pairs.where(F.contains("label", F.col("q"))).select("q", "kind", "label", "uri")
 
 
 def find_relations(relations: DataFrame, labels: DataFrame, triples: DataFrame, least: float = 0.95) -> DataFrame:

@@ -77,3 +77,25 @@ def test_trigram_join_by_trying_every_pair(spark, least):
             want[x] = (best[1], -best[0])
     got = lexicon.trigram_join(spark.createDataFrame([(x,) for x in asked], "q string"), spark.createDataFrame([(x,) for x in held], "key string"), least)
     assert {r.q: (r.key, r.similarity) for r in got.collect()} == want
+
+
+def test_long_labels_that_hold_long_queries(spark):
+    """Queries of every size of window in labels of many pages: a row for each stretch of such a label with the label in it doesn't end."""
+    rng = np.random.default_rng(4)
+    held = ["".join(rng.choice(list("abcdé  "), 60_000)) for _ in range(40)] + ["", "é"]
+    sizes = [1, 2, 3, 5, 31, 32, 33, 63, 64, 65, 127, 128, 129, 300, 5000, 60_000]
+    asked = sorted({held[i][at : at + n] for i, n in enumerate(sizes) for at in (0, 777, 60_000 - n)} | {held[3][:200] + "z" + held[3][201:400], "é", "zz", ""})
+    labels = spark.createDataFrame([(x, f"u{i}", ["k"]) for i, x in enumerate([*held, held[3]])], "label string, uri string, kinds array<string>")
+    queries = spark.createDataFrame([(x, k) for x in asked for k in ("k", None)], "q string, kind string")
+    want = sorted((x, k or "", f"u{i}") for x in asked if x for k in ("k", None) for i, y in enumerate([*held, held[3]]) if x in y)
+    got = similarity.holding(queries, labels)
+    assert sorted((r.q, r.kind or "", r.uri) for r in got.select("q", "kind", "uri").collect()) == want
+
+
+def test_more_queries_than_are_broadcast(spark):
+    rng = np.random.default_rng(2)
+    held, asked = words(rng, 200, "abc ", 20), sorted({w for w in words(rng, 80, "abc ", 6) if w} | {"a", "ab", "zz"})
+    labels = spark.createDataFrame([(x, f"u{i}", ["k"]) for i, x in enumerate(held)], "label string, uri string, kinds array<string>")
+    queries = spark.createDataFrame([(x, None) for x in asked], "q string, kind string")
+    one, two = (sorted((r.q, r.label, r.uri) for r in similarity.holding(queries, labels, most_queries=n).collect()) for n in (0, 1000))
+    assert one == two
