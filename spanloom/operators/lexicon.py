@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import greedy
-from ..functions.text import has_alphanumeric, normalize_mention, normalize_tokens, trigrams
-from .prefix import frequencies, meet_once, prefix, rare_first
+from ..functions.text import has_alphanumeric, normalize_mention, normalize_tokens
+from .grams import closest, trigram_codes
+from .prefix import frequencies, prefix, rare_first
 from .trie import matcher, token_hashes
 
 
@@ -100,24 +101,36 @@ def gazetteer_spans(sentences: DataFrame, entries: DataFrame, longest: int = 6)
     return hits.select("sid", non_overlapping(F.col("c")).alias("spans"))
 
 
-def trigram_join(queries: DataFrame, keys: DataFrame, least: float = 0.5, shortest: int = 5) -> DataFrame:
+def trigram_join(queries: DataFrame, keys: DataFrame, least: float = 0.5, shortest: int = 5, *, most_trigrams: int = 1 << 18) -> DataFrame:
     """q, key, similarity: for each query text the key with the largest trigram Jaccard similarity of at least ``least``; ties by key.
 
-    Texts meet by one of their rarest trigrams, and each pair once. Sizes and the place of the first shared trigram bound what can be shared
-    before the whole sets are compared, so a common trigram's texts never meet in full.
+    Queries of up to ``most_trigrams`` trigrams in all are broadcast, and a key's shared trigrams with all of them are counted inside its row. More of
+    them meet the keys by their rarest trigrams: sizes and the places of the first shared trigram bound what can be shared before whole sets
+    are compared. Rows of that join hold digests and numbers, never texts or sets.
     """
-    k = keys.select("key").distinct().where(F.length("key") >= shortest)
-    frequency = frequencies(k, trigrams(F.col("key")))
-    q = rare_first(queries.select("q").distinct(), "q", trigrams(F.col("q")), frequency).withColumnRenamed("tokens", "tq")
-    k = rare_first(k, "key", trigrams(F.col("key")), frequency).withColumnRenamed("tokens", "tk")
-    q = q.select("q", "tq", F.size("tq").alias("nq"), prefix(F.col("tq"), F.size("tq") * least).alias("pq"))
-    k = k.select("key", "tk", F.size("tk").alias("nk"), prefix(F.col("tk"), F.size("tk") * least).alias("pk"))
-    met = meet_once(q, "pq", k, "pk").where((F.col("nk") >= least * F.col("nq")) & (F.col("nq") >= least * F.col("nk")))
-    behind = F.least(F.col("nq") - F.array_position("pq", F.col("token")), F.col("nk") - F.array_position("pk", F.col("token")))
-    needed = (F.col("nq") + F.col("nk")) * (least / (1 + least))
-    pairs = met.where(1 + behind >= needed - 1e-9).withColumn("n", F.size(F.array_intersect("tq", "tk")))
-    pairs = pairs.withColumn("similarity", F.col("n").cast("double") / (F.col("nq") + F.col("nk") - F.col("n"))).where(F.col("similarity") >= least)
-    return pairs.groupBy("q").agg(F.min(F.struct(-F.col("similarity"), "key", "similarity")).alias("best")).select("q", "best.key", "best.similarity")
+    asked = queries.select("q").where("q IS NOT NULL").distinct()
+    held = keys.select("key").distinct().where(F.length("key") >= shortest)
+    found = closest(asked, keys.select("key").where(F.length("key") >= shortest), least) if (asked.agg(F.sum(F.length("q") + 1)).first()[0] or 0) <= most_trigrams else _closest_by_prefix(asked, held, least)
+    return found.groupBy("q").agg(F.min(F.struct(-F.col("similarity"), "key", "similarity")).alias("best")).select("q", "best.key", "best.similarity")
+
+
+def _closest_by_prefix(asked: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """q, key, similarity of all pairs with at least ``least``, by an exact prefix filter."""
+    codes = trigram_codes()
+    sides = {name: rows.select(F.md5(name).alias(f"__{name}"), codes(F.col(name)).alias("t")) for name, rows in (("q", asked), ("key", held))}
+    frequency = frequencies(sides["key"], F.col("t"))
+    parts, sets = [], []
+    for name, rows in sides.items():
+        made = rare_first(rows, f"__{name}", F.col("t"), frequency).select(f"__{name}", "tokens", F.size("tokens").alias(f"n_{name}"))
+        parts.append(made.select(f"__{name}", f"n_{name}", F.posexplode(prefix(F.col("tokens"), F.size("tokens") * least)).alias(f"at_{name}", "token")))
+        sets.append(made.select(f"__{name}", F.col("tokens").alias(f"t_{name}")))
+    nq, nk = F.col("n_q"), F.col("n_key")
+    met = parts[0].join(parts[1], "token").where((nk >= least * nq) & (nq >= least * nk))
+    met = met.groupBy("__q", "__key", "n_q", "n_key").agg(F.min("at_q").alias("at_q"), F.min("at_key").alias("at_key"))
+    met = met.where(F.least(nq - F.col("at_q"), nk - F.col("at_key")) >= (nq + nk) * (least / (1 + least)) - 1e-9)
+    pairs = met.join(sets[0], "__q").join(sets[1], "__key").withColumn("n", F.size(F.array_intersect("t_q", "t_key")))
+    pairs = pairs.select("__q", "__key", (F.col("n").cast("double") / (nq + nk - F.col("n"))).alias("similarity")).where(F.col("similarity") >= least)
+    return pairs.join(asked.withColumn("__q", F.md5("q")), "__q").join(held.withColumn("__key", F.md5("key")), "__key").select("q", "key", "similarity")
 
 
 def retrieve_facts(sentences: DataFrame, index: DataFrame, most: int = 10, longest: int = 6, fuzzy: float | None = None) -> DataFrame:

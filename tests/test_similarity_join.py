@@ -99,3 +99,24 @@ def test_more_queries_than_are_broadcast(spark):
     queries = spark.createDataFrame([(x, None) for x in asked], "q string, kind string")
     one, two = (sorted((r.q, r.label, r.uri) for r in similarity.holding(queries, labels, most_queries=n).collect()) for n in (0, 1000))
     assert one == two
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_trigram_join_of_long_texts(spark, most):
+    """Long texts on both sides, by both ways; rows of a text for each of its trigrams would hold a hundred times the input."""
+    rng = np.random.default_rng(5)
+    base = words(rng, 60, "abcdéf 😀", 3000)
+    held = [*base, *[b[: len(b) // 2] + w for b, w in zip(base, words(rng, 60, "abcdéf 😀", 900), strict=True)], "abcd", "abcde"]
+    asked = [b[3:200] for b in base if len(b) > 300] + ["abcde", "", "😀"]
+
+    def grams(x):
+        return {("  " + x + " ")[i : i + 3] for i in range(len(x) + 1)}
+
+    sets, want = {y: grams(y) for y in held if len(y) >= 5}, {}
+    for x in asked:
+        score, y = min((-len(grams(x) & g) / len(grams(x) | g), y) for y, g in sets.items())
+        if -score >= 0.3:
+            want[x] = (y, -score)
+    q, k = spark.createDataFrame([(x,) for x in asked], "q string"), spark.createDataFrame([(x,) for x in held], "key string")
+    got = lexicon.trigram_join(q, k, 0.3, most_trigrams=most)
+    assert {r.q: (r.key, r.similarity) for r in got.collect()} == want
