@@ -78,3 +78,19 @@ def test_isotonic_map_of_hand_cases(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 0), (2.0, 1), (3.0, 1), (4.0, 0), (5.0, 1)], "s double, y int")
     got = {r.s: r.calibrated for r in learn.apply_isotonic(learn.fit_isotonic(df, "s"), df.select("s").distinct(), "s").collect()}
     assert got == pytest.approx({1.0: 0.6, 2.0: 0.6, 3.0: 0.6, 4.0: 0.6, 5.0: 1.0})
+
+
+def test_best_weights_tell_close_scores_apart(spark):
+    """Scores that differ in the sixth digit: rounded to three they would all be ties, and the sums of most vectors too."""
+    rows = [(0.5 + i * 1e-6, 0.5 - i * 1e-6, 0.5, i % 3 // 2 if i < 30 else 1) for i in range(60)]
+    got = rs.best_weights(spark.createDataFrame(rows, "a double, b double, c double, y int"), ["a", "b", "c"], digits=10).first()
+    pos, neg = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+
+    def area(w):
+        s = {r: round(sum(x * y for x, y in zip(w, r, strict=False)), 10) for r in rows}
+        return round(sum((s[p] > s[n]) + (s[p] == s[n]) / 2 for p in pos for n in neg) / (len(pos) * len(neg)), 6)
+
+    grid = [(i / 4, j / 4, (4 - i - j) / 4) for i in range(5) for j in range(5 - i)]
+    best = max(range(len(grid)), key=lambda k: (area(grid[k]), -round(sum(abs(x - 1 / 3) for x in grid[k]), 9), -k))
+    assert (got.ord, round(got.auroc, 6)) == (best, area(grid[best]))
+    assert got.auroc > 0.6
