@@ -28,29 +28,53 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
     return unit(total)
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 8192) -> DataFrame:
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = vectors.combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    sizes = np.diff(flat.offsets.to_numpy())
+    values = flat.flatten()
+    if flat.null_count or values.null_count or (sizes != sizes[0]).any():
+        raise ValueError("vectors should have one length and no nulls")
+    return values.to_numpy().astype(float).reshape(len(flat), -1)
+
+
+def largest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, column, value of each row's k largest values, in order; ties by column. Only what reaches the k-th value is sorted."""
+    key = np.where(np.isnan(s), -np.inf, s)
+    k = min(k, s.shape[1])
+    row, at = np.nonzero(key >= np.partition(key, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None])
+    order = np.lexsort((at, -key[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, at = row[kept], at[kept]
+    return row, at, s[row, at]
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int, block: int = 8192, some: int = 128) -> DataFrame:
     """qid, pid, similarity, rank: the k pool vectors with the largest dot product; ties in pool order (pos).
 
-    queries: qid, v; pool: pid, pos, v. Blocks of both sides meet by equality and are multiplied as matrices; a block gives
-    k rows for each query, so what is ranked grows with the queries and the number of blocks, not with all pairs.
+    queries: qid, v; pool: pid, pos, v. Blocks of both sides meet by equality and are multiplied as matrices, ``some`` queries at a time, so a task
+    holds two blocks and ``some`` rows of products. A block gives k rows for each query, so what is ranked grows with the queries and the number of
+    blocks, not with all pairs.
     """
     n, m = max(1, -(-pool.count() // block)), max(1, -(-queries.count() // block))
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    left = queries.select("qid", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("i"), every(n).alias("j"))
-    right = pool.select("pid", "pos", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("pid"), F.lit(n)).cast("int").alias("j"), every(m).alias("i"))
+    left = queries.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("i"), every(n).alias("j"))
+    right = pool.select("pid", "pos", "v", F.pmod(F.xxhash64("pid"), F.lit(n)).cast("int").alias("j"), every(m).alias("i"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"qid": pa.array([], a["qid"].type), "pid": pa.array([], b["pid"].type), "pos": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
         b = b.sort_by("pos")
-        x, y = (np.array(t["v"].to_pylist()) for t in (a, b))
-        s = x @ y.T
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(x)), top.shape[1])
-        return pa.table({"qid": a["qid"].take(pa.array(rows)), "pid": b["pid"].take(pa.array(top.reshape(-1))), "pos": b["pos"].cast(pa.int64()).take(pa.array(top.reshape(-1))), "similarity": pa.array(s[rows, top.reshape(-1)])})
+        x, y = matrix(a["v"]), matrix(b["v"])
+        found = [largest(x[i : i + some] @ y.T, k) for i in range(0, len(x), some)]
+        rows = np.concatenate([r + i * some for i, (r, _, _) in enumerate(found)])
+        at, s = (np.concatenate([f[j] for f in found]) for j in (1, 2))
+        return pa.table({"qid": a["qid"].take(pa.array(rows)), "pid": b["pid"].take(pa.array(at)), "pos": b["pos"].cast(pa.int64()).take(pa.array(at)), "similarity": pa.array(s)})
 
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (pool, "pid"))}
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, f"qid {kinds['qid']}, pid {kinds['pid']}, pos long, similarity double")
