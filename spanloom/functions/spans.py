@@ -49,14 +49,31 @@ def merge_layers(first: Column, second: Column) -> Column:
 
 
 def spans_to_bio(spans: Column, n: Column) -> Column:
-    """Labels of n tokens; of overlapping spans the first in order stays."""
-    flat = greedy(F.array_sort(spans))
+    """Labels of n tokens; of overlapping spans the first in order stays.
 
-    def label(i: Column) -> Column:
-        own = F.try_element_at(F.filter(flat, lambda x: (x["s"] <= i) & (i < x["e"])), F.lit(1))
-        return F.when(own.isNull(), "O").when(own["s"] == i, F.concat(F.lit("B-"), own["type"])).otherwise(F.concat(F.lit("I-"), own["type"]))
+    Spans that stay lie apart and in order, so each gives the outside labels before it and its own; spans that are apart already
+    need no choice.
+    """
+
+    def apart(x: Column) -> Column:
+        return F.forall(F.sequence(F.lit(1), F.size(x)), lambda i: (x[i - 1]["s"] < x[i - 1]["e"]) & ((i == 1) | (F.try_element_at(x, F.greatest(i - 1, F.lit(1)))["e"] <= x[i - 1]["s"])))
+
+    def inside(x: Column) -> Column:
+        """Spans cut to the n tokens, with whether their first token is among them."""
+        cut = F.transform(x, lambda y: F.struct(F.greatest(y["s"], F.lit(0)).alias("s"), F.least(y["e"], n).alias("e"), y["type"].alias("type"), (y["s"] >= 0).alias("whole")))
+        return F.filter(cut, lambda y: y["s"] < y["e"])
+
+    def labels(x: Column) -> Column:
+        def of(y: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.try_element_at(x, F.greatest(i, F.lit(1)))["e"]).otherwise(0)
+            first = F.when(y["whole"], F.concat(F.lit("B-"), y["type"])).otherwise(F.concat(F.lit("I-"), y["type"]))
+            return F.concat(F.array_repeat(F.lit("O"), y["s"] - before), F.array(first), F.array_repeat(F.concat(F.lit("I-"), y["type"]), y["e"] - y["s"] - 1))
+
+        end = F.coalesce(F.try_element_at(x, F.lit(-1))["e"], F.lit(0))
+        return F.concat(F.flatten(F.transform(x, of)), F.array_repeat(F.lit("O"), n - end))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), label)).otherwise(F.array().cast("array<string>"))
+    made = let(F.array_sort(spans), lambda x: let(F.when((F.size(x) == 0) | apart(x), x).otherwise(greedy(x)), lambda y: let(inside(y), labels)))
+    return F.when(n > 0, made).otherwise(F.array().cast("array<string>"))
 
 
 def bio_to_spans(labels: Column) -> Column:
