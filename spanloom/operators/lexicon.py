@@ -42,9 +42,14 @@ def surface_index(spans: DataFrame, sentences: DataFrame | None = None, longest:
     )
     if sentences is None:
         return index.withColumn("o", F.lit(0).cast("long"))
-    found = dictionary_join(sentences, index.select("key"), longest)
-    outside = found.join(spans.select("sid", "s", "e").distinct(), ["sid", "s", "e"], "left_anti").groupBy("key").agg(F.count("*").alias("o"))
-    return index.join(outside, "key", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    everywhere = dictionary_counts(sentences, index.select("key"), longest)
+    # hits that are spans are looked for in the texts that have spans
+    marked = spans.select("sid").distinct()
+    marked = F.broadcast(marked) if marked.count() <= 1 << 20 else marked
+    found = dictionary_join(sentences.join(marked, "sid", "left_semi"), index.select("key"), longest)
+    inside = found.join(spans.select("sid", "s", "e").distinct(), ["sid", "s", "e"]).groupBy("key").agg(F.count("*").alias("__in"))
+    rows = index.join(everywhere, "key", "left").join(inside, "key", "left")
+    return rows.select(*index.columns, (F.coalesce("n", F.lit(0)) - F.coalesce("__in", F.lit(0))).alias("o"))
 
 
 def merge_indexes(index: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -76,12 +81,10 @@ def dictionary_join(sentences: DataFrame, entries: DataFrame, longest: int = 6,
     compared with the keys, so a collision of hashes is no hit.
     """
     rows = sentences.select("sid", normalize_tokens(F.col("tokens")).alias("t"))
-    held = entries.where(has_alphanumeric(F.col("key"))).withColumn("__t", F.split("key", " ")).where(F.size("__t").between(shortest, longest))
+    held = _of_length(entries, shortest, longest)
     keys = held.select("key", token_hashes(F.col("__t")).alias("__t")).distinct()
     if (keys.agg(F.sum(F.size("__t"))).first()[0] or 0) <= most_tokens:
-        found = rows.withColumn("w", matcher(keys, "__t")(token_hashes(F.col("t"))))
-        key = F.array_join(F.slice("t", F.col("w.s") + 1, F.col("w.e") - F.col("w.s")), " ")
-        hits = found.select("sid", "t", F.explode("w").alias("w")).select("sid", "w.s", "w.e", key.alias("key"))
+        hits = rows.withColumn("w", matcher(keys, "__t")(token_hashes(F.col("t")))).select("sid", F.inline(_windows_at(F.col("w"))))
         return hits.join(held.drop("__t"), "key").select("sid", "s", "e", *entries.columns)
 
     def of(n: int) -> Column:
@@ -93,6 +96,26 @@ def dictionary_join(sentences: DataFrame, entries: DataFrame, longest: int = 6,
     return rows.select("sid", F.inline(made)).join(held, "__h").where("__k = key").select("sid", "s", "e", *entries.columns)
 
 
+def _of_length(entries: DataFrame, shortest: int, longest: int) -> DataFrame:
+    return entries.where(has_alphanumeric(F.col("key"))).withColumn("__t", F.split("key", " ")).where(F.size("__t").between(shortest, longest))
+
+
+def _windows_at(places: Column) -> Column:
+    """s, e, key of the places of a row's tokens ``t``, made inside the row: an exploded row holds a key and never the tokens."""
+    return F.transform(places, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.array_join(F.slice("t", w["s"] + 1, w["e"] - w["s"]), " ").alias("key")))
+
+
+def dictionary_counts(sentences: DataFrame, entries: DataFrame, longest: int = 6, shortest: int = 1, *, most_tokens: int = 1 << 22) -> DataFrame:
+    """key, n: how many windows of the sentences are each entry (key). As :func:`dictionary_join`, but windows are counted before they are shuffled."""
+    held = _of_length(entries.select("key").distinct(), shortest, longest)
+    keys = held.select("key", token_hashes(F.col("__t")).alias("__t"))
+    if (keys.agg(F.sum(F.size("__t"))).first()[0] or 0) > most_tokens:
+        return dictionary_join(sentences, entries.select("key").distinct(), longest, shortest, most_tokens=most_tokens).groupBy("key").agg(F.count("*").alias("n"))
+    rows = sentences.select(normalize_tokens(F.col("tokens")).alias("t"))
+    found = rows.select(F.explode(F.transform(_windows_at(matcher(keys, "__t")(token_hashes(F.col("t")))), lambda x: x["key"])).alias("key"))
+    return found.groupBy("key").agg(F.count("*").alias("n")).join(held.select("key"), "key", "left_semi")
+
+
 def gazetteer_spans(sentences: DataFrame, entries: DataFrame, longest: int = 6) -> DataFrame:
     """sid, spans: greedy matches, longest first."""
     from ..functions.spans import non_overlapping

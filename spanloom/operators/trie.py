@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_SLICE = 1 << 18  # tokens of texts that are walked together
+
+
 class TokenTrie:
     """Each level's edges are one sorted array of (node, token) numbers, so a step of all open places is one binary search."""
 
@@ -32,8 +35,10 @@ class TokenTrie:
     def hits(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """row, start, end of every stretch of a text that is an entry, by row and start. Texts come as the entries do."""
         stops = np.repeat(np.cumsum(sizes), sizes)
-        at = np.searchsorted(self.vocabulary, hashes)
-        codes = np.where(np.isin(hashes, self.vocabulary), at, -1) if len(self.vocabulary) else np.full(len(hashes), -1)
+        codes = np.full(len(hashes), -1)
+        if len(self.vocabulary):
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            codes = np.where(self.vocabulary[at] == hashes, at, -1)
         place, node = np.flatnonzero(codes >= 0), np.zeros(len(hashes), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for depth, (edges, ends) in enumerate(self.levels):
@@ -53,6 +58,19 @@ class TokenTrie:
         return row, start, start + n
 
 
+def in_slices(trie: TokenTrie, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hits``, some texts at a time: what is held beside the texts and their hits grows with the longest of them, not with a batch."""
+    stops, low = np.cumsum(sizes), 0
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    while low < len(sizes):
+        begin = int(stops[low] - sizes[low])
+        high = max(low + 1, int(np.searchsorted(stops, begin + _SLICE, side="right")))
+        row, s, e = trie.hits(hashes[begin : stops[high - 1]].astype(np.int64), sizes[low:high])
+        parts.append((row + low, s.astype(np.int32), e.astype(np.int32)))
+        low = high
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+
+
 def matcher(entries: DataFrame, tokens: str):
     """A function of a column of token hashes: array<struct<s, e>> of the stretches that are entries (column ``tokens``: hashes of each).
 
@@ -69,7 +87,7 @@ def matcher(entries: DataFrame, tokens: str):
     def stretches(hashes: pa.Array) -> pa.Array:
         hashes = hashes.fill_null([]) if hashes.null_count else hashes
         sizes = np.diff(hashes.offsets.to_numpy()).astype(np.int64)
-        row, s, e = sent.value.hits(hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        row, s, e = in_slices(sent.value, hashes.flatten().to_numpy(zero_copy_only=False), sizes)
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["s", "e"])
         return pa.ListArray.from_arrays(pa.array(offsets), pairs).cast(kind)
