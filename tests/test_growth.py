@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from jobs import build_prompts
 from spanloom.functions import spans as fs
 from spanloom.operators import lexicon as lx
 from spanloom.operators import vectors as vc
@@ -89,3 +90,15 @@ def test_occurrences_in_long_and_repeated_texts(spark):
     assert time.time() - start < 60
     plan = lx.dictionary_join(spark.createDataFrame(texts, "sid string, tokens array<string>"), index.select("key"))._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Generate" in line and "explode" in line and " t#" in line for line in plan.splitlines())
+
+
+def test_texts_join_the_prompts_once(spark, tmp_path):
+    """Whole texts were grouped by themselves, several times, and moved again with their demonstrations in front."""
+    rows = [(1, "a  b", "en"), (2, "a b", "en"), (3, "c", None), (3, "c", None), (3, "d", "de"), (4, "e f", "en"), (5, " e  f ", "en"), (6, " ", "en"), (None, "g", "en")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels, passages = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([("zz",)], "text string")
+    made = build_prompts.prompts(documents, labels, passages, build_prompts.Settings())
+    got = [(r.doc_id, r.lang, r.copies, r.position, r.shown) for r in made.orderBy("batch", "position").collect()]
+    assert got == [(3, "de", 1, 0, 0), (1, "en", 2, 1, 1), (3, "none", 2, 2, 0)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "coalesce(text" not in plan
