@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobs import build_prompts
 from spanloom.functions import spans as fs
 from spanloom.operators import lexicon as lx
+from spanloom.operators import resampling as rs
 from spanloom.operators import vectors as vc
 from spanloom.operators.trie import TokenTrie, in_slices
 
@@ -102,3 +103,22 @@ def test_texts_join_the_prompts_once(spark, tmp_path):
     assert got == [(3, "de", 1, 0, 0), (1, "en", 2, 1, 1), (3, "none", 2, 2, 0)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "coalesce(text" not in plan
+
+
+def test_grid_counts_take_some_rows_at_a_time(spark, monkeypatch):
+    """A whole batch of 10,000 rows was multiplied with 512 vectors at once: 40 MB for each of several arrays."""
+    sizes = spark.sparkContext.accumulator(0)
+    floor = np.floor
+
+    def watched(x):
+        if x.size > 4096 * 512:
+            sizes.add(1)
+        return floor(x)
+
+    df = spark.range(0, 9000, 1, 1).select((F.col("id") % 8999 / 9000).alias("a"), (F.col("id") % 7 / 7).alias("b"), (F.col("id") % 2).cast("int").alias("y"))
+    weights = np.column_stack([np.linspace(0, 1, 600), 1 - np.linspace(0, 1, 600)])
+    watch = type("np", (), {"__getattr__": lambda self, name: watched if name == "floor" else getattr(np, name)})()
+    monkeypatch.setattr(rs, "np", watch)
+    counts = rs.grid_counts(df, ["a", "b"], "y", weights)
+    assert counts.agg(F.sum("n")).first()[0] == 9000 * 600
+    assert sizes.value == 0
