@@ -29,32 +29,37 @@ def status(items: DataFrame, done: DataFrame, failures: DataFrame, attempts: int
     return out.withColumn("remaining", left).withColumn("state", F.when(left > 0, "partial").when(F.col("abandoned") > 0, "complete_with_failures").otherwise("complete"))
 
 
-def work(items: DataFrame, process: Callable[[str, str], str], attempts: int = 5) -> DataFrame:
+def work(items: DataFrame, process: Callable[[str, str], str], attempts: int = 5, groups: int = 1 << 14) -> DataFrame:
     """key, attempt, result, error, abandoned of a stream of (key, payload, ...).
 
     State holds for each key how often it failed and whether it is done; keys that are done or given up give no rows when
     they come again, also after a restart from the checkpoint.
+
+    A call of Python costs milliseconds, so keys share one of ``groups`` states by their hash: calls are bounded by the groups, not by the
+    keys. A batch rewrites the states that it touches. ``groups`` must stay the same for a checkpoint.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        failed, over = state.get if state.exists else (0, False)
-        rows = []
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        failed = dict(zip(*state.get, strict=True)) if state.exists else {}  # -1: done or given up
         for pdf in batches:
-            for payload in pdf["payload"]:
-                if over:
+            rows = []
+            for key, payload in zip(pdf["key"], pdf["payload"], strict=True):
+                n = failed.get(key, 0)
+                if n < 0:
                     continue
                 try:
-                    rows.append((key[0], failed + 1, process(key[0], payload), None, False))
-                    over = True
+                    rows.append((key, n + 1, process(key, payload), None, False))
+                    failed[key] = -1
                 except Exception as e:  # noqa: BLE001
-                    failed += 1
-                    over = failed >= attempts
-                    rows.append((key[0], failed, None, f"{type(e).__name__}: {e}", over))
-        state.update((failed, over))
-        yield pd.DataFrame(rows, columns=["key", "attempt", "result", "error", "abandoned"])
-
-    return items.select("key", "payload").groupBy("key").applyInPandasWithState(
-        step, "key string, attempt int, result string, error string, abandoned boolean", "failed int, over boolean", "append", GroupStateTimeout.NoTimeout
+                    over = n + 1 >= attempts
+                    rows.append((key, n + 1, None, f"{type(e).__name__}: {e}", over))
+                    failed[key] = -1 if over else n + 1
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "attempt", "result", "error", "abandoned"])
+        state.update((list(failed.keys()), list(failed.values())))
+
+    return items.select("key", "payload", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group")).groupBy("group").applyInPandasWithState(
+        step, "key string, attempt int, result string, error string, abandoned boolean", "keys array<string>, failed array<int>", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -176,6 +176,42 @@ def test_streamed_work(spark, tmp_path):
     assert (s.completed, s.abandoned, s.remaining, s.state) == (2, 1, 1, "partial")
 
 
+def test_queue_shares_states(spark, tmp_path):
+    """Calls and states are bounded by the groups, and each key still has its own attempts, over two runs."""
+    src, out, ck = (str(tmp_path / d) for d in ("in", "out", "ck"))
+    schema = "key string, payload string"
+    keys = [None, "", *map(str, range(298))]
+    fails = {k: i % 4 for i, k in enumerate(keys)}
+    spark.createDataFrame([(k, f"{k}|{i}") for i, k in enumerate(keys)], schema).write.parquet(src)
+
+    def process(key, payload):
+        name, left = payload.split("|")
+        if int(left) % 4:
+            raise ValueError(name)
+        return name
+
+    def run():
+        before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            qu.drain(qu.work(spark.readStream.schema(schema).parquet(src), process, 3, groups=8), out, ck)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before[0])
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+        return sorted(((r.key, r.attempt, r.result, r.abandoned) for r in spark.read.parquet(out).collect()), key=str)
+
+    first = [(k, 1, None if n else str(k), False) for k, n in fails.items()]
+    assert run() == sorted(first, key=str)
+    assert 1 < spark.read.format("statestore").load(ck).count() <= 8
+    # all come thrice more, and fail; those that were done give nothing
+    again = [(k, f"{k}|1") for k in keys for _ in range(3)]
+    spark.createDataFrame(again, schema).write.mode("append").parquet(src)
+    more = [(k, a, None, a == 3) for k, n in fails.items() if n for a in (2, 3)]
+    assert run() == sorted(first + more, key=str)
+    assert spark.read.format("statestore").load(ck).count() <= 8
+
+
 def test_plumbing(spark):
     c = ex.merge({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}})
     assert c == {"a": {"x": 1, "y": 3}, "b": 1} and ex.identity(c) == ex.identity({"b": 1, "a": {"y": 3, "x": 1}})
