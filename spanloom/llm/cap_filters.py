@@ -115,21 +115,51 @@ def codes_for(size: int, cosine: float, words: int, filters: int, codes: int, se
     return made
 
 
-def smallest_common(held: np.ndarray, a: np.ndarray, b: np.ndarray, this: np.ndarray) -> np.ndarray:
-    """For pairs of rows (a, b) of ascending filter lists, which end in zeros: is ``this`` the smallest filter that both hold?
+def smallest_common(offsets: np.ndarray, flat: np.ndarray, group: np.ndarray, this: np.ndarray, a: np.ndarray, b: np.ndarray, words: int = 16) -> np.ndarray:
+    """For pairs of rows (a, b) of one group each: is the filter ``this`` of their group the smallest that both hold?
 
-    The first filter of one list that the other holds is the smallest common one, so near pairs are settled by a glance at the first few.
+    Row i holds ``flat[offsets[i]:offsets[i + 1]]``. Smaller filters that several rows of a group hold are numbered within it, those of most rows first:
+    the first ``64 * words`` are bits, of which the first few settle most pairs of a crowd; the others are searched, for pairs that share no bit.
     """
     ok = np.zeros(len(a), bool)
-    for start in range(0, len(a), 20_000):
-        open_ = np.arange(start, min(start + 20_000, len(a)))
-        for column in range(held.shape[1]):
-            f = held[a[open_], column]
-            common = (held[b[open_]] == f[:, None]).any(1)
-            ok[open_[common]] = f[common] == this[open_[common]]
-            open_ = open_[~common]
-            if not len(open_):
-                break
+    rows = np.unique(np.concatenate([a, b]))
+    n = offsets[rows + 1] - offsets[rows]
+    owner = np.repeat(np.arange(len(rows)), n)
+    held = flat[np.repeat(offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    smaller = held < this[rows][owner]
+    owner, held = owner[smaller], held[smaller]
+    places, place = np.unique(group[rows], return_inverse=True)
+    top = int(held.max(initial=0)) + 1
+    values, number, count = np.unique(place[owner] * top + held, return_inverse=True, return_counts=True)
+    order = np.lexsort((-count, values // top))
+    first = np.searchsorted(values, np.arange(len(places)) * top)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values)) - first[values[order] // top]
+    several = count[number] > 1
+    owner, number = owner[several], number[several]
+    bit = rank[number]
+    width = min(words, int(bit.max(initial=-1)) // 64 + 1)
+    bits = np.zeros((width, len(rows)), np.uint64)
+    low = bit < 64 * width
+    np.bitwise_or.at(bits, (bit[low] >> 6, owner[low]), np.uint64(1) << (bit[low] & 63).astype(np.uint64))
+    a, b = np.searchsorted(rows, a), np.searchsorted(rows, b)
+    open_ = np.arange(len(a))
+    for word in bits:
+        open_ = open_[(word[a[open_]] & word[b[open_]]) == 0]
+    owner, number = owner[~low], number[~low]
+    if len(owner):
+        keys = np.sort(owner * len(values) + number)
+        start = np.searchsorted(keys, np.arange(len(rows) + 1) * len(values))
+        left = []
+        for i in range(0, len(open_), 512):
+            some = open_[i : i + 512]
+            n = start[a[some] + 1] - start[a[some]]
+            pair = np.repeat(np.arange(len(some)), n)
+            asked = keys[np.repeat(start[a[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())] % len(values) + b[some][pair] * len(values)
+            found = keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
+            left.append(some[np.bincount(pair[found], minlength=len(some)) == 0])
+        open_ = np.concatenate([open_[:0], *left])
+    ok[open_] = True
     return ok
 
 
@@ -225,17 +255,24 @@ def link(vectors: DataFrame, *, cosine: float = 0.93, words: int | None = None,
             starts = starts_of(t)
             sizes = np.diff(np.append(starts, t.num_rows))
             cid, n, own, f = (t[c].to_numpy() for c in ("cid", "n", "own", "f"))
-            x, held, inside = unit(matrix(t["v"])), matrix(t["held"], "int64"), t["i"].to_numpy() == t["j"].to_numpy()
+            held = t["held"].combine_chunks()
+            offsets, flat = held.offsets.to_numpy().astype(np.int64), held.flatten().to_numpy()
+            offsets = offsets - offsets[0]
+            group, lowest = np.repeat(np.arange(len(starts)), sizes), flat[offsets[:-1]]
+            x, inside = unit(matrix(t["v"])), t["i"].to_numpy() == t["j"].to_numpy()
             links, forest = np.zeros(len(cid)), [(np.zeros(0, np.int64),) * 2]
-            for a, b in near_pairs(x, starts, sizes, cosine, held[:, 0], f):
+            for a, b in near_pairs(x, starts, sizes, cosine, lowest, f):
                 # two blocks of one group meet to check what lies across; a block meets itself to check what lies inside
                 ok = (own[a] != own[b]) | inside[a]
                 a, b = a[ok], b[ok]
                 # a pair is counted under the smallest filter that both hold, which this one is where it is the lowest of either
-                once = (held[a, 0] == f[a]) | (held[b, 0] == f[a])
+                once = (lowest[a] == f[a]) | (lowest[b] == f[a])
                 open_ = np.flatnonzero(~once)
-                once[open_] = smallest_common(held, a[open_], b[open_], f[a[open_]])
-                links += np.bincount(a[once], n[b[once]], len(cid)) + np.bincount(b[once], n[a[once]], len(cid))
+                if len(open_):
+                    once[open_] = smallest_common(offsets, flat, group, f, a[open_], b[open_])
+                # what was or will be counted elsewhere is joined there too
+                a, b = a[once], b[once]
+                links += np.bincount(a, n[b], len(cid)) + np.bincount(b, n[a], len(cid))
                 met = np.unique(np.concatenate([a, b]))
                 to = local_roots(len(met), np.searchsorted(met, a), np.searchsorted(met, b))
                 forest.append((met, met[to]))

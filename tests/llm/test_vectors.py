@@ -1,8 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm.cap_filters import ProductCodes, link
+from spanloom.llm.cap_filters import ProductCodes, link, smallest_common
 from spanloom.llm.common import components, local_roots
 from spanloom.llm.threshold_search import SortedLists, search
 
@@ -130,6 +132,37 @@ def test_links_of_large_groups_of_near_copies(spark):
         assert sorted(map(tuple, link(df, block=block).collect()), key=str) == want
 
 
+def test_smallest_common_filter():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lists, group, this, pairs = [], [], [], []
+        for g in range(int(rng.integers(1, 6))):
+            f, first = int(rng.integers(50, 400)), len(lists)
+            for _ in range(int(rng.integers(2, 30))):
+                lists.append(np.unique(np.append(rng.integers(0, 400, size=rng.integers(0, 40)), f)))
+                group.append(g)
+                this.append(f)
+            pairs += [(i, j) for i in range(first, len(lists)) for j in range(i + 1, len(lists))]
+        a, b = np.array(pairs).T
+        offsets = np.append(0, np.cumsum([len(x) for x in lists]))
+        want = [np.intersect1d(lists[i], lists[j])[0] == this[i] for i, j in pairs]
+        for words in (0, 1, 2, 16):
+            assert smallest_common(offsets, np.concatenate(lists), np.array(group), np.array(this), a, b, words).tolist() == want
+
+
+def test_smallest_common_filter_of_a_crowd():
+    """Work on a pair does not follow the longest list: 125,000 pairs of 500 rows, one of which holds 100,000 filters."""
+    lists = [np.append(np.arange(i % 7, 60, 7), 200_000) for i in range(499)] + [np.append(np.arange(100_000) + 1000, 200_000)]
+    offsets = np.append(0, np.cumsum([len(x) for x in lists]))
+    a, b = np.triu_indices(500, 1)
+    tracemalloc.start()
+    got = smallest_common(offsets, np.concatenate(lists), np.zeros(500, int), np.full(500, 200_000), a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == ((a % 7 != b % 7) | (b == 499)).tolist()
+    assert peak < 100e6
+
+
 def test_links_of_short_vectors(spark):
     rng = np.random.default_rng(12)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=2)], int(rng.integers(0, 2))) for i in range(10_000)]
