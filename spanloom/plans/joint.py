@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import learn
 from ..operators import resampling as rs
 from ..sources.sinks import scratch
-from .catalogue import AUROC, SCORED_SQL, auroc_sql, query, scored, six, weights_sql
-
-#: Five criteria of labelled documents, valid in both languages.
-CRITERIA = {"a": "s", "b": "t", "c": "p", "d": "coalesce(kg_best, 0.0)", "e": "coalesce(confidence, 0.5)"}
-_FAR = " + ".join(f"abs(w{i} - 0.2)" for i in range(1, 6))
+from .catalogue import AUROC, CRITERIA, FAR, SCORED_SQL, auroc_sql, query, scored, six, weights_sql
 
 
 @query(f"""WITH {SCORED_SQL}, r AS (SELECT source, y, s, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS side, CAST(t >= 0.4 AS INTEGER) AS passed FROM d), {weights_sql('r', 'source', 60)},
@@ -38,7 +34,7 @@ def joint_differences(spark, sf):
 @query(f"""WITH {SCORED_SQL}, k AS (SELECT {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in CRITERIA.items())}, y FROM d),
     g AS (SELECT row_number() OVER (ORDER BY i, j, k, l) - 1 AS ord, i / 20.0 AS w1, j / 20.0 AS w2, k / 20.0 AS w3, l / 20.0 AS w4, (20 - i - j - k - l) / 20.0 AS w5 FROM range(21) a(i), range(21) b(j), range(21) c(k), range(21) d(l) WHERE i + j + k + l <= 20),
     x AS (SELECT ord, floor(1000 * (w1 * a + w2 * b + w3 * c + w4 * d + w5 * e) + 0.5) AS s, y FROM k, g), {auroc_sql('x', 'ord', 's', 'y').replace('b AS (', 'bb AS (')}, r AS (SELECT ord, {AUROC} AS auroc FROM bb GROUP BY ord)
-    SELECT {', '.join(f'CAST(w{i} AS DOUBLE) AS w{i}' for i in range(1, 6))}, round(auroc, 6) AS auroc FROM r JOIN g USING (ord) ORDER BY round(r.auroc, 6) DESC, round({_FAR}, 9), ord LIMIT 1""")
+    SELECT {', '.join(f'CAST(w{i} AS DOUBLE) AS w{i}' for i in range(1, 6))}, round(auroc, 6) AS auroc FROM r JOIN g USING (ord) ORDER BY round(r.auroc, 6) DESC, round({FAR}, 9), ord LIMIT 1""")
 def weight_grid_fine(spark, sf):
     rows = scored(spark, sf).select(*[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in CRITERIA.items()], "y")
     return six(rs.best_weights(rows, list(CRITERIA), step=0.05).drop("ord"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import resampling as rs
+from spanloom.plans import catalogue, joint
 
 
 def test_weight_vectors(spark):
@@ -94,3 +95,57 @@ def test_best_weights_tell_close_scores_apart(spark):
     best = max(range(len(grid)), key=lambda k: (area(grid[k]), -round(sum(abs(x - 1 / 3) for x in grid[k]), 9), -k))
     assert (got.ord, round(got.auroc, 6)) == (best, area(grid[best]))
     assert got.auroc > 0.6
+
+
+def best_by_trying_all(x, y, weights):
+    """ord and AUROC at six digits: scores of ten digits of every row under every vector; a row takes no part where its score is not a number."""
+    found = []
+    for i, w in enumerate(weights):
+        with np.errstate(invalid="ignore"):
+            s = np.floor(sum(a * b for a, b in zip(w, x.T, strict=True)) * 1e10 + 0.5)
+        pos, neg = s[(y == 1) & ~np.isnan(s)][:, None], s[(y == 0) & ~np.isnan(s)][None, :]
+        found.append((round(float(((pos > neg) + (pos == neg) / 2).mean()), 6), -round(np.abs(w - 1 / len(w)).sum(), 9), -i))
+    return -max(found)[2], max(found)[0]
+
+
+def test_weight_grid_tries_all_vectors(spark, sf):
+    """It tried 15 vectors of three criteria; all are the 10,626 vectors of five at steps of 0.05."""
+    rows = catalogue.scored(spark, sf).select(*[F.expr(f"CAST({e} AS DOUBLE)") for e in joint.CRITERIA.values()], "y").collect()
+    x, y = np.array([r[:5] for r in rows]), np.array([r.y for r in rows])
+    weights = rs.weight_vectors(0.05, 5)
+    order, area = best_by_trying_all(x, y, weights)
+    got = catalogue.weight_grid(spark, sf).first()
+    assert (got.ord, got.auroc) == (order, area)
+    assert [got[f"w{i}"] for i in range(1, 6)] == pytest.approx(list(weights[order]))
+
+
+@pytest.mark.parametrize("kind", ["any", "few values", "parted", "infinite", "one class"])
+def test_best_weights_by_bounds(spark, monkeypatch, kind):
+    """Few counts at a time, so bounds are coarse at first and vectors are left for all rounds; the best one is that of trying all."""
+    rng = np.random.default_rng(11)
+    x, y = rng.random((240, 3)), rng.integers(0, 2, 240)
+    x[:, 1] = (x[:, 1] + 0.3 * y) / 1.3
+    if kind == "few values":
+        x = np.round(x * 4) / 4
+    if kind == "parted":  # most vectors tie at an AUROC of 1
+        x[:, 0] = (x[:, 0] + 20 * y) / 21
+    if kind == "infinite":
+        x[:9, 0], x[9:14, 2] = np.inf, -np.inf
+    if kind == "one class":
+        y[:] = 1
+    x, y = np.concatenate([x, x[:20]]), np.concatenate([y, y[:20]])
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)] + [(None, 0.1, 0.2, 1), (0.1, float("nan"), 0.2, 0), (0.1, 0.2, 0.3, None)], "a double, b double, c double, y int").repartition(3)
+    rounds, bounds, exact = [], rs.grid_bounds, rs.exact_areas
+    monkeypatch.setattr(rs, "_CELLS", 1 << 12)
+    monkeypatch.setattr(rs, "_ROWS", 1 << 12)
+    monkeypatch.setattr(rs, "grid_bounds", lambda rows, ends, w, digits, bins: rounds.append(len(w)) or bounds(rows, ends, w, digits, bins))
+    monkeypatch.setattr(rs, "exact_areas", lambda rows, w, digits: rounds.append(-len(w)) or exact(rows, w, digits))
+    got = rs.best_weights(df, ["a", "b", "c"], step=0.05, digits=10).first()
+    many = max(16, (1 << 12) // len(np.unique(np.column_stack([x, y]), axis=0)))
+    assert rounds[0] == 231 and all(n >= -many for n in rounds)
+    if kind == "one class":
+        assert got.ord is None and got.auroc is None
+    else:
+        assert (got.ord, round(got.auroc, 6)) == best_by_trying_all(x, y, rs.weight_vectors(0.05, 3))
+    if kind == "parted":
+        assert rounds[-1] >= -16 and sum(n < 0 for n in rounds) == 1
